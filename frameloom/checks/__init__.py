@@ -1,3 +1,3 @@
-from . import depth, segment
+from . import depth, direct, segment
 
-MODULES = [segment, depth]
+MODULES = [segment, depth, direct]

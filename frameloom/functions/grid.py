@@ -150,28 +150,26 @@ FINE_SCALE, COARSE_SCALE = 900.0, 260.0
 HORIZON, GROUND_POWER = 0.32, 1.35
 
 
-def image_cue_depth(b: Column, g: Column, r: Column, h: Column, w: Column) -> Column:
-    """Relative depth of one frame from detail, ground plane and saturation; higher is nearer."""
-    y01 = lambda y: F.when(h > 1, even_step(y, h, h) / F.greatest(h - 1, F.lit(1))).otherwise(F.lit(0.0))
-    ground = lambda y: F.pow(clamp((y01(y) - HORIZON) / (1 - HORIZON), 0, 1), GROUND_POWER)
-
-    def sat(bb, gg, rr):
-        rgb = F.zip_with(F.zip_with(bb, gg, lambda p, q: F.struct(p.alias("b"), q.alias("g"))), rr,
-                         lambda s, q: F.struct((F.greatest(s["b"], s["g"], q) / 255.0).alias("hi"),
-                                               (F.least(s["b"], s["g"], q) / 255.0).alias("lo")))
-        return F.transform(rgb, lambda s: (s["hi"] - s["lo"]) / F.greatest(s["hi"], F.lit(1e-4)))
-
-    def detail(lum):
-        return let(lum, lambda a: F.zip_with(
-            local_contrast(a, h, w, FINE_RADIUS), local_contrast(a, h, w, COARSE_RADIUS),
-            lambda f, c: (F.log1p(f * FINE_SCALE) * 0.68 + F.log1p(c * COARSE_SCALE) * 0.32)
-            / F.log1p(F.lit(FINE_SCALE))))
-
-    det = box_blur(detail(luma(b, g, r, h, w, 1 << 30)), h, w, COARSE_RADIUS)
-    satur = box_blur(sat(b, g, r), h, w, COARSE_RADIUS)
-    near = let2(det, satur, lambda d, s: per_cell(h, w, lambda i, y, x: (
-        at(d, i) * CUES["detail"] + ground(y) * CUES["ground"] + at(s, i) * CUES["saturation"])))
-    return box_blur(near, h, w, OUTPUT_RADIUS)
+def ground_prior(y: Column, h: Column) -> Column:
+    """Rows below the horizon read nearer."""
+    y01 = F.when(h > 1, even_step(y, h, h) / F.greatest(h - 1, F.lit(1))).otherwise(F.lit(0.0))
+    return F.pow(clamp((y01 - HORIZON) / (1 - HORIZON), 0, 1), GROUND_POWER)
+
+
+def saturation(b: Column, g: Column, r: Column) -> Column:
+    pair = F.zip_with(b, g, lambda p, q: F.struct(F.greatest(p, q).alias("hi"), F.least(p, q).alias("lo")))
+    return F.zip_with(pair, r, lambda s, q: (F.greatest(s["hi"], q) - F.least(s["lo"], q)) / 255.0
+                      / F.greatest(F.greatest(s["hi"], q) / 255.0, F.lit(1e-4)))
+
+
+def cue_detail(fine: Column, coarse: Column) -> Column:
+    return F.zip_with(fine, coarse, lambda f, c: (
+        F.log1p(f * FINE_SCALE) * 0.68 + F.log1p(c * COARSE_SCALE) * 0.32) / F.log1p(F.lit(FINE_SCALE)))
+
+
+def cue_mix(detail: Column, sat: Column, h: Column, w: Column) -> Column:
+    return let2(detail, sat, lambda d, s: per_cell(h, w, lambda i, y, x: (
+        at(d, i) * CUES["detail"] + ground_prior(y, h) * CUES["ground"] + at(s, i) * CUES["saturation"])))
 
 
 def block_match(prev: Column, cur: Column, h: Column, w: Column, radius: int = 3) -> Column:

@@ -135,7 +135,18 @@ def edge_near_shots(planes: DataFrame, keys: Sequence[str] = SHOT, limit: float
 
 
 def image_cue_depth(frames: DataFrame) -> DataFrame:
-    return frames.withColumn("z", G.image_cue_depth(F.col("b"), F.col("g"), F.col("r"), F.col("h"), F.col("w")))
+    """Relative depth of each frame from detail, ground plane and saturation; higher is nearer.
+
+    Written as a chain of small projections (still one narrow stage): one big
+    expression would exceed the analyser's depth.
+    """
+    h, w, c = F.col("h"), F.col("w"), F.col
+    return (frames.withColumns({"_l": G.luma(c("b"), c("g"), c("r"), h, w, 1 << 30), "_s": G.saturation(c("b"), c("g"), c("r"))})
+            .withColumns({"_f": G.local_contrast(c("_l"), h, w, G.FINE_RADIUS), "_c": G.local_contrast(c("_l"), h, w, G.COARSE_RADIUS)})
+            .withColumn("_d", G.cue_detail(c("_f"), c("_c")))
+            .withColumns({"_d": G.box_blur(c("_d"), h, w, G.COARSE_RADIUS), "_s": G.box_blur(c("_s"), h, w, G.COARSE_RADIUS)})
+            .withColumn("z", G.cue_mix(c("_d"), c("_s"), h, w))
+            .withColumn("z", G.box_blur(c("z"), h, w, G.OUTPUT_RADIUS)).drop("_l", "_s", "_f", "_c", "_d"))
 
 
 def synthetic_depth(shots: DataFrame, h: int, w: int, pattern: str = "moving-ramp") -> DataFrame:
