@@ -1,3 +1,3 @@
-from . import depth, direct, segment
+from . import depth, direct, render, segment
 
-MODULES = [segment, depth, direct]
+MODULES = [segment, depth, direct, render]

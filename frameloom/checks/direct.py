@@ -152,7 +152,7 @@ def guard_for_render(spark, sf):
 
 
 SQL_SUGGEST = """, sug AS (SELECT video_id, shot_id, status, CASE WHEN status = 'O' THEN NULL WHEN priority[1] = '5' THEN 'mystery' WHEN priority[1] = '1' THEN 'vista_deep' ELSE 'closeup_flat' END AS sp,
-   round(price / 500000, 6) AS sc FROM feats)"""
+   round(price / 500000, 9) AS sc FROM feats)"""
 
 
 @q("merge_recommendations", W + SQL_SEL + SQL_SUGGEST + """SELECT video_id, shot_id, CASE WHEN ok THEN CASE WHEN sc < 0.55 THEN 'neutral' ELSE sp END ELSE preset END AS preset,
@@ -163,7 +163,7 @@ def merge_recommendations(spark, sf):
     digit = F.substring("priority", 1, 1)
     name = F.when(digit == "5", "mystery").when(digit == "1", "vista_deep").otherwise("closeup_flat")
     sug = f.where("status <> 'O'").select("video_id", "shot_id", F.to_json(F.struct(
-        name.alias("preset"), F.round(F.col("price") / 500000, 6).alias("confidence"))).alias("reply"))
+        name.alias("preset"), F.round(F.col("price") / 500000, 9).alias("confidence"))).alias("reply"))
     return X.merge_recommendations(f, sug).select("video_id", "shot_id", "preset", r9("confidence").alias("confidence"), "source")
 
 
