@@ -1,3 +1,3 @@
-from . import depth, direct, render, segment
+from . import depth, direct, quality, render, segment
 
-MODULES = [segment, depth, direct, render]
+MODULES = [segment, depth, direct, render, quality]

@@ -52,7 +52,7 @@ ema(video_id, shot_id, frame_index, y, x, v) AS (SELECT video_id, shot_id, frame
 
 
 def long_form(df, z="z", name="z"):
-    return df.select("video_id", "shot_id", "frame_index", F.posexplode(z).alias("i", "_v")).select(
+    return df.select("video_id", "shot_id", "frame_index", F.posexplode_outer(z).alias("i", "_v")).select(
         "video_id", "shot_id", "frame_index", F.col("i").cast("bigint").alias("i"), r6(F.col("_v").cast("double")).alias(name))
 
 

@@ -113,7 +113,7 @@ def disparity(spark, sf):
 @q("edge_violation_mask", C + SQL_STAGE + "SELECT video_id, shot_id, frame_index, i FROM dp WHERE (x < 2 OR x >= 6) AND d > 0.002")
 def edge_violation_mask(spark, sf):
     f = V.edge_violation_mask(V.with_disparity(staged(spark, sf), F.lit(REF)), 0.25, 0.002)
-    return f.select("video_id", "shot_id", "frame_index", F.posexplode("edge_mask").alias("i", "_m")).where("_m").select(
+    return f.select("video_id", "shot_id", "frame_index", F.posexplode_outer("edge_mask").alias("i", "_m")).where("_m").select(
         "video_id", "shot_id", "frame_index", F.col("i").cast("bigint").alias("i"))
 
 
@@ -121,7 +121,7 @@ def edge_violation_mask(spark, sf):
    max(coalesce(src, -1)) FILTER (side = -1) AS right_src FROM gr GROUP BY 1, 2, 3, 4""")
 def splat(spark, sf):
     f = V.splat(V.with_disparity(staged(spark, sf), F.lit(REF)))
-    return f.select("video_id", "shot_id", "frame_index", F.posexplode(F.arrays_zip("left_src", "right_src")).alias("i", "_s")).select(
+    return f.select("video_id", "shot_id", "frame_index", F.posexplode_outer(F.arrays_zip("left_src", "right_src")).alias("i", "_s")).select(
         "video_id", "shot_id", "frame_index", F.col("i").cast("bigint").alias("i"), "_s.left_src", "_s.right_src")
 
 
@@ -129,7 +129,7 @@ def splat(spark, sf):
 def fill_gaps(spark, sf):
     f = V.fill_gaps(V.splat(V.with_disparity(staged(spark, sf), F.lit(REF))), 2)
     z = F.arrays_zip("left_b", "left_g", "left_r", "left_hole")
-    return f.select("video_id", "shot_id", "frame_index", F.posexplode(z).alias("i", "_s")).select(
+    return f.select("video_id", "shot_id", "frame_index", F.posexplode_outer(z).alias("i", "_s")).select(
         "video_id", "shot_id", "frame_index", F.col("i").cast("bigint").alias("i"), F.col("_s.left_b").alias("b"),
         F.col("_s.left_g").alias("g"), F.col("_s.left_r").alias("r"), F.col("_s.left_hole").alias("hole"))
 
@@ -144,12 +144,12 @@ def rendered(spark, sf, mode="calibrated"):
 @q("hole_union", C + SQL_VIEWS + "SELECT video_id, shot_id, frame_index, y * 8 + x AS i FROM fl GROUP BY 1, 2, 3, 4 HAVING bool_or(bare OR hole)")
 def hole_union(spark, sf):
     f = V.hole_union(V.fill_gaps(V.splat(V.with_disparity(staged(spark, sf), F.lit(REF)))))
-    return f.select("video_id", "shot_id", "frame_index", F.posexplode("holes").alias("i", "_m")).where("_m").select(
+    return f.select("video_id", "shot_id", "frame_index", F.posexplode_outer("holes").alias("i", "_m")).where("_m").select(
         "video_id", "shot_id", "frame_index", F.col("i").cast("bigint").alias("i"))
 
 
 def _mix_rows(df):
-    return df.select("video_id", "shot_id", "frame_index", F.posexplode("mix").alias("i", "_p")).select(
+    return df.select("video_id", "shot_id", "frame_index", F.posexplode_outer("mix").alias("i", "_p")).select(
         "video_id", "shot_id", "frame_index", F.col("i").cast("bigint").alias("i"), "_p.b", "_p.g", "_p.r")
 
 

@@ -2,7 +2,9 @@
 
 A frame is one row, its grid one array, so none of these shuffle, sort or
 explode.  ``let`` binds an array once; without it the optimiser may inline the
-expression that produced the array into every element of a lambda.
+expression that produced the array into every element of a lambda.  For the same
+reason computed arrays are unfolded with ``explode_outer``: plain ``explode``
+makes the optimiser add a size filter that repeats the whole expression.
 """
 from __future__ import annotations
 

@@ -40,7 +40,7 @@ def disparity(z: Column, conv: Column, w: Column, strength: Column, popout: Colu
         ramp = lambda k: F.when(m > 1, k / (m - 1)).otherwise(F.lit(0.0))
         return F.when(x >= w - m, ramp(w - 1 - x)).when(x < m, ramp(x)).otherwise(F.lit(1.0))
 
-    def cell(v, i):
+    def cell(conv, v, i):
         s = v - conv
         near = G.clamp(s / F.greatest(1 - conv, F.lit(1e-6)), 0, 1)
         far = G.clamp(s / F.greatest(conv, F.lit(1e-6)), -1, 0)
@@ -49,7 +49,7 @@ def disparity(z: Column, conv: Column, w: Column, strength: Column, popout: Colu
             return d
         return F.when(protect & (d > 0), d * taper(F.pmod(i, w))).otherwise(d)
 
-    return F.transform(z, cell)
+    return G.let(conv, lambda c: F.transform(z, lambda v, i: cell(c, v, i)))
 
 
 def splat_sources(z: Column, shift: Column, h: Column, w: Column) -> Column:
@@ -127,9 +127,10 @@ def anaglyph(left: dict[str, Column], right: dict[str, Column], mode: str = "cal
         raise ValueError(f"unknown mode {mode}")
 
     def softened(v, cut):
-        rgb = [_linear(v[k], gamma) * (1.0 - leakage if k in cut else 1.0) for k in "rgb"]
-        lum = rgb[0] * LUMINANCE[0] + rgb[1] * LUMINANCE[1] + rgb[2] * LUMINANCE[2]
-        return F.array(*[(c - lum) * saturation + lum for c in rgb])
+        rgb = F.array(*[_linear(v[k], gamma) * (1.0 - leakage if k in cut else 1.0) for k in "rgb"])
+        part = lambda a, k: F.get(a, F.lit(k)) * LUMINANCE[k]
+        return G.let(rgb, lambda a: G.let(part(a, 0) + part(a, 1) + part(a, 2), lambda lum: F.transform(
+            a, lambda c: (c - lum) * saturation + lum)))
 
     def mixed(lin):
         def out(k):

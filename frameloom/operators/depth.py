@@ -13,7 +13,7 @@ SHOT = ["video_id", "shot_id"]
 
 
 def _values(planes: DataFrame, keys: Sequence[str], z: str) -> DataFrame:
-    return planes.select(*keys, F.explode(z).alias("v")).where(G.finite(F.col("v")))
+    return planes.select(*keys, F.explode_outer(z).alias("v")).where(G.finite(F.col("v")))
 
 
 def norm_stats(planes: DataFrame, keys: Sequence[str] = SHOT, z: str = "z",
@@ -61,7 +61,7 @@ def smooth_time(planes: DataFrame, keep: float = 0.82, keys: Sequence[str] = SHO
     rest = [c for c in planes.columns if c not in (*keys, order, z)]
     n = F.floor((F.size(z) + tile - 1) / tile).cast("int")
     cut = F.transform(F.sequence(F.lit(0), n - 1), lambda t: F.slice(z, t * tile + 1, F.lit(tile)))
-    tiles = (planes.withColumn("_meta", F.struct(*rest)).select(*keys, order, "_meta", F.posexplode(cut).alias("_tile", "_v"))
+    tiles = (planes.withColumn("_meta", F.struct(*rest)).select(*keys, order, "_meta", F.posexplode_outer(cut).alias("_tile", "_v"))
              .withColumn("_blk", block_of(order, block)))
     part = [*keys, "_tile"]
     runs = tiles.groupBy(*part, "_blk").agg(F.array_sort(F.collect_list(
@@ -87,7 +87,7 @@ def smooth_time(planes: DataFrame, keep: float = 0.82, keys: Sequence[str] = SHO
             F.struct(it["k"].cast("bigint").alias("k"), v.alias("v"), it["m"].alias("m")))).alias("o")))
 
     out = (runs.join(enter, [*part, "_blk"])
-           .select(*part, F.explode(F.aggregate("_run", F.struct(F.slice("_y", F.lit(1), F.size(F.col("_run")[0]["v"])).alias("y"), none.alias("o")),
+           .select(*part, F.explode_outer(F.aggregate("_run", F.struct(F.slice("_y", F.lit(1), F.size(F.col("_run")[0]["v"])).alias("y"), none.alias("o")),
                                                 emit, lambda s: s["o"])).alias("_o"))
            .select(*part, F.col("_o.k").alias(order), F.col("_o.m").alias("_m"), F.col("_o.v").alias("_v")))
     whole = (out.groupBy(*keys, order)

@@ -66,7 +66,7 @@ def carried_clamp(rows: DataFrame, value: str, limit: float, restart: Column, ke
             F.struct(v.alias("y"), (~fresh).alias("had"), it["m"].alias("m")))).alias("o")))
 
     done = F.aggregate("_rows", F.struct(F.col("_y").alias("y"), none.alias("o")), emit, lambda s: s["o"])
-    return (blocks.join(enter, [*keys, "_blk"]).select(*keys, F.explode(done).alias("_o"))
+    return (blocks.join(enter, [*keys, "_blk"]).select(*keys, F.explode_outer(done).alias("_o"))
             .select(*keys, "_o.m.*", F.col("_o.y").alias(out), F.col("_o.had").alias(had)))
 
 

@@ -113,7 +113,7 @@ def carry_in(blocks: DataFrame, keys: Sequence[str], fn: str,
                lambda f, it: compose(f, it["f"]))))
     state = init
 
-    def walk(items: Column, start: Column, field: str) -> Column:
+    def walk(items: Column, start: Column) -> Column:
         empty = F.array(F.struct(F.lit(0).cast("bigint").alias("b"), start.alias("s")))
         return F.aggregate(
             items, F.struct(start.alias("s"), F.slice(empty, 1, 0).alias("o")),
@@ -124,10 +124,10 @@ def carry_in(blocks: DataFrame, keys: Sequence[str], fn: str,
 
     top = (sup.groupBy(*keys)
            .agg(F.array_sort(F.collect_list(F.struct(F.col("_sup").alias("b"), F.col("_whole").alias("f")))).alias("_sups"))
-           .withColumn("_e", F.explode(walk(F.col("_sups"), state, "s")))
+           .withColumn("_e", F.explode_outer(walk(F.col("_sups"), state)))
            .select(*keys, F.col("_e.b").alias("_sup"), F.col("_e.s").alias("_enter")))
     return (sup.join(top, [*keys, "_sup"])
-            .withColumn("_e", F.explode(walk(F.col("_items"), F.col("_enter"), "s")))
+            .withColumn("_e", F.explode_outer(walk(F.col("_items"), F.col("_enter"))))
             .select(*keys, F.col("_e.b").alias("_blk"), F.col("_e.s").alias(out)))
 
 

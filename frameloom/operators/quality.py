@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions import grid as G
 from .depth import SHOT, temporal_change
@@ -52,44 +53,42 @@ def _largest(mask: np.ndarray) -> int:
     return max((size[i] for i in range(len(parent)) if parent[i] == i), default=0)
 
 
-@F.pandas_udf("long")
-def _component_udf(mask: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
-    return pd.Series([_largest(np.asarray(m, dtype=bool).reshape(a, b)) for m, a, b in zip(mask, h, w)], dtype="int64")
-
-
-def largest_component(mask: str, h: Column, w: Column, max_cells: int = MAX_CELLS) -> Column:
-    """Largest 4-connected region of a boolean grid; grids over ``max_cells`` give an upper bound.
-
-    Large grids are first OR-reduced to the smallest block size that fits, then the
-    block count is scaled back and held to the number of set cells.
+@F.pandas_udf(LongType())
+def _component_udf(mask: pd.Series, h: pd.Series, w: pd.Series, limit: pd.Series) -> pd.Series:
+    out = []
+    for m, rows, cols, most in zip(mask, h, w, limit):
+        grid = np.asarray(m, dtype=bool).reshape(rows, cols)
+        if rows * cols <= most:
+            out.append(_largest(grid))
+            continue
+        b = 2
+        while -(-rows // b) * -(-cols // b) > most:
+            b += 1
+        padded = np.pad(grid, ((0, -rows % b), (0, -cols % b)))
+        blocks = padded.reshape(padded.shape[0] // b, b, padded.shape[1] // b, b).any(axis=(1, 3))
+        out.append(min(int(grid.sum()), _largest(blocks) * b * b))
+    return pd.Series(out, dtype="int64")
+
+
+def largest_component(frames: DataFrame, mask: str, out: str = "largest", max_cells: int = MAX_CELLS) -> DataFrame:
+    """Adds the largest 4-connected region of a boolean grid; grids over ``max_cells`` give an upper bound.
+
+    Large grids are first OR-reduced by the smallest block size that fits; the
+    block count is scaled back and held to the number of set cells.  Each frame is
+    one row, so this is a narrow step over Arrow batches.
     """
-    rows = lambda n, b: F.floor((n + b - 1) / b)
-    start = F.greatest(F.lit(2), F.floor(F.sqrt(h.cast("double") * w / max_cells)).cast("int"))
-    fits = F.filter(F.sequence(start, F.greatest(start, F.greatest(h, w))), lambda b: rows(h, b) * rows(w, b) <= max_cells)
-    block = F.when(h * w <= max_cells, F.lit(1)).otherwise(F.element_at(fits, 1))
-
-    def reduced(m, b):
-        gh, gw = rows(h, b).cast("int"), rows(w, b).cast("int")
-        inside = lambda y, x: F.exists(F.sequence(y * b, F.least(h, (y + 1) * b) - 1), lambda yy: F.exists(
-            F.sequence(x * b, F.least(w, (x + 1) * b) - 1), lambda xx: G.at(m, yy * w + xx)))
-        return F.struct(G.per_cell(gh, gw, lambda i, y, x: inside(y, x)).alias("m"), gh.alias("h"), gw.alias("w"), b.alias("b"))
-
-    grid = F.when(h * w <= max_cells, F.struct(C(mask).alias("m"), h.alias("h"), w.alias("w"), F.lit(1).alias("b"))).otherwise(
-        G.let2(C(mask), block, reduced))
-    total = F.size(F.filter(mask, lambda v: v))
-    n = _component_udf(grid["m"], grid["h"], grid["w"])
-    return F.least(total.cast("bigint"), n * F.pow(block.cast("double"), 2.0).cast("bigint"))
+    return frames.withColumn(out, _component_udf(C(mask), C("h"), C("w"), F.lit(max_cells)))
 
 
 def frame_qc(frames: DataFrame, keys: Sequence[str] = SHOT) -> DataFrame:
     """One row per rendered frame; ``depth_temporal_change`` is null for a shot's first frame."""
-    f = temporal_change(frames, keys, "z")
+    f = largest_component(temporal_change(frames, keys, "z"), "holes", "largest_hole")
     zero = F.lit(0.0)
     count = lambda m: F.size(F.filter(m, lambda v: v)).cast("bigint")
     return f.select(
         *keys, "frame_index", F.greatest(zero, F.array_max("disparity")).alias("max_popout"),
         F.greatest(zero, -F.array_min("disparity")).alias("max_background"), count("edge_mask").alias("edge_pixels"),
-        count("holes").alias("hole_pixels"), largest_component("holes", C("h"), C("w")).alias("largest_hole"),
+        count("holes").alias("hole_pixels"), "largest_hole",
         C("change").alias("depth_temporal_change"))
 
 
@@ -118,7 +117,7 @@ def disparity_histogram(frames: DataFrame, keys: Sequence[str] = ("video_id",),
     Counted inside each frame first, so a frame sends at most 40 rows on.
     """
     width = (BIN_HIGH - BIN_LOW) / BINS
-    v = frames.select(*keys, F.explode(values).alias("v")).where((C("v") >= BIN_LOW) & (C("v") <= BIN_HIGH))
+    v = frames.select(*keys, F.explode_outer(values).alias("v")).where((C("v") >= BIN_LOW) & (C("v") <= BIN_HIGH))
     b = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((C("v") - BIN_LOW) / width))).cast("bigint")
     # The quotient may land one bin off at an edge; the edge itself decides.
     edge = lambda k: F.when(k == BINS, BIN_HIGH).otherwise(F.lit(BIN_LOW) + k * F.lit(width))

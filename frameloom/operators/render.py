@@ -100,7 +100,7 @@ def select_output(frames: DataFrame, output: str) -> DataFrame:
             F.floor(i / C("w")).alias("y"), F.pmod(i, C("w")).cast("bigint").alias("x"), p["b"].alias("b"), p["g"].alias("g"), p["r"].alias("r")))
     else:
         raise ValueError(f"unknown output {output}")
-    return frames.select(*key, F.explode(body).alias("_c")).select(*key, "_c.*")
+    return frames.select(*key, F.explode_outer(body).alias("_c")).select(*key, "_c.*")
 
 
 def ordered_output(frames: DataFrame, partitions: int = 8) -> DataFrame:

@@ -57,7 +57,8 @@ def shot_boundaries(scored: DataFrame, threshold: float, min_gap: int,
         lambda a, c: F.when(c["c"] >= a["s"], F.struct((c["c"] + min_gap).alias("s"), F.concat(a["o"], F.array(c)).alias("o")))
         .otherwise(a), lambda a: a["o"])
     return (blocks.where(F.size("_c") > 0).join(enter, [*keys, "_blk"])
-            .select(*keys, F.col("_s.n").alias("_n"), F.posexplode(kept).alias("_i", "_k"))
+            .select(*keys, F.col("_s.n").alias("_n"), F.posexplode_outer(kept).alias("_i", "_k")).where("_k is not null")
+           
             .select(*keys, F.col("_k.c").alias("frame_index"), (F.col("_n") + F.col("_i") + 1).alias("number"),
                     F.col("_k.t").alias("tag")))
 
@@ -148,7 +149,7 @@ def representative_indices(start: Column, count: Column, limit: int = 12) -> Col
 
 def sample_plan(shots: DataFrame, limit: int = 12, keys: Sequence[str] = VIDEO) -> DataFrame:
     n = F.col("end_frame") - F.col("start_frame") + 1
-    return shots.select(*keys, "shot_id", F.explode(
+    return shots.select(*keys, "shot_id", F.explode_outer(
         representative_indices(F.col("start_frame"), n, limit)).alias("frame_index"))
 
 
