@@ -1,3 +1,3 @@
-from . import depth, direct, quality, render, segment
+from . import depth, direct, quality, render, scalars, segment
 
-MODULES = [segment, depth, direct, render, quality]
+MODULES = [segment, depth, direct, render, quality, scalars]
