@@ -1,3 +1,3 @@
-from . import depth, direct, quality, render, scalars, segment
+from . import depth, direct, integrity, quality, render, scalars, segment
 
-MODULES = [segment, depth, direct, render, quality, scalars]
+MODULES = [segment, depth, direct, render, quality, scalars, integrity]

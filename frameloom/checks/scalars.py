@@ -109,7 +109,7 @@ def canonical_backend(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", R.canonical_backend(name).alias("backend"))
 
 
-@q("timecode", """SELECT event_id, lpad(CAST(CAST(floor(s / 3600) AS BIGINT) AS VARCHAR), greatest(2, length(CAST(CAST(floor(s / 3600) AS BIGINT) AS VARCHAR))), '0') || ':' || lpad(CAST(CAST(floor(s % 3600 / 60) AS BIGINT) AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(s % 60) AS BIGINT) AS VARCHAR), 2, '0') AS clock,
+@q("timecode", """SELECT event_id, lpad(CAST(CAST(floor(s / 3600) AS BIGINT) AS VARCHAR), CAST(greatest(2, length(CAST(CAST(floor(s / 3600) AS BIGINT) AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(CAST(floor(s % 3600 / 60) AS BIGINT) AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(s % 60) AS BIGINT) AS VARCHAR), 2, '0') AS clock,
   lpad(CAST(CAST(floor((s - floor(s)) * 24) AS BIGINT) AS VARCHAR), 2, '0') AS frames FROM (SELECT event_id, greatest(0.0, (value - 5) * CAST(777.25 AS DOUBLE)) AS s FROM events)""")
 def timecode(spark, sf):
     s = (C("value") - 5) * F.lit(777.25)
@@ -162,7 +162,7 @@ def extract_output_text(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", X.extract_output_text(reply).alias("reply"))
 
 
-@q("unknown_params", """SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'k' ELSE 'k,' || event_type END AS unknown, CASE WHEN event_type = 'view' THEN '' ELSE 'view' END AS missing FROM events""")
+@q("unknown_params", """SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'k' ELSE array_to_string(list_sort(['k', event_type]), ',') END AS unknown, CASE WHEN event_type = 'view' THEN '' ELSE 'view' END AS missing FROM events""")
 def unknown_params(spark, sf):
     doc = F.concat(F.lit('{"'), C("event_type"), F.lit('":1,'), F.substring("props", F.lit(2), F.length("props")))
     given = F.json_object_keys(doc)
@@ -183,12 +183,10 @@ def request_lines(spark, sf):
                                              .otherwise(ok).alias("value"))
 
 
-@q("read_protocol", """SELECT event_id, CASE WHEN value < 2 THEN 'not_an_object' WHEN value > 150 THEN 'secret_in_params' WHEN event_type IN ('signup', 'error') THEN 'unknown_method'
-   WHEN event_type = 'click' THEN 'unknown_params' WHEN event_type = 'purchase' THEN 'missing_params' END AS error FROM events WHERE value < 2 OR value >= 4""")
+@q("read_protocol", """SELECT event_id, CASE WHEN value < 4 THEN 'not_an_object' WHEN value > 150 THEN 'secret_in_params' WHEN event_type IN ('signup', 'error') THEN 'unknown_method'
+   WHEN event_type = 'click' THEN 'unknown_params' WHEN event_type = 'purchase' THEN 'missing_params' END AS error FROM events""")
 def read_protocol(spark, sf):
-    lines = request_lines(spark, sf)
-    r = PT.read_protocol(lines.where(~C("value").endswith("trailing {")), CONTRACTS)
-    return r.select("event_id", "error")
+    return PT.read_protocol(request_lines(spark, sf), CONTRACTS).select("event_id", "error")
 
 
 @q("write_protocol", """SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'invalid_worker_output' WHEN strlen(to_json({'type': 'result', 'id': CAST(doc_id AS VARCHAR), 'result': text})) > 5000 THEN 'result_too_large' ELSE 'ok' END AS outcome FROM documents""")

@@ -26,7 +26,7 @@ def parse_probe(docs: DataFrame, json: str = "probe") -> DataFrame:
     fmt = parse_number(F.col("_p.format.duration"), 0.0)
     p = p.withColumn("_d", F.when(F.isnan("_d"), fmt).otherwise(F.col("_d")))
     rate = F.when(F.col("_a") != 0, F.col("_a")).otherwise(F.col("_r"))
-    some = lambda c: F.when((c != "") & (c != "0"), c)
+    some = lambda c: F.when(c != "", c)
     counted = F.coalesce(some(v["nb_read_frames"]), some(v["nb_frames"]))
     side = F.get(F.filter(v["side_data_list"], lambda s: s["rotation"].isNotNull()), F.lit(0))["rotation"]
     turn = F.rint(F.coalesce(side.try_cast("double"), v["tags"]["rotate"].try_cast("double"), F.lit(0.0))).cast("bigint")

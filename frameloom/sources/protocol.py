@@ -22,7 +22,9 @@ def read_protocol(lines: DataFrame, contracts: dict[str, tuple[set[str], set[str
     lit = lambda names: F.array(*[F.lit(n) for n in sorted(names)]).cast("array<string>")
     table = lambda side: F.create_map(*[x for m, c in contracts.items() for x in (F.lit(m), lit(c[side]))])
     allowed, required = F.try_element_at(table(0), F.col("method")), F.try_element_at(table(1), F.col("method"))
-    err = (F.when(F.octet_length(line) > max_bytes, "too_large").when(F.col("_keys").isNull(), "not_an_object")
+    # Bracketed, a line with anything after its object no longer holds exactly one value.
+    one = F.json_array_length(F.concat(F.lit("["), F.col(line), F.lit("]"))) == 1
+    err = (F.when(F.octet_length(line) > max_bytes, "too_large").when(F.col("_keys").isNull() | ~F.coalesce(one, F.lit(False)), "not_an_object")
            .when(sensitive_keys(F.coalesce("params", F.lit("{}"))), "secret_in_params")
            .when(F.coalesce(F.size(F.array_except("_keys", lit({"id", "method", "params"}))) > 0, F.lit(False)) | F.col("id").isNull() | F.col("method").isNull(), "bad_request")
            .when(allowed.isNull(), "unknown_method").when(F.size(F.array_except(given, allowed)) > 0, "unknown_params")
