@@ -186,7 +186,7 @@ def depth_limits(spark, sf):
 
 
 @q("write_read_depth", PL + """SELECT video_id, shot_id, frame_index, i, round(CAST(CAST(least(1.0, greatest(0.0, z * 1.5 + 0.5)) AS FLOAT) AS DOUBLE), 5) + 0.0 AS z, CASE WHEN shot_id = 4 THEN 'range' END AS error
-  FROM px WHERE shot_id <> 4 UNION ALL SELECT video_id, shot_id, frame_index, i, round(CAST(CAST(least(1.0, greatest(0.0, z * 1.5 + 0.5)) AS FLOAT) AS DOUBLE) + 2, 5), 'range' FROM px WHERE shot_id = 4""")
+  FROM px WHERE shot_id <> 4 UNION ALL SELECT video_id, shot_id, frame_index, i, round(CAST(CAST(CAST(CAST(least(1.0, greatest(0.0, z * 1.5 + 0.5)) AS FLOAT) AS DOUBLE) + 2 AS FLOAT) AS DOUBLE), 5), 'range' FROM px WHERE shot_id = 4""")
 def write_read_depth(spark, sf):
     p = unit_planes(spark, sf).withColumn("z", F.transform("z", lambda v: v.cast("float").cast("double") + F.when(C("shot_id") == 4, 2.0).otherwise(0.0)))
     path = f"{A.shared_folder(spark)}/depth-{uuid.uuid4().hex}"

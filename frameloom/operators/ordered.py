@@ -75,6 +75,14 @@ def with_next(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str
     return _neighbour(df, keys, order, cols, out, block, -1)
 
 
+def _running(df, keys, order, value, out, block, agg, inclusive):
+    df = df.withColumns({"_v": value, "_blk": block_of(order, block)})
+    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = df.groupBy(*keys, "_blk").agg(agg("_v").alias("_s")).select(*keys, "_blk", agg("_s").over(before).alias("_bo"))
+    w = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    return df.join(offs, [*keys, "_blk"]).withColumn("_in", agg("_v").over(w)), out
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str,
                 block: int = 65_536) -> DataFrame:
     """Inclusive running sum of ``value`` along an integer order column.
@@ -82,15 +90,40 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, o
     Rows are summed inside blocks; the window over a whole key sees one total
     per ``block`` rows and streams over them.
     """
-    df = df.withColumns({"_v": value, "_blk": block_of(order, block)})
-    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = (df.groupBy(*keys, "_blk").agg(F.sum("_v").alias("_s"))
-            .select(*keys, "_blk", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_bo")))
-    w = (Window.partitionBy(*keys, "_blk").orderBy(order)
-         .rowsBetween(Window.unboundedPreceding, 0))
-    return (df.join(offs, [*keys, "_blk"])
-            .withColumn(out, F.col("_bo") + F.sum("_v").over(w))
-            .drop("_v", "_blk", "_bo"))
+    d, out = _running(df, keys, order, value, out, block, F.sum, True)
+    return d.withColumn(out, F.coalesce("_bo", F.lit(0)) + F.coalesce("_in", F.lit(0))).drop("_v", "_blk", "_bo", "_in")
+
+
+def running_max(df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str,
+                inclusive: bool = True, block: int = 65_536) -> DataFrame:
+    """Running maximum along an integer order column; null until a value was seen."""
+    d, out = _running(df, keys, order, value, out, block, F.max, inclusive)
+    return d.withColumn(out, F.greatest("_bo", "_in")).drop("_v", "_blk", "_bo", "_in")
+
+
+def finite_scan(df: DataFrame, keys: Sequence[str], order: str, states: int, init: int,
+                step: Callable[[Column, Column], Column], out: str, block: int = BLOCK, fan: int = FAN) -> DataFrame:
+    """Run a small state machine along each key; adds the state after every row.
+
+    ``step(state, row)`` gives the next state number; a block of rows becomes a
+    table over all states, and tables compose.
+    """
+    row = F.struct(F.col(order).alias("_k"), *[c for c in df.columns if c not in (*keys, order)])
+    blocks = (df.withColumn("_blk", block_of(order, block)).groupBy(*keys, "_blk")
+              .agg(F.array_sort(F.collect_list(row)).alias("_rows")))
+    fns = blocks.select(*keys, "_blk", F.transform(F.sequence(F.lit(0), F.lit(states - 1)), lambda s: F.aggregate(
+        "_rows", s, lambda a, r: step(a, r).cast("int"))).alias("_f"))
+    enter = carry_in(fns, keys, "_f", lambda f, g: F.transform(f, lambda s: F.get(g, s)),
+                     lambda f, s: F.get(f, s), F.lit(init), "_s", fan)
+    none = F.slice(F.transform("_rows", lambda r: F.struct(F.lit(0).alias("s"), r.alias("r"))), 1, 0)
+
+    def emit(a, r):
+        nxt = step(a["s"], r).cast("int")
+        return F.struct(nxt.alias("s"), F.concat(a["o"], F.array(F.struct(nxt.alias("s"), r.alias("r")))).alias("o"))
+
+    done = F.aggregate("_rows", F.struct(F.col("_s").alias("s"), none.alias("o")), emit, lambda a: a["o"])
+    return (blocks.join(enter, [*keys, "_blk"]).select(*keys, F.explode_outer(done).alias("_o"))
+            .select(*keys, "_o.r.*", F.col("_o.s").alias(out)).withColumnRenamed("_k", order))
 
 
 def carry_in(blocks: DataFrame, keys: Sequence[str], fn: str,
