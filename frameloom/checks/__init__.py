@@ -1,3 +1,3 @@
-from . import depth, direct, events, integrity, quality, render, scalars, segment
+from . import depth, direct, events, integrity, jobs, quality, render, scalars, segment
 
-MODULES = [segment, depth, direct, render, quality, scalars, integrity, events]
+MODULES = [segment, depth, direct, render, quality, scalars, integrity, events, jobs]

@@ -171,7 +171,7 @@ OUT = "SELECT video_id, shot_id, frame_index, y * 8 + x AS i, round(v, 6) + 0.0
 @q("box_blur", P + sql_blur("px", "z", 2, "bl") + OUT + "bl")
 def box_blur(spark, sf):
     p = depth_planes(spark, sf)
-    return long_form(p.withColumn("z", G.box_blur(F.col("z"), F.col("h"), F.col("w"), 2)))
+    return long_form(G.box_blur(p, 2, z="z"))
 
 
 def sql_contrast(src, col, r, name):
@@ -183,7 +183,7 @@ def sql_contrast(src, col, r, name):
 @q("local_contrast", P + sql_contrast("px", "z", 2, "lc") + OUT + "lc")
 def local_contrast(spark, sf):
     p = depth_planes(spark, sf).withColumn("z", F.transform("z", lambda v: v.cast("double")))
-    return long_form(p.withColumn("z", G.local_contrast(F.col("z"), F.col("h"), F.col("w"), 2)))
+    return long_form(D.local_contrast(p, "z", 2, "z"))
 
 
 @q("monocular_depth", C + """, lu AS (SELECT video_id, shot_id, frame_index, y, x, (0.114 * b + 0.587 * g + 0.299 * r) / 255.0 AS l,

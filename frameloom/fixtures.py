@@ -104,3 +104,22 @@ feats AS (SELECT o_custkey AS video_id, row_number() OVER (PARTITION BY o_custke
   o_totalprice AS price, lines, motion_score, speech_ratio, depth_spread, foreground_ratio, depth_reliability,
   CASE WHEN o_orderpriority[1] = '1' THEN 'fade' ELSE 'cut' END AS transition, o_orderkey % 2 = 0 AS edge_near
   FROM orders JOIN li ON o_orderkey = l_orderkey)"""
+
+
+def reel(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Frames, shots and speech spans of two videos with five shots each, from the colour grids."""
+    from .operators.ordered import join_small, running_sum
+
+    c = colour_frames(spark, sf).drop("z").withColumn("shot_id", F.floor((F.col("shot_id") - 1) / 2) + 1)
+    key = ["video_id", "shot_id"]
+    n = c.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    s = running_sum(n, ["video_id"], "shot_id", F.col("_n"), "_end")
+    start = F.col("_end") - F.col("_n")
+    shots = s.select(*key, start.alias("start_frame"), (F.col("_end") - 1).alias("end_frame"), (start / 24.0).alias("start_time"),
+                     (F.col("_end") / 24.0).alias("end_time"),
+                     F.when(F.col("shot_id") == 1, "start").when(F.col("shot_id") == 3, "fade").otherwise("cut").alias("transition"))
+    frames = (join_small(c, shots.select(*key, "start_frame"), key, F.col("frame_index"))
+              .withColumn("frame_index", F.col("frame_index") + F.col("start_frame")).drop("start_frame", "shot_id"))
+    spans = shots.where("shot_id % 2 = 0").select(
+        "video_id", F.col("start_time").alias("start_s"), (F.col("start_time") + (F.col("end_time") - F.col("start_time")) * 0.6).alias("end_s"))
+    return frames, shots, spans

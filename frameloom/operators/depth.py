@@ -141,12 +141,19 @@ def image_cue_depth(frames: DataFrame) -> DataFrame:
     expression would exceed the analyser's depth.
     """
     h, w, c = F.col("h"), F.col("w"), F.col
-    return (frames.withColumns({"_l": G.luma(c("b"), c("g"), c("r"), h, w, 1 << 30), "_s": G.saturation(c("b"), c("g"), c("r"))})
-            .withColumns({"_f": G.local_contrast(c("_l"), h, w, G.FINE_RADIUS), "_c": G.local_contrast(c("_l"), h, w, G.COARSE_RADIUS)})
-            .withColumn("_d", G.cue_detail(c("_f"), c("_c")))
-            .withColumns({"_d": G.box_blur(c("_d"), h, w, G.COARSE_RADIUS), "_s": G.box_blur(c("_s"), h, w, G.COARSE_RADIUS)})
-            .withColumn("z", G.cue_mix(c("_d"), c("_s"), h, w))
-            .withColumn("z", G.box_blur(c("z"), h, w, G.OUTPUT_RADIUS)).drop("_l", "_s", "_f", "_c", "_d"))
+    f = frames.withColumns({"_l": G.luma(c("b"), c("g"), c("r"), h, w, 1 << 30), "_s": G.saturation(c("b"), c("g"), c("r"))})
+    f = local_contrast(local_contrast(f, "_l", G.FINE_RADIUS, "_f"), "_l", G.COARSE_RADIUS, "_c")
+    f = f.withColumn("_d", G.cue_detail(c("_f"), c("_c")))
+    f = G.box_blur(f, G.COARSE_RADIUS, _db="_d", _sb="_s")
+    f = f.withColumn("_n", G.cue_mix(c("_db"), c("_sb"), h, w))
+    return G.box_blur(f, G.OUTPUT_RADIUS, z="_n").drop("_l", "_s", "_f", "_c", "_d", "_db", "_sb", "_n")
+
+
+def local_contrast(frames: DataFrame, z: str, radius: int, out: str) -> DataFrame:
+    """Adds the local standard deviation of a plane column."""
+    f = frames.withColumn("_sq", F.transform(z, lambda v: v * v))
+    f = G.box_blur(f, radius, _m=z, _m2="_sq")
+    return f.withColumn(out, G.contrast("_m", "_m2")).drop("_sq", "_m", "_m2")
 
 
 def synthetic_depth(shots: DataFrame, h: int, w: int, pattern: str = "moving-ramp") -> DataFrame:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import grid as G
@@ -16,17 +16,21 @@ FULL_MOTION = 0.18  # fixed value: mean luma change that counts as full motion
 
 
 def luma_pairs(frames: DataFrame, max_width: int = 160, keys: Sequence[str] = SHOT, also: Sequence[str] = ()) -> DataFrame:
-    """Each frame's luma with the frame before it in the shot (frames of a shot count from 0)."""
+    """Each frame's luma with the frame before it in the shot (frames of a shot count from 0).
+
+    Sampled frames carry their real number in ``frame_no``.
+    """
+    no = C("frame_no") if "frame_no" in frames.columns else C("frame_index")
     h, w = C("h"), C("w")
     step = F.greatest(F.lit(1), F.ceil(w / F.lit(max_width)).cast("int"))
-    f = frames.select(*keys, "frame_index", *also, F.ceil(h / step).cast("int").alias("lh"), F.ceil(w / step).cast("int").alias("lw"),
+    f = frames.select(*keys, "frame_index", no.alias("no"), *also, F.ceil(h / step).cast("int").alias("lh"), F.ceil(w / step).cast("int").alias("lw"),
                       G.luma(C("b"), C("g"), C("r"), h, w, max_width).alias("luma"))
-    return with_previous(f, keys, "frame_index", ["frame_index", "luma"], "prev")
+    return with_previous(f, keys, "frame_index", ["no", "luma"], "prev")
 
 
 def pair_scores(pairs: DataFrame) -> DataFrame:
     """Mean absolute luma change of frames whose predecessor index is consecutive."""
-    near = C("prev.frame_index") == C("frame_index") - 1
+    near = C("prev.no") == C("no") - 1
     return pairs.withColumn("score", F.when(near, G.mean_abs_diff(C("luma"), C("prev.luma"))))
 
 
@@ -48,13 +52,21 @@ def brightness(frames: DataFrame, samples: int = 12, keys: Sequence[str] = SHOT)
 
 def sampled_translations(frames: DataFrame, samples: int = 8, radius: int = 3, keys: Sequence[str] = SHOT) -> DataFrame:
     """Best (dx, dy) of up to ``samples`` evenly spaced adjacent pairs per shot."""
-    plan = (frames.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("_n")).where("_n > 0")
-            .select(*keys, F.explode(even_positions(C("_n"), samples)).alias("_i")))
+    h, w = C("h"), C("w")
+    step = F.greatest(F.lit(1), F.ceil(w / F.lit(96)).cast("int"))
+    if "frame_no" in frames.columns:
+        # Sampled shots hold a bounded handful of frames: rank their consecutive pairs.
+        per = Window.partitionBy(*keys).orderBy("frame_index")
+        nxt_no = F.lead("frame_no").over(per)
+        real = frames.select(*keys, "frame_index", (nxt_no == C("frame_no") + 1).alias("_ok")).where("_ok")
+        real = real.withColumns({"_i": F.row_number().over(per) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
+        plan = real.where(F.array_contains(even_positions(C("_n"), samples), C("_i").cast("bigint"))).select(*keys, C("frame_index").alias("_i"))
+    else:
+        plan = (frames.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("_n")).where("_n > 0")
+                .select(*keys, F.explode(even_positions(C("_n"), samples)).alias("_i")))
     wanted = plan.select(*keys, F.explode(F.array(C("_i"), C("_i") + 1)).alias("frame_index")).distinct()
     # Planned frames and their partners only: everything after this join is a few frames per shot.
     few = frames.join(wanted, [*keys, "frame_index"])
-    h, w = C("h"), C("w")
-    step = F.greatest(F.lit(1), F.ceil(w / F.lit(96)).cast("int"))
     f = few.select(*keys, "frame_index", F.ceil(h / step).cast("int").alias("lh"), F.ceil(w / step).cast("int").alias("lw"),
                    G.luma(C("b"), C("g"), C("r"), h, w, 96).alias("luma"))
     nxt = f.select(*keys, (C("frame_index") - 1).alias("frame_index"), C("luma").alias("next"))

@@ -54,9 +54,9 @@ def _largest(mask: np.ndarray) -> int:
 
 
 @F.pandas_udf(LongType())
-def _component_udf(mask: pd.Series, cells: pd.Series, h: pd.Series, w: pd.Series, limit: pd.Series) -> pd.Series:
+def _component_udf(mask: pd.Series, h: pd.Series, w: pd.Series, limit: pd.Series) -> pd.Series:
     out = []
-    for m, n, rows, cols, most in zip(mask, cells, h, w, limit):
+    for m, rows, cols, most in zip(mask, h, w, limit):
         grid = np.asarray(m, dtype=bool).reshape(rows, cols)
         if rows * cols <= most:
             out.append(_largest(grid))
@@ -66,7 +66,7 @@ def _component_udf(mask: pd.Series, cells: pd.Series, h: pd.Series, w: pd.Series
             b += 1
         padded = np.pad(grid, ((0, -rows % b), (0, -cols % b)))
         blocks = padded.reshape(padded.shape[0] // b, b, padded.shape[1] // b, b).any(axis=(1, 3))
-        out.append(min(int(n), _largest(blocks) * b * b))
+        out.append(min(int(grid.sum()), _largest(blocks) * b * b))
     return pd.Series(out, dtype="int64")
 
 
@@ -77,9 +77,8 @@ def largest_component(frames: DataFrame, mask: str, out: str = "largest", max_ce
     block count is scaled back and held to the number of set cells.  Each frame is
     one row, so this is a narrow step over Arrow batches.
     """
-    # Two uses of the mask keep its expression out of the function's arguments.
-    cells = F.size(F.filter(mask, lambda v: v))
-    return frames.withColumn(out, _component_udf(C(mask), cells, C("h"), C("w"), F.lit(max_cells)))
+    f = frames.withColumn(mask, G.once(C(mask)))
+    return f.withColumn(out, _component_udf(C(mask), C("h"), C("w"), F.lit(max_cells)))
 
 
 def frame_qc(frames: DataFrame, keys: Sequence[str] = SHOT) -> DataFrame:

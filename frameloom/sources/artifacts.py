@@ -1,6 +1,8 @@
 """Reading and writing JSON documents and depth tables."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -21,6 +23,13 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a frame used more than once to the shared folder and read it back."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_artifacts(spark: SparkSession, path: str, schema: StructType | str, max_bytes: int = MAX_DOCUMENT_BYTES) -> DataFrame:
     """One JSON document per file against a strict schema.
 

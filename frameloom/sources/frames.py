@@ -13,19 +13,19 @@ def frame_at(frames: DataFrame, wanted: DataFrame, rate: float, keys=("video_id"
             .withColumn("seek_seconds", (F.col("frame_index") + 0.5) / rate))
 
 
-def read_raw_frames(spark: SparkSession, path: str, width: int, height: int, window: int = 64) -> DataFrame:
-    """Fixed-size BGR24 records of raw dump files, one row per frame.
-
-    Every file row names its byte ranges first; frames are cut out after those
-    ranges are spread, and a trailing partial record becomes an error row.
-    """
+def split_raw_frames(files: DataFrame, width: int, height: int) -> DataFrame:
+    """Fixed-size BGR24 records of raw dumps (path, content), one row per frame; a partial record is an error row."""
     size = width * height * 3
-    files = spark.read.format("binaryFile").load(path)
-    n = F.floor(F.col("length") / size)
-    whole = F.when(F.col("length") % size == 0, F.lit(None).cast("string")).otherwise("partial_record")
-    return (files.select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), n - F.when(whole.isNull(), 1).otherwise(0)))
-                         .alias("frame_index"), n.alias("_n"), whole.alias("_bad"), "content")
-            .withColumn("error", F.when(F.col("frame_index") == F.col("_n"), F.col("_bad")))
-            .withColumn("bgr", F.when(F.col("error").isNull(), F.substring(
-                "content", (F.col("frame_index") * size + 1).cast("int"), F.lit(size))))
-            .select("path", "frame_index", "bgr", "error"))
+    n = F.floor(F.octet_length("content") / size)
+    torn = F.octet_length("content") % size != 0
+    count = n + F.when(torn, 1).otherwise(0)
+    f = files.select("path", "content", n.alias("_n"), F.explode(F.when(count > 0, F.sequence(
+        F.lit(0).cast("bigint"), count - 1))).alias("frame_index"))
+    error = F.when(F.col("frame_index") == F.col("_n"), "partial_record")
+    return f.select("path", "frame_index", F.when(error.isNull(), F.substring(
+        "content", (F.col("frame_index") * size + 1).cast("int"), F.lit(size))).alias("bgr"), error.alias("error"))
+
+
+def read_raw_frames(spark: SparkSession, path: str, width: int, height: int) -> DataFrame:
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return split_raw_frames(files, width, height)
