@@ -42,14 +42,14 @@ SQL_CHUNKS = f"""WITH RECURSIVE {SQL_PLANES}, n AS (SELECT video_id, shot_id, co
  ft(video_id, shot_id, chunk, a, o) AS (SELECT video_id, shot_id, CAST(0 AS BIGINT), CAST(1 AS DOUBLE), CAST(0 AS DOUBLE) FROM n
    UNION ALL SELECT s.video_id, s.shot_id, s.chunk, w.x, f.a * s.mp + f.o - w.x * s.mc FROM ft f JOIN st s ON s.video_id = f.video_id AND s.shot_id = f.shot_id AND s.chunk = f.chunk + 1
     CROSS JOIN LATERAL (SELECT least(10.0, greatest(0.1, CASE WHEN s.ic > 1e-6 THEN f.a * s.ip / s.ic ELSE 1.0 END)) AS x) w)
- SELECT video_id, shot_id, frame_index, i, round(avg(v * a + o), 4) + 0.0 AS z FROM ch JOIN ft USING (video_id, shot_id, chunk) GROUP BY 1, 2, 3, 4"""
+ SELECT video_id, shot_id, frame_index, i, round(avg(v * a + o), 6) + 0.0 AS z FROM ch JOIN ft USING (video_id, shot_id, chunk) GROUP BY 1, 2, 3, 4"""
 
 
 @q("align_chunks", SQL_CHUNKS)
 def align_chunks(spark, sf):
     c = CH.chunk_frames_of(depth_planes(spark, sf), CHUNK, OVER)
     c = c.withColumn("z", F.transform("z", lambda v: v.cast("double") * (C("chunk") % 3 * 0.3 + 1) + C("chunk") * 0.1))
-    return long_form(CH.align_chunks(c, CHUNK, OVER)).withColumn("z", F.round("z", 4) + F.lit(0.0))
+    return long_form(CH.align_chunks(c, CHUNK, OVER))
 
 
 def _dark_is_near(bgr: np.ndarray) -> np.ndarray:
