@@ -43,6 +43,9 @@ def depth_planes(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("label") + 1).cast("bigint").alias("shot_id"), "vec_id", F.col("embedding").alias("z"))
     e = number_rows(e, ["video_id", "shot_id"], ["vec_id"],
                     [F.floor(F.col("vec_id") / 65_536)], "frame_index")
+    # The table is one small file; pixel work is spread over the cluster by frame.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e = e.repartition(parts, "video_id", "shot_id", "frame_index")
     return e.select("video_id", "shot_id", "frame_index", F.lit(GRID).alias("h"), F.lit(GRID).alias("w"), "z")
 
 

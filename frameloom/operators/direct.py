@@ -48,9 +48,17 @@ def carried_clamp(rows: DataFrame, value: str, limit: float, restart: Column, ke
         return let(pairs, _prune)
 
     run = lambda f, y: F.array_max(F.transform(f, lambda e: F.least(-e["np"], y - e["nq"])))
+    def fold(f: Column, it: Column) -> Column:
+        """Add one row to a block's function; after a restart it is a constant and stays cheap."""
+        y = -f[0]["np"]
+        constant = (F.size(f) == 1) & (f[0]["nq"] < -BIG / 2)
+        held = F.greatest(F.least(it["x"], y + limit), y - limit)
+        return (F.when(it["hard"], F.array(_entry(it["x"], F.lit(BIG)))).when(constant, F.array(_entry(held, F.lit(BIG))))
+                .otherwise(then(f, step(it))))
+
     # x0 is the first value of the block: the state a key starts from when nothing came before.
     fns = blocks.select(*keys, "_blk", F.struct(F.aggregate(
-        F.slice("_rows", 2, block), step(F.col("_rows")[0]), lambda f, it: then(f, step(it))).alias("f"),
+        F.slice("_rows", 2, block), step(F.col("_rows")[0]), fold).alias("f"),
         F.col("_rows")[0]["x"].alias("x0")).alias("_f"))
     # A negative state means "no row before": the first row of a key takes its own value.
     first = F.lit(-1.0)

@@ -13,7 +13,7 @@ from ..functions import grid as G
 from .depth import SHOT, temporal_change
 
 C = F.col
-# Fixed values of the report.
+# Fixed values of the report (limits here, warning texts in qc_report).
 MAX_CELLS = 256 * 256
 BINS, BIN_LOW, BIN_HIGH = 40, -0.05, 0.05
 LARGE_HOLE, DRIFT_SECONDS = 256, 0.050
