@@ -1,6 +1,11 @@
 """Small helpers that the operators of this subpackage share."""
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +30,15 @@ def unit(*parts: Column) -> Column:
 def md5_long(*parts: Column) -> Column:
     """60 bits of the parts' MD5 digest, parts joined by colons; any SQL engine can compute it."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("long")
+
+
+def once_per_worker(key: tuple, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once in each Python worker process and used by its later tasks.
+
+    Functions travel to executors by value, so a module's own globals would not outlive a task.
+    Only things that every task would make alike belong here, such as vocabularies.
+    """
+    held = sys.modules.setdefault("_worker_state", types.ModuleType("_worker_state")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]

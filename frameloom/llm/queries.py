@@ -1,9 +1,18 @@
 """One query for each operator over its whole table, and SQL where SQL can say the same."""
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from ..sources.artifacts import shared_folder
+from .bpe import digests, tokens
 from .common import table
 from .exact import exact_groups
 from .mixing import mix
+from .nearest import search
+from .repair import read_tokens, write_tokens
 from .shards import assign
 
 
@@ -21,7 +30,22 @@ def op3_exact_dedup(spark, sf_dir):
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-Q = {f.__name__: f for f in (op1_mix, op2_shards, op3_exact_dedup)}
+def op5_token_files(spark, sf_dir):
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_byte_bpe(spark, sf_dir):
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return digests(tokens(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
+
+
+def op9_nearest(spark, sf_dir):
+    return search(table(spark, sf_dir, "embeddings"))
+
+
+Q = {f.__name__: f for f in (op1_mix, op2_shards, op3_exact_dedup, op5_token_files, op8_byte_bpe, op9_nearest)}
 
 S = {
     "op3_exact_dedup": r"""
@@ -29,4 +53,12 @@ S = {
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
         FROM n WINDOW g AS (PARTITION BY t)""",
+    "op9_nearest": """
+        WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND len(list_filter(embedding, x -> x <> 0)) > 0
+                     AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+              FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
 }
