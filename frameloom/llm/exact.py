@@ -56,11 +56,12 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = F.xxhash6
     and empty texts form one group.  The row with the smallest doc_id stays; of rows that repeat
     that doc_id one stays, and a null doc_id stays only where its group holds no other.  ``row``
     numbers the input's rows.  Groups are summed before rows are shuffled; the join back to a
-    group is left to the skew join of adaptive execution, which splits a hot recipe.
+    group is left to the skew join of adaptive execution, which splits a hot recipe; it can because
+    the groups are written first, so that no aggregate shares the join's exchange.
     """
     r = saved(recipes(docs, digest))
-    groups = r.groupBy("ids", "nth").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"),
-                                         F.coalesce(F.min_by("row", "doc_id"), F.min("row")).alias("keep_row"))
+    groups = saved(r.groupBy("ids", "nth").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"),
+                                               F.coalesce(F.min_by("row", "doc_id"), F.min("row")).alias("keep_row")))
     return r.join(groups, ["ids", "nth"], "left").select(
         "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256",
         F.size("ids").alias("n_chunks"), "row")
