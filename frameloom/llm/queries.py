@@ -11,6 +11,7 @@ from .bpe import digests, tokens
 from .common import table
 from .exact import exact_groups
 from .mixing import mix
+from .near import near_groups
 from .nearest import search
 from .repair import read_tokens, write_tokens
 from .shards import assign
@@ -36,6 +37,10 @@ def op5_token_files(spark, sf_dir):
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_near_dedup(spark, sf_dir):
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return digests(tokens(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
@@ -45,7 +50,7 @@ def op9_nearest(spark, sf_dir):
     return search(table(spark, sf_dir, "embeddings"))
 
 
-Q = {f.__name__: f for f in (op1_mix, op2_shards, op3_exact_dedup, op5_token_files, op8_byte_bpe, op9_nearest)}
+Q = {f.__name__: f for f in (op1_mix, op2_shards, op3_exact_dedup, op5_token_files, op6_near_dedup, op8_byte_bpe, op9_nearest)}
 
 S = {
     "op3_exact_dedup": r"""
@@ -53,10 +58,24 @@ S = {
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
         FROM n WINDOW g AS (PARTITION BY t)""",
+    "op6_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, string_split_regex(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN w = [''] THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+        u AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c
+              FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT x, y FROM p WHERE 100 * c >= 75 * (nx + ny - c)),
+        r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+        m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
+        FROM s JOIN m ON m.x = s.doc_id""",
     "op9_nearest": """
         WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-                   WHERE vec_id IS NOT NULL AND len(list_filter(embedding, x -> x <> 0)) > 0
-                     AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+                   WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
               FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 20 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
