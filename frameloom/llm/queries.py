@@ -13,6 +13,7 @@ from .exact import exact_groups
 from .mixing import mix
 from .near import near_groups
 from .nearest import search
+from .quality import classify
 from .repair import read_tokens, write_tokens
 from .shards import assign
 
@@ -50,7 +51,11 @@ def op9_nearest(spark, sf_dir):
     return search(table(spark, sf_dir, "embeddings"))
 
 
-Q = {f.__name__: f for f in (op1_mix, op2_shards, op3_exact_dedup, op5_token_files, op6_near_dedup, op8_byte_bpe, op9_nearest)}
+def op10_quality(spark, sf_dir):
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+Q = {f.__name__: f for f in (op1_mix, op2_shards, op3_exact_dedup, op5_token_files, op6_near_dedup, op8_byte_bpe, op9_nearest, op10_quality)}
 
 S = {
     "op3_exact_dedup": r"""
