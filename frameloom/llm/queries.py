@@ -10,9 +10,11 @@ from ..sources.artifacts import shared_folder
 from .bpe import digests, tokens
 from .common import table
 from .exact import exact_groups
+from .licences import scan, scan_sql
 from .mixing import mix
 from .near import near_groups
 from .nearest import search
+from .private import find, summary
 from .quality import classify
 from .repair import read_tokens, write_tokens
 from .shards import assign
@@ -32,6 +34,10 @@ def op3_exact_dedup(spark, sf_dir):
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_licences(spark, sf_dir):
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark, sf_dir):
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
@@ -42,6 +48,10 @@ def op6_near_dedup(spark, sf_dir):
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_private(spark, sf_dir):
+    return summary(find(table(spark, sf_dir, "documents")))
+
+
 def op8_byte_bpe(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return digests(tokens(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
@@ -55,7 +65,7 @@ def op10_quality(spark, sf_dir):
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-Q = {f.__name__: f for f in (op1_mix, op2_shards, op3_exact_dedup, op5_token_files, op6_near_dedup, op8_byte_bpe, op9_nearest, op10_quality)}
+Q = {f.__name__: f for f in (op1_mix, op2_shards, op3_exact_dedup, op4_licences, op5_token_files, op6_near_dedup, op7_private, op8_byte_bpe, op9_nearest, op10_quality)}
 
 S = {
     "op3_exact_dedup": r"""
@@ -63,6 +73,7 @@ S = {
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
         FROM n WINDOW g AS (PARTITION BY t)""",
+    "op4_licences": scan_sql(),
     "op6_near_dedup": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, string_split_regex(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
