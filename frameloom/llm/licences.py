@@ -80,8 +80,8 @@ def scan(docs: DataFrame, templates=tuple(TEMPLATES), least: float = 0.75) -> Da
         return (F.col("n") >= t["n"] * least / (2 - least)) & (F.col("n") <= t["n"] * (2 - least) / least)
 
     dice = F.transform(F.filter(table, fits), lambda t: F.struct((-2.0 * F.size(F.array_intersect(t["grams"], F.col("grams"))) / (t["n"] + F.col("n"))).alias("minus"), t["licence"].alias("licence")))
-    hits = found.select("doc_id", F.array_sort("grams").alias("grams"), F.explode(F.array(F.array_min(dice))).alias("hit"))
-    hits = hits.where(F.col("hit.minus") <= -least).select("doc_id", "grams", "hit.licence", (-F.col("hit.minus")).alias("dice"))
+    hits = found.withColumn("hit", F.array_min(dice)).where(F.col("hit.minus") <= -least)
+    hits = hits.select("doc_id", F.array_sort("grams").alias("grams"), F.col("hit.licence").alias("licence"), (-F.col("hit.minus")).alias("dice"))
     best = hits.groupBy("doc_id", "licence", "grams").agg(F.max("dice").alias("dice"))
     return best.groupBy("doc_id", "licence").agg(F.max("dice").alias("dice"), F.count(F.lit(1)).alias("n_parts"))
 
