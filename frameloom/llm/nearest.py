@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,83 +33,104 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def tile_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, rows: int = 256, cols: int = 4096):
-    """The k best candidates of each query in a tile: (query id, candidate id, score).
+class Block:
+    """A block of queries of one length, and for each a heap of its k best candidates so far.
 
     The product of int8 tiles is exact in float32 up to 1,024 components and is summed in double
     beyond.  It differs from the true product by at most |q| * err(c) + |c8| * err(q).  A
     candidate whose upper bound is below the k-th best lower bound so far can't be among the k
-    best; the others are recomputed and go through a heap of k entries for each query.
+    best; the others are recomputed in double precision and go through the query's heap.
     """
-    wide = np.float32 if q.shape[1] <= 1024 else np.float64
-    c8, cs, cn, ce = quantised(c)
-    out_q, out_c, out_s = [], [], []
-    for i in range(0, len(q), rows):
-        ids, x = q_ids[i:i + rows], q[i:i + rows]
-        q8, qs, _, qe = quantised(x)
-        qn = np.linalg.norm(x, axis=1)
-        best = np.full((len(x), k), -np.inf)
-        heaps: list[list] = [[] for _ in range(len(x))]
-        for j in range(0, len(c), cols):
-            w = slice(j, j + cols)
-            near = (q8.astype(wide) @ c8[w].astype(wide).T).astype(np.float64) * qs[:, None] * cs[w]
-            slack = (qn[:, None] * ce[w] + qe[:, None] * cn[w]) * (1 + 1e-9) + 1e-12 * qn[:, None] * (cn[w] + ce[w])
-            low = near - slack
-            low[ids[:, None] == c_ids[w]] = -np.inf
-            both = np.concatenate([best, low], axis=1)
-            best = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-            hit_q, hit_c = np.nonzero((near + slack >= best.min(axis=1)[:, None]) & (ids[:, None] != c_ids[w]))
-            scores = exact_products(x[hit_q], c[w][hit_c])
-            for a, s, b in zip(hit_q.tolist(), scores.tolist(), c_ids[w][hit_c].tolist(), strict=True):
-                (heapq.heappush if len(heaps[a]) < k else heapq.heappushpop)(heaps[a], (s, -b))
-        for a, heap in enumerate(heaps):
-            out_q += [ids[a]] * len(heap)
-            out_s += [s for s, _ in heap]
-            out_c += [-b for _, b in heap]
-    return out_q, out_c, out_s
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.q, self.k = ids, q, k
+        q8, self.qs, _, self.qe = quantised(q)
+        self.q8 = q8.astype(np.float32 if q.shape[1] <= 1024 else np.float64)
+        self.qn = np.linalg.norm(q, axis=1)
+        self.best = np.full((len(q), k), -np.inf)
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(len(q))]
+
+    def meet(self, c_ids: np.ndarray, c: np.ndarray, rows: int = 256) -> None:
+        """Holds all queries against candidates, which come in tiles of a few thousand rows."""
+        c8, cs, cn, ce = quantised(c)
+        c8 = c8.astype(self.q8.dtype).T
+        for i in range(0, len(self.q), rows):
+            w = slice(i, i + rows)
+            qn, own = self.qn[w, None], self.ids[w, None] == c_ids
+            near = (self.q8[w] @ c8).astype(np.float64) * self.qs[w, None] * cs
+            slack = (qn * ce + self.qe[w, None] * cn) * (1 + 1e-9) + 1e-12 * qn * (cn + ce)
+            low = np.where(own, -np.inf, near - slack)
+            both = np.concatenate([self.best[w], low], axis=1)
+            self.best[w] = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k:]
+            hit_q, hit_c = np.nonzero((near + slack >= self.best[w].min(axis=1)[:, None]) & ~own)
+            scores = exact_products(self.q[w][hit_q], c[hit_c])
+            for a, s, b in zip((hit_q + i).tolist(), scores.tolist(), c_ids[hit_c].tolist(), strict=True):
+                (heapq.heappush if len(self.heaps[a]) < self.k else heapq.heappushpop)(self.heaps[a], (s, -b))
+
+    def found(self) -> pa.RecordBatch:
+        ids = [i for i, heap in zip(self.ids.tolist(), self.heaps, strict=True) for _ in heap]
+        pairs = [x for heap in self.heaps for x in heap]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([-b for _, b in pairs], pa.int64()), pa.array([s for s, _ in pairs], pa.float64())], ["query_id", "vec_id", "score"])
+
+
+def _by_length(t: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of a batch, by the vectors' length."""
+    lists, ids = t["vec"], t["id"].to_numpy()
+    size, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+    starts = np.cumsum(size) - size
+    return {int(d): (ids[size == d], flat[starts[size == d][:, None] + np.arange(d)]) for d in np.unique(size)}
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
-           max_tile: int = 1 << 17, min_tile: int = 512) -> DataFrame:
+           query_block: int = 1 << 15, groups: int = 16) -> DataFrame:
     """The k nearest rows of each query by largest inner product: query_id, rank, vec_id, score.
 
     Queries are the rows whose id ``every`` divides; candidates are all other rows with as many
     components.  Rows whose id is null, or whose vector is null, empty, zero or holds null or
     non-finite components, take no part; rows that repeat an id count once (the smallest vector).
-    Ties go to the smaller id.  Exact: see ``tile_top``.
+    Ties go to the smaller id.  Exact: see ``Block``.
 
-    Queries and candidates are dealt to blocks by a hash of their id; a task gets one query block
-    and one candidate block, and gives k rows a query.  Blocks grow with the table from
-    ``min_tile`` to ``max_tile`` rows, so a task's memory is bounded and copies of rows grow with
-    the number of blocks of the other side only.
+    Queries fall by hash into blocks of about ``query_block`` rows and candidates into ``groups``;
+    a task holds one block of queries and streams one group of candidates past it, so its memory
+    is that of the block whatever the table's size, and it gives k rows a query.
     """
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where(usable(F.col("vec")) & F.col("id").isNotNull())
-    n = v.count()
-    tile = min(max_tile, max(min_tile, n // 64))
-    g, h = -(-n // tile) or 1, -(-(n // every) // tile) or 1
+    h = -(-v.where(F.col("id") % every == 0).count() // query_block) or 1
     own = F.xxhash64("id")
-    cands = v.select(F.lit(False).alias("asks"), "id", "vec", F.pmod(own, F.lit(g)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("h"))
-    asks = v.where(F.col("id") % every == 0).select(F.lit(True).alias("asks"), "id", "vec", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(g - 1).cast("long"))).alias("g"), F.pmod(own, F.lit(h)).cast("int").alias("h"))
-
-    def one(t: pa.Table) -> pa.Table:
-        ids = t["id"].to_numpy()
-        asked = t["asks"].to_numpy()
-        lists = t["vec"].combine_chunks()
-        size = np.diff(lists.offsets.to_numpy())
-        flat = lists.flatten().to_numpy()
-        starts = np.concatenate([[0], np.cumsum(size)])
-        found: tuple[list, list, list] = ([], [], [])
-        for d in np.unique(size):
-            def part(rows):
-                rows = rows[np.lexsort(flat[starts[rows][:, None] + np.arange(d)].T[::-1])]
-                rows = rows[np.unique(ids[rows], return_index=True)[1]]
-                return ids[rows], flat[starts[rows][:, None] + np.arange(d)]
-            q, c = (np.flatnonzero((size == d) & (asked == yes)) for yes in (True, False))
-            if len(q) and len(c):
-                for a, b in zip(found, tile_top(*part(q), *part(c), k), strict=True):
-                    a.extend(b)
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
-
-    tops = cands.unionByName(asks).groupBy("g", "h").applyInArrow(one, "query_id long, vec_id long, score double")
+    cands = v.select(F.lit(1).alias("side"), "id", "vec", F.pmod(own, F.lit(groups)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("h"))
+    asks = v.where(F.col("id") % every == 0).select(F.lit(0).alias("side"), "id", "vec", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.pmod(own, F.lit(h)).cast("int").alias("h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, waiting, blocks = None, None, [], {}
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 4096):
+                t = whole.slice(lo, 4096)
+                g, h_, side, ids = (t[c].to_numpy() for c in ("g", "h", "side", "id"))
+                turn = np.flatnonzero((g[1:] != g[:-1]) | (h_[1:] != h_[:-1]) | (side[1:] != side[:-1])) + 1
+                for a, b in zip([0, *turn], [*turn, len(ids)], strict=True):
+                    tile = (int(g[a]), int(h_[a]))
+                    if tile != now:
+                        for block in blocks.values():
+                            yield block.found()
+                        now, waiting, blocks = tile, [], {}
+                    new = ids[a:b] != np.concatenate([[last[1] if last and last[0] == (tile, side[a]) else ids[a] - 1], ids[a:b - 1]])
+                    last = ((tile, side[a]), ids[b - 1])
+                    part = _by_length(t.slice(a, b - a).filter(pa.array(new)))
+                    if side[a] == 0:
+                        waiting.append(part)
+                        continue
+                    for one in waiting:
+                        for d in one:
+                            blocks.setdefault(d, []).append(one[d])
+                    waiting = []
+                    blocks = {d: x if isinstance(x, Block) else Block(np.concatenate([i for i, _ in x]), np.concatenate([y for _, y in x]), k) for d, x in blocks.items()}
+                    for d in part:
+                        if d in blocks:
+                            blocks[d].meet(*part[d])
+        for block in blocks.values():
+            yield block.found()
+
+    tiles = cands.unionByName(asks).repartition(groups * h, "g", "h").sortWithinPartitions("g", "h", "side", "id", "vec")
+    tops = tiles.mapInArrow(run, "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return tops.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
