@@ -36,10 +36,15 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def discounts(ones: float, twos: float, threes: float, fours: float) -> np.ndarray:
-    """What modified Kneser-Ney takes off counts of 0, 1, 2, and 3 or more."""
-    n = [max(1.0, float(x)) for x in (ones, twos, threes, fours)]
-    y = n[0] / (n[0] + 2 * n[1])
-    return np.array([0.0] + [min(float(k), max(0.0, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3)])
+    """What modified Kneser-Ney takes off counts of 0, 1, 2, and 3 or more.
+
+    Where few counts make an estimate fall outside (0, count], 0.75 is taken, so that something is
+    always left for what was not seen.
+    """
+    n = [float(x) for x in (ones, twos, threes, fours)]
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
+    own = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.0 for k in (1, 2, 3)]
+    return np.array([0.0] + [d if 0 < d <= k else 0.75 for k, d in zip((1, 2, 3), own, strict=True)])
 
 
 def _counts_of_counts(types: DataFrame, count: str) -> np.ndarray:
