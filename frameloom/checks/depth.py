@@ -77,10 +77,11 @@ def edge_aware_smooth(spark, sf):
     return long_form(D.smooth_space(unit_planes(spark, sf)))
 
 
-@q("temporal_ema", P + SQL_UNIT + ", sm AS (SELECT video_id, shot_id, frame_index, y, x, z AS v FROM u)" + SQL_EMA
-   + "SELECT video_id, shot_id, frame_index, y * 8 + x AS i, round(v, 6) + 0.0 AS z FROM ema")
+@q("temporal_ema", P + SQL_UNIT + ", sm AS (SELECT video_id, shot_id, frame_index, y, x, z AS v FROM u WHERE frame_index >= shot_id % 3)"
+   + SQL_EMA.replace("frame_index = 0", "frame_index = shot_id % 3") + "SELECT video_id, shot_id, frame_index, y * 8 + x AS i, round(v, 6) + 0.0 AS z FROM ema")
 def temporal_ema(spark, sf):
-    return long_form(D.smooth_time(unit_planes(spark, sf)))
+    """The first planes of some shots are absent; smoothing starts at the first present one."""
+    return long_form(D.smooth_time(unit_planes(spark, sf).where("frame_index >= shot_id % 3"), block=16, fan=4))
 
 
 @q("estimate_depth", P + SQL_NORM + SQL_EMA + "SELECT video_id, shot_id, frame_index, y * 8 + x AS i, round(v, 6) + 0.0 AS z FROM ema")
@@ -95,6 +96,14 @@ def temporal_change(spark, sf):
         "video_id", "shot_id", "frame_index", r6(F.coalesce("change", F.lit(0.0))).alias("change"))
 
 
+@q("temporal_change_sparse", P + """, d AS (SELECT video_id, shot_id, frame_index, abs(z - lag(z) OVER (PARTITION BY video_id, shot_id, i ORDER BY frame_index)) AS d FROM px WHERE frame_index % 3 <> 0)
+  SELECT video_id, shot_id, frame_index * 600 AS frame_index, round(coalesce(avg(d), 0), 6) + 0.0 AS change FROM d GROUP BY 1, 2, 3""")
+def temporal_change_sparse(spark, sf):
+    """Frame numbers with gaps longer than a block."""
+    p = depth_planes(spark, sf).where("frame_index % 3 <> 0").withColumn("frame_index", F.col("frame_index") * 600)
+    return D.temporal_change(p).select("video_id", "shot_id", "frame_index", r6(F.coalesce("change", F.lit(0.0))).alias("change"))
+
+
 @q("depth_stats", P + SQL_UNIT + """, d AS (SELECT video_id, shot_id, avg(d) AS c FROM (SELECT video_id, shot_id,
     abs(z - lag(z) OVER (PARTITION BY video_id, shot_id, i ORDER BY frame_index)) AS d FROM u) GROUP BY 1, 2)
   SELECT video_id, shot_id, round(least(1.0, greatest(0.0, quantile_cont(z, 0.9) - quantile_cont(z, 0.1))), 6) + 0.0 AS depth_spread,
@@ -138,12 +147,9 @@ def resize_area(spark, sf):
 
 
 @q("resize_bilinear", P + """, t AS (SELECT a.i AS ty, b.i AS tx, a.i * (7.0 / 4) AS fy, b.i * (7.0 / 12) AS fx FROM (SELECT unnest(range(5)) AS i) a, (SELECT unnest(range(13)) AS i) b),
-  g AS (SELECT *, CAST(floor(fy) AS BIGINT) AS y0, CAST(floor(fx) AS BIGINT) AS x0, least(floor(fy) + 1, 7) AS y1, least(floor(fx) + 1, 7) AS x1 FROM t)
-  SELECT a.video_id, a.shot_id, a.frame_index, ty * 13 + tx AS i, round((a.z * (1 - (fx - x0)) + b.z * (fx - x0)) * (1 - (fy - y0))
-    + (c.z * (1 - (fx - x0)) + d.z * (fx - x0)) * (fy - y0), 6) + 0.0 AS z
-  FROM g JOIN px a ON a.y = y0 AND a.x = x0 JOIN px b ON (b.video_id, b.shot_id, b.frame_index) = (a.video_id, a.shot_id, a.frame_index) AND b.y = y0 AND b.x = x1
-  JOIN px c ON (c.video_id, c.shot_id, c.frame_index) = (a.video_id, a.shot_id, a.frame_index) AND c.y = y1 AND c.x = x0
-  JOIN px d ON (d.video_id, d.shot_id, d.frame_index) = (a.video_id, a.shot_id, a.frame_index) AND d.y = y1 AND d.x = x1""")
+  g AS (SELECT *, CAST(floor(fy) AS BIGINT) AS y0, CAST(floor(fx) AS BIGINT) AS x0, CAST(least(floor(fy) + 1, 7) AS BIGINT) AS y1, CAST(least(floor(fx) + 1, 7) AS BIGINT) AS x1 FROM t)
+  SELECT video_id, shot_id, frame_index, ty * 13 + tx AS i, round((CAST(z[y0 * 8 + x0 + 1] AS DOUBLE) * (1 - (fx - x0)) + CAST(z[y0 * 8 + x1 + 1] AS DOUBLE) * (fx - x0)) * (1 - (fy - y0))
+    + (CAST(z[y1 * 8 + x0 + 1] AS DOUBLE) * (1 - (fx - x0)) + CAST(z[y1 * 8 + x1 + 1] AS DOUBLE) * (fx - x0)) * (fy - y0), 6) + 0.0 AS z FROM planes, g""")
 def resize_bilinear(spark, sf):
     p = depth_planes(spark, sf)
     return long_form(p.withColumn("z", G.resize_bilinear(F.col("z"), F.col("h"), F.col("w"), 5, 13)))

@@ -72,7 +72,8 @@ def fingerprint(spark, sf):
     return table(spark, sf, "documents").select("doc_id", L.digest("doc_id", "lang", "source", "text").alias("fingerprint"))
 
 
-@q("table_fingerprint", """SELECT source, count(*) AS row_count, CAST(sum(CAST('0x' || left(sha256(concat_ws(chr(0), doc_id, lang, text)), 12) AS BIGINT)) AS VARCHAR) AS row_sum FROM documents GROUP BY 1""")
+@q("table_fingerprint", """WITH d AS (SELECT source, sha256(concat_ws(chr(0), doc_id, lang, text)) AS d FROM documents)
+  SELECT source, count(*) AS row_count, concat_ws('-', """ + ", ".join(f"CAST(sum(CAST('0x' || substr(d, {1 + 16 * i}, 16) AS UBIGINT)) AS VARCHAR)" for i in range(4)) + ") AS row_sum FROM d GROUP BY 1")
 def table_fingerprint(spark, sf):
     return L.table_fingerprint(table(spark, sf, "documents"), ["source"], ["doc_id", "lang", "text"])
 
@@ -84,17 +85,18 @@ def _stages(spark, sf):
     fp = lambda d: d.withColumns({
         "fingerprint": L.digest("video_id", "stage", "n"), "dependency_fingerprint": L.digest("video_id", "low"),
         "output_fingerprints": F.create_map(F.lit("main"), L.digest("top"), F.lit("side"), L.digest("low"))})
-    wanted = fp(g(o))
+    wanted = fp(g(o)).withColumn("output_fingerprints", F.when(C("top") % 19 != 0, C("output_fingerprints")))
     ledger = fp(g(o.where("o_orderstatus <> 'P'"))).withColumns({
-        "status": F.when(C("low") % 5 == 0, "failed").otherwise("complete"), "engine_version": F.when(C("low") % 7 == 0, "0.9").otherwise("1.0"),
+        "status": F.when(C("low") % 5 == 0, "failed").when(C("low") % 13 != 0, "complete"), "fingerprint": F.when(C("low") % 17 != 0, C("fingerprint")), "engine_version": F.when(C("low") % 7 == 0, "0.9").otherwise("1.0"),
         "algorithm_version": F.lit("a1"), "output_fingerprints": F.when(C("low") % 11 == 0, F.create_map().cast("map<string,string>")).otherwise(C("output_fingerprints"))})
     return wanted, ledger
 
 
 @q("pending_stages", """WITH w AS (SELECT o_custkey AS video_id, o_orderpriority AS stage, count(*) AS n, max(o_orderkey) AS top, min(o_orderkey) AS low FROM orders GROUP BY 1, 2),
   l AS (SELECT o_custkey AS video_id, o_orderpriority AS stage, count(*) AS n, max(o_orderkey) AS top, min(o_orderkey) AS low FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2)
-  SELECT * FROM (SELECT w.video_id, w.stage, CASE WHEN w.stage = '1-URGENT' THEN 'forced' WHEN l.n IS NULL THEN 'never_run' WHEN l.low % 7 = 0 THEN 'version_changed' WHEN l.low % 5 = 0 THEN 'not_complete' WHEN l.n <> w.n THEN 'input_changed'
-    WHEN l.low % 11 = 0 THEN 'no_outputs' WHEN l.top <> w.top OR l.low <> w.low THEN 'output_changed' END AS reason, coalesce(l.low % 5 <> 0 AND l.low = w.low, false) AS dependencies_current FROM w LEFT JOIN l USING (video_id, stage)) WHERE reason IS NOT NULL""")
+  SELECT * FROM (SELECT w.video_id, w.stage, CASE WHEN w.stage = '1-URGENT' THEN 'forced' WHEN l.n IS NULL THEN 'never_run' WHEN l.low % 7 = 0 THEN 'version_changed' WHEN l.low % 5 = 0 OR l.low % 13 = 0 THEN 'not_complete' WHEN l.n <> w.n OR l.low % 17 = 0 THEN 'input_changed'
+    WHEN l.low % 11 = 0 THEN 'no_outputs' WHEN l.top <> w.top OR l.low <> w.low OR w.top % 19 = 0 THEN 'output_changed' END AS reason,
+    coalesce(l.low % 5 <> 0 AND l.low % 13 <> 0 AND l.low = w.low, false) AS dependencies_current FROM w LEFT JOIN l USING (video_id, stage)) WHERE reason IS NOT NULL""")
 def pending_stages(spark, sf):
     wanted, ledger = _stages(spark, sf)
     return L.pending_stages(wanted, ledger, "1.0", "a1", ["1-URGENT"]).select("video_id", "stage", "reason", "dependencies_current")

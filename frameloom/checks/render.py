@@ -153,8 +153,8 @@ def _mix_rows(df):
         "video_id", "shot_id", "frame_index", F.col("i").cast("bigint").alias("i"), "_p.b", "_p.g", "_p.r")
 
 
-SQL_PAIR = """, pr AS (SELECT l.video_id, l.shot_id, l.frame_index, l.y, l.x, l.b AS lb, l.g AS lg, l.r AS lr, r.b AS rb, r.g AS rg, r.r AS rr
-   FROM fl l JOIN fl r USING (video_id, shot_id, frame_index, y, x) WHERE l.side = 1 AND r.side = -1)"""
+SQL_PAIR = """, pr AS (SELECT video_id, shot_id, frame_index, y, x, max(b) FILTER (side = 1) AS lb, max(g) FILTER (side = 1) AS lg, max(r) FILTER (side = 1) AS lr,
+   max(b) FILTER (side = -1) AS rb, max(g) FILTER (side = -1) AS rg, max(r) FILTER (side = -1) AS rr FROM fl GROUP BY 1, 2, 3, 4, 5)"""
 
 
 @q("anaglyph_basic", C + SQL_VIEWS + SQL_PAIR + "SELECT video_id, shot_id, frame_index, y * 8 + x AS i, rb AS b, rg AS g, lr AS r FROM pr")

@@ -130,7 +130,7 @@ def clamp_ui_parameters(spark, sf):
 @q("sensitive_keys", """SELECT event_id, event_type IN ('click', 'signup') OR value > 100 AS has_secret, event_type = 'view' OR event_type IN ('click', 'signup') OR value > 100 AS host_secret FROM events""")
 def sensitive_keys(spark, sf):
     t = C("event_type")
-    name = F.when(t == "click", "API-Key").when(t == "signup", "refresh_Token").when(t == "view", "page_token").when(t == "error", "note").otherwise("monkey")
+    name = F.when(t == "click", "API-Key").when(t == "signup", r"refresh_\u0054oken").when(t == "view", "page_token").when(t == "error", "note").otherwise("monkey")
     doc = F.concat(F.lit('{"a":[{"'), name, F.lit('":"a \\"password\\": b"}],"b":{"'), F.when(C("value") > 100, "My-Credential").otherwise("value"), F.lit('":1},"props":'), C("props"), F.lit("}"))
     return table(spark, sf, "events").select("event_id", X.sensitive_keys(doc).alias("has_secret"), X.sensitive_keys(doc, X.SENSITIVE_HOST, ()).alias("host_secret"))
 

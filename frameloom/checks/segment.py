@@ -87,10 +87,12 @@ def frame_to_shot(spark, sf):
 
 
 @q("scan_frames", W + """SELECT video_id, shot_id, count(*) AS frames_read, max(end_frame - start_frame + 1) AS frames_expected,
-   count(*) = max(end_frame - start_frame + 1) AS complete FROM owned JOIN shots USING (video_id, shot_id) GROUP BY 1, 2""")
+   count(*) = max(end_frame - start_frame + 1) AS complete FROM owned JOIN shots USING (video_id, shot_id) WHERE shot_id % 5 <> 0 GROUP BY 1, 2
+   UNION ALL SELECT video_id, NULL, count(*), 0, false FROM owned WHERE shot_id % 5 = 0 GROUP BY 1""")
 def scan_frames(spark, sf):
+    """Every fifth shot is absent, so its frames belong to none."""
     f = frame_series(spark, sf)
-    return seg.scan_frames(f, shots_of(spark, sf, f))
+    return seg.scan_frames(f, shots_of(spark, sf, f).where("shot_id % 5 <> 0"))
 
 
 @q("representative_frames", W + "SELECT DISTINCT video_id, shot_id, frame_index FROM plan")
@@ -163,6 +165,15 @@ def previous_shot(spark, sf):
                     F.col("prev.end_frame").alias("previous_end"))
 
 
+@q("previous_shot_sparse", W + """SELECT video_id, shot_id * 700 AS shot_id, lag(shot_id) OVER w * 700 AS previous_id, lag(end_frame) OVER w AS previous_end
+   FROM shots WHERE shot_id % 4 <> 2 WINDOW w AS (PARTITION BY video_id ORDER BY shot_id)""")
+def previous_shot_sparse(spark, sf):
+    """Shot numbers with gaps longer than a block."""
+    s = shots_of(spark, sf).where("shot_id % 4 <> 2").withColumn("shot_id", F.col("shot_id") * 700)
+    return seg.previous_shot(s, ["shot_id", "end_frame"]).select(
+        "video_id", "shot_id", F.col("prev.shot_id").alias("previous_id"), F.col("prev.end_frame").alias("previous_end"))
+
+
 @q("hard_cut_runs", W + """SELECT video_id, shot_id, CAST(sum(CASE WHEN transition <> 'fade' THEN 1 ELSE 0 END)
    OVER (PARTITION BY video_id ORDER BY shot_id) AS BIGINT) AS run_id FROM shots""")
 def hard_cut_runs(spark, sf):

@@ -46,9 +46,10 @@ def timecode(seconds: Column, fps: float | None = None) -> Column:
 
 
 def sensitive_keys(json: Column, names=SENSITIVE, exact=("token",)) -> Column:
-    """Whether any JSON key, at any depth, names a secret."""
+    """Whether any JSON key, at any depth, names a secret; escapes in a key are decoded first."""
     keys = F.filter(F.regexp_extract_all(json, F.lit(r'"(?:[^"\\]|\\.)*"\s*:?'), F.lit(0)), lambda k: k.endswith(":"))
-    plain = F.transform(keys, lambda k: F.regexp_replace(F.lower(k), "[^a-z0-9]", ""))
+    name = lambda k: F.from_json(F.concat(F.lit("["), F.regexp_replace(k, r"\s*:$", ""), F.lit("]")), "array<string>")[0]
+    plain = F.transform(keys, lambda k: F.regexp_replace(F.lower(F.coalesce(name(k), k)), "[^a-z0-9]", ""))
     hit = lambda k: (k.isin(*exact) if exact else F.lit(False)) | k.rlike("|".join(names))
     return F.exists(plain, hit)
 

@@ -51,10 +51,11 @@ def smooth_space(planes: DataFrame, amount: float = 0.15, z: str = "z") -> DataF
 
 def smooth_time(planes: DataFrame, keep: float = 0.82, keys: Sequence[str] = SHOT, order: str = "frame_index",
                 z: str = "z", tile: int = 64, block: int = 256, fan: int = 256) -> DataFrame:
-    """y0 = x0, y_t = keep*y_(t-1) + (1-keep)*x_t per cell, clipped; ``order`` counts from 0 in a shot.
+    """y0 = x0, y_t = keep*y_(t-1) + (1-keep)*x_t per cell, clipped, from the first plane present in a shot.
 
     Planes are cut into tiles and runs of frames; a run acts on its entry tile as
-    y -> a*y + b, and such maps compose, so one very long shot is many tasks.
+    y -> a*y + b, or gives c where no plane came before it, and such maps compose, so one
+    very long shot is many tasks.
     """
     if keep <= 0:
         return planes
@@ -67,22 +68,23 @@ def smooth_time(planes: DataFrame, keep: float = 0.82, keys: Sequence[str] = SHO
     runs = tiles.groupBy(*part, "_blk").agg(F.array_sort(F.collect_list(
         F.struct(F.col(order).alias("k"), F.transform("_v", lambda v: v.cast("double")).alias("v"), F.col("_meta").alias("m")))).alias("_run"))
     mix = lambda p, v: F.zip_with(p, v, lambda a, b: a * keep + b * (1 - keep))
-    zeros = F.transform(F.col("_run")[0]["v"], lambda v: F.lit(0.0))
+    first = F.col("_run")[0]["v"]
+    zeros = F.transform(first, lambda v: F.lit(0.0))
 
     def step(s, it):
-        return F.when(it["k"] == 0, F.struct(F.lit(0.0).alias("a"), it["v"].alias("b"))).otherwise(
-            F.struct((s["a"] * keep).alias("a"), mix(s["b"], it["v"]).alias("b")))
+        return F.struct((s["a"] * keep).alias("a"), mix(s["b"], it["v"]).alias("b"), mix(s["c"], it["v"]).alias("c"))
 
-    after = lambda f, s: F.zip_with(f["b"], s, lambda b, y: b + f["a"] * y)
+    on = lambda f, s: F.zip_with(f["b"], s, lambda b, y: b + f["a"] * y)
+    after = lambda f, s: F.when(s.isNull(), f["c"]).otherwise(on(f, s))
     fns = runs.select(*part, "_blk", F.aggregate(
-        "_run", F.struct(F.lit(1.0).alias("a"), zeros.alias("b")), step).alias("_f"))
+        F.slice("_run", 2, block), F.struct(F.lit(keep).alias("a"), F.transform(first, lambda v: v * (1 - keep)).alias("b"), first.alias("c")), step).alias("_f"))
     enter = carry_in(fns, part, "_f",
-                     lambda f, g: F.struct((f["a"] * g["a"]).alias("a"), after(g, f["b"]).alias("b")),
-                     after, F.array_repeat(F.lit(0.0), tile), "_y", fan)
+                     lambda f, g: F.struct((f["a"] * g["a"]).alias("a"), on(g, f["b"]).alias("b"), on(g, f["c"]).alias("c")),
+                     after, F.lit(None).cast("array<double>"), "_y", fan)
     none = F.slice(F.array(F.struct(F.lit(0).cast("bigint").alias("k"), zeros.alias("v"), F.col("_run")[0]["m"].alias("m"))), 1, 0)
 
     def emit(s, it):
-        y = F.when(it["k"] == 0, it["v"]).otherwise(mix(s["y"], it["v"]))
+        y = F.when(s["y"].isNull(), it["v"]).otherwise(mix(s["y"], it["v"]))
         return G.let(y, lambda v: F.struct(v.alias("y"), F.concat(s["o"], F.array(
             F.struct(it["k"].cast("bigint").alias("k"), v.alias("v"), it["m"].alias("m")))).alias("o")))
 

@@ -14,8 +14,9 @@ def digest(*cols: Column | str) -> Column:
 
 
 def number_text(c: Column | str) -> Column:
-    """A number in canonical text: nine decimals."""
-    return (F.col(c) if isinstance(c, str) else c).cast("decimal(18,9)").cast("string")
+    """A number in canonical text: nine decimals, or as it is where it has too many digits before the point."""
+    n = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(n.try_cast("decimal(18,9)").cast("string"), n.cast("string"))
 
 
 def tree_digest(rows: DataFrame, keys: Sequence[str], order: str, row_digest: Column, out: str = "revision",
@@ -31,12 +32,12 @@ def tree_digest(rows: DataFrame, keys: Sequence[str], order: str, row_digest: Co
 
 
 def table_fingerprint(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Order-free fingerprint of a table's rows per key: count and wrapped sum of row digests.
+    """Order-free fingerprint of a table's rows per key: count and sums of all parts of the row digests.
 
-    The digest's first 12 hex digits become a number, so sums combine before the shuffle.
+    A digest's 64 hex digits become four numbers, so sums combine before the shuffle.
     """
-    n = F.conv(F.substring(digest(*cols), 1, 12), 16, 10).cast("decimal(38,0)")
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"), F.sum(n).cast("string").alias("row_sum"))
+    parts = [F.conv(F.substring(digest(*cols), 1 + 16 * i, 16), 16, 10).cast("decimal(28,0)") for i in range(4)]
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"), F.concat_ws("-", *[F.sum(n).cast("string") for n in parts]).alias("row_sum"))
 
 
 def violations(df: DataFrame, rules: dict[str, Column], out: str = "violations") -> DataFrame:
@@ -85,28 +86,30 @@ def pending_stages(wanted: DataFrame, ledger: DataFrame, engine: str, algorithm:
 
     ``wanted``: video_id, stage, fingerprint, dependency_fingerprint, output_fingerprints.
     A ledger row is reusable only when it is complete, has the same versions and
-    fingerprint, and its recorded outputs still match.
+    fingerprint, and its recorded outputs still match.  What is null on either side counts as
+    not matching, so lost outputs and half-written ledger rows are never reused.
     """
     key = ["video_id", "stage"]
     led = ledger.select(*key, F.struct("status", "fingerprint", "dependency_fingerprint", "output_fingerprints",
                                        "engine_version", "algorithm_version").alias("_l"))
     j = wanted.join(led, key, "left")
     out = lambda c: F.array_sort(F.map_entries(c))
+    same = lambda a, b: F.coalesce(a == b, F.lit(False))  # noqa: E731  unknown is not the same
     why = (F.when(F.col("stage").isin(*force) if force else F.lit(False), "forced")
            .when(F.col("_l").isNull(), "never_run")
-           .when((F.col("_l.engine_version") != engine) | (F.col("_l.algorithm_version") != algorithm), "version_changed")
-           .when(F.col("_l.status") != "complete", "not_complete")
-           .when(F.col("_l.fingerprint") != F.col("fingerprint"), "input_changed")
+           .when(~same(F.col("_l.engine_version"), F.lit(engine)) | ~same(F.col("_l.algorithm_version"), F.lit(algorithm)), "version_changed")
+           .when(~same(F.col("_l.status"), F.lit("complete")), "not_complete")
+           .when(~same(F.col("_l.fingerprint"), F.col("fingerprint")), "input_changed")
            .when(F.coalesce(F.size("_l.output_fingerprints") <= 0, F.lit(True)), "no_outputs")
-           .when(out(F.col("_l.output_fingerprints")) != out(F.col("output_fingerprints")), "output_changed"))
+           .when(~same(out(F.col("_l.output_fingerprints")), out(F.col("output_fingerprints"))), "output_changed"))
     deps = F.coalesce((F.col("_l.status") == "complete")
                       & (F.col("_l.dependency_fingerprint") == F.col("dependency_fingerprint")), F.lit(False))
     return (j.withColumn("reason", why).withColumn("dependencies_current", deps).where("reason is not null").drop("_l"))
 
 
-def release_gate(depth_meta: DataFrame, shots: DataFrame, grid: tuple[int, int], max_shot_frames: int = 3000,
+def release_gate(depth_meta: DataFrame, shots: DataFrame, grid: tuple[int, int], max_shot_frames: int | None = None,
                  backends: Sequence[str] = ()) -> DataFrame:
-    """Per video, the first reason its depth may not ship (null when it may)."""
+    """Per video, the first reason its depth may not ship (null when it may); shots of any length, unless a limit is given."""
     key = ["video_id", "shot_id"]
     j = depth_meta.join(shots.select(*key, (F.col("end_frame") - F.col("start_frame") + 1).alias("_want")), key, "full_outer")
     any_ = lambda c: F.max(F.coalesce(c, F.lit(True)))
@@ -114,7 +117,7 @@ def release_gate(depth_meta: DataFrame, shots: DataFrame, grid: tuple[int, int],
         any_(F.col("_want").isNull() | F.col("frame_count").isNull()).alias("cover"),
         any_(~F.col("video_backend").isin(*backends)).alias("vb"),
         any_(~F.col("backend").isin(*backends)).alias("sb"),
-        any_((F.col("frame_count") != F.col("_want")) | (F.col("_want") > max_shot_frames)
+        any_((F.col("frame_count") != F.col("_want")) | (F.lit(False) if max_shot_frames is None else F.col("_want") > max_shot_frames)
              | (F.col("height") != grid[0]) | (F.col("width") != grid[1])).alias("dim"),
         any_(~F.col("ledger_current")).alias("stale"))
     return g.select("video_id", F.when(F.col("cover"), "coverage").when(F.col("vb"), "backend")
@@ -122,10 +125,14 @@ def release_gate(depth_meta: DataFrame, shots: DataFrame, grid: tuple[int, int],
                     .when(F.col("stale"), "stale_stage").alias("reason"))
 
 
-def depth_limits(shots: DataFrame, h: int, w: int, configured: int = 3000,
-                 budget_bytes: int = 3 * 1024 ** 3, bytes_per_cell: int = 18) -> DataFrame:
-    """Shots longer than the configured or the memory limit, one row each with the video's longest."""
-    limit = min(configured, max(1, budget_bytes // (h * w * bytes_per_cell)))
+def depth_limits(shots: DataFrame, h: int, w: int, configured: int | None = None,
+                 budget_bytes: int | None = None, bytes_per_cell: int = 18) -> DataFrame:
+    """Shots longer than the configured or the memory limit, one row each with the video's longest.
+
+    Without either limit no shot is too long: smoothing here runs in blocks of any number.
+    """
+    limits = [x for x in (configured, None if budget_bytes is None else max(1, budget_bytes // (h * w * bytes_per_cell))) if x is not None]
+    limit = min(limits, default=2 ** 62)
     n = F.col("end_frame") - F.col("start_frame") + 1
     s = shots.withColumn("frames", n)
     longest = s.groupBy("video_id").agg(F.max("frames").alias("longest_shot_frames"))

@@ -47,31 +47,30 @@ def block_of(order: str | Column, block: int = BLOCK) -> Column:
 
 
 def _neighbour(df, keys, order, cols, out, block, step):
-    b = block_of(order, block)
-    o = F.col(order)
-    edge = F.pmod(o + 1, F.lit(block)) == 0 if step > 0 else F.pmod(o, F.lit(block)) == 0
-    own = F.struct(b.alias("blk"), F.lit(False).alias("halo"))
-    other = F.struct((b + step).alias("blk"), F.lit(True).alias("halo"))
-    w = Window.partitionBy(*keys, "_blk").orderBy(order)
-    fn = F.lag if step > 0 else F.lead
-    return (df.withColumn("_h", F.explode(F.when(edge, F.array(own, other)).otherwise(F.array(own))))
-            .withColumns({"_blk": F.col("_h.blk"), "_halo": F.col("_h.halo")})
-            .withColumn(out, fn(F.struct(*cols)).over(w))
-            .where(~F.col("_halo")).drop("_h", "_halo", "_blk"))
+    own = Window.partitionBy(*keys, "_blk").orderBy(order)
+    over = Window.partitionBy(*keys).orderBy("_blk")
+    last, inside, beside = (F.max_by, F.lag, F.lag) if step > 0 else (F.min_by, F.lead, F.lead)
+    blocks = df.withColumn("_blk", block_of(order, block))
+    edges = blocks.groupBy(*keys, "_blk").agg(last(F.struct(*cols), F.col(order)).alias("_edge"))
+    edges = edges.select(*keys, "_blk", beside("_edge").over(over).alias("_halo"))
+    # The row at a block's border is the one that has no neighbour inside the block.
+    return (blocks.withColumn("_in", inside(F.struct(*cols)).over(own)).join(edges, [*keys, "_blk"], "left")
+            .withColumn(out, F.coalesce("_in", "_halo")).drop("_in", "_halo", "_blk"))
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str],
                   out: str = "prev", block: int = BLOCK) -> DataFrame:
     """Struct of ``cols`` from the preceding row (null for the first).
 
-    ``order`` must be a dense integer per key; only the last row of each block
-    travels to the next block.
+    ``order`` is an integer, distinct in a key; it may have gaps of any length.  The last row of
+    each block that holds rows is carried to the next such block.
     """
     return _neighbour(df, keys, order, cols, out, block, 1)
 
 
 def with_next(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str],
               out: str = "next", block: int = BLOCK) -> DataFrame:
+    """Struct of ``cols`` from the following row (null for the last); gaps as in :func:`with_previous`."""
     return _neighbour(df, keys, order, cols, out, block, -1)
 
 

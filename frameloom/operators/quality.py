@@ -14,7 +14,6 @@ from .depth import SHOT, temporal_change
 
 C = F.col
 # Fixed values of the report (limits here, warning texts in qc_report).
-MAX_CELLS = 256 * 256
 BINS, BIN_LOW, BIN_HIGH = 40, -0.05, 0.05
 LARGE_HOLE, DRIFT_SECONDS = 256, 0.050
 
@@ -58,7 +57,7 @@ def _component_udf(mask: pd.Series, h: pd.Series, w: pd.Series, limit: pd.Series
     out = []
     for m, rows, cols, most in zip(mask, h, w, limit):
         grid = np.asarray(m, dtype=bool).reshape(rows, cols)
-        if rows * cols <= most:
+        if not most or rows * cols <= most:
             out.append(_largest(grid))
             continue
         b = 2
@@ -70,10 +69,10 @@ def _component_udf(mask: pd.Series, h: pd.Series, w: pd.Series, limit: pd.Series
     return pd.Series(out, dtype="int64")
 
 
-def largest_component(frames: DataFrame, mask: str, out: str = "largest", max_cells: int = MAX_CELLS) -> DataFrame:
-    """Adds the largest 4-connected region of a boolean grid; grids over ``max_cells`` give an upper bound.
+def largest_component(frames: DataFrame, mask: str, out: str = "largest", max_cells: int = 0) -> DataFrame:
+    """Adds the largest 4-connected region of a boolean grid, exact at any size.
 
-    Large grids are first OR-reduced by the smallest block size that fits; the
+    With ``max_cells``, grids over that size give an upper bound instead: they are first OR-reduced by the smallest block size that fits; the
     block count is scaled back and held to the number of set cells.  Each frame is
     one row, so this is a narrow step over Arrow batches.
     """

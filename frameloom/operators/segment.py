@@ -117,13 +117,20 @@ def frame_to_shot(frames: DataFrame, shots: DataFrame, keys: Sequence[str] = VID
 
 
 def scan_frames(frames: DataFrame, shots: DataFrame, keys: Sequence[str] = VIDEO) -> DataFrame:
-    """Frames read per shot against the shot's length; ``complete`` is false when any are missing."""
+    """Frames read per shot against the shot's length; ``complete`` is false when any are missing.
+
+    Frames outside every shot of a video are one more row, of null shot and not complete.
+    """
     held = (frame_to_shot(frames, shots, keys).groupBy(*keys, "shot_id")
             .agg(F.count(F.lit(1)).alias("frames_read")))
-    return (shots.join(held, [*keys, "shot_id"], "left")
-            .select(*keys, "shot_id", F.coalesce("frames_read", F.lit(0)).alias("frames_read"),
-                    (F.col("end_frame") - F.col("start_frame") + 1).alias("frames_expected"))
-            .withColumn("complete", F.col("frames_read") == F.col("frames_expected")))
+    counted = (shots.join(held, [*keys, "shot_id"], "left")
+               .select(*keys, "shot_id", F.coalesce("frames_read", F.lit(0)).alias("frames_read"),
+                       (F.col("end_frame") - F.col("start_frame") + 1).alias("frames_expected")))
+    owned = held.groupBy(*keys).agg(F.sum("frames_read").alias("_owned"))
+    left = F.col("_all") - F.coalesce("_owned", F.lit(0))
+    over = (frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all")).join(owned, list(keys), "left").where(left > 0)
+            .select(*keys, F.lit(None).cast(shots.schema["shot_id"].dataType).alias("shot_id"), left.alias("frames_read"), F.lit(0).cast("bigint").alias("frames_expected")))
+    return counted.unionByName(over).withColumn("complete", F.col("frames_read") == F.col("frames_expected"))
 
 
 def representative_indices(start: Column, count: Column, limit: int = 12) -> Column:
@@ -220,7 +227,8 @@ def overlap_seconds(shots: DataFrame, spans: DataFrame, keys: Sequence[str] = VI
     s = shots.select(*keys, "shot_id", "start_time", "end_time").withColumn("_cell", cell("start_time", "end_time"))
     v = spans.select(*keys, "start_s", "end_s").withColumn("_cell", cell("start_s", "end_s"))
     both = s.join(v, [*keys, "_cell"]).where(
-        F.col("_cell") == F.floor(F.greatest("start_time", "start_s") / width))
+        (F.col("start_s") < F.col("end_time")) & (F.col("end_s") > F.col("start_time"))
+        & (F.col("_cell") == F.floor(F.greatest("start_time", "start_s") / width)))
     part = F.greatest(F.lit(0.0), F.least("end_time", "end_s") - F.greatest("start_time", "start_s"))
     return both.groupBy(*keys, "shot_id").agg(F.sum(part).alias("overlap"))
 

@@ -13,10 +13,12 @@ MAX_DOCUMENT_BYTES = 16 * 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names for intermediate tables; a temporary one only when unset."""
+    """The shared folder the cluster names for intermediate tables; one of its own where a local session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     import tempfile
     own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", own)
