@@ -39,8 +39,8 @@ class Grammar:
         return MAGIC + head + b"".join(x.astype("<u4").tobytes() for x in (self.rules.ravel(), self.lengths, self.sequence))
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> Grammar:
-        if data[:4] != MAGIC:
+    def from_bytes(cls, data: bytes | pa.Buffer) -> Grammar:
+        if bytes(memoryview(data)[:4]) != MAGIC:
             raise ValueError("not a grammar of token ids")
         base, r, n = np.frombuffer(data, "<u4", 3, 4).tolist()
         x = np.frombuffer(data, "<u4", 3 * r + n, 16)
@@ -251,7 +251,7 @@ def read_tokens(spark, path: str) -> DataFrame:
     """What the files hold, a row for each document: doc_id, start, n_tokens, ids (binary, little-endian unsigned 32 bits).
 
     Starts are sums over the shards before: inside a part, plus the parts before, of which there
-    are as many as tasks wrote.
+    are as many as tasks wrote.  They join the shards while these are compressed.
     """
     files = spark.read.parquet(path)
     sizes = files.select("part", "nth", "n_tokens")
@@ -263,15 +263,12 @@ def read_tokens(spark, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            for row in t.to_pylist():
-                ids = Grammar.from_bytes(row["grammar"]).ids().astype("<u4")
-                counts = np.array(row["counts"], np.int64)
+            for i in range(t.num_rows):
+                ids = Grammar.from_bytes(t["grammar"][i].as_buffer()).ids().astype("<u4")
+                counts = np.array(t["counts"][i].as_py(), np.int64)
                 ends = np.cumsum(counts)
                 raw = [ids[a:b].tobytes() for a, b in zip(ends - counts, ends, strict=True)]
-                n = len(raw)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([row["part"]] * n, pa.int32()), pa.array([row["nth"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(ends - counts, pa.int64()),
-                    pa.array(counts, pa.int64()), pa.array(raw, pa.binary())], ["part", "nth", "doc_id", "at", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([t["doc_ids"][i].values, pa.array(t["shard_start"][i].as_py() + ends - counts, pa.int64()), pa.array(counts, pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    rows = files.select("part", "nth", "doc_ids", "counts", "grammar").mapInArrow(run, "part int, nth int, doc_id long, at long, n_tokens long, ids binary")
-    return rows.join(starts, ["part", "nth"]).select("doc_id", (F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids")
+    placed = files.join(starts, ["part", "nth"]).select("doc_ids", "counts", "shard_start", "grammar")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
