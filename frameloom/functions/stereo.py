@@ -1,151 +1,19 @@
-"""Two-view rendering of one frame as column expressions over its arrays."""
+"""Two-view rendering: what is a column expression; the pixel work is in ``pixels``."""
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import grid as G
+from .pixels import GAMMA, LEAKAGE, LEFT_MATRIX, LUMINANCE, MAX_FILL, RIGHT_MATRIX, SATURATION  # noqa: F401  all of one picture's constants in one place
 
-# Fixed values of the colour mix (rows are output R, G, B; columns input R, G, B).
-LEFT_MATRIX = ((0.437, 0.449, 0.164), (-0.062, -0.062, -0.024), (-0.048, -0.050, -0.017))
-RIGHT_MATRIX = ((-0.011, -0.032, -0.007), (0.377, 0.761, 0.009), (-0.026, -0.093, 1.234))
-LUMINANCE = (0.2126, 0.7152, 0.0722)
-GAMMA, SATURATION, LEAKAGE = 2.2, 0.90, 0.04
-DISPLAY_ASPECT = 16.0 / 9.0
-MAX_FILL = 16
+DISPLAY_ASPECT = 16.0 / 9.0  # fixed value
 
 
 def reference_width(w: Column, h: Column, aspect: float = DISPLAY_ASPECT) -> Column:
     return F.greatest(w.cast("double"), h.cast("double") * aspect)
 
 
-def plane_percentile(z: Column, level: Column) -> Column:
-    """Linear-interpolated percentile of one plane; the level may differ per row."""
-    def pick(s):
-        pos = level * (F.size(s) - 1)
-        lo, hi = G.at(s, F.floor(pos)), G.at(s, F.ceil(pos))
-        return lo + (hi - lo) * (pos - F.floor(pos))
-    return G.let(F.array_sort(z), pick)
-
-
-def disparity(z: Column, conv: Column, w: Column, strength: Column, popout: Column, background: Column,
-              protect: Column, fraction: float = 0.05) -> Column:
-    """Signed, bounded disparity per cell as a share of the width (positive comes forward).
-
-    ``z`` is already clipped to [0, 1]; ``conv`` is the depth of the screen plane.
-    """
-    m = G.margin(w, fraction)
-
-    def taper(x):
-        ramp = lambda k: F.when(m > 1, k / (m - 1)).otherwise(F.lit(0.0))
-        return F.when(x >= w - m, ramp(w - 1 - x)).when(x < m, ramp(x)).otherwise(F.lit(1.0))
-
-    def cell(conv, v, i):
-        s = v - conv
-        near = G.clamp(s / F.greatest(1 - conv, F.lit(1e-6)), 0, 1)
-        far = G.clamp(s / F.greatest(conv, F.lit(1e-6)), -1, 0)
-        d = G.clamp(strength * (near * popout + far * background), -background, popout)
-        if fraction <= 0:
-            return d
-        return F.when(protect & (d > 0), d * taper(F.pmod(i, w))).otherwise(d)
-
-    return G.let(conv, lambda c: F.transform(z, lambda v, i: cell(c, v, i)))
-
-
-def splat_sources(z: Column, shift: Column, h: Column, w: Column) -> Column:
-    """For each target cell the source cell that lands on it, or -1.
-
-    ``shift`` is the horizontal move per source cell.  Nearest wins, then the
-    lowest source.  Only sources within the frame's own largest move are looked at.
-    """
-    def build(zz, moves):
-        return G.let(F.array_max(F.transform(moves, F.abs)), lambda reach: G.per_cell(h, w, lambda i, y, x: F.aggregate(
-            F.sequence(y * w + F.greatest(F.lit(0), x - reach), y * w + F.least(w - 1, x + reach)),
-            F.lit(-1).cast("bigint"),
-            lambda best, s: F.when(
-                (F.pmod(s, w) + G.at(moves, s) == x) & ((best < 0) | (G.at(zz, s) > G.at(zz, best))), s).otherwise(best))))
-
-    moves = F.transform(shift, lambda d, i: (F.rint(F.pmod(i, w) + d) - F.pmod(i, w)).cast("bigint"))
-    return G.let2(z, moves, build)
-
-
-def fill_plan(src: Column, h: Column, w: Column, widest: int = MAX_FILL) -> Column:
-    """How each cell gets its colour: two source cells and weights, or null where a hole stays.
-
-    Horizontal holes up to ``widest`` cells blend their two borders; with one border it is copied.
-    """
-    reach = widest + 1
-
-    def cell(s, i, y, x):
-        row = y * w
-        lo, hi = F.greatest(F.lit(0), x - reach), F.least(w - 1, x + reach)
-        left = F.aggregate(F.sequence(row + lo, row + x), F.lit(-1).cast("bigint"),
-                           lambda a, k: F.when(G.at(s, k) >= 0, k).otherwise(a))
-        right = F.aggregate(F.sequence(row + x, row + hi), F.lit(-1).cast("bigint"),
-                            lambda a, k: F.when((a < 0) & (G.at(s, k) >= 0), k).otherwise(a))
-
-        def weigh(lr):
-            l, r = lr["l"], lr["r"]
-            lx, rx = F.when(l >= 0, l - row).otherwise(F.lit(-1)), F.when(r >= 0, r - row).otherwise(w)
-            run = rx - lx - 1
-            near = (l >= 0) | (x - reach <= 0)
-            far = (r >= 0) | (x + reach >= w - 1)
-            t = (x - lx) / (run + 1).cast("double")
-            wl = F.when(r < 0, 1.0).when(l < 0, 0.0).otherwise(1.0 - t)
-            return F.when(near & far & (run <= widest) & ((l >= 0) | (r >= 0)), F.struct(
-                G.at(s, F.when(l >= 0, l).otherwise(r)).alias("a"), G.at(s, F.when(r >= 0, r).otherwise(l)).alias("c"),
-                wl.cast("float").alias("wa"), F.when((l >= 0) & (r >= 0), t).otherwise(1.0 - wl).cast("float").alias("wc")))
-
-        own = G.at(s, i)
-        return F.when(own >= 0, F.struct(own.alias("a"), own.alias("c"), F.lit(1.0).cast("float").alias("wa"),
-                                         F.lit(0.0).cast("float").alias("wc"))).otherwise(
-            G.let(F.struct(left.alias("l"), right.alias("r")), weigh))
-
-    return G.let(src, lambda s: G.per_cell(h, w, lambda i, y, x: cell(s, i, y, x)))
-
-
-def painted(plan: Column, channel: Column) -> Column:
-    """Colour codes of a view; single precision blend cut to an integer, 0 where a hole stays."""
-    return G.let(channel, lambda c: F.transform(plan, lambda p: F.coalesce(F.floor(F.least(
-        F.lit(255.0).cast("float"), F.greatest(F.lit(0.0).cast("float"),
-        G.at(c, p["a"]).cast("float") * p["wa"] + G.at(c, p["c"]).cast("float") * p["wc"]))).cast("double"), F.lit(0.0))))
-
-
-def _linear(code: Column, gamma: float) -> Column:
-    return F.pow(code / 255.0, F.lit(gamma))
-
-
-def anaglyph(left: dict[str, Column], right: dict[str, Column], mode: str = "calibrated", swap: bool = False,
-             gamma: float = GAMMA, saturation: float = SATURATION, leakage: float = LEAKAGE) -> Column:
-    """Array of struct(b, g, r) mixed from the two views' channel arrays."""
-    if swap:
-        left, right = right, left
-    if mode == "basic":
-        return F.zip_with(left["r"], F.zip_with(right["g"], right["b"], lambda g, b: F.struct(g.alias("g"), b.alias("b"))),
-                          lambda r, q: F.struct(q["b"].alias("b"), q["g"].alias("g"), r.alias("r")))
-    if mode != "calibrated":
-        raise ValueError(f"unknown mode {mode}")
-
-    def softened(v, cut):
-        rgb = F.array(*[_linear(v[k], gamma) * (1.0 - leakage if k in cut else 1.0) for k in "rgb"])
-        part = lambda a, k: F.get(a, F.lit(k)) * LUMINANCE[k]
-        return G.let(rgb, lambda a: G.let(part(a, 0) + part(a, 1) + part(a, 2), lambda lum: F.transform(
-            a, lambda c: (c - lum) * saturation + lum)))
-
-    def mixed(lin):
-        def out(k):
-            v = sum(F.get(lin["l"], F.lit(j)) * LEFT_MATRIX[k][j] for j in range(3)) + sum(
-                F.get(lin["r"], F.lit(j)) * RIGHT_MATRIX[k][j] for j in range(3))
-            return F.rint(F.pow(G.clamp(v, 0, 1), F.lit(1.0 / gamma)) * 255.0)
-        return F.struct(out(2).alias("b"), out(1).alias("g"), out(0).alias("r"))
-
-    pack = lambda v: F.zip_with(F.zip_with(v["b"], v["g"], lambda b, g: F.struct(b.alias("b"), g.alias("g"))), v["r"],
-                                lambda q, r: F.struct(q["b"].alias("b"), q["g"].alias("g"), r.alias("r")))
-    linear = F.zip_with(pack(left), pack(right), lambda l, r: F.struct(
-        softened(l, "gb").alias("l"), softened(r, "r").alias("r")))
-    return F.transform(linear, mixed)
-
-
 def eased(prev: dict[str, Column], target: dict[str, Column], frame_in_shot: Column, names: list[str]) -> dict[str, Column]:
     """Parameters on their way from the last shot's to this one's over the first frames of a fade."""
     n, s = target["transition_frames"], target["temporal_smoothing"]

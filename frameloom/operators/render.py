@@ -3,12 +3,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grid as G
+from ..functions import pixels as P
 from ..functions import stereo as T
-from .ordered import interval_join, join_small, with_previous
+from .ordered import interval_join, with_previous
 
 C = F.col
 EASED = ["depth_strength", "convergence", "max_background", "max_popout"]
@@ -28,32 +30,60 @@ def ease_parameters(frames: DataFrame, shots: DataFrame, script: DataFrame, keys
     return f.withColumns(cols).drop("_t", "_p")
 
 
+PLANE, CELLS = "array<double>", "array<bigint>"
+PARAMS = ["convergence", "depth_strength", "max_popout", "max_background", "edge_protection"]
+
+
+def _disparity(f: dict, fraction: float) -> dict:
+    z = np.clip(np.nan_to_num(np.asarray(f["z"], np.float64), nan=1.0), 0, 1)
+    conv = P.percentile(z, f["convergence"])
+    d = P.disparity(z, conv, f["w"], f["depth_strength"], f["max_popout"], f["max_background"], f["edge_protection"], fraction)
+    return {"z": z, "conv": conv, "disparity": d, "shift": d * f["_ref"]}
+
+
+def _splat(f: dict) -> dict:
+    left, right = P.splat(f["z"], f["shift"], f["w"])
+    return {"left_src": left, "right_src": right}
+
+
+def _fill(f: dict, widest: int) -> dict:
+    out = {}
+    for side in ("left", "right"):
+        painted, holes = P.fill(f[f"{side}_src"], f["w"], [f[c] for c in "bgr"], widest)
+        out |= {f"{side}_{c}": v for c, v in zip("bgr", painted, strict=True)} | {f"{side}_hole": holes}
+    return out
+
+
+def _mix(f: dict, mode: str, swap: bool = False) -> dict:
+    left, right = ({c: f[f"{side}_{c}"] for c in "bgr"} for side in (("right", "left") if swap else ("left", "right")))
+    return {"mix": P.mix(left, right, mode)}
+
+
+MAKES = {
+    "disparity": f"z {PLANE}, conv double, disparity {PLANE}, shift {PLANE}",
+    "splat": f"left_src {CELLS}, right_src {CELLS}",
+    "fill": ", ".join([f"{s}_{c} {PLANE}" for s in ("left", "right") for c in "bgr"] + [f"{s}_hole array<boolean>" for s in ("left", "right")]),
+    "mix": "mix array<struct<b:double,g:double,r:double>>",
+}
+
+
+def _with_ref(frames: DataFrame, ref_width: Column | None) -> DataFrame:
+    return frames.withColumn("_ref", (T.reference_width(C("w"), C("h")) if ref_width is None else ref_width).cast("double"))
+
+
 def with_disparity(frames: DataFrame, ref_width: Column | None = None, fraction: float = 0.05) -> DataFrame:
     """Adds conv (screen-plane depth), disparity (share of width) and shift (cells, full)."""
-    ref = T.reference_width(C("w"), C("h")) if ref_width is None else ref_width
-    return (frames.withColumn("z", F.transform("z", lambda v: G.clamp(v.cast("double"), 0, 1)))
-            .withColumn("conv", T.plane_percentile(C("z"), C("convergence")))
-            .withColumn("disparity", T.disparity(C("z"), C("conv"), C("w"), C("depth_strength"), C("max_popout"),
-                                                 C("max_background"), C("edge_protection"), fraction))
-            .withColumn("_ref", ref)
-            .withColumn("shift", F.transform("disparity", lambda d: d * C("_ref"))).drop("_ref"))
+    return P.pixel_step(_with_ref(frames, ref_width), ["z", "w", "_ref", *PARAMS], MAKES["disparity"], lambda f: _disparity(f, fraction)).drop("_ref")
 
 
 def splat(frames: DataFrame) -> DataFrame:
     """Adds left_src and right_src: the source cell shown at each target cell, -1 for holes."""
-    half = lambda sign: F.transform("shift", lambda d: d * (0.5 * sign))
-    return frames.withColumns({
-        "left_src": T.splat_sources(C("z"), half(1), C("h"), C("w")),
-        "right_src": T.splat_sources(C("z"), half(-1), C("h"), C("w"))})
+    return P.pixel_step(frames, ["z", "shift", "w"], MAKES["splat"], _splat)
 
 
 def fill_gaps(frames: DataFrame, widest: int = T.MAX_FILL) -> DataFrame:
     """Paints both views and adds left_hole and right_hole for cells that stay empty."""
-    f = frames.withColumns({"_lp": T.fill_plan(C("left_src"), C("h"), C("w"), widest),
-                            "_rp": T.fill_plan(C("right_src"), C("h"), C("w"), widest)})
-    cols = {f"{side}_{c}": T.painted(C(f"_{side[0]}p"), C(c)) for side in ("left", "right") for c in "bgr"}
-    cols |= {f"{side}_hole": F.transform(f"_{side[0]}p", lambda p: p.isNull()) for side in ("left", "right")}
-    return f.withColumns(cols).drop("_lp", "_rp")
+    return P.pixel_step(frames, ["left_src", "right_src", "w", "b", "g", "r"], MAKES["fill"], lambda f: _fill(f, widest))
 
 
 def edge_violation_mask(frames: DataFrame, fraction: float = 0.05, limit: float = 0.002) -> DataFrame:
@@ -70,15 +100,30 @@ def hole_union(frames: DataFrame) -> DataFrame:
 
 
 def mix_views(frames: DataFrame, mode: str = "calibrated", swap: bool = False) -> DataFrame:
-    side = lambda s: {c: C(f"{s}_{c}") for c in "bgr"}
-    return frames.withColumn("mix", T.anaglyph(side("left"), side("right"), mode, swap))
+    return P.pixel_step(frames, [f"{s}_{c}" for s in ("left", "right") for c in "bgr"], MAKES["mix"], lambda f: _mix(f, mode, swap))
 
 
 def render_frames(frames: DataFrame, ref_width: Column | None = None, mode: str = "calibrated",
-                  edge_limit: float = 0.002) -> DataFrame:
-    """Frames with colours, depth and parameters in force, to views, masks and the mix: one narrow stage."""
-    f = fill_gaps(splat(with_disparity(frames, ref_width)))
-    return mix_views(hole_union(edge_violation_mask(f, 0.05, edge_limit)), mode)
+                  edge_limit: float = 0.002, fraction: float = 0.05, widest: int = T.MAX_FILL, plane: Sequence[str] = ()) -> DataFrame:
+    """Frames with colours, depth and parameters in force, to views, masks and the mix: one narrow step.
+
+    ``plane`` names the columns of the depth's own height and width, where it is to be resized first.
+    """
+    def work(f: dict) -> dict:
+        if plane and (f[plane[0]], f[plane[1]]) != (f["h"], f["w"]):
+            f = f | {"z": P.resize_bilinear(np.asarray(f["z"], np.float64), f[plane[0]], f[plane[1]], f["h"], f["w"])}
+        out = _disparity(f, fraction)
+        out |= _splat(f | out)
+        out |= _fill(f | out, widest)
+        out |= _mix(out, mode)
+        x, m = np.arange(len(out["z"])) % f["w"], P.margin(f["w"], fraction)
+        out["edge_mask"] = ((x < m) | (x >= f["w"] - m)) & (out["disparity"] > edge_limit)
+        out["holes"] = (out["left_src"] < 0) | (out["right_src"] < 0) | out["left_hole"] | out["right_hole"]
+        return out
+
+    makes = ", ".join([*MAKES.values(), "edge_mask array<boolean>", "holes array<boolean>"])
+    uses = ["z", "h", "w", "_ref", "b", "g", "r", *PARAMS, *plane]
+    return P.pixel_step(_with_ref(frames, ref_width), uses, makes, work).drop("_ref", *plane)
 
 
 def select_output(frames: DataFrame, output: str) -> DataFrame:
@@ -107,8 +152,3 @@ def ordered_output(frames: DataFrame, partitions: int = 8) -> DataFrame:
     """Frames in (video, frame) order across and inside partitions."""
     return (frames.repartitionByRange(partitions, "video_id", "shot_id", "frame_index")
             .sortWithinPartitions("video_id", "shot_id", "frame_index"))
-
-
-def attach_script(frames: DataFrame, script: DataFrame, keys: Sequence[str] = ("video_id", "shot_id")) -> DataFrame:
-    cols = [*EASED, "edge_protection"]
-    return join_small(frames, script.select(*keys, *cols), keys, C("frame_index"))

@@ -99,21 +99,7 @@ def render(frames: DataFrame, planes: DataFrame, shots: DataFrame, script: DataF
     eased = V.ease_parameters(f, shots, script)
     z = planes.select(*SHOT, C("frame_index").alias("_at"), C("h").alias("_zh"), C("w").alias("_zw"), "z")
     j = eased.join(z, [*SHOT, "_at"])
-    same = (C("_zh") == C("h")) & (C("_zw") == C("w"))
-    j = j.withColumn("z", F.when(same, F.transform("z", lambda v: v.cast("double"))).otherwise(_resized("z", "_zh", "_zw", "h", "w")))
-    return V.render_frames(j.drop("_zh", "_zw"), ref_width, mode)
-
-
-def _resized(z: str, h: str, w: str, h2: str, w2: str) -> Column:
-    """Bilinear resize to the size named by columns."""
-    def cell(a, y, x):
-        fy, fx = G.even_step(y, C(h), C(h2)), G.even_step(x, C(w), C(w2))
-        y0, x0 = F.floor(fy), F.floor(fx)
-        y1, x1 = F.least(y0 + 1, C(h) - 1), F.least(x0 + 1, C(w) - 1)
-        v = lambda yy, xx: G.at(a, yy * C(w) + xx).cast("double")
-        return ((v(y0, x0) * (1 - (fx - x0)) + v(y0, x1) * (fx - x0)) * (1 - (fy - y0))
-                + (v(y1, x0) * (1 - (fx - x0)) + v(y1, x1) * (fx - x0)) * (fy - y0))
-    return G.let(C(z), lambda a: G.per_cell(C(h2), C(w2), lambda i, y, x: cell(a, y, x)))
+    return V.render_frames(j, ref_width, mode, plane=("_zh", "_zw"))
 
 
 def preview_frames(frames: DataFrame, planes: DataFrame, shots: DataFrame, script: DataFrame, offset: int,

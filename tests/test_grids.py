@@ -88,10 +88,11 @@ def test_splat_against_loop(spark, seed):
 
 
 def paint(spark, src, colour, widest=16):
-    w = len(src)
-    df = spark.createDataFrame([(1, w, src, colour)], "h int, w int, s array<long>, c array<double>")
-    df = df.withColumn("p", T.fill_plan(C("s"), C("h"), C("w"), widest))
-    return df.select(T.painted(C("p"), C("c")).alias("c"), F.transform("p", lambda p: p.isNull()).alias("o")).collect()[0]
+    """One row of cells with the same colour in every channel, painted from its sources."""
+    cells = F.array(*[F.lit(float(v)) for v in colour])
+    at = F.array(*[F.lit(int(v)).cast("bigint") for v in src])
+    f = spark.range(1).select(F.lit(len(src)).alias("w"), cells.alias("b"), cells.alias("g"), cells.alias("r"), at.alias("left_src"), at.alias("right_src"))
+    return V.fill_gaps(f, widest).select(F.col("left_b").alias("c"), F.col("right_hole").alias("o")).collect()[0]
 
 
 def test_gap_is_blended(spark):
@@ -131,10 +132,17 @@ def test_fill_against_loop(spark, seed):
 
 
 def test_basic_mix(spark):
-    side = lambda b, g, r: {k: F.array(F.lit(float(v))) for k, v in zip("bgr", (b, g, r))}
-    l, r = side(1, 2, 30), side(10, 20, 3)
-    row = spark.range(1).select(T.anaglyph(l, r, "basic").alias("a"), T.anaglyph(l, r, "basic", True).alias("s")).collect()[0]
-    assert tuple(row.a[0]) == (10, 20, 30) and tuple(row.s[0]) == (1, 2, 3)
+    side = lambda n, *v: [F.array(F.lit(float(x))).alias(f"{n}_{k}") for k, x in zip("bgr", v)]
+    f = spark.range(1).select(*side("left", 1, 2, 30), *side("right", 10, 20, 3))
+    assert [tuple(V.mix_views(f, "basic", swap).collect()[0].mix[0]) for swap in (False, True)] == [(10, 20, 30), (1, 2, 3)]
+
+
+def test_frames_without_depth_stay(spark):
+    f = planes(spark, [np.zeros((2, 3)), np.ones((2, 3))]).withColumns({
+        "z": F.when(F.col("z")[0] > 0, F.col("z")), "depth_strength": F.lit(0.9), "convergence": F.lit(0.7), "max_background": F.lit(0.01),
+        "max_popout": F.lit(0.01), "edge_protection": F.lit(True)})
+    got = V.with_disparity(f).collect()
+    assert len(got) == 2 and sorted(r.disparity is None for r in got) == [False, True]
 
 
 def test_disparity_limits_and_edges(spark):
