@@ -102,6 +102,20 @@ def pending_stages(spark, sf):
     return L.pending_stages(wanted, ledger, "1.0", "a1", ["1-URGENT"]).select("video_id", "stage", "reason", "dependencies_current")
 
 
+@q("join_shot_tables", """WITH o AS (SELECT o_custkey AS video_id, o_orderkey AS shot_id, o_orderstatus AS st, o_totalprice AS price FROM orders),
+  a AS (SELECT video_id, shot_id, st FROM o WHERE shot_id % 7 <> 0), b AS (SELECT video_id, shot_id, price FROM o WHERE shot_id % 5 <> 0),
+  c AS (SELECT DISTINCT l_suppkey AS video_id, l_orderkey AS shot_id FROM lineitem WHERE l_orderkey % 11 = 0 UNION SELECT video_id, shot_id FROM o WHERE st <> 'F')
+  SELECT video_id, shot_id, a.st AS st, b.price AS price, concat_ws(',', CASE WHEN a.shot_id IS NULL THEN 'shots' END, CASE WHEN b.shot_id IS NULL THEN 'features' END, CASE WHEN c.shot_id IS NULL THEN 'script' END) AS missing
+  FROM a FULL JOIN b USING (video_id, shot_id) FULL JOIN c USING (video_id, shot_id)""")
+def join_shot_tables(spark, sf):
+    """Three tables that each lack some shots; the last names shots that no other knows."""
+    o = table(spark, sf, "orders").select(C("o_custkey").alias("video_id"), C("o_orderkey").alias("shot_id"), C("o_orderstatus").alias("st"), C("o_totalprice").alias("price"))
+    foreign = table(spark, sf, "lineitem").where("l_orderkey % 11 = 0").select(C("l_suppkey").alias("video_id"), C("l_orderkey").alias("shot_id"))
+    script = foreign.union(o.where("st <> 'F'").select("video_id", "shot_id")).distinct().withColumn("named", F.lit(True))
+    j = L.join_shot_tables({"shots": o.where("shot_id % 7 <> 0").drop("price"), "features": o.where("shot_id % 5 <> 0").drop("st"), "script": script})
+    return j.select("video_id", "shot_id", "shots.st", "features.price", F.array_join("missing", ",").alias("missing"))
+
+
 @q("select_shots", FE + "SELECT video_id, shot_id FROM feats WHERE status = 'F' AND price > 250000")
 def select_shots(spark, sf):
     f = shot_features(spark, sf)

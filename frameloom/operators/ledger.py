@@ -73,6 +73,21 @@ def missing_refs(refs: DataFrame, known: DataFrame, keys: Sequence[str]) -> Data
     return refs.join(known.select(*keys), list(keys), "left_anti")
 
 
+def join_shot_tables(tables: dict[str, DataFrame], keys: Sequence[str] = ("video_id", "shot_id")) -> DataFrame:
+    """Shots with their row of every table, none lost: keys, a struct per table, ``missing``.
+
+    ``missing`` lists the tables that lack the shot, in the order given; a shot that any table
+    names has a row, so a missing partner is an error to read, not a row that vanishes.  Keys are
+    distinct in each table.  One full join per table, all on the same keys.
+    """
+    out = None
+    for name, df in tables.items():
+        own = df.select(*keys, F.struct(*[c for c in df.columns if c not in keys]).alias(name))
+        out = own if out is None else out.join(own, list(keys), "full_outer")
+    gone = F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in tables]))
+    return out.withColumn("missing", gone)
+
+
 def sets_equal(a: DataFrame, b: DataFrame, keys: Sequence[str], item: str) -> DataFrame:
     """Per key, whether the two sides hold the same set of items."""
     tag = lambda d, k: d.select(*keys, item).distinct().withColumn("_side", F.lit(k))

@@ -148,7 +148,7 @@ def select_output(frames: DataFrame, output: str) -> DataFrame:
     return frames.select(*key, F.explode_outer(body).alias("_c")).select(*key, "_c.*")
 
 
-def ordered_output(frames: DataFrame, partitions: int = 8) -> DataFrame:
-    """Frames in (video, frame) order across and inside partitions."""
-    return (frames.repartitionByRange(partitions, "video_id", "shot_id", "frame_index")
+def ordered_output(frames: DataFrame) -> DataFrame:
+    """Frames in (video, shot, frame) order across and inside partitions, as many as the session's settings give."""
+    return (frames.repartitionByRange("video_id", "shot_id", "frame_index")
             .sortWithinPartitions("video_id", "shot_id", "frame_index"))
