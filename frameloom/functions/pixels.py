@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -172,7 +173,7 @@ def pixel_step(frames: DataFrame, uses: list[str], makes: str, work: Callable[[F
                 ok = pa.array(valid[lo:hi])
                 made = [_column([d[f.name] for d in done], f.dataType) if done else None for f in new.fields]
                 back = pa.array(np.where(valid[lo:hi], np.cumsum(valid[lo:hi]) - 1, 0))
-                where = pa.compute.if_else(ok, back, pa.scalar(None, back.type))
+                where = pc.if_else(ok, back, pa.scalar(None, back.type))
                 made = [pa.nulls(hi - lo, _empty(f.dataType)) if m is None else m.take(where) for m, f in zip(made, new.fields, strict=True)]
                 return pa.RecordBatch.from_arrays([own.column(f.name) for f in kept] + made, schema.names)
 
