@@ -1,15 +1,17 @@
 """Small helpers that the operators of this subpackage share."""
 from __future__ import annotations
 
+import contextlib
 import sys
 import types
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.artifacts import materialize as saved  # noqa: F401  one place writes intermediate tables
+from ..sources.artifacts import shared_folder
 
 #: A word: a longest run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,6 +24,40 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_open: list[list[str]] = []
+
+
+def _table(df: DataFrame) -> tuple[str, DataFrame]:
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The frame written to the shared folder and read back, for use more than once."""
+    return _table(df)[1]
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Like ``kept``; inside ``scratch`` the table is removed at its end."""
+    path, out = _table(df)
+    if _open:
+        _open[-1].append(path)
+    return out
+
+
+@contextlib.contextmanager
+def scratch(spark) -> Iterator[None]:
+    """Removes the tables that ``saved`` wrote within; what is to last must be ``kept`` before the end."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def unit(*parts: Column) -> Column:
     """A number in (0, 1) that the parts decide, uniform over their values."""
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + 0.5) / float(1 << 53)

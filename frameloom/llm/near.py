@@ -9,24 +9,23 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import saved
+from .common import kept, saved, scratch
 from .graph import components
 
 WORDS = 5  # words of a shingle
 TOKENS = 64  # minwise tokens of a document
 TREES = 24
 PATHS = 2  # tokens that a node below the root branches on
-SMALL = 512  # documents of a node that is compared exhaustively
+SMALL = 4096  # documents of a node that is compared exhaustively
 DEPTH = 16
-#: Tokens of TOKENS that two documents must share to be confirmed on full sets.  At a similarity of
-#: 0.75 they share 48 on average with a deviation of 3.5, so 28 leaves out one such pair in 10**8.
-NEAR = 28
+BINS = 512  # bytes of a sketch, a power of two
 #: Tokens on which the trees' roots branch, as (tree, token): one for each tree and a second for
 #: every third, which is 1/0.75 on average.
 ROOTS = [(r, r) for r in range(TREES)] + [(r, TREES + r // 3) for r in range(0, TREES, 3)]
-#: A root's token that a document shares with the first document of its node; so many in common make a candidate.
-STAR = 8
+#: First links: leaders of a root node, roots in common with one that make a candidate, candidates of a class.
+LEADERS, STAR, CLOSEST = 12, 8, 3
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -40,8 +39,9 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     import xxhash
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     coded = lists.flatten().dictionary_encode()
-    own = [xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()]
-    empty = np.array([not w for w in coded.dictionary.to_pylist()], bool)
+    different = coded.dictionary.cast(pa.binary()).to_pylist()
+    own = list(map(xxhash.xxh64_intdigest, different))
+    empty = np.array([not w for w in different], bool)
     at = coded.indices.to_numpy()
     w = np.array(own, np.uint64)[at] if len(at) else np.empty(0, np.uint64)
     real = ~empty[at] if len(at) else np.empty(0, bool)
@@ -55,7 +55,8 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     sets = []
     for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True):
         if b - a >= WORDS:
-            sets.append(np.unique(h[a:b - WORDS + 1]))
+            own = np.sort(h[a:b - WORDS + 1])
+            sets.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
         elif b > a:
             few = np.array([b - a], np.uint64)
             for i in range(a, b):
@@ -70,36 +71,70 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def minwise(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """TOKENS smallest hash values of each set, as an array of sets by tokens; zeros for an empty set."""
     rng = np.random.default_rng(20240607)
-    a = rng.integers(1, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 1 << 63, TOKENS, dtype=np.uint64)
+    a = rng.integers(0, 1 << 31, TOKENS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    b = rng.integers(0, 1 << 32, TOKENS, dtype=np.uint32)
     full = np.flatnonzero(sizes)
     starts = (np.cumsum(sizes) - sizes)[full]
     out = np.zeros((len(sizes), TOKENS), np.uint32)
     if len(full):
+        low, high = flat.astype(np.uint32), (flat >> np.uint64(32)).astype(np.uint32)
         for i in range(TOKENS):
-            out[full, i] = np.minimum.reduceat(((flat * a[i] + b[i]) >> np.uint64(32)).astype(np.uint32), starts)
+            out[full, i] = np.minimum.reduceat(((low + b[i]) * a[i]) ^ high, starts)
     return out
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def sketches(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """BINS bytes for each set: of every bin of hash values the smallest one's next bits, 0 for an empty bin.
+
+    Sets are sorted, so a bin's smallest value is its first.  Two sets agree in a share of the
+    bins that either fills, which is near their similarity; for sets smaller than BINS even nearer.
+    """
+    out = np.zeros((len(sizes), BINS), np.uint8)
+    bins = (flat >> np.uint64(65 - BINS.bit_length())).astype(np.int64)
+    at = np.repeat(np.arange(len(sizes)), sizes) * BINS + bins
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    out.ravel()[at[first]] = (flat[first] >> np.uint64(24)) % np.uint64(255) + np.uint64(1)
+    return out
+
+
+def maybe(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Which pairs of sketches x and y, of sets of nx and ny, may be of similar sets.
+
+    The bins that either fills are a sample without repetition of the union.  Agreeing ones must not
+    be more than 4.5 deviations fewer than a similarity of 0.75 gives, which leaves out one pair of
+    just that similarity in 10**5.  Sets of sizes further apart than 3 to 4 can't be similar.
+    """
+    filled = ((x | y) > 0).sum(axis=-1, dtype=np.int32)
+    agree = ((x == y) & (x > 0)).sum(axis=-1, dtype=np.int32)
+    rest = np.maximum(0.0, 1 - filled / np.maximum(1.0, (nx + ny) / 1.75))
+    return (agree >= 0.75 * filled - 4.5 * np.sqrt(0.1875 * filled * rest) - 1) & (4 * np.minimum(nx, ny) >= 3 * np.maximum(nx, ny))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bytes of a column, one row at least."""
     for t in batches:
-        for lo in range(0, t.num_rows, rows):
-            yield t.slice(lo, rows)
+        size = np.cumsum(pc.fill_null(pc.binary_length(t[column]), 0).to_numpy().astype(np.int64)) if t.num_rows else np.empty(0, np.int64)
+        lo = 0
+        while lo < t.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + most)))
+            yield t.slice(lo, hi - lo)
+            lo = hi
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (a digest of the whole set), tokens (array<int>)."""
+    """doc_id, n_shingles, set_key (a digest of the whole set), tokens (array<int>), sketch (binary)."""
     def run(batches):
-        for t in _pieces(batches):
+        for t in _pieces(batches, "text"):
             flat, sizes = shingles(t["text"])
             ends = np.cumsum(sizes)
             keys = [hashlib.blake2b(flat[e - n:e].tobytes(), digest_size=16).digest() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
             tokens = minwise(flat, sizes).view(np.int32)
             lists = pa.ListArray.from_arrays(np.arange(0, tokens.size + 1, TOKENS, dtype=np.int32), pa.array(tokens.ravel()))
-            yield pa.RecordBatch.from_arrays([t["doc_id"], pa.array(sizes), pa.array(keys, pa.binary()), lists], ["doc_id", "n_shingles", "set_key", "tokens"])
+            yield pa.RecordBatch.from_arrays([t["doc_id"], pa.array(sizes), pa.array(keys, pa.binary()), lists, pa.array([x.tobytes() for x in sketches(flat, sizes)], pa.binary())],
+                                             ["doc_id", "n_shingles", "set_key", "tokens", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, tokens array<int>")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, tokens array<int>, sketch binary")
 
 
 def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -109,7 +144,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     with them to a; b should be the side of fewer pairs.
     """
     def cut(batches):
-        for t in _pieces(batches):
+        for t in _pieces(batches, "text"):
             flat, sizes = shingles(t["text"])
             ends = np.cumsum(sizes)
             raw = [flat[e - n:e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
@@ -117,7 +152,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
             yield pa.RecordBatch.from_arrays([t["cls"], pa.array(raw, pa.binary())], ["cls", "set"]).filter(pa.array(same))
 
     def check(batches):
-        for t in _pieces(batches, 256):
+        for t in batches:
             good = []
             for x, y in zip(t["set_a"], t["set_b"], strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -127,7 +162,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
             yield pa.RecordBatch.from_arrays([t["a"], t["b"]], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     pairs = saved(pairs.select("a", "b").distinct())
-    used = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    used = pairs.select(F.col("a").alias("cls")).distinct().union(pairs.select("b").distinct()).distinct()
     used = used.join(classes, "cls").select("cls", F.col("cls_doc").alias("_doc"), "set_key")
     texts = docs.select("doc_id", "text").join(used, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("cls", "set_key", "text")
     sets = saved(texts.mapInArrow(cut, "cls long, set binary"))
@@ -137,73 +172,135 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
 
 
 def stars(classes: DataFrame) -> DataFrame:
-    """Candidates (a, b): a class b and the first class a of its root nodes, where they share STAR of these or more.
+    """Candidates (a, b): a class b and those that come first in its root nodes and are most like it.
 
-    The first is by a hash, so that the same class comes first in all nodes of a group.
+    In each node LEADERS hash functions name a first class each; the same class comes first in all
+    nodes of a group that hold it, so the number of nodes in which b meets a tells how alike they
+    are.  Of those met in STAR nodes or more, the CLOSEST ones are candidates.
     """
     rows = _roots(classes)
-    first = rows.groupBy("node").agg(F.min_by("cls", F.xxhash64("cls", F.lit(3))).alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = rows.join(first.select("node", "a"), "node").where("a <> cls")
-    return met.groupBy("a", F.col("cls").alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= STAR).select("a", "b")
+    leads = F.array_distinct(F.array(*[F.min_by("cls", F.xxhash64("cls", F.lit(k))) for k in range(LEADERS)]))
+    first = rows.groupBy("node").agg(leads.alias("leads"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = rows.join(first.select("node", "leads"), "node").select(F.col("cls").alias("b"), F.explode_outer("leads").alias("a")).where("a <> b")
+    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= STAR)
+    nth = F.row_number().over(W.partitionBy("b").orderBy(F.col("n").desc(), F.xxhash64("a", F.lit(LEADERS)), "a"))
+    return met.withColumn("nth", nth).where(F.col("nth") <= CLOSEST).select("a", "b")
 
 
 def _roots(classes: DataFrame, *more: str) -> DataFrame:
+    """A row for each class and root token: the node of the token's value, and which root it is."""
     at = F.array(*[F.struct(F.lit(r).alias("tree"), F.lit(i).alias("i")) for r, i in ROOTS])
     nodes = F.transform(at, lambda x: F.xxhash64(x["tree"], x["i"], F.element_at("tokens", x["i"] + 1)))
-    return classes.select("cls", *more, F.explode(nodes).alias("node"))
+    return classes.select("cls", *more, F.posexplode_outer(nodes).alias("root", "node"))
+
+
+def _near_pairs(sketch: np.ndarray, group: np.ndarray, size: np.ndarray, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (x, y) of different groups whose sketches may be of similar sets, x outside the largest group.
+
+    One bit of each byte gives vectors of +1, -1 and 0 whose product is about the number of agreeing
+    bins; a pair that is five deviations below what a similarity of 0.75 gives is passed over,
+    the others are compared in full.
+    """
+    names, n = np.unique(group, return_counts=True)
+    minor = group != names[n.argmax()]
+    order = np.argsort(~minor, kind="stable")
+    s, g, size = sketch[order], group[order], size[order]
+    bits = (((s & 1).astype(np.float32) * 2 - 1) * (s > 0)).astype(np.float32)
+    filled = (s > 0).sum(axis=1).astype(np.float32)
+    least = np.maximum(0, 0.75 * filled - 5 * np.sqrt(0.4375 * filled))
+    for lo in range(0, int(minor.sum()), rows):
+        hi = min(lo + rows, int(minor.sum()))
+        ok = bits[lo:hi] @ bits[lo:].T >= np.maximum(least[lo:hi, None], least[lo:])
+        ok &= g[lo:hi, None] != g[lo:]
+        x, y = np.nonzero(ok)
+        x, y = x[y > x] + lo, y[y > x] + lo
+        for a in range(0, len(x), 1 << 14):
+            p, q = x[a:a + (1 << 14)], y[a:a + (1 << 14)]
+            good = maybe(s[p], s[q], size[p], size[q])
+            yield order[p[good]], order[q[good]]
+
+
+def _bytes(col: pa.Array, width: int) -> np.ndarray:
+    """Rows of a binary column, all ``width`` long, without copying."""
+    at = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1]
+    return np.frombuffer(col.buffers()[2], np.uint8)[at[0]:at[-1]].reshape(-1, width)
 
 
 def _exhaustive(nodes: DataFrame, *by: str) -> DataFrame:
-    """Candidates (a, b) of different groups in the nodes, from all pairs of a node's sketches."""
+    """Candidates (a, b) of the nodes, each node's classes held against those outside its largest group.
+
+    With ``root`` among the keys, a pair comes out of the first root node only that holds both
+    and is compared at all, which the classes' ``roots`` tell; other nodes stay silent about it.
+    """
+    first_only = "root" in by
+    at = [i for _, i in ROOTS]
+
     def run(batches):
         for t in batches:
             found: list[np.ndarray] = [np.empty((0, 2), np.int64)]
-            for members in t["members"]:
-                m = members.values
-                cls, group = m.field("cls").to_numpy(), m.field("grp").to_numpy()
-                sketch = np.frombuffer(b"".join(m.field("sketch").to_pylist()), np.uint8).reshape(-1, TOKENS)
-                for i in range(0, len(cls), 128):
-                    equal = np.zeros((len(cls[i:i + 128]), len(cls)), np.int16)
-                    for k in range(TOKENS):
-                        equal += sketch[i:i + 128, k, None] == sketch[:, k]
-                    x, y = np.nonzero((equal >= NEAR) & (group[i:i + 128, None] < group))
-                    found.append(np.stack([cls[i + x], cls[y]], axis=1))
-            pairs = np.unique(np.concatenate(found), axis=0)
+            root = t["root"].to_numpy()
+            for k in range(t.num_rows):
+                m = t["members"][k].values
+                cls = m.field("cls").to_numpy()
+                for x, y in _near_pairs(_bytes(m.field("sketch"), BINS), m.field("grp").to_numpy(), m.field("n_shingles").to_numpy()):
+                    if first_only and len(x):
+                        tokens = m.field("tokens").flatten().to_numpy().reshape(-1, TOKENS)[:, at]
+                        live = (m.field("roots").to_numpy()[x, None] >> np.arange(len(at))) & 1
+                        own = ((tokens[x] == tokens[y]) & (live == 1)).argmax(axis=1) == root[k]
+                        x, y = x[own], y[own]
+                    found.append(np.stack([cls[x], cls[y]], axis=1))
+            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    lists = nodes.groupBy(*by).agg(F.collect_list(F.struct("cls", "grp", "sketch")).alias("members"))
-    return lists.select("members").mapInArrow(run, "a long, b long")
+    held = ["cls", "grp", "n_shingles", "sketch", *(["tokens", "roots"] if first_only else [])]
+    lists = nodes.groupBy(*by).agg(F.collect_list(F.struct(*held)).alias("members"))
+    return lists.select(F.col("root") if first_only else F.lit(0).alias("root"), "members").mapInArrow(run, "a long, b long")
 
 
 def paths(classes: DataFrame) -> DataFrame:
     """Candidates (a, b) of classes in different groups ``grp``, by trees of chosen paths.
 
     A root node holds the classes that share one of its tree's tokens.  A node of one class or one
-    group is done, as its links are known.  Up to SMALL classes are compared exhaustively by
-    their tokens.  A larger node branches on PATHS tokens that its name chooses: a class goes to
-    the child of its value of each.  A pair of similarity 0.75 is found in a tree with a
+    group is done, as its links are known.  A node is small when holding all its classes against
+    those outside its largest group takes SMALL * SMALL comparisons of sketches at most, and is then
+    compared so, the largest group in tiles of about SMALL.  A larger node branches on PATHS tokens
+    that its name chooses: a class goes to the child of its value of each.  A pair of similarity 0.75 is found in a tree with a
     chance of over 0.6, and in one of 24 trees but for one in 10**9.  What is still large at DEPTH
     is compared in blocks, so nothing is left out.
     """
-    sketches = classes.select("cls", "grp", "tokens", "sketch")
+    known = classes.select("cls", "grp", "n_shingles", "tokens", "sketch")
     rows, out, level = _roots(classes, "grp"), [], 0
     while True:
         stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("grp").alias("lo"), F.max("grp").alias("hi"))
         live = saved(rows.join(stats.where("n > 1 and lo <> hi").select("node", "n"), "node"))
-        small = live.where(F.col("n") <= SMALL).select("node", "cls").join(sketches, "cls")
-        out.append(saved(_exhaustive(small, "node").distinct()))
-        large = live.where(F.col("n") > SMALL)
-        if large.isEmpty():
+        big = live.where(F.col("n") > SMALL).groupBy("node", "grp").agg(F.count(F.lit(1)).alias("own"))
+        big = big.groupBy("node").agg(F.sum("own").alias("n"), F.max("own").alias("own"), F.max_by("grp", "own").alias("main"))
+        wide = (F.col("n") - F.col("own")) * F.col("n") > SMALL * SMALL
+        big = saved(big.withColumn("wide", wide))
+        # Tiles of one largest group each, and in each of these all other classes of the node.
+        tiled = live.drop("n").join(big, "node", "left").where("wide is null or not wide")
+        tiles = F.ceil(F.coalesce("n", F.lit(1)) / SMALL).cast("int")
+        own = F.when(F.col("main").isNull(), F.array(F.lit(0))).when(F.col("grp") == F.col("main"), F.array(F.pmod(F.xxhash64("cls"), tiles).cast("int"))).otherwise(F.sequence(F.lit(0), tiles - 1))
+        small = tiled.select("node", "cls", *(["root"] if level == 0 else []), F.explode_outer(own).alias("tile"))
+        if level == 0:
+            roots = tiled.groupBy("cls").agg(F.bit_or(F.expr("shiftleft(1L, root)")).alias("roots"))
+            small = small.join(known.join(roots, "cls"), "cls")
+            out.append(saved(_exhaustive(small, "node", "tile", "root").distinct()))
+        else:
+            out.append(saved(_exhaustive(small.join(known.select("cls", "grp", "n_shingles", "sketch"), "cls"), "node", "tile").distinct()))
+        wide = big.where("wide").select("node", "n")
+        large = live.drop("n").join(wide, "node")
+        if wide.isEmpty():
             break
         if level == DEPTH:
             blocks = F.ceil(F.col("n") / SMALL).cast("int")
             own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
             tiles = large.select("node", "cls", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
             tiles = tiles.select("node", "cls", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-            out.append(saved(_exhaustive(tiles.join(sketches, "cls"), "node", "x", "y").distinct()))
+            out.append(saved(_exhaustive(tiles.join(known.select("cls", "grp", "n_shingles", "sketch"), "cls"), "node", "x", "y").distinct()))
             break
         order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(TOKENS - 1)), lambda i: F.struct(F.xxhash64(F.col("node"), i).alias("h"), i.alias("i"))))
-        chosen = large.select("node", "cls", F.slice(order, 1, PATHS).getField("i").alias("paths")).join(sketches.select("cls", "grp", "tokens"), "cls")
+        chosen = large.select("node", "cls", F.slice(order, 1, PATHS).getField("i").alias("paths")).join(known.select("cls", "grp", "tokens"), "cls")
         child = F.transform("paths", lambda i: F.xxhash64(F.col("node"), i, F.element_at("tokens", i + 1)))
         rows = saved(chosen.select("cls", "grp", F.explode(child).alias("node")))
         level += 1
@@ -223,28 +320,37 @@ def near_groups(docs: DataFrame) -> DataFrame:
     the smallest doc_id that links reach.  Rows that repeat a doc_id get equal results; a null
     doc_id names a group only where it holds no other.
 
-    Documents of equal sets are one class.  First each class is held against the first class of
-    its root nodes, which joins large groups by one link for each member; then the trees of
+    Documents of equal sets are one class.  First each class is held against a few classes that
+    lead its root nodes, which joins large groups by few links for each member; then the trees of
     chosen paths search for links between the groups that this has left.  All links are
     confirmed on full sets, never on tokens.
     """
-    rows = saved(signatures(docs).withColumn("row", F.monotonically_increasing_id()))
-    classes = rows.where("n_shingles > 0").groupBy("set_key", "tokens").agg(F.min("row").alias("cls"), F.min("doc_id").alias("cls_doc"))
+    spark = docs.sparkSession
+    rows = kept(signatures(docs).withColumn("row", F.monotonically_increasing_id()))
+    with scratch(spark):
+        named = kept(_components_of_sets(docs, rows))
+    out = rows.join(named, "set_key", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _components_of_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(set_key, component_id) of all sets that are not empty."""
+    spark = docs.sparkSession
+    classes = rows.where("n_shingles > 0").groupBy("set_key", "n_shingles", "tokens", "sketch").agg(F.min("row").alias("cls"), F.min("doc_id").alias("cls_doc"))
     classes = saved(classes)
-    first = saved(confirmed(docs, classes, stars(classes)))
-    groups = components(first)
+    with scratch(spark):
+        first = kept(confirmed(docs, classes, stars(classes)))
+        groups = kept(components(first))
     grouped = classes.join(groups.withColumnRenamed("node", "cls"), "cls", "left")
-    sketch = F.unhex(F.array_join(F.transform("tokens", lambda x: F.lpad(F.hex(x.bitwiseAND(255)), 2, "0")), ""))
-    grouped = saved(grouped.select("cls", "cls_doc", "set_key", "tokens", F.coalesce("component", "cls").alias("grp"), sketch.alias("sketch")))
-    second = confirmed(docs, classes, paths(grouped))
-    all_links = saved(first.unionByName(second))
-    named = classes.join(components(all_links).withColumnRenamed("node", "cls"), "cls", "left").select("set_key", "cls_doc", F.coalesce("component", "cls").alias("component"))
+    grouped = saved(grouped.select("cls", "n_shingles", "tokens", "sketch", F.coalesce("component", "cls").alias("grp")))
+    with scratch(spark):
+        all_links = first.unionByName(confirmed(docs, classes, paths(grouped)))
+        merged = kept(components(all_links))
+    named = classes.join(merged.withColumnRenamed("node", "cls"), "cls", "left").select("set_key", "cls_doc", F.coalesce("component", "cls").alias("component"))
     named = saved(named)
     smallest = named.groupBy("component").agg(F.min("cls_doc").alias("component_id"))
-    named = saved(named.join(smallest, "component").select("set_key", "component_id"))
-    out = rows.join(named, "set_key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return named.join(smallest, "component").select("set_key", "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import saved
+from .common import kept, saved, scratch
 
 #: What stands before a text, twice, and after it; no code points.
 START, END = 0x110000, 0x110001
@@ -216,7 +216,8 @@ def classify(docs: DataFrame, labels: DataFrame, keep: float = 0.995, sample: in
     trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct()
     chosen = saved(trusted.orderBy(F.xxhash64("_id", F.lit(5)), "_id").where(F.pmod(F.xxhash64("_id", F.lit(6)), F.lit(2)) == 0).limit(sample))
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi")
-    scored = saved(losses(docs, train(texts, shards), shards).withColumn("lang", F.coalesce("lang", F.lit(""))))
+    with scratch(docs.sparkSession):
+        scored = kept(losses(docs, train(texts, shards), shards).withColumn("lang", F.coalesce("lang", F.lit(""))))
 
     known = scored.join(trusted, F.col("doc_id") == F.col("_id"), "left_semi").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_anti")
     known = saved(known.select("lang", "nll", "n"))
