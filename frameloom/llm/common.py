@@ -63,6 +63,11 @@ def unit(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + 0.5) / float(1 << 53)
 
 
+def text_digest(text: Column) -> Column:
+    """What tells texts apart: the SHA-256 of the text, null counting as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def md5_long(*parts: Column) -> Column:
     """60 bits of the parts' MD5 digest, parts joined by colons; any SQL engine can compute it."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("long")

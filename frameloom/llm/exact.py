@@ -68,12 +68,20 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = F.xxhash6
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; rows that repeat a kept doc_id leave one."""
-    stay = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_stay"))
-    return one_row_each(docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi"))
+    """The documents that stay, one of each group, with all their columns.
+
+    Verdicts are by doc_id and normalised text, as a doc_id, or none, may stand on rows of several groups.
+    """
+    stay = exact_groups(docs).where("kept").select("doc_id", F.col("text_sha256").alias("_text"))
+    return one_row_each(docs, F.sha2(normal_text(F.col("text")), 256), stay)
 
 
-def one_row_each(docs: DataFrame) -> DataFrame:
-    """The documents without rows that repeat a doc_id; all copies of a row are equal but for order."""
-    first = W.partitionBy("doc_id").orderBy("doc_id")
-    return docs.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+def one_row_each(docs: DataFrame, digest: Column, stay: DataFrame) -> DataFrame:
+    """The documents whose (doc_id, digest) is in ``stay`` (doc_id, _text), one of those equal in both.
+
+    Of these the first by all columns is taken, before rows are shuffled, so no key's rows meet in a task.
+    """
+    stay = stay.select(F.col("doc_id").alias("_stay"), F.col("_text").alias("_stays"))
+    rows = docs.withColumn("_text", digest)
+    rows = rows.join(stay, rows["doc_id"].eqNullSafe(stay["_stay"]) & (rows["_text"] == stay["_stays"]), "left_semi")
+    return rows.groupBy("doc_id", "_text").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, md5_long, saved, unit
+from .common import WORD, md5_long, saved, text_digest, unit
 
 #: Blocks are permuted by multiplying with this prime modulo their number.
 PRIME = (1 << 31) - 1
@@ -114,9 +114,9 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: floa
         block_words: int = 20_000, shard_words: int = 16_000_000, seed: int = 11) -> Mix:
     """The documents that a mix of the sources takes, and the shard and place of every copy.
 
-    ``placed``: row, doc_id, source, size, source_size, target, copies, taken, draws (array of
+    ``placed``: row, doc_id, text_sha256, source, size, source_size, target, copies, taken, draws (array of
     (shard, place)).  Size is the number of words, null text 0; a null source is a source like
-    others.  Documents fall by hash into blocks of about ``block_words`` words, and the blocks of a
+    others.  Documents fall by the hash of doc_id and text into blocks of about ``block_words`` words, and the blocks of a
     source are permuted.  A source's quota is whole passes over its blocks plus a prefix of the
     permuted blocks; of the block where the prefix ends, documents are taken largest first
     as they still fit, so the taken words end at the target or less than the smallest left-out
@@ -126,8 +126,9 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: floa
     Repeated rows count one by one.  An empty table gives an empty mix.
     """
     word_count = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", word_count.alias("size"),
-                             md5_long(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("h")))
+    told = docs.withColumn("text_sha256", text_digest(F.col("text")))
+    rows = saved(told.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_sha256", "source", word_count.alias("size"),
+                             md5_long(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex("text_sha256")).alias("h")))
     goal = F.round("target").cast("long")
     plan = targets(rows, weights, share, most).withColumn("goal", goal)
     plan = saved(plan.withColumns({
@@ -135,7 +136,7 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: floa
         "n_blocks": F.ceil((F.col("words") + F.col("rows")) / block_words)}).withColumn("part", F.col("goal") - F.col("passes") * F.col("words")))
     mine = rows["source"].eqNullSafe(plan["source"])
     cols = [plan[c] for c in ("source_no", "words", "target", "n_blocks", "passes", "part")]
-    rows = rows.join(plan, mine).select(*[rows[c] for c in ("row", "doc_id", "source", "size", "h")], *cols, F.pmod(rows["h"], plan["n_blocks"]).alias("block"))
+    rows = rows.join(plan, mine).select(*[rows[c] for c in ("row", "doc_id", "text_sha256", "source", "size", "h")], *cols, F.pmod(rows["h"], plan["n_blocks"]).alias("block"))
 
     # Blocks in permuted order with the words before them, two tiers of running sums.
     place = F.pmod(F.col("block") * PRIME + F.pmod(F.xxhash64(F.lit(seed), F.col("source_no")), F.col("n_blocks")), F.col("n_blocks"))
@@ -189,7 +190,7 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: floa
     copies = F.when(F.col("left").isNull() | F.coalesce("picked", F.lit(False)), n_all).otherwise(n_all - 1)
     at = F.transform(F.slice("passes_at", 1, F.col("copies")), lambda p: F.struct(p["shard"].alias("shard"), F.xxhash64(F.lit(seed), p["pass"], F.col("row")).alias("place")))
     out = out.withColumn("copies", F.greatest(copies, F.lit(0))).select(
-        "row", "doc_id", "source", "size", F.col("words").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
+        "row", "doc_id", "text_sha256", "source", "size", F.col("words").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
         F.when(F.col("copies") > 0, at).otherwise(F.array().cast("array<struct<shard:int,place:bigint>>")).alias("draws"))
     return Mix(out, shards, n_shards)
 
@@ -197,13 +198,13 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: floa
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the documents' columns, a row for each copy, in the shuffled order of the shards.
 
-    Rows that repeat a doc_id are told apart by their turn in the order of source and size.
+    A document is known by its doc_id, text and source; rows equal in these by their turn.
     """
-    same = W.partitionBy("doc_id").orderBy("source", "size")
+    same = W.partitionBy("doc_id", "text_sha256", "source").orderBy("row")
     plan = mix(docs, **options).placed.withColumn("_turn", F.row_number().over(same))
-    copies = plan.where("copies > 0").select(F.col("doc_id").alias("_doc"), "_turn", F.explode("draws").alias("_at"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    turn = F.row_number().over(W.partitionBy("doc_id").orderBy("source", size))
-    full = docs.withColumn("_nth", turn)
-    out = full.join(copies, full["doc_id"].eqNullSafe(copies["_doc"]) & (full["_nth"] == copies["_turn"]))
+    copies = plan.where("copies > 0").select(F.col("doc_id").alias("_doc"), F.col("text_sha256").alias("_sha"), F.col("source").alias("_from"), "_turn", F.explode("draws").alias("_at"))
+    full = docs.withColumn("_text", text_digest(F.col("text")))
+    full = full.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id", "_text", "source").orderBy(*[c for c in docs.columns if c != "text"])))
+    same = full["doc_id"].eqNullSafe(copies["_doc"]) & (full["_text"] == copies["_sha"]) & full["source"].eqNullSafe(copies["_from"])
+    out = full.join(copies, same & (full["_nth"] == copies["_turn"]))
     return out.repartitionByRange(F.col("_at.shard"), F.col("_at.place")).sortWithinPartitions("_at.shard", "_at.place").select(*docs.columns)

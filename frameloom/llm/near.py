@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import kept, saved, scratch
+from .common import kept, saved, scratch, text_digest
 from .graph import components
 
 WORDS = 5  # words of a shingle
@@ -122,7 +122,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 23)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (a digest of the whole set), tokens (array<int>), sketch (binary)."""
+    """doc_id, text_sha256 (binary), n_shingles, set_key (a digest of the whole set), tokens (array<int>), sketch (binary)."""
     def run(batches):
         for t in _pieces(batches, "text"):
             flat, sizes = shingles(t["text"])
@@ -130,26 +130,32 @@ def signatures(docs: DataFrame) -> DataFrame:
             keys = [hashlib.blake2b(flat[e - n:e].tobytes(), digest_size=16).digest() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
             tokens = minwise(flat, sizes).view(np.int32)
             lists = pa.ListArray.from_arrays(np.arange(0, tokens.size + 1, TOKENS, dtype=np.int32), pa.array(tokens.ravel()))
-            yield pa.RecordBatch.from_arrays([t["doc_id"], pa.array(sizes), pa.array(keys, pa.binary()), lists, pa.array([x.tobytes() for x in sketches(flat, sizes)], pa.binary())],
-                                             ["doc_id", "n_shingles", "set_key", "tokens", "sketch"])
+            yield pa.RecordBatch.from_arrays([t["doc_id"], t["text_sha256"], pa.array(sizes), pa.array(keys, pa.binary()), lists, pa.array([x.tobytes() for x in sketches(flat, sizes)], pa.binary())],
+                                             ["doc_id", "text_sha256", "n_shingles", "set_key", "tokens", "sketch"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, tokens array<int>, sketch binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("text_sha256"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_sha256 binary, n_shingles long, set_key binary, tokens array<int>, sketch binary")
 
 
-def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirmed(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of classes whose full sets have 100 * common >= 75 * union.
 
-    Only texts of classes in pairs are cut into shingles again.  Sets move once to b's pairs and
+    Only texts of classes in pairs are cut into shingles again, each that of the row that names its
+    class, found by doc_id and digest; of rows equal in both a task takes one.  Sets move once to b's pairs and
     with them to a; b should be the side of fewer pairs.
     """
     def cut(batches):
+        done: set[int] = set()
         for t in _pieces(batches, "text"):
             flat, sizes = shingles(t["text"])
             ends = np.cumsum(sizes)
             raw = [flat[e - n:e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-            same = [hashlib.blake2b(x, digest_size=16).digest() == k for x, k in zip(raw, t["set_key"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([t["cls"], pa.array(raw, pa.binary())], ["cls", "set"]).filter(pa.array(same))
+            same = []
+            for x, k, c in zip(raw, t["set_key"].to_pylist(), t["cls"].to_pylist(), strict=True):
+                same.append(c not in done and hashlib.blake2b(x, digest_size=16).digest() == k)
+                if same[-1]:
+                    done.add(c)
+            yield pa.RecordBatch.from_arrays([t["cls"], pa.array(raw, pa.binary())], ["cls", "set"]).filter(pa.array(same, pa.bool_()))
 
     def check(batches):
         for t in batches:
@@ -163,8 +169,9 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
 
     pairs = saved(pairs.select("a", "b").distinct())
     used = pairs.select(F.col("a").alias("cls")).distinct().union(pairs.select("b").distinct()).distinct()
-    used = used.join(classes, "cls").select("cls", F.col("cls_doc").alias("_doc"), "set_key")
-    texts = docs.select("doc_id", "text").join(used, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("cls", "set_key", "text")
+    used = used.join(rows.select(F.col("row").alias("cls"), F.col("doc_id").alias("_doc"), F.col("text_sha256").alias("_sha"), "set_key"), "cls")
+    texts = docs.select("doc_id", "text", text_digest(F.col("text")).alias("_text"))
+    texts = texts.join(used, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_sha"))).select("cls", "set_key", "text")
     sets = saved(texts.mapInArrow(cut, "cls long, set binary"))
     sides = pairs.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b")
     sides = sides.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
@@ -325,36 +332,47 @@ def near_groups(docs: DataFrame) -> DataFrame:
     chosen paths search for links between the groups that this has left.  All links are
     confirmed on full sets, never on tokens.
     """
-    spark = docs.sparkSession
-    rows = kept(signatures(docs).withColumn("row", F.monotonically_increasing_id()))
-    with scratch(spark):
-        named = kept(_components_of_sets(docs, rows))
-    out = rows.join(named, "set_key", "left")
+    out = _placed(docs)
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """Every row's doc_id, text_sha256 and n_shingles, the component of its set, and that one's smallest doc_id."""
+    rows = kept(signatures(docs).withColumn("row", F.monotonically_increasing_id()))
+    with scratch(docs.sparkSession):
+        named = kept(_components_of_sets(docs, rows))
+    return rows.join(named, "set_key", "left").select("doc_id", "text_sha256", "n_shingles", "component", "component_id")
+
+
 def _components_of_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(set_key, component_id) of all sets that are not empty."""
+    """(set_key, component, component_id) of all sets that are not empty."""
     spark = docs.sparkSession
     classes = rows.where("n_shingles > 0").groupBy("set_key", "n_shingles", "tokens", "sketch").agg(F.min("row").alias("cls"), F.min("doc_id").alias("cls_doc"))
     classes = saved(classes)
     with scratch(spark):
-        first = kept(confirmed(docs, classes, stars(classes)))
+        first = kept(confirmed(docs, rows, stars(classes)))
         groups = kept(components(first))
     grouped = classes.join(groups.withColumnRenamed("node", "cls"), "cls", "left")
     grouped = saved(grouped.select("cls", "n_shingles", "tokens", "sketch", F.coalesce("component", "cls").alias("grp")))
     with scratch(spark):
-        all_links = first.unionByName(confirmed(docs, classes, paths(grouped)))
+        all_links = first.unionByName(confirmed(docs, rows, paths(grouped)))
         merged = kept(components(all_links))
     named = classes.join(merged.withColumnRenamed("node", "cls"), "cls", "left").select("set_key", "cls_doc", F.coalesce("component", "cls").alias("component"))
     named = saved(named)
     smallest = named.groupBy("component").agg(F.min("cls_doc").alias("component_id"))
-    return named.join(smallest, "component").select("set_key", "component_id")
+    return named.join(smallest, "component").select("set_key", "component", "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one of each group, with all their columns."""
+    """The documents that stay, one of each group, with all their columns.
+
+    It is the one of the smallest doc_id, where that repeats also of the smallest digest; a null
+    doc_id stays only where its group holds no other.  Of empty texts each doc_id keeps its own.
+    """
     from .exact import one_row_each
-    stay = near_groups(docs).where("kept").select(F.col("doc_id").alias("_stay"))
-    return one_row_each(docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi"))
+    placed = _placed(docs).where("n_shingles = 0 or component is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("text_sha256").alias("_text")))
+    alone = F.when(F.col("n_shingles") == 0, F.struct("doc_id", "text_sha256"))
+    stay = placed.groupBy("component", alone.alias("alone")).agg(first.alias("first")).select("first.doc_id", "first._text")
+    return one_row_each(docs, text_digest(F.col("text")), stay)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import kept, saved, scratch
+from .common import kept, saved, scratch, text_digest
 
 #: What stands before a text, twice, and after it; no code points.
 START, END = 0x110000, 0x110001
@@ -121,12 +121,13 @@ def postings(docs: DataFrame, shards: int, block_docs: int = 4096, block_chars:
     """The trigrams of all texts: a row for each block of documents and shard, and one with the block's documents.
 
     A posting row has the distinct trigrams of its shard in the block, how many documents hold
-    each, these documents' places in the block, and the counts, compressed.
+    each, these documents' places in the block, and the counts, compressed.  Where docs have a
+    column text_sha256, it goes with their doc_id.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids, langs, found, chars = TaskContext.get().partitionId() << 32, [], [], [], 0
+        block, ids, langs, digests, found, chars = TaskContext.get().partitionId() << 32, [], [], [], [], 0
         fields = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("grams", pa.binary()), ("held", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()),
-                            ("doc_ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("totals", pa.list_(pa.int64()))])
+                            ("doc_ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("digests", pa.list_(pa.binary())), ("totals", pa.list_(pa.int64()))])
 
         def flush():
             keys = np.concatenate([k for k, _ in found])
@@ -136,7 +137,7 @@ def postings(docs: DataFrame, shards: int, block_docs: int = 4096, block_chars:
             keys, n, at = keys[order], n[order], at[order]
             own, first, held = np.unique(keys, return_index=True, return_counts=True)
             shard = shard_of(own, shards)
-            rows = [{"block": block, "shard": -1, "doc_ids": ids, "langs": langs, "totals": [int(x.sum()) for _, x in found]}]
+            rows = [{"block": block, "shard": -1, "doc_ids": ids, "langs": langs, "digests": digests, "totals": [int(x.sum()) for _, x in found]}]
             of = np.repeat(shard, held)
             for s in np.unique(shard):
                 mine, post = shard == s, of == s
@@ -145,24 +146,26 @@ def postings(docs: DataFrame, shards: int, block_docs: int = 4096, block_chars:
             return pa.RecordBatch.from_pylist(rows, schema=fields)
 
         for t in batches:
-            for i, lang, text in zip(t["doc_id"], t["lang"], t["text"], strict=True):
+            for i, lang, digest, text in zip(t["doc_id"], t["lang"], t["text_sha256"], t["text"], strict=True):
                 x = text.as_py() or ""
                 ids.append(i.as_py())
                 langs.append(lang.as_py())
+                digests.append(digest.as_py())
                 found.append(grams(x))
                 chars += len(x)
                 if len(ids) >= block_docs or chars >= block_chars:
                     yield flush()
-                    block, ids, langs, found, chars = block + 1, [], [], [], 0
+                    block, ids, langs, digests, found, chars = block + 1, [], [], [], [], 0
         if ids:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    return rows.mapInArrow(run, "block long, shard int, grams binary, held binary, docs binary, counts binary, doc_ids array<bigint>, langs array<string>, totals array<bigint>")
+    digest = F.col("text_sha256") if "text_sha256" in docs.columns else F.lit(None)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), digest.cast("binary").alias("text_sha256"), "text")
+    return rows.mapInArrow(run, "block long, shard int, grams binary, held binary, docs binary, counts binary, doc_ids array<bigint>, langs array<string>, digests array<binary>, totals array<bigint>")
 
 
 def losses(docs: DataFrame, model: tuple, shards: int, group_blocks: int = 16) -> DataFrame:
-    """Every document's negative log probability: doc_id, lang, nll, n (characters and the end).
+    """Every document's negative log probability: doc_id, lang, text_sha256, nll, n (characters and the end).
 
     Postings meet the counts of their shard; a frequent middle character's shard is split by
     groups of blocks, to each of which the shard's counts go.  Sums come back by block.
@@ -188,19 +191,19 @@ def losses(docs: DataFrame, model: tuple, shards: int, group_blocks: int = 16) -
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "nll": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
+            return pa.table({"doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "text_sha256": pa.array([], pa.binary()), "nll": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
         row = left.to_pylist()[0]
         total = np.zeros(len(row["doc_ids"]))
         for x in sorted(b.as_py() for b in right["sums"]):
             part = np.frombuffer(x, np.float64)
             total[:len(part)] += part
-        return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "lang": pa.array(row["langs"], pa.string()), "nll": pa.array(total), "n": pa.array(row["totals"], pa.int64())})
+        return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "lang": pa.array(row["langs"], pa.string()), "text_sha256": pa.array(row["digests"], pa.binary()), "nll": pa.array(total), "n": pa.array(row["totals"], pa.int64())})
 
-    return blocks.select("block", "doc_ids", "langs", "totals").groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(add, "doc_id long, lang string, nll double, n long")
+    return blocks.select("block", "doc_ids", "langs", "digests", "totals").groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(add, "doc_id long, lang string, text_sha256 binary, nll double, n long")
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: float = 0.995, sample: int = 20_000, shards: int = 32, prior: float = 50.0, least: int = 30, bins: int = 1000) -> DataFrame:
-    """One row per document: doc_id, perplexity, threshold, kept.
+    """One row per document: doc_id, perplexity, threshold, kept; and lang and text_sha256 where docs have the latter.
 
     Trusted documents are those labelled quality 1 and not toxic.  The model, an interpolated
     modified Kneser-Ney one over three characters, is trained on ``sample`` of them at most (those
@@ -242,10 +245,13 @@ def classify(docs: DataFrame, labels: DataFrame, keep: float = 0.995, sample: in
     limit_all = over_all["limit"] if over_all and over_all["limit"] is not None else float("inf")
     limits = saved(quantile(steps.join(means.select("lang"), "lang", "left_semi"), "lang"))
     out = smooth(scored).join(limits, "lang", "left").withColumn("limit", F.coalesce("limit", F.lit(limit_all)))
-    return out.select("doc_id", F.exp("loss").alias("perplexity"), F.exp("limit").alias("threshold"), (F.col("loss") <= F.col("limit")).alias("kept"))
+    more = ("lang", "text_sha256") if "text_sha256" in docs.columns else ()
+    return out.select("doc_id", *more, F.exp("loss").alias("perplexity"), F.exp("limit").alias("threshold"), (F.col("loss") <= F.col("limit")).alias("kept"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; of rows that repeat a doc_id all stay or go."""
-    out = classify(docs, labels).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(out, docs["doc_id"].eqNullSafe(out["_gone"]), "left_anti")
+    """The documents that stay, with all their columns; of rows equal in doc_id, language and text all stay or go."""
+    out = classify(docs.withColumn("text_sha256", text_digest(F.col("text"))), labels).where("not kept")
+    out = out.select(F.col("doc_id").alias("_gone"), F.col("lang").alias("_lang"), F.col("text_sha256").alias("_text")).distinct()
+    same = docs["doc_id"].eqNullSafe(out["_gone"]) & (F.coalesce(docs["lang"].cast("string"), F.lit("")) == out["_lang"]) & (text_digest(docs["text"]) == out["_text"])
+    return docs.join(out, same, "left_anti")
