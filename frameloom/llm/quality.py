@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -202,27 +202,32 @@ def losses(docs: DataFrame, model: tuple, shards: int, group_blocks: int = 16) -
     return blocks.select("block", "doc_ids", "langs", "digests", "totals").groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(add, "doc_id long, lang string, text_sha256 binary, nll double, n long")
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: float = 0.995, sample: int = 20_000, shards: int = 32, prior: float = 50.0, least: int = 30, bins: int = 1000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, keep: float = 0.995, shards: int = 32, prior: float = 50.0, least: int = 30, bins: int = 1000) -> DataFrame:
     """One row per document: doc_id, perplexity, threshold, kept; and lang and text_sha256 where docs have the latter.
 
     Trusted documents are those labelled quality 1 and not toxic.  The model, an interpolated
-    modified Kneser-Ney one over three characters, is trained on ``sample`` of them at most (those
-    of the smallest hashes), whole texts; all other statistics cover all rows.  Perplexity is
+    modified Kneser-Ney one over three characters, is trained on the half of them that a hash of
+    doc_id picks, whole texts, however many; all other statistics cover all rows.  Perplexity is
     that of the text and its end, with ``prior`` more characters of the language's mean, so that a
     short text is not judged by a few letters.  A language's threshold is the quantile ``keep`` of
-    its trusted documents that were not trained on, read off a histogram of ``bins`` steps per
+    its trusted documents of the other half, read off a histogram of ``bins`` steps per
     unit of the logarithm, so it is the same however rows are dealt; a language with fewer than
     ``least`` of these takes the one of all languages.  A document stays when its perplexity is no
     higher.  Null text counts as empty and null language as one more language; without any
     trusted document all stay.  Repeated rows are scored each.
     """
+    def half(doc_id: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(F.col(doc_id).cast("long"), F.lit(6)), F.lit(2)) == n
+
     trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct()
-    chosen = saved(trusted.orderBy(F.xxhash64("_id", F.lit(5)), "_id").where(F.pmod(F.xxhash64("_id", F.lit(6)), F.lit(2)) == 0).limit(sample))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi")
+    # Both sides by their half before the join, so that only texts that may be trained on move; a merge
+    # join at every size, so that what moves stays in proportion to the input.
+    texts = docs.where("doc_id is not null").where(half("doc_id", 0)).select("doc_id", "text")
+    texts = texts.join(trusted.where(half("_id", 0)).hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
     with scratch(docs.sparkSession):
         scored = kept(losses(docs, train(texts, shards), shards).withColumn("lang", F.coalesce("lang", F.lit(""))))
 
-    known = scored.join(trusted, F.col("doc_id") == F.col("_id"), "left_semi").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_anti")
+    known = scored.where(half("doc_id", 1)).join(trusted.where(half("_id", 1)), F.col("doc_id") == F.col("_id"), "left_semi")
     known = saved(known.select("lang", "nll", "n"))
     sums = known.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.round(F.col("nll") * 1e6).cast("decimal(38,0)")).cast("double").alias("nll"), F.sum("n").alias("n"))
     everything = sums.agg(F.sum("nll").alias("nll"), F.sum("n").alias("n")).first()

@@ -261,3 +261,13 @@ def test_classify(spark):
     nothing = quality.classify(docs(spark), labels.limit(0))
     assert nothing.count() == len(odd_rows()) and nothing.where("not kept").count() == 0
     assert quality.classify(docs(spark, []), labels).count() == 0
+
+
+def test_counts_grow_with_the_input(spark, monkeypatch):
+    n, own = 45_000, {}
+    rows = spark.range(n).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang")
+    labels = spark.range(n).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    real = quality.train
+    monkeypatch.setattr(quality, "train", lambda texts, shards: own.update(texts=texts.count()) or real(texts, shards))
+    quality.classify(rows, labels)
+    assert 22_000 < own["texts"] < 23_000
