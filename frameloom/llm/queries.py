@@ -18,6 +18,7 @@ from .private import find, summary
 from .quality import classify
 from .repair import read_tokens, write_tokens
 from .shards import assign
+from .topk import top_products
 
 
 def op1_mix(spark, sf_dir):
@@ -65,7 +66,12 @@ def op10_quality(spark, sf_dir):
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-Q = {f.__name__: f for f in (op1_mix, op2_shards, op3_exact_dedup, op4_licences, op5_token_files, op6_near_dedup, op7_private, op8_byte_bpe, op9_nearest, op10_quality)}
+def op11_topk(spark, sf_dir):
+    return top_products(table(spark, sf_dir, "embeddings"))
+
+
+Q = {f.__name__: f for f in (op1_mix, op2_shards, op3_exact_dedup, op4_licences, op5_token_files, op6_near_dedup, op7_private,
+                             op8_byte_bpe, op9_nearest, op10_quality, op11_topk)}
 
 S = {
     "op3_exact_dedup": r"""
@@ -96,4 +102,11 @@ S = {
               FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 20 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op11_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+              FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
 }
