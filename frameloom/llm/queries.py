@@ -14,6 +14,7 @@ from .licences import scan, scan_sql
 from .mixing import mix
 from .near import near_groups
 from .nearest import search
+from .phrases import collocations
 from .private import find, summary
 from .quality import classify
 from .repair import read_tokens, write_tokens
@@ -70,8 +71,12 @@ def op11_topk(spark, sf_dir):
     return top_products(table(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 Q = {f.__name__: f for f in (op1_mix, op2_shards, op3_exact_dedup, op4_licences, op5_token_files, op6_near_dedup, op7_private,
-                             op8_byte_bpe, op9_nearest, op10_quality, op11_topk)}
+                             op8_byte_bpe, op9_nearest, op10_quality, op11_topk, op13_collocations)}
 
 S = {
     "op3_exact_dedup": r"""
@@ -109,4 +114,25 @@ S = {
               FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 20 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op13_collocations": r"""
+        WITH p AS (SELECT row_number() OVER () AS piece, lang, w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS w FROM documents)),
+        q AS (SELECT piece, lang, unnest(string_split_regex(w, '[\x20\x09]+')) AS w, generate_subscripts(string_split_regex(w, '[\x20\x09]+'), 1) AS i FROM p),
+        u AS (SELECT lang, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4, lead(w, 4) OVER o AS w5
+              FROM q WHERE w <> '' WINDOW o AS (PARTITION BY piece ORDER BY i)),
+        k(k) AS (VALUES (1), (2), (3), (4), (5)),
+        g AS (SELECT lang, 1 AS k, w1 AS phrase FROM u UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM u UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM u
+              UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM u UNION ALL SELECT lang, 5, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 FROM u),
+        f AS (SELECT lang, k, phrase, count(*) AS f FROM g WHERE phrase IS NOT NULL GROUP BY ALL),
+        n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        e AS MATERIALIZED (SELECT * FROM f WHERE f >= 100),
+        c AS (SELECT lang, k AS m, phrase, f AS a, string_split(phrase, ' ') AS w FROM e WHERE k > 1),
+        x AS (SELECT c.*, i.k AS i, array_to_string(w[1:i.k], ' ') AS head, array_to_string(w[i.k + 1:], ' ') AS tail FROM c JOIN k AS i ON i.k < c.m),
+        y AS (SELECT x.lang, x.phrase, x.a, x.i, h.f AS l, t.f AS r, n.n, CAST(1000 * x.a::HUGEINT * n.n // (h.f::HUGEINT * t.f) AS BIGINT) AS score
+              FROM x JOIN e AS h ON h.lang = x.lang AND h.phrase = x.head JOIN e AS t ON t.lang = x.lang AND t.phrase = x.tail JOIN n ON n.lang = x.lang),
+        z AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) AS o FROM y),
+        d AS (SELECT lang, array_to_string(w[1:m - 1], ' ') AS phrase, a FROM c UNION SELECT lang, array_to_string(w[2:], ' '), a FROM c),
+        v AS (SELECT z.*, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS INTEGER) AS rank
+              FROM z WHERE o = 1 AND NOT EXISTS (SELECT 1 FROM d WHERE d.lang = z.lang AND d.phrase = z.phrase AND d.a >= z.a))
+        SELECT lang, rank, phrase, a, l, r, n, score FROM v WHERE rank <= 2000""",
 }
