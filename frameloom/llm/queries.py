@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..sources.artifacts import shared_folder
+from .align import align
 from .bpe import digests, tokens
 from .common import table
 from .exact import exact_groups
@@ -71,12 +72,17 @@ def op11_topk(spark, sf_dir):
     return top_products(table(spark, sf_dir, "embeddings"))
 
 
+def op12_align(spark, sf_dir):
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align(table(spark, sf_dir, "documents"), *files).documents
+
+
 def op13_collocations(spark, sf_dir):
     return collocations(table(spark, sf_dir, "documents"))
 
 
 Q = {f.__name__: f for f in (op1_mix, op2_shards, op3_exact_dedup, op4_licences, op5_token_files, op6_near_dedup, op7_private,
-                             op8_byte_bpe, op9_nearest, op10_quality, op11_topk, op13_collocations)}
+                             op8_byte_bpe, op9_nearest, op10_quality, op11_topk, op12_align, op13_collocations)}
 
 S = {
     "op3_exact_dedup": r"""
