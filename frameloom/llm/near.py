@@ -24,6 +24,7 @@ BINS = 512  # bytes of a sketch, a power of two
 #: Tokens on which the trees' roots branch, as (tree, token): one for each tree and a second for
 #: every third, which is 1/0.75 on average.
 ROOTS = [(r, r) for r in range(TREES)] + [(r, TREES + r // 3) for r in range(0, TREES, 3)]
+SURE = 6  # deviations from which on sketches pass over a pair
 #: First links: leaders of a root node, roots in common with one that make a candidate, candidates of a class.
 LEADERS, STAR, CLOSEST = 12, 8, 3
 
@@ -101,13 +102,13 @@ def maybe(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.nd
     """Which pairs of sketches x and y, of sets of nx and ny, may be of similar sets.
 
     The bins that either fills are a sample without repetition of the union.  Agreeing ones must not
-    be more than 4.5 deviations fewer than a similarity of 0.75 gives, which leaves out one pair of
-    just that similarity in 10**5.  Sets of sizes further apart than 3 to 4 can't be similar.
+    be more than SURE deviations fewer than a similarity of 0.75 gives, which leaves out one pair of
+    just that similarity in 10**9.  Sets of sizes further apart than 3 to 4 can't be similar.
     """
     filled = ((x | y) > 0).sum(axis=-1, dtype=np.int32)
     agree = ((x == y) & (x > 0)).sum(axis=-1, dtype=np.int32)
     rest = np.maximum(0.0, 1 - filled / np.maximum(1.0, (nx + ny) / 1.75))
-    return (agree >= 0.75 * filled - 4.5 * np.sqrt(0.1875 * filled * rest) - 1) & (4 * np.minimum(nx, ny) >= 3 * np.maximum(nx, ny))
+    return (agree >= 0.75 * filled - SURE * np.sqrt(0.1875 * filled * rest) - 1) & (4 * np.minimum(nx, ny) >= 3 * np.maximum(nx, ny))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
@@ -137,12 +138,11 @@ def signatures(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_sha256 binary, n_shingles long, set_key binary, tokens array<int>, sketch binary")
 
 
-def confirmed(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose full sets have 100 * common >= 75 * union.
+def full_sets(docs: DataFrame, rows: DataFrame, used: DataFrame) -> DataFrame:
+    """(cls, set): the whole sets of the classes in ``used``, as sorted 64-bit hashes.
 
-    Only texts of classes in pairs are cut into shingles again, each that of the row that names its
-    class, found by doc_id and digest; of rows equal in both a task takes one.  Sets move once to b's pairs and
-    with them to a; b should be the side of fewer pairs.
+    Only these texts are cut into shingles again, each that of the row that names its class, found by
+    doc_id and digest; of rows equal in both a task takes one.
     """
     def cut(batches):
         done: set[int] = set()
@@ -157,6 +157,17 @@ def confirmed(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
                     done.add(c)
             yield pa.RecordBatch.from_arrays([t["cls"], pa.array(raw, pa.binary())], ["cls", "set"]).filter(pa.array(same, pa.bool_()))
 
+    used = used.join(rows.select(F.col("row").alias("cls"), F.col("doc_id").alias("_doc"), F.col("text_sha256").alias("_sha"), "set_key"), "cls")
+    texts = docs.select("doc_id", "text", text_digest(F.col("text")).alias("_text"))
+    texts = texts.join(used, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_sha"))).select("cls", "set_key", "text")
+    return saved(texts.mapInArrow(cut, "cls long, set binary"))
+
+
+def confirmed(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose full sets have 100 * common >= 75 * union.
+
+    Sets move once to b's pairs and with them to a; b should be in a few pairs only.
+    """
     def check(batches):
         for t in batches:
             good = []
@@ -169,10 +180,7 @@ def confirmed(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
     pairs = saved(pairs.select("a", "b").distinct())
     used = pairs.select(F.col("a").alias("cls")).distinct().union(pairs.select("b").distinct()).distinct()
-    used = used.join(rows.select(F.col("row").alias("cls"), F.col("doc_id").alias("_doc"), F.col("text_sha256").alias("_sha"), "set_key"), "cls")
-    texts = docs.select("doc_id", "text", text_digest(F.col("text")).alias("_text"))
-    texts = texts.join(used, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_sha"))).select("cls", "set_key", "text")
-    sets = saved(texts.mapInArrow(cut, "cls long, set binary"))
+    sets = full_sets(docs, rows, used)
     sides = pairs.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b")
     sides = sides.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
     return sides.mapInArrow(check, "a long, b long").distinct()
@@ -205,7 +213,7 @@ def _near_pairs(sketch: np.ndarray, group: np.ndarray, size: np.ndarray, rows: i
     """Pairs (x, y) of different groups whose sketches may be of similar sets, x outside the largest group.
 
     One bit of each byte gives vectors of +1, -1 and 0 whose product is about the number of agreeing
-    bins; a pair that is five deviations below what a similarity of 0.75 gives is passed over,
+    bins; a pair that is SURE deviations below what a similarity of 0.75 gives is passed over,
     the others are compared in full.
     """
     names, n = np.unique(group, return_counts=True)
@@ -214,7 +222,7 @@ def _near_pairs(sketch: np.ndarray, group: np.ndarray, size: np.ndarray, rows: i
     s, g, size = sketch[order], group[order], size[order]
     bits = (((s & 1).astype(np.float32) * 2 - 1) * (s > 0)).astype(np.float32)
     filled = (s > 0).sum(axis=1).astype(np.float32)
-    least = np.maximum(0, 0.75 * filled - 5 * np.sqrt(0.4375 * filled))
+    least = np.maximum(0, 0.75 * filled - SURE * np.sqrt(0.4375 * filled))
     for lo in range(0, int(minor.sum()), rows):
         hi = min(lo + rows, int(minor.sum()))
         ok = bits[lo:hi] @ bits[lo:].T >= np.maximum(least[lo:hi, None], least[lo:])
@@ -233,39 +241,135 @@ def _bytes(col: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(col.buffers()[2], np.uint8)[at[0]:at[-1]].reshape(-1, width)
 
 
-def _exhaustive(nodes: DataFrame, *by: str) -> DataFrame:
-    """Candidates (a, b) of the nodes, each node's classes held against those outside its largest group.
+def _candidates(t: dict[str, np.ndarray], root: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of a node's members, as places.
 
-    With ``root`` among the keys, a pair comes out of the first root node only that holds both
-    and is compared at all, which the classes' ``roots`` tell; other nodes stay silent about it.
+    With a ``root``, a pair comes out of the first root node only that holds both and is compared at
+    all, which the classes' ``roots`` tell; other nodes stay silent about it.
     """
-    first_only = "root" in by
     at = [i for _, i in ROOTS]
+    tokens = t["tokens"][:, at] if root is not None else None
+    for x, y in _near_pairs(t["sketch"], t["grp"], t["n_shingles"]):
+        if root is not None and len(x):
+            live = (t["roots"][x, None] >> np.arange(len(at))) & 1
+            own = ((tokens[x] == tokens[y]) & (live == 1)).argmax(axis=1) == root
+            x, y = x[own], y[own]
+        yield x, y
+
+
+def _columns(m: pa.StructArray) -> dict[str, np.ndarray]:
+    out = {k: m.field(k).to_numpy() for k in ("cls", "grp", "n_shingles", "roots") if m.type.get_field_index(k) >= 0}
+    out["sketch"] = _bytes(m.field("sketch"), BINS)
+    if "roots" in out:
+        out["tokens"] = m.field("tokens").flatten().to_numpy().reshape(-1, TOKENS)
+    return out
+
 
+def _meeting(nodes: DataFrame, *by: str) -> DataFrame:
+    """``by`` and cls: the members of nodes that are a candidate with another member, once each."""
     def run(batches):
         for t in batches:
-            found: list[np.ndarray] = [np.empty((0, 2), np.int64)]
-            root = t["root"].to_numpy()
             for k in range(t.num_rows):
-                m = t["members"][k].values
-                cls = m.field("cls").to_numpy()
-                for x, y in _near_pairs(_bytes(m.field("sketch"), BINS), m.field("grp").to_numpy(), m.field("n_shingles").to_numpy()):
-                    if first_only and len(x):
-                        tokens = m.field("tokens").flatten().to_numpy().reshape(-1, TOKENS)[:, at]
-                        live = (m.field("roots").to_numpy()[x, None] >> np.arange(len(at))) & 1
-                        own = ((tokens[x] == tokens[y]) & (live == 1)).argmax(axis=1) == root[k]
-                        x, y = x[own], y[own]
-                    found.append(np.stack([cls[x], cls[y]], axis=1))
-            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    held = ["cls", "grp", "n_shingles", "sketch", *(["tokens", "roots"] if first_only else [])]
+                m = _columns(t["members"][k].values)
+                met = np.zeros(len(m["cls"]), bool)
+                for x, y in _candidates(m, t["root"][k].as_py() if "root" in by else None):
+                    met[x] = met[y] = True
+                n = int(met.sum())
+                yield pa.RecordBatch.from_arrays([*(pa.array([t[c][k].as_py()] * n, t[c].type) for c in by), pa.array(m["cls"][met])], [*by, "cls"])
+
+    held = ["cls", "grp", "n_shingles", "sketch", *(["tokens", "roots"] if "root" in by else [])]
     lists = nodes.groupBy(*by).agg(F.collect_list(F.struct(*held)).alias("members"))
-    return lists.select(F.col("root") if first_only else F.lit(0).alias("root"), "members").mapInArrow(run, "a long, b long")
+    types = dict(nodes.dtypes)
+    return lists.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in by) + ", cls long")
+
+
+class Forest:
+    """Which members of a node are joined already."""
 
+    def __init__(self, grp: np.ndarray):
+        self.up = np.unique(grp, return_index=True)[1][np.unique(grp, return_inverse=True)[1]]
 
-def paths(classes: DataFrame) -> DataFrame:
-    """Candidates (a, b) of classes in different groups ``grp``, by trees of chosen paths.
+    def tops(self, x: np.ndarray) -> np.ndarray:
+        while (self.up[self.up[x]] != self.up[x]).any():
+            self.up[x] = self.up[self.up[x]]
+        return self.up[x]
+
+    def join(self, x: int, y: int) -> bool:
+        a, b = self.tops(np.array([x, y])).tolist()
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def links_of(t: dict[str, np.ndarray], sets: list[np.ndarray], root: int | None, most: int = 1 << 22) -> list[tuple[int, int]]:
+    """Links of a node's members that join its groups, confirmed on full sets: fewer than it has members.
+
+    Candidates whose groups are joined already are passed over; the others are confirmed or refuted
+    here, each member against all its candidates at once.
+    """
+    out, forest = [], Forest(t["grp"])
+    sizes = np.array([len(x) for x in sets], np.int64)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    seen = np.zeros(len(values), bool)
+    for xs, ys in _candidates(t, root):
+        for x in np.unique(xs):
+            mates = ys[xs == x]
+            mates = mates[forest.tops(mates) != forest.tops(np.array([x]))]
+            if not len(mates):
+                continue
+            seen[flat[bounds[x]:bounds[x + 1]]] = True
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes[mates]) // most, prepend=0))
+            for part in np.split(mates, cuts):
+                if not len(part):
+                    continue
+                n = sizes[part]
+                ends = np.cumsum(n)
+                held = seen[flat[np.repeat(bounds[part] - (ends - n), n) + np.arange(int(ends[-1]))]]
+                common = np.add.reduceat(held.astype(np.int64), ends - n)
+                for y in part[100 * common >= 75 * (sizes[x] + n - common)].tolist():
+                    if forest.join(int(x), y):
+                        out.append((int(t["cls"][x]), int(t["cls"][y])))
+            seen[flat[bounds[x]:bounds[x + 1]]] = False
+    return out
+
+
+def _linked(met: DataFrame, known: DataFrame, sets: DataFrame, *by: str) -> DataFrame:
+    """Links (a, b) from the members that meet: each member's set moves to its nodes once, and a task holds one node's."""
+    held = ["cls", "grp", "n_shingles", "sketch", *(["tokens", "roots"] if "root" in by else [])]
+
+    def run(batches):
+        now, parts = None, []
+
+        def done():
+            t = pa.Table.from_batches(parts)
+            m = _columns(t.select(held).combine_chunks().to_struct_array().chunk(0))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in t["set"].chunks for x in c]
+            found = links_of(m, sets, t["root"][0].as_py() if "root" in by else None)
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+        for t in batches:
+            keys = np.stack([t[c].to_numpy() for c in by])
+            turns = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), t.num_rows]
+            for lo, hi in zip(turns[:-1], turns[1:], strict=True):
+                if hi == lo:
+                    continue
+                own = tuple(keys[:, lo].tolist())
+                if own != now and parts:
+                    yield done()
+                    parts = []
+                now = own
+                parts.append(t.slice(lo, hi - lo))
+        if parts:
+            yield done()
+
+    rows = met.join(known, "cls").join(sets, "cls").select(*by, *[c for c in held if c not in by], "set")
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long")
+
+
+def paths(classes: DataFrame) -> list[tuple[DataFrame, DataFrame, tuple[str, ...]]]:
+    """Members of nodes that meet a candidate of another group ``grp`` there, by trees of chosen paths.
+
+    For each level: these members, what is known of all classes, and the columns that name a node.
 
     A root node holds the classes that share one of its tree's tokens.  A node of one class or one
     group is done, as its links are known.  A node is small when holding all its classes against
@@ -276,6 +380,7 @@ def paths(classes: DataFrame) -> DataFrame:
     is compared in blocks, so nothing is left out.
     """
     known = classes.select("cls", "grp", "n_shingles", "tokens", "sketch")
+    plain = known.select("cls", "grp", "n_shingles", "sketch")
     rows, out, level = _roots(classes, "grp"), [], 0
     while True:
         stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("grp").alias("lo"), F.max("grp").alias("hi"))
@@ -291,10 +396,11 @@ def paths(classes: DataFrame) -> DataFrame:
         small = tiled.select("node", "cls", *(["root"] if level == 0 else []), F.explode_outer(own).alias("tile"))
         if level == 0:
             roots = tiled.groupBy("cls").agg(F.bit_or(F.expr("shiftleft(1L, root)")).alias("roots"))
-            small = small.join(known.join(roots, "cls"), "cls")
-            out.append(saved(_exhaustive(small, "node", "tile", "root").distinct()))
+            rooted, by = saved(known.join(roots, "cls")), ("node", "tile", "root")
+            out.append((saved(_meeting(small.join(rooted, "cls"), *by)), rooted, by))
         else:
-            out.append(saved(_exhaustive(small.join(known.select("cls", "grp", "n_shingles", "sketch"), "cls"), "node", "tile").distinct()))
+            by = ("node", "tile")
+            out.append((saved(_meeting(small.join(plain, "cls"), *by)), plain, by))
         wide = big.where("wide").select("node", "n")
         large = live.drop("n").join(wide, "node")
         if wide.isEmpty():
@@ -304,17 +410,15 @@ def paths(classes: DataFrame) -> DataFrame:
             own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
             tiles = large.select("node", "cls", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
             tiles = tiles.select("node", "cls", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-            out.append(saved(_exhaustive(tiles.join(known.select("cls", "grp", "n_shingles", "sketch"), "cls"), "node", "x", "y").distinct()))
+            by = ("node", "x", "y")
+            out.append((saved(_meeting(tiles.join(plain, "cls"), *by)), plain, by))
             break
         order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(TOKENS - 1)), lambda i: F.struct(F.xxhash64(F.col("node"), i).alias("h"), i.alias("i"))))
         chosen = large.select("node", "cls", F.slice(order, 1, PATHS).getField("i").alias("paths")).join(known.select("cls", "grp", "tokens"), "cls")
         child = F.transform("paths", lambda i: F.xxhash64(F.col("node"), i, F.element_at("tokens", i + 1)))
         rows = saved(chosen.select("cls", "grp", F.explode(child).alias("node")))
         level += 1
-    pairs = out[0]
-    for more in out[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs
+    return out
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -356,7 +460,13 @@ def _components_of_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
     grouped = classes.join(groups.withColumnRenamed("node", "cls"), "cls", "left")
     grouped = saved(grouped.select("cls", "n_shingles", "tokens", "sketch", F.coalesce("component", "cls").alias("grp")))
     with scratch(spark):
-        all_links = first.unionByName(confirmed(docs, rows, paths(grouped)))
+        levels = paths(grouped)
+        used = levels[0][0].select("cls")
+        for met, _, _ in levels[1:]:
+            used = used.unionByName(met.select("cls"))
+        sets, all_links = full_sets(docs, rows, used.distinct()), first
+        for met, known, by in levels:
+            all_links = all_links.unionByName(_linked(met, known, sets, *by))
         merged = kept(components(all_links))
     named = classes.join(merged.withColumnRenamed("node", "cls"), "cls", "left").select("set_key", "cls_doc", F.coalesce("component", "cls").alias("component"))
     named = saved(named)

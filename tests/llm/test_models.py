@@ -271,3 +271,34 @@ def test_counts_grow_with_the_input(spark, monkeypatch):
     monkeypatch.setattr(quality, "train", lambda texts, shards: own.update(texts=texts.count()) or real(texts, shards))
     quality.classify(rows, labels)
     assert 22_000 < own["texts"] < 23_000
+
+
+def test_links_of_a_node_are_a_forest():
+    """A family just around the limit gives fewer links than members, and these join what all pairs join."""
+    rng, base = random.Random(11), [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(90):
+        w = list(base)
+        for i in rng.sample(range(120), rng.choice([1, 2, 3, 4])):
+            w[i] = f"x{rng.randrange(10 ** 6)}"
+        texts.append(" ".join(w))
+    import pyarrow as pa
+    flat, sizes = near.shingles(pa.array(texts))
+    sets = np.split(flat, np.cumsum(sizes)[:-1])
+    grp = np.array([i if i % 3 else 0 for i in range(90)])
+    t = {"cls": np.arange(90), "grp": grp, "n_shingles": sizes, "sketch": near.sketches(flat, sizes)}
+    found = near.links_of(t, sets, None, most=1000)
+
+    def parts(links):
+        up = list(range(90))
+
+        def top(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+        for a, b in [*links, *((0, i) for i in range(0, 90, 3))]:
+            up[max(top(a), top(b))] = min(top(a), top(b))
+        return [top(i) for i in range(90)]
+
+    pairs = [(a, b) for a in range(90) for b in range(a) if 100 * len({*sets[a]} & {*sets[b]}) >= 75 * len({*sets[a]} | {*sets[b]})]
+    assert len(found) < len({*grp}) <= len(pairs) and parts(found) == parts(pairs)
