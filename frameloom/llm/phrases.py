@@ -78,7 +78,7 @@ def _keys(codes: np.ndarray, lens: np.ndarray) -> pa.Array:
     """A binary column: of each row of ``codes`` its first ``lens`` ones, eight bytes each."""
     flat = codes[np.arange(codes.shape[1]) < lens[:, None]]
     offsets = np.concatenate([[0], np.cumsum(lens * 8)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(offsets), pa.py_buffer(flat.astype("<u8"))])
+    return pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(offsets), pa.py_buffer(flat.astype(">u8"))])
 
 
 def _slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
@@ -107,7 +107,7 @@ def _held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def counted_words(docs: DataFrame, seed: int) -> DataFrame:
-    """lang, word, key, h, n: all words of all texts."""
+    """lang, word, h, n, key: all words of all texts; h is the code, key its bytes."""
     def run(batches):
         for t in _slices(batches):
             w = Words.of(t["text"], t["lang"], seed)
@@ -115,15 +115,16 @@ def counted_words(docs: DataFrame, seed: int) -> DataFrame:
             both, n = np.unique(w.lang * d + w.at, return_counts=True)
             one = w.codes[both % d] if len(both) else w.codes[:0]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(w.langs, pa.string()).take(pa.array(both // d)), w.names.take(pa.array(both % d)).cast(pa.string()), _keys(one[:, None], np.ones(len(one), np.int64)), pa.array(one.view(np.int64)), pa.array(n.astype(np.int64))],
-                ["lang", "word", "key", "h", "n"])
+                [pa.array(w.langs, pa.string()).take(pa.array(both // d)), w.names.take(pa.array(both % d)).cast(pa.string()), pa.array(one.view(np.int64)), pa.array(n.astype(np.int64))],
+                ["lang", "word", "h", "n"])
 
-    rows = docs.mapInArrow(run, "lang string, word string, key binary, h long, n long")
-    return rows.groupBy("lang", "word").agg(F.min("key").alias("key"), F.min("h").alias("h"), F.sum("n").alias("n"))
+    rows = docs.mapInArrow(run, "lang string, word string, h long, n long")
+    rows = rows.groupBy("lang", "word").agg(F.min("h").alias("h"), F.sum("n").alias("n"))
+    return rows.withColumn("key", F.unhex(F.lpad(F.hex("h"), 16, "0")))
 
 
 def counted_pairs(docs: DataFrame, seed: int, frequent, least: int) -> DataFrame:
-    """lang, key, h, n: pairs of neighbours that occur ``least`` times or more."""
+    """lang, key, n, h: pairs of neighbours that occur ``least`` times or more."""
     def run(batches):
         bits = frequent.value
         for t in _slices(batches):
@@ -132,14 +133,19 @@ def counted_pairs(docs: DataFrame, seed: int, frequent, least: int) -> DataFrame
             at = np.flatnonzero(often[:-1] & often[1:] & w.same[1:])
             pairs, first, n = np.unique((w.lang[at] * d + w.at[at]) * d + w.at[at + 1], return_index=True, return_counts=True)
             at = at[first]
-            a, b = w.codes[w.at[at]], w.codes[w.at[at + 1]]
-            h = _mixed(_mixed(w.heads()[at], a), b)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(w.langs, pa.string()).take(pa.array(w.lang[at])), _keys(np.stack([a, b], axis=1), np.full(len(at), 2)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))],
-                ["lang", "key", "h", "n"])
+            codes = np.stack([w.codes[w.at[at]], w.codes[w.at[at + 1]]], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(w.langs, pa.string()).take(pa.array(w.lang[at])), _keys(codes, np.full(len(at), 2)), pa.array(n.astype(np.int64))], ["lang", "key", "n"])
+
+    def named(batches):
+        import xxhash
+        for t in batches:
+            c = np.frombuffer(b"".join(t["key"].to_pylist()), ">u8").astype(np.uint64).reshape(-1, 2)
+            heads = np.array([xxhash.xxh64_intdigest(x) for x in t["lang"].to_pylist()], np.uint64)
+            yield t.append_column("h", pa.array(_mixed(_mixed(heads, c[:, 0]), c[:, 1]).view(np.int64)))
 
-    rows = docs.mapInArrow(run, "lang string, key binary, h long, n long")
-    return rows.groupBy("lang", "key").agg(F.min("h").alias("h"), F.sum("n").alias("n")).where(F.col("n") >= least)
+    rows = docs.mapInArrow(run, "lang string, key binary, n long")
+    often = rows.groupBy("lang", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return often.mapInArrow(named, "lang string, key binary, n long, h long")
 
 
 def suffixes(docs: DataFrame, seed: int, pairs, hot: dict[int, np.ndarray], groups: int, only: int | None = None) -> DataFrame:
@@ -200,7 +206,7 @@ def subtrees(rows: DataFrame, groups: int, least: int) -> DataFrame:
         lens = pc.binary_length(keys).to_numpy().astype(np.int64) // 8
         codes = np.zeros((len(lens), DEPTH), np.uint64)
         at = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset:keys.offset + len(keys) + 1]
-        codes[np.arange(DEPTH) < lens[:, None]] = np.frombuffer(keys.buffers()[2], np.uint8)[at[0]:at[-1]].view("<u8")
+        codes[np.arange(DEPTH) < lens[:, None]] = np.frombuffer(keys.buffers()[2], np.uint8)[at[0]:at[-1]].view(">u8")
         whole, n = t["whole"].to_numpy(), t["n"].to_numpy()
         langs = t["lang"].chunk(0).dictionary_encode()
         node, rows_ = langs.indices.to_numpy().astype(np.int64), np.arange(len(lens))
