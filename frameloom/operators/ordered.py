@@ -2,9 +2,14 @@
 
 A plain ``Window.partitionBy(video)`` or ``collect_list`` per video puts one
 video into one task.  The helpers here cut each key into fixed-size *blocks* of
-its dense order column, work inside the blocks, and pass only one small summary
-row per block across block borders.  Two tiers of blocks keep the number of
+its order column, work inside the blocks, and pass only one small summary row
+per block across block borders.  Two tiers of blocks keep the number of
 summaries per task small too.
+
+A series is cut once: ``blocked`` shuffles it, writes one row per block to the
+shared folder with the block's first and last row beside it, and everything
+after reads that table.  So neighbours, running values and scans read their
+source once, however many of them are stacked.
 """
 from __future__ import annotations
 
@@ -13,8 +18,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.grid import let
+from ..sources.artifacts import materialize
+
 BLOCK = 1024  # ordered rows per block
 FAN = 512  # blocks per super-block
+STEP = 32  # rows that a fold copies at most
 
 
 def r6(c: Column | str) -> Column:
@@ -46,16 +55,48 @@ def block_of(order: str | Column, block: int = BLOCK) -> Column:
     return F.floor((F.col(order) if isinstance(order, str) else order) / F.lit(block))
 
 
+def blocked(df: DataFrame, keys: Sequence[str], order: str, block: int = BLOCK) -> DataFrame:
+    """The series in blocks of ``block`` values of an integer order column, written once.
+
+    One row per block: keys, ``_blk``, its ``_rows`` in order (structs of all other columns), and the
+    first and last of them as ``_first`` and ``_last``.  Reading these two alone does not read the rows.
+    """
+    row = F.struct(order, *[c for c in df.columns if c not in (*keys, order)])
+    cut = (df.withColumn("_blk", block_of(order, block)).groupBy(*keys, "_blk")
+           .agg(F.array_sort(F.collect_list(row)).alias("_rows")))
+    return materialize(cut.withColumns({"_first": F.element_at("_rows", 1), "_last": F.element_at("_rows", -1)}))
+
+
+def emit_states(rows: Column, start: Column, step: Callable[[Column, Column], Column], give: Callable[[Column, Column, Column], Column]) -> Column:
+    """Array of ``give(before, after, row)`` along ``rows``, where ``after = step(before, row)``.
+
+    A fold that appends to its result copies it at every row.  Here rows are folded STEP at a time
+    and only the arrays of these are appended, so work grows with the rows alone.
+    """
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / STEP).cast("int")), lambda i: F.slice(rows, i * STEP + 1, F.lit(STEP)))
+    none = F.slice(F.transform(rows, lambda r: give(start, start, r)), 1, 0)
+
+    def inner(a: Column, r: Column) -> Column:
+        return let(step(a["s"], r), lambda s: F.struct(s.alias("s"), F.concat(a["o"], F.array(give(a["s"], s, r))).alias("o")))
+
+    def outer(a: Column, group: Column) -> Column:
+        done = F.aggregate(group, F.struct(a["s"].alias("s"), none.alias("o")), inner)
+        return let(done, lambda d: F.struct(d["s"].alias("s"), F.concat(a["o"], F.array(d["o"])).alias("o")))
+
+    return F.aggregate(groups, F.struct(start.alias("s"), F.slice(F.array(none), 1, 0).alias("o")), outer, lambda a: F.flatten(a["o"]))
+
+
 def _neighbour(df, keys, order, cols, out, block, step):
-    own = Window.partitionBy(*keys, "_blk").orderBy(order)
     over = Window.partitionBy(*keys).orderBy("_blk")
-    last, inside, beside = (F.max_by, F.lag, F.lag) if step > 0 else (F.min_by, F.lead, F.lead)
-    blocks = df.withColumn("_blk", block_of(order, block))
-    edges = blocks.groupBy(*keys, "_blk").agg(last(F.struct(*cols), F.col(order)).alias("_edge"))
-    edges = edges.select(*keys, "_blk", beside("_edge").over(over).alias("_halo"))
-    # The row at a block's border is the one that has no neighbour inside the block.
-    return (blocks.withColumn("_in", inside(F.struct(*cols)).over(own)).join(edges, [*keys, "_blk"], "left")
-            .withColumn(out, F.coalesce("_in", "_halo")).drop("_in", "_halo", "_blk"))
+    edge, beside = ("_last", F.lag) if step > 0 else ("_first", F.lead)
+    stored = blocked(df, keys, order, block)
+    edges = stored.select(*keys, "_blk", F.struct(*[F.col(edge)[c].alias(c) for c in cols]).alias("_e"))
+    edges = edges.select(*keys, "_blk", beside("_e").over(over).alias("_halo"))
+    # A block's rows beside the same rows moved by one, with the halo where the block ends.
+    own = F.transform("_rows", lambda r: F.struct(*[r[c].alias(c) for c in cols]))
+    moved = F.concat(F.array("_halo"), F.slice(own, 1, F.size("_rows") - 1)) if step > 0 else F.concat(F.slice(own, 2, F.size("_rows")), F.array("_halo"))
+    pairs = stored.select(*keys, "_blk", "_rows").join(edges, [*keys, "_blk"], "left").select(*keys, F.explode_outer(F.arrays_zip(F.col("_rows").alias("r"), moved.alias("o"))).alias("_z"))
+    return pairs.select(*[c if c in keys else F.col("_z.r")[c].alias(c) for c in df.columns], F.col("_z.o").alias(out))
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str],
@@ -74,30 +115,33 @@ def with_next(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str
     return _neighbour(df, keys, order, cols, out, block, -1)
 
 
-def _running(df, keys, order, value, out, block, agg, inclusive):
-    df = df.withColumns({"_v": value, "_blk": block_of(order, block)})
+def _running(df, keys, order, value, out, block, agg, start, step, inclusive):
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = df.groupBy(*keys, "_blk").agg(agg("_v").alias("_s")).select(*keys, "_blk", agg("_s").over(before).alias("_bo"))
-    w = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    return df.join(offs, [*keys, "_blk"]).withColumn("_in", agg("_v").over(w)), out
+    stored = blocked(df.withColumn("_v", value), keys, order, block)
+    whole = stored.select(*keys, "_blk", F.aggregate(F.transform("_rows", lambda r: r["_v"]), start, step).alias("_s"))
+    whole = whole.select(*keys, "_blk", F.coalesce(agg("_s").over(before), start).alias("_in"))
+    along = emit_states(F.col("_rows"), F.col("_in"), lambda s, r: step(s, r["_v"]),
+                        lambda s, t, r: F.struct((t if inclusive else s).alias("s"), r.alias("r")))
+    rows = stored.select(*keys, "_blk", "_rows").join(whole, [*keys, "_blk"]).select(*keys, F.explode_outer(along).alias("_z"))
+    return rows.select(*[c if c in keys else F.col("_z.r")[c].alias(c) for c in df.columns], F.col("_z.s").alias(out))
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str,
-                block: int = 65_536) -> DataFrame:
-    """Inclusive running sum of ``value`` along an integer order column.
+                block: int = BLOCK) -> DataFrame:
+    """Inclusive running sum of ``value`` along an integer order column; nulls count as 0.
 
     Rows are summed inside blocks; the window over a whole key sees one total
-    per ``block`` rows and streams over them.
+    per block and streams over them.
     """
-    d, out = _running(df, keys, order, value, out, block, F.sum, True)
-    return d.withColumn(out, F.coalesce("_bo", F.lit(0)) + F.coalesce("_in", F.lit(0))).drop("_v", "_blk", "_bo", "_in")
+    kind = df.select(F.sum(value).alias("v")).schema["v"].dataType
+    return _running(df, keys, order, value.cast(kind), out, block, F.sum, F.lit(0).cast(kind), lambda s, v: (s + F.coalesce(v, F.lit(0))).cast(kind), True)
 
 
 def running_max(df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str,
-                inclusive: bool = True, block: int = 65_536) -> DataFrame:
+                inclusive: bool = True, block: int = BLOCK) -> DataFrame:
     """Running maximum along an integer order column; null until a value was seen."""
-    d, out = _running(df, keys, order, value, out, block, F.max, inclusive)
-    return d.withColumn(out, F.greatest("_bo", "_in")).drop("_v", "_blk", "_bo", "_in")
+    kind = df.select(value.alias("v")).schema["v"].dataType
+    return _running(df, keys, order, value, out, block, F.max, F.lit(None).cast(kind), lambda s, v: F.greatest(s, v), inclusive)
 
 
 def finite_scan(df: DataFrame, keys: Sequence[str], order: str, states: int, init: int,
@@ -107,22 +151,14 @@ def finite_scan(df: DataFrame, keys: Sequence[str], order: str, states: int, ini
     ``step(state, row)`` gives the next state number; a block of rows becomes a
     table over all states, and tables compose.
     """
-    row = F.struct(F.col(order).alias("_k"), *[c for c in df.columns if c not in (*keys, order)])
-    blocks = (df.withColumn("_blk", block_of(order, block)).groupBy(*keys, "_blk")
-              .agg(F.array_sort(F.collect_list(row)).alias("_rows")))
-    fns = blocks.select(*keys, "_blk", F.transform(F.sequence(F.lit(0), F.lit(states - 1)), lambda s: F.aggregate(
+    stored = blocked(df, keys, order, block)
+    fns = stored.select(*keys, "_blk", F.transform(F.sequence(F.lit(0), F.lit(states - 1)), lambda s: F.aggregate(
         "_rows", s, lambda a, r: step(a, r).cast("int"))).alias("_f"))
     enter = carry_in(fns, keys, "_f", lambda f, g: F.transform(f, lambda s: F.get(g, s)),
                      lambda f, s: F.get(f, s), F.lit(init), "_s", fan)
-    none = F.slice(F.transform("_rows", lambda r: F.struct(F.lit(0).alias("s"), r.alias("r"))), 1, 0)
-
-    def emit(a, r):
-        nxt = step(a["s"], r).cast("int")
-        return F.struct(nxt.alias("s"), F.concat(a["o"], F.array(F.struct(nxt.alias("s"), r.alias("r")))).alias("o"))
-
-    done = F.aggregate("_rows", F.struct(F.col("_s").alias("s"), none.alias("o")), emit, lambda a: a["o"])
-    return (blocks.join(enter, [*keys, "_blk"]).select(*keys, F.explode_outer(done).alias("_o"))
-            .select(*keys, "_o.r.*", F.col("_o.s").alias(out)).withColumnRenamed("_k", order))
+    done = emit_states(F.col("_rows"), F.col("_s"), lambda s, r: step(s, r).cast("int"), lambda s, t, r: F.struct(t.alias("s"), r.alias("r")))
+    return (stored.select(*keys, "_blk", "_rows").join(enter, [*keys, "_blk"]).select(*keys, F.explode_outer(done).alias("_o"))
+            .select(*keys, "_o.r.*", F.col("_o.s").alias(out)))
 
 
 def carry_in(blocks: DataFrame, keys: Sequence[str], fn: str,
@@ -143,20 +179,14 @@ def carry_in(blocks: DataFrame, keys: Sequence[str], fn: str,
            .withColumn("_whole", F.aggregate(
                F.slice("_items", 2, fan), F.col("_items")[0]["f"],
                lambda f, it: compose(f, it["f"]))))
-    state = init
+    sup = materialize(sup)
 
     def walk(items: Column, start: Column) -> Column:
-        empty = F.array(F.struct(F.lit(0).cast("bigint").alias("b"), start.alias("s")))
-        return F.aggregate(
-            items, F.struct(start.alias("s"), F.slice(empty, 1, 0).alias("o")),
-            lambda a, it: F.struct(
-                apply(it["f"], a["s"]).alias("s"),
-                F.concat(a["o"], F.array(F.struct(it["b"].alias("b"), a["s"].alias("s")))).alias("o")),
-            lambda a: a["o"])
+        return emit_states(items, start, lambda s, it: apply(it["f"], s), lambda s, t, it: F.struct(it["b"].alias("b"), s.alias("s")))
 
     top = (sup.groupBy(*keys)
            .agg(F.array_sort(F.collect_list(F.struct(F.col("_sup").alias("b"), F.col("_whole").alias("f")))).alias("_sups"))
-           .withColumn("_e", F.explode_outer(walk(F.col("_sups"), state)))
+           .withColumn("_e", F.explode_outer(walk(F.col("_sups"), init)))
            .select(*keys, F.col("_e.b").alias("_sup"), F.col("_e.s").alias("_enter")))
     return (sup.join(top, [*keys, "_sup"])
             .withColumn("_e", F.explode_outer(walk(F.col("_items"), F.col("_enter"))))

@@ -3,11 +3,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import (BLOCK, block_of, carry_in, interval_join, join_small, running_sum,
-                      with_next, with_previous)
+from ..sources.artifacts import materialize
+from .ordered import (BLOCK, block_of, blocked, carry_in, emit_states, interval_join, join_small,
+                      running_sum, with_next, with_previous)
 
 VIDEO = ["video_id"]
 
@@ -29,12 +30,17 @@ def shot_boundaries(scored: DataFrame, threshold: float, min_gap: int,
     from entry state to (exit state, boundaries accepted).  Returns frame_index,
     the boundary's running number from 1 and the optional ``tag`` of its frame.
     """
-    long = lambda v: F.lit(v).cast("bigint")
     tag = F.lit(None).cast("boolean") if tag is None else tag
     blocks = (scored.withColumn("_blk", block_of("frame_index", block))
               .groupBy(*keys, "_blk")
               .agg(F.array_sort(F.collect_list(F.when(
                   F.col("score") >= threshold, F.struct(F.col("frame_index").alias("c"), tag.alias("t"))))).alias("_c")))
+    return _greedy(blocks, min_gap, keys, block, fan)
+
+
+def _greedy(blocks: DataFrame, min_gap: int, keys: Sequence[str], block: int, fan: int) -> DataFrame:
+    """Boundaries of blocks (keys, _blk) with their candidates ``_c`` (frame c, tag t) in order."""
+    long = lambda v: F.lit(v).cast("bigint")
     first, last = F.col("_blk") * block, (F.col("_blk") + 1) * block
 
     def leave(barred: Column) -> Column:
@@ -47,18 +53,15 @@ def shot_boundaries(scored: DataFrame, threshold: float, min_gap: int,
         step = F.get(g, a["s"].cast("int"))
         return F.struct(step["s"].alias("s"), (a["n"] + step["n"]).alias("n"))
 
-    tabled = blocks.withColumn("_f", F.transform(F.sequence(long(0), long(min_gap)), leave))
+    tabled = materialize(blocks.withColumn("_f", F.transform(F.sequence(long(0), long(min_gap)), leave)))
     enter = carry_in(tabled.select(*keys, "_blk", "_f"), keys, "_f",
                      lambda f, g: F.transform(f, lambda a: then(g, a)), then,
                      F.struct(long(min_gap).alias("s"), long(0).alias("n")), "_s", fan)
-    none = F.slice("_c", 1, 0)
-    kept = F.aggregate(
-        "_c", F.struct((first + F.col("_s.s")).alias("s"), none.alias("o")),
-        lambda a, c: F.when(c["c"] >= a["s"], F.struct((c["c"] + min_gap).alias("s"), F.concat(a["o"], F.array(c)).alias("o")))
-        .otherwise(a), lambda a: a["o"])
-    return (blocks.where(F.size("_c") > 0).join(enter, [*keys, "_blk"])
+    free = emit_states(F.col("_c"), first + F.col("_s.s"), lambda s, c: F.when(c["c"] >= s, c["c"] + min_gap).otherwise(s),
+                       lambda s, t, c: F.when(c["c"] >= s, c))
+    kept = F.filter(free, lambda c: c.isNotNull())
+    return (tabled.where(F.size("_c") > 0).select(*keys, "_blk", "_c").join(enter, [*keys, "_blk"])
             .select(*keys, F.col("_s.n").alias("_n"), F.posexplode_outer(kept).alias("_i", "_k")).where("_k is not null")
-           
             .select(*keys, F.col("_k.c").alias("frame_index"), (F.col("_n") + F.col("_i") + 1).alias("number"),
                     F.col("_k.t").alias("tag")))
 
@@ -79,17 +82,19 @@ def shot_manifest(bounds: DataFrame, counts: DataFrame, rate: float = 24.0,
 
 
 def _shot_rows(numbered: DataFrame, counts: DataFrame, rate: float, keys: Sequence[str]) -> DataFrame:
-    zero = F.lit(0).cast("bigint")
-    s = numbered.select(*keys, (F.col("number") + 1).alias("shot_id"), "start_frame", "tag")
-    s = s.unionByName(counts.select(*keys, (zero + 1).alias("shot_id"), zero.alias("start_frame"),
-                                    F.lit(None).cast("boolean").alias("tag")))
-    s = join_small(with_next(s, keys, "shot_id", ["start_frame"], "_n"), counts, keys, F.col("shot_id"))
-    end = F.coalesce(F.col("_n.start_frame"), F.col("frame_count")) - 1
+    """Shots from boundaries (start_frame, number from 1, tag): each ends before the next one, the last with its video."""
+    long = lambda v: F.lit(v).cast("bigint")
+    s = numbered.select(*keys, "start_frame", (F.col("number") + 1).alias("shot_id"), "tag")
+    # A first shot at 0, and an end that is no shot.
+    ends = F.explode(F.array(F.struct(long(0).alias("at"), long(1).alias("id")), F.struct(F.col("frame_count").cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("id"))))
+    more = counts.where("frame_count > 0").select(*keys, ends.alias("_e"))
+    s = s.unionByName(more.select(*keys, F.col("_e.at").alias("start_frame"), F.col("_e.id").alias("shot_id"), F.lit(None).cast("boolean").alias("tag")))
+    s = with_next(s, keys, "start_frame", ["start_frame"], "_n").where("shot_id is not null")
+    end = F.col("_n.start_frame") - 1
     return s.select(
         *keys, "shot_id", "start_frame", end.alias("end_frame"),
         (F.col("start_frame") / rate).alias("start_time"), ((end + 1) / rate).alias("end_time"),
-        F.when(F.col("start_frame") == 0, "start").when(F.col("tag"), "fade").otherwise("cut").alias("transition"),
-        "frame_count")
+        F.when(F.col("start_frame") == 0, "start").when(F.col("tag"), "fade").otherwise("cut").alias("transition"))
 
 
 def frame_counts(frames: DataFrame, keys: Sequence[str] = VIDEO) -> DataFrame:
@@ -97,9 +102,20 @@ def frame_counts(frames: DataFrame, keys: Sequence[str] = VIDEO) -> DataFrame:
 
 
 def detect_shots(frames: DataFrame, counts: DataFrame, threshold: float, min_gap: int, rate: float = 24.0,
-                 fade: Column | None = None, block: int = BLOCK, keys: Sequence[str] = VIDEO) -> DataFrame:
-    """Frames to shots in one pass; boundaries are already numbered and distinct."""
-    b = shot_boundaries(frame_diff(frames, block=block), threshold, min_gap, block=block, tag=fade)
+                 fade: Column | None = None, block: int = BLOCK, keys: Sequence[str] = VIDEO, value: str = "value", fan: int = 512) -> DataFrame:
+    """Frames to shots; boundaries are already numbered and distinct.
+
+    The frames are cut into blocks once; scores and candidates are worked out inside them.
+    """
+    tag = F.lit(None).cast("boolean") if fade is None else fade
+    stored = blocked(frames.select(*keys, "frame_index", F.col(value).alias("v"), tag.alias("t")), keys, "frame_index", block)
+    over = Window.partitionBy(*keys).orderBy("_blk")
+    halo = stored.select(*keys, "_blk", F.col("_last.v").alias("_e")).select(*keys, "_blk", F.lag("_e").over(over).alias("_halo"))
+    before = F.concat(F.array("_halo"), F.transform("_rows", lambda r: r["v"]))
+    held = F.transform("_rows", lambda r, i: F.when(F.abs(r["v"] - F.get(F.col("_before"), i)) >= threshold, F.struct(r["frame_index"].alias("c"), r["t"].alias("t"))))
+    cands = stored.select(*keys, "_blk", "_rows").join(halo, [*keys, "_blk"]).withColumn("_before", before)
+    cands = cands.select(*keys, "_blk", F.filter(held, lambda c: c.isNotNull()).alias("_c"))
+    b = _greedy(cands, min_gap, keys, block, fan)
     return _shot_rows(b.withColumnRenamed("frame_index", "start_frame"), counts, rate, keys)
 
 
