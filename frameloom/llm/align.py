@@ -11,6 +11,7 @@ from operator import itemgetter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 from .common import once_per_worker, saved
 
 FRAME = 1024  # pairs that are compressed together
+#: What splits a text before A's merges; of characters in PLAIN every Unicode version and engine says the same.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PLAIN = regex.compile(r"[\t\n\r\x20-\x7E\xA1-\xAC\xAE-\u024F\u2010-\u2027\u20AC]*")
 
 
 class Bytes:
@@ -38,28 +42,45 @@ class Bytes:
 
 
 class Both:
-    """The byte-level tokenizer A of a tokenizers file and the piece tokenizer B of a sentencepiece file."""
+    """The byte-level tokenizer A of a tokenizers file and the piece tokenizer B of a sentencepiece file.
 
-    def __init__(self, a_file: str, b_file: str):
+    A merges inside the parts that its pattern splits a text into, so a different part is
+    encoded once and kept, ``most`` of them at once; texts of other than plain characters go to
+    the library whole.
+    """
+
+    def __init__(self, a_file: str, b_file: str, most: int = 1_000_000):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
-        self.a, self.b = Tokenizer.from_file(a_file), sentencepiece.SentencePieceProcessor(model_file=b_file)
+        self.a, self.b, self.most = Tokenizer.from_file(a_file), sentencepiece.SentencePieceProcessor(model_file=b_file), most
         self.a.encode_special_tokens = True  # their strings in a text are plain text
         # A writes a byte as the character of its number where that is visible, the others from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        signs = {chr(x): x for x in plain} | {chr(256 + n): x for n, x in enumerate(x for x in range(256) if x not in set(plain))}
+        others = [x for x in range(256) if x not in set(plain)]
+        self.signs = {x: 256 + n for n, x in enumerate(others)}
+        back = {chr(x): x for x in plain} | {chr(256 + n): x for n, x in enumerate(others)}
         names = self.a.get_vocab(with_added_tokens=True)
         table = [b""] * (max(names.values()) + 1)
         for name, i in names.items():
-            table[i] = bytes(signs[c] for c in name) if all(c in signs for c in name) else name.encode()
+            table[i] = bytes(back[c] for c in name) if all(c in back for c in name) else name.encode()
         self.bytes_a = Bytes(table)
         piece = self.b.id_to_piece
         self.bytes_b = Bytes([bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())])
+        self.known: dict[str, list[int]] = {}
+
+    def _part(self, part: str) -> list[int]:
+        ids = [t.id for t in self.a.model.tokenize(part.encode().decode("latin-1").translate(self.signs))]
+        if len(self.known) >= self.most:
+            self.known.clear()
+        self.known[part] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return [e.ids for e in self.a.encode_batch([f" {x}" for x in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
+        a = [list(chain.from_iterable([self.known.get(p) or self._part(p) for p in SPLIT.findall(f" {x}")])) if PLAIN.fullmatch(x)
+             else self.a.encode(f" {x}", add_special_tokens=False).ids for x in texts]
+        return a, self.b.encode(texts, num_threads=1)
 
 
 @dataclass
@@ -97,15 +118,20 @@ def cut(both: Both, texts: list[str | None]) -> Cut:
     doc_ends = np.cumsum([u[3] for u in used])
     out.n_a[docs], out.n_b[docs] = [len(u[1]) for u in used], [len(u[2]) for u in used]
     ends_a, ends_b = np.cumsum(both.bytes_a.lens[a]), np.cumsum(both.bytes_b.lens[b])
-    ends = np.union1d(ends_a, ends_b)
-    out.doc = docs[np.searchsorted(doc_ends, ends)]
-    out.pair = (a[np.searchsorted(ends_a, ends)] << 32) | b[np.searchsorted(ends_b, ends)]
+    # Marks at every byte: where a token or a document ends, and how many have ended before.
+    marks = np.zeros((3, int(doc_ends[-1]) + 1), bool)
+    marks[0, ends_a] = marks[1, ends_b] = marks[2, doc_ends] = True
+    before_a, before_b, before_doc = (np.cumsum(m, dtype=np.int32) - m for m in marks)
+    ends, shared = np.flatnonzero(marks[0] | marks[1]), np.flatnonzero(marks[0] & marks[1])
+    out.doc = docs[before_doc[ends]]
+    out.pair = (a[before_a[ends]] << 32) | b[before_b[ends]]
     out.links += np.bincount(out.doc, minlength=n)
-    shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    out.groups += np.bincount(docs[np.searchsorted(doc_ends, shared)], minlength=n)
+    out.groups += np.bincount(docs[before_doc[shared]], minlength=n)
     # Tokens in the order of the groups' text: in each group those of A, then those of B.
-    upto_a, upto_b = np.searchsorted(ends_a, shared, "right"), np.searchsorted(ends_b, shared, "right")
-    group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
+    upto_a, upto_b = before_a[shared] + 1, before_b[shared] + 1
+    both_end = marks[0] & marks[1]
+    before_shared = np.cumsum(both_end, dtype=np.int32) - both_end
+    group_a, group_b = before_shared[ends_a], before_shared[ends_b]
     said = np.empty(len(a) + len(b), object)
     said[np.arange(len(a)) + np.concatenate([[0], upto_b])[group_a]] = np.where(ends_a == shared[group_a], both.bytes_a.last_a[a], both.bytes_a.inner[a])
     said[np.arange(len(b)) + upto_a[group_b]] = np.where(ends_b == shared[group_b], both.bytes_b.last_b[b], both.bytes_b.inner[b])

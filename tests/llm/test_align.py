@@ -92,3 +92,14 @@ def test_frames_and_heap():
     runs = [align.pack(a, np.ones(len(a), np.int64)), align.pack(b, np.full(len(b), 2))]
     got = {k: sum(n for _, n in same) for k, same in align.merge(runs)}
     assert list(got) == sorted({*a.tolist(), *b.tolist()}) and got[6] == 3 and got[3] == 1 and got[2] == 2
+
+
+def test_parts_are_the_library(both):
+    """Texts of plain characters, encoded part by part, get the library's ids; also when what is kept is dropped."""
+    import random
+    rng, few = random.Random(4), align.Both(*FILES, most=3)
+    signs = ["a", "B", "'s", "'ll", "'", " ", "  ", "\n", "\t", "\r\n", "é", "ß", "×", "²", "½", "ª", "9", "12", ".", "!?", "—", "€", "_", "<|endoftext|>", "ŉ", "ƀ", "«"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(25))) for _ in range(3000)]
+    want = [e.ids for e in both.a.encode_batch([f" {x}" for x in texts], add_special_tokens=False)]
+    assert all(align.PLAIN.fullmatch(x) for x in texts)
+    assert both.encode(texts)[0] == want and few.encode(texts)[0] == want
