@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import MIN_GAP, SQL_FRAMES, THRESHOLD, frame_counts, frame_series
+from ..fixtures import MIN_GAP, PLANE_GAP, PLANE_THRESHOLD, SQL_FRAMES, SQL_GRAY, THRESHOLD, frame_counts, frame_series, gray_series
 from ..operators import segment as seg
 from ..operators.ordered import r6
 
@@ -66,6 +66,30 @@ def shot_boundaries(spark, sf):
     return _bounds(frame_series(spark, sf)).select("video_id", "frame_index")
 
 
+P = f"""WITH RECURSIVE {SQL_GRAY},
+cand AS (SELECT video_id, frame_index FROM changed WHERE score >= {PLANE_THRESHOLD}),
+cuts(video_id, frame_index) AS (SELECT DISTINCT video_id, CAST(0 AS BIGINT) FROM changed
+  UNION ALL SELECT c.video_id, min(c.frame_index) FROM cuts b JOIN cand c ON c.video_id = b.video_id
+    AND c.frame_index >= b.frame_index + {PLANE_GAP} GROUP BY c.video_id, b.frame_index),
+n AS (SELECT video_id, count(*) AS frame_count FROM changed GROUP BY 1)
+"""
+
+
+@q("plane_diff", P + "SELECT video_id, frame_index, round(score, 4) + 0.0 AS score FROM changed")
+def plane_diff(spark, sf):
+    """Mean absolute gray change of every frame's cells from the frame before."""
+    return seg.frame_diff(gray_series(spark, sf), value="gray").select("video_id", "frame_index", (F.round("score", 4) + F.lit(0.0)).alias("score"))
+
+
+@q("plane_shots", P + """SELECT video_id, row_number() OVER w AS shot_id, frame_index AS start_frame, coalesce(lead(frame_index) OVER w, frame_count) - 1 AS end_frame,
+   CASE WHEN frame_index = 0 THEN 'start' ELSE 'cut' END AS transition FROM cuts JOIN n USING (video_id) WINDOW w AS (PARTITION BY video_id ORDER BY frame_index)""")
+def plane_shots(spark, sf):
+    """Shots found in the pictures themselves."""
+    g = gray_series(spark, sf)
+    counts = g.groupBy("video_id").agg(F.count(F.lit(1)).alias("frame_count"))
+    return seg.detect_shots(g, counts, PLANE_THRESHOLD, PLANE_GAP, value="gray").select("video_id", "shot_id", "start_frame", "end_frame", "transition")
+
+
 @q("shot_manifest", W + """SELECT video_id, shot_id, start_frame, end_frame, round(start_frame / 24.0, 6) AS start_time,
    round((end_frame + 1) / 24.0, 6) AS end_time, transition FROM shots""")
 def shot_manifest(spark, sf):
@@ -87,12 +111,10 @@ def frame_to_shot(spark, sf):
 
 
 @q("scan_frames", W + """SELECT video_id, shot_id, count(*) AS frames_read, max(end_frame - start_frame + 1) AS frames_expected,
-   count(*) = max(end_frame - start_frame + 1) AS complete FROM owned JOIN shots USING (video_id, shot_id) WHERE shot_id % 5 <> 0 GROUP BY 1, 2
-   UNION ALL SELECT video_id, NULL, count(*), 0, false FROM owned WHERE shot_id % 5 = 0 GROUP BY 1""")
+   count(*) = max(end_frame - start_frame + 1) AS complete FROM owned JOIN shots USING (video_id, shot_id) GROUP BY 1, 2""")
 def scan_frames(spark, sf):
-    """Every fifth shot is absent, so its frames belong to none."""
     f = frame_series(spark, sf)
-    return seg.scan_frames(f, shots_of(spark, sf, f).where("shot_id % 5 <> 0"))
+    return seg.scan_frames(f, shots_of(spark, sf, f))
 
 
 @q("representative_frames", W + "SELECT DISTINCT video_id, shot_id, frame_index FROM plan")

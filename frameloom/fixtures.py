@@ -75,6 +75,25 @@ cx AS (SELECT video_id, shot_id, frame_index, CAST(i // 8 AS BIGINT) AS y, CAST(
   FROM planes, (SELECT unnest(range(64)) AS i))"""
 
 
+PLANE_THRESHOLD, PLANE_GAP, PLANE_WIDTH = 9.0, 5, 4
+
+
+def gray_series(spark: SparkSession, sf: str) -> DataFrame:
+    """Gray planes of two videos, shrunk to PLANE_WIDTH cells, their frames numbered through all shots."""
+    from .operators.segment import gray_planes
+    g = gray_planes(colour_frames(spark, sf), PLANE_WIDTH).select("video_id", "shot_id", "frame_index", "gray")
+    cell = [F.col("shot_id"), F.floor(F.col("_i") / 65_536)]
+    return number_rows(g.withColumnRenamed("frame_index", "_i"), ["video_id"], ["shot_id", "_i"], cell, "frame_index").select("video_id", "frame_index", "gray")
+
+
+SQL_GRAY = SQL_COLOUR + """,
+fx AS (SELECT video_id, row_number() OVER (PARTITION BY video_id, y, x ORDER BY shot_id, frame_index) - 1 AS frame_index, y, x,
+  0.114 * b + 0.587 * g + 0.299 * r AS v FROM cx),
+small AS (SELECT video_id, frame_index, y // 2 AS y, x // 2 AS x, avg(v) AS v FROM fx GROUP BY ALL),
+moved AS (SELECT video_id, frame_index, abs(v - lag(v) OVER (PARTITION BY video_id, y, x ORDER BY frame_index)) AS d FROM small),
+changed AS (SELECT video_id, frame_index, avg(d) AS score FROM moved GROUP BY 1, 2)"""
+
+
 def shot_features(spark: SparkSession, sf: str) -> DataFrame:
     """One row per order with lines: a customer's orders are the shots of a reel."""
     li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(

@@ -19,6 +19,7 @@ BATCH_BYTES = 1 << 24
 # Fixed values of the colour mix (rows are output R, G, B; columns input R, G, B).
 LEFT_MATRIX = ((0.437, 0.449, 0.164), (-0.062, -0.062, -0.024), (-0.048, -0.050, -0.017))
 RIGHT_MATRIX = ((-0.011, -0.032, -0.007), (0.377, 0.761, 0.009), (-0.026, -0.093, 1.234))
+GRAY = (0.114, 0.587, 0.299)  # of b, g, r
 LUMINANCE = (0.2126, 0.7152, 0.0722)
 GAMMA, SATURATION, LEAKAGE = 2.2, 0.90, 0.04
 MAX_FILL = 16
@@ -40,6 +41,34 @@ def resize_bilinear(z: np.ndarray, h: int, w: int, h2: int, w2: int) -> np.ndarr
     return ((a[y0, x0] * (1 - wx) + a[y0, x1] * wx) * (1 - wy) + (a[y1, x0] * (1 - wx) + a[y1, x1] * wx) * wy).ravel()
 
 
+def resize_area(z: np.ndarray, h: int, w: int, h2: int, w2: int) -> np.ndarray:
+    """Mean of the source cells under each target cell; nearest when either side grows."""
+    a = z.reshape(h, w)
+    if h2 > h or w2 > w:
+        return a[np.rint(even_positions(h, h2)).astype(int)[:, None], np.rint(even_positions(w, w2)).astype(int)].ravel()
+    ys, xs = np.arange(h2 + 1) * h // h2, np.arange(w2 + 1) * w // w2
+    total = np.add.reduceat(np.add.reduceat(a.astype(np.float64), ys[:-1], axis=0), xs[:-1], axis=1)
+    return (total / np.outer(np.diff(ys), np.diff(xs))).ravel()
+
+
+def small_size(h: int, w: int, width: int) -> tuple[int, int]:
+    """Height and width of a plane shrunk to ``width`` at most, its shape kept."""
+    w2 = min(width, w)
+    return max(1, round(h * w2 / w)), w2
+
+
+def gray(b: np.ndarray, g: np.ndarray, r: np.ndarray) -> np.ndarray:
+    return GRAY[0] * b + GRAY[1] * g + GRAY[2] * r
+
+
+def changes(planes: list[np.ndarray | None]) -> list[float | None]:
+    """Mean absolute change of each plane but the first from the one before; null where either is missing or their sizes differ."""
+    out = []
+    for a, b in zip(planes[:-1], planes[1:], strict=True):
+        out.append(None if a is None or b is None or len(a) != len(b) or not len(a) else float(np.abs(b - a).mean()))
+    return out
+
+
 def percentile(z: np.ndarray, level: float) -> float:
     pos = level * (len(z) - 1)
     lo, hi = int(np.floor(pos)), int(np.ceil(pos))

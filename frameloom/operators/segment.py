@@ -3,21 +3,74 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
+from ..functions import pixels as PX
 from ..sources.artifacts import materialize
 from .ordered import (BLOCK, block_of, blocked, carry_in, emit_states, interval_join, join_small,
                       running_sum, with_next, with_previous)
 
 VIDEO = ["video_id"]
+PLANE_BLOCK = 64  # gray planes that a block holds
+
+
+def gray_planes(frames: DataFrame, width: int = 320) -> DataFrame:
+    """``gray``: each frame's gray levels, area-resized to ``width`` at most, from its b, g, r planes."""
+    def work(f):
+        h2, w2 = PX.small_size(f["h"], f["w"], width)
+        return {"gray": PX.resize_area(PX.gray(f["b"], f["g"], f["r"]), f["h"], f["w"], h2, w2)}
+    return PX.pixel_step(frames, ["b", "g", "r", "h", "w"], "gray array<double>", work)
+
+
+def _scored_blocks(frames: DataFrame, keys: Sequence[str], value: str, block: int, tag: Column) -> DataFrame:
+    """keys, ``_blk`` and ``_s``: frame number c, score and tag of a block's frames in order.
+
+    The score is the absolute change from the frame before: of a number, or the mean one of a plane's
+    cells.  Only the last frame of a block goes to the next block.
+    """
+    stored = blocked(frames.select(*keys, "frame_index", F.col(value).alias("v"), tag.alias("t")), keys, "frame_index", block)
+    over = Window.partitionBy(*keys).orderBy("_blk")
+    halo = stored.select(*keys, "_blk", F.col("_last.v").alias("_e")).select(*keys, "_blk", F.lag("_e").over(over).alias("_halo"))
+    rows = stored.select(*keys, "_blk", "_rows").join(halo, [*keys, "_blk"])
+    if not isinstance(frames.schema[value].dataType, ArrayType):
+        before = rows.withColumn("_before", F.concat(F.array("_halo"), F.transform("_rows", lambda r: r["v"])))
+        return before.select(*keys, "_blk", F.transform("_rows", lambda r, i: F.struct(
+            r["frame_index"].alias("c"), F.abs(r["v"] - F.get(F.col("_before"), i)).alias("score"), r["t"].alias("t"))).alias("_s"))
+
+    def run(batches):
+        for t in batches:
+            scores = []
+            for k in range(t.num_rows):
+                planes = t["_rows"][k].values.field("v")
+                own = [t["_halo"][k], *planes]
+                scores.append(PX.changes([x.values.to_numpy(zero_copy_only=False).astype(np.float64) if x.is_valid else None for x in own]))
+            rest = [t["_rows"][k].values for k in range(t.num_rows)]
+            offsets = np.cumsum([0, *map(len, rest)]).astype(np.int32)
+            told = pa.StructArray.from_arrays([pa.concat_arrays([x.field("frame_index") for x in rest]), pa.array([v for x in scores for v in x], pa.float64()),
+                                               pa.concat_arrays([x.field("t") for x in rest])], ["c", "score", "t"]) if rest else None
+            if told is not None:
+                yield pa.RecordBatch.from_arrays([*(t[c] for c in keys), t["_blk"], pa.ListArray.from_arrays(offsets, told)], [*keys, "_blk", "_s"])
+
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    made = ", ".join(f"`{c}` {kind[c]}" for c in [*keys, "_blk"])
+    return rows.mapInArrow(run, f"{made}, _s array<struct<c: bigint, score: double, t: boolean>>")
 
 
 def frame_diff(frames: DataFrame, keys: Sequence[str] = VIDEO, value: str = "value",
                block: int = BLOCK) -> DataFrame:
-    """Absolute change of a frame's gray level from the frame before (null for the first)."""
-    return (with_previous(frames, keys, "frame_index", [value], "_p", block)
-            .withColumn("score", F.abs(F.col(value) - F.col("_p")[value])).drop("_p"))
+    """Absolute change from the frame before (null for the first): ``score`` beside the frame's columns.
+
+    ``value`` is a number, or a gray plane, of which the mean change of cells counts (null where the size changes).
+    """
+    if not isinstance(frames.schema[value].dataType, ArrayType):
+        return (with_previous(frames, keys, "frame_index", [value], "_p", block)
+                .withColumn("score", F.abs(F.col(value) - F.col("_p")[value])).drop("_p"))
+    scored = _scored_blocks(frames, keys, value, min(block, PLANE_BLOCK), F.lit(None).cast("boolean"))
+    return scored.select(*keys, F.explode("_s").alias("_e")).select(*keys, F.col("_e.c").alias("frame_index"), F.col("_e.score").alias("score"))
 
 
 def shot_boundaries(scored: DataFrame, threshold: float, min_gap: int,
@@ -105,17 +158,13 @@ def detect_shots(frames: DataFrame, counts: DataFrame, threshold: float, min_gap
                  fade: Column | None = None, block: int = BLOCK, keys: Sequence[str] = VIDEO, value: str = "value", fan: int = 512) -> DataFrame:
     """Frames to shots; boundaries are already numbered and distinct.
 
-    The frames are cut into blocks once; scores and candidates are worked out inside them.
+    The frames are cut into blocks once; scores and candidates are worked out inside them.  ``value``
+    is a number or a gray plane as in :func:`frame_diff`.
     """
-    tag = F.lit(None).cast("boolean") if fade is None else fade
-    stored = blocked(frames.select(*keys, "frame_index", F.col(value).alias("v"), tag.alias("t")), keys, "frame_index", block)
-    over = Window.partitionBy(*keys).orderBy("_blk")
-    halo = stored.select(*keys, "_blk", F.col("_last.v").alias("_e")).select(*keys, "_blk", F.lag("_e").over(over).alias("_halo"))
-    before = F.concat(F.array("_halo"), F.transform("_rows", lambda r: r["v"]))
-    held = F.transform("_rows", lambda r, i: F.when(F.abs(r["v"] - F.get(F.col("_before"), i)) >= threshold, F.struct(r["frame_index"].alias("c"), r["t"].alias("t"))))
-    cands = stored.select(*keys, "_blk", "_rows").join(halo, [*keys, "_blk"]).withColumn("_before", before)
-    cands = cands.select(*keys, "_blk", F.filter(held, lambda c: c.isNotNull()).alias("_c"))
-    b = _greedy(cands, min_gap, keys, block, fan)
+    block = min(block, PLANE_BLOCK) if isinstance(frames.schema[value].dataType, ArrayType) else block
+    scored = _scored_blocks(frames, keys, value, block, F.lit(None).cast("boolean") if fade is None else fade)
+    held = F.transform(F.filter("_s", lambda x: x["score"] >= threshold), lambda x: F.struct(x["c"].alias("c"), x["t"].alias("t")))
+    b = _greedy(scored.select(*keys, "_blk", held.alias("_c")), min_gap, keys, block, fan)
     return _shot_rows(b.withColumnRenamed("frame_index", "start_frame"), counts, rate, keys)
 
 

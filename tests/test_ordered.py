@@ -141,3 +141,34 @@ def test_representatives(spark):
     assert sorted(got[2]) == [200, 201, 202, 203, 204]
     one = SEG.sample_plan(s, 1).where("shot_id = 1").collect()
     assert [r.frame_index for r in one] == [149]
+
+
+def test_scan_frames_with_leftovers(spark):
+    """Frames of no shot are a row of null shot; a shot without frames is not complete."""
+    f = spark.createDataFrame([(1, i) for i in (0, 1, 2, 3, 9)], "video_id long, frame_index long")
+    s = spark.createDataFrame([(1, 1, 0, 3, "start"), (1, 2, 4, 8, "cut")], "video_id long, shot_id long, start_frame long, end_frame long, transition string")
+    got = {(r.shot_id, r.frames_read, r.frames_expected, r.complete) for r in SEG.scan_frames(f, s).collect()}
+    assert got == {(1, 4, 4, True), (2, 0, 5, False), (None, 1, 0, False)}
+
+
+@pytest.mark.parametrize("block", [1, 3, 64])
+def test_equally_bright_pictures_are_cut(spark, block):
+    """A cut between pictures of one mean gray level is found in their cells; a missing plane and a new size are no cut."""
+    a, b = [0.0, 100.0] * 8, [100.0, 0.0] * 8
+    rows = [(1, i, 4, 4, *[a if i < 7 else b] * 3) for i in range(14)] + [(1, 14, 2, 2, *[[50.0] * 4] * 3), (1, 15, 2, 2, None, None, None), (1, 16, 2, 2, *[[50.0] * 4] * 3)]
+    f = spark.createDataFrame(rows, "video_id long, frame_index long, h int, w int, b array<double>, g array<double>, r array<double>")
+    g = SEG.gray_planes(f).select("video_id", "frame_index", "gray")
+    assert {x.frame_index: x.score for x in SEG.frame_diff(g, value="gray", block=block).collect()} == {i: None if i in (0, 14, 15, 16) else pytest.approx(100.0 if i == 7 else 0.0) for i in range(17)}
+    n = spark.createDataFrame([(1, 17)], "video_id long, frame_count long")
+    got = SEG.detect_shots(g, n, 27.0, 5, value="gray", block=block).orderBy("shot_id").collect()
+    assert [(r.shot_id, r.start_frame, r.end_frame) for r in got] == [(1, 0, 6), (2, 7, 16)]
+
+
+def test_area_resize_of_planes():
+    from frameloom.functions import pixels as PX
+    rng = np.random.default_rng(1)
+    for h, w, h2, w2 in [(6, 8, 3, 4), (5, 7, 2, 3), (4, 4, 4, 4), (3, 5, 1, 1)]:
+        z = rng.uniform(size=h * w)
+        ys, xs = [i * h // h2 for i in range(h2 + 1)], [i * w // w2 for i in range(w2 + 1)]
+        want = [z.reshape(h, w)[ys[i]:ys[i + 1], xs[j]:xs[j + 1]].mean() for i in range(h2) for j in range(w2)]
+        assert np.allclose(PX.resize_area(z, h, w, h2, w2), want)
