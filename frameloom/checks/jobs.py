@@ -13,6 +13,7 @@ from ..operators import depth as D
 from ..operators import direct as X
 from ..operators.ordered import r6
 from ..plans import jobs as P
+from ..plans import project as PJ
 from ..sources import artifacts as A
 from ..sources import frames as SF
 from .depth import S as DEPTH_SQL
@@ -194,3 +195,21 @@ def final_with_qc(spark, sf):
 def run(spark, sf):
     r = _run(spark, sf)["report"].withColumn("warnings", F.array_join("warnings", "|"))
     return _rounded(r, [c for c, t in r.dtypes])
+
+
+@q("incremental_run", """WITH v AS (SELECT DISTINCT CAST(label % 2 AS BIGINT) AS video_id FROM embeddings), s(stage) AS (VALUES ('shots'), ('depth'), ('features'), ('direct'))
+   SELECT 1 AS round, video_id, stage, 'never_run' AS reason FROM v, s
+   UNION ALL SELECT 3, 0, stage, 'input_changed' FROM s WHERE stage IN ('features', 'direct') AND EXISTS (FROM v WHERE video_id = 0)
+   UNION ALL SELECT 4, video_id, 'direct', 'forced' FROM v""")
+def incremental_run(spark, sf):
+    """Four rounds over the same frames: all new, nothing changed, other speech in one video, one stage forced."""
+    frames, _, spans = reel(spark, sf)
+    frames, spans = A.materialize(frames), A.materialize(spans)
+    project = PJ.Project(spark, f"{A.shared_folder(spark)}/project-{uuid.uuid4().hex}")
+    more = spans.withColumn("end_s", C("end_s") + F.when(C("video_id") == 0, 0.5).otherwise(0.0))
+    rounds = [(spans, ()), (spans, ()), (more, ()), (more, ("direct",))]
+    out = None
+    for n, (speech, force) in enumerate(rounds, 1):
+        ran = project.update(frames, speech, "direct", force, threshold=9.0, min_gap=5).withColumn("round", F.lit(n))
+        out = ran if out is None else out.unionByName(ran)
+    return out.select("round", "video_id", "stage", "reason")

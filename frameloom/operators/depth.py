@@ -7,9 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grid as G
+from ..functions import pixels as PX
 from .ordered import block_of, carry_in, exact_quantiles, join_small, with_previous
 
 SHOT = ["video_id", "shot_id"]
+PLANE_BLOCK = 32  # planes that a block holds
 
 
 def _values(planes: DataFrame, keys: Sequence[str], z: str) -> DataFrame:
@@ -37,16 +39,26 @@ def norm_stats(planes: DataFrame, keys: Sequence[str] = SHOT, z: str = "z",
 
 
 def normalize(planes: DataFrame, stats: DataFrame, keys: Sequence[str] = SHOT, z: str = "z") -> DataFrame:
-    """Scale each shot once by its own quantiles; invalid cells take the median, flat shots 0.5."""
+    """Scale each shot once by its own quantiles; invalid cells take the median, flat shots 0.5.
+
+    A shot without any finite cell has nothing to scale by: its planes stay, as nulls, and its
+    statistics say why (``valid`` false).
+    """
     s = stats.where("valid").select(*keys, F.struct("median", "clip_lower", "clip_upper", "flat").alias("_s"))
     lo, span = F.col("_s.clip_lower"), F.col("_s.clip_upper") - F.col("_s.clip_lower")
     scaled = F.transform(z, lambda v: F.when(F.col("_s.flat"), 0.5).otherwise(G.clamp(
         (F.when(G.finite(v), v.cast("double")).otherwise(F.col("_s.median")) - lo) / span, 0, 1)))
-    return join_small(planes, s, keys, F.col("frame_index")).withColumn(z, scaled).drop("_s")
+    joined = join_small(planes, s, keys, F.col("frame_index"), "left")
+    return joined.withColumn(z, F.when(F.col("_s").isNotNull(), scaled)).drop("_s")
 
 
 def smooth_space(planes: DataFrame, amount: float = 0.15, z: str = "z") -> DataFrame:
-    return planes.withColumn(z, G.edge_aware(F.col(z), F.col("h"), F.col("w"), amount))
+    """Each cell blended with its similar neighbours; null planes stay null."""
+    if amount <= 0:
+        return planes
+    smoothed, sigma = PX.edge_aware, G.SIGMA
+    work = lambda f: {z: smoothed(f[z], f["h"], f["w"], amount, sigma)}
+    return PX.pixel_step(planes, [z, "h", "w"], f"{z} array<double>", work).select(*planes.columns)
 
 
 def smooth_time(planes: DataFrame, keep: float = 0.82, keys: Sequence[str] = SHOT, order: str = "frame_index",
@@ -59,6 +71,7 @@ def smooth_time(planes: DataFrame, keep: float = 0.82, keys: Sequence[str] = SHO
     """
     if keep <= 0:
         return planes
+    lost, planes = planes.where(F.col(z).isNull()), planes.where(F.col(z).isNotNull())
     rest = [c for c in planes.columns if c not in (*keys, order, z)]
     n = F.floor((F.size(z) + tile - 1) / tile).cast("int")
     cut = F.transform(F.sequence(F.lit(0), n - 1), lambda t: F.slice(z, t * tile + 1, F.lit(tile)))
@@ -95,13 +108,13 @@ def smooth_time(planes: DataFrame, keep: float = 0.82, keys: Sequence[str] = SHO
     whole = (out.groupBy(*keys, order)
              .agg(F.array_sort(F.collect_list(F.struct("_tile", "_v"))).alias("_t"), F.first("_m").alias("_m")))
     joined = F.flatten(F.transform("_t", lambda t: t["_v"]))
-    return whole.select(*keys, order, F.col("_m.*"),
-                        F.transform(joined, lambda v: G.clamp(v, 0, 1)).alias(z))
+    smooth = whole.select(*keys, order, F.col("_m.*"), F.transform(joined, lambda v: G.clamp(v, 0, 1)).alias(z))
+    return smooth.unionByName(lost.select(*smooth.columns))
 
 
 def temporal_change(planes: DataFrame, keys: Sequence[str] = SHOT, z: str = "z") -> DataFrame:
     """Mean absolute change from the frame before in the shot; null for the first or another shape."""
-    p = with_previous(planes, keys, "frame_index", ["h", "w", z], "_p")
+    p = with_previous(planes, keys, "frame_index", ["h", "w", z], "_p", PLANE_BLOCK)
     same = (F.col("_p.h") == F.col("h")) & (F.col("_p.w") == F.col("w"))
     return p.withColumn("change", F.when(same, G.mean_abs_diff(F.col(z), F.col("_p")[z]))).drop("_p")
 
@@ -177,6 +190,9 @@ def synthetic_depth(shots: DataFrame, h: int, w: int, pattern: str = "moving-ram
 
 
 def estimate_depth(raw: DataFrame, keep: float = 0.82, amount: float = 0.15) -> tuple[DataFrame, DataFrame]:
-    """Normalised, spatially and temporally smoothed planes, and the per-shot statistics."""
+    """Normalised, spatially and temporally smoothed planes, and the per-shot statistics.
+
+    Planes of shots that can't be normalised are in the result with a null ``z``.
+    """
     stats = norm_stats(raw)
     return smooth_time(smooth_space(normalize(raw, stats), amount), keep), stats

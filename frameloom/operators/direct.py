@@ -116,9 +116,9 @@ def comfort_guard(rows: DataFrame, hard: Column, comfort: dict = R.COMFORT,
 
 
 def with_preset(rows: DataFrame, preset: str = "preset") -> DataFrame:
-    """Parameters of each row's preset: a join with the five-row preset table."""
+    """Parameters of each row's preset: a join with the five-row preset table; nulls for a preset that isn't in it."""
     t = R.preset_table(rows.sparkSession)
-    return rows.drop(*R.PARAMS).join(F.broadcast(t.withColumnRenamed("preset", preset)), preset)
+    return rows.drop(*R.PARAMS).join(F.broadcast(t.withColumnRenamed("preset", preset)), preset, "left")
 
 
 def create_script(features: DataFrame, hard: Column, comfort: dict = R.COMFORT, choose=R.select_preset) -> DataFrame:

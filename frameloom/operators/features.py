@@ -25,7 +25,7 @@ def luma_pairs(frames: DataFrame, max_width: int = 160, keys: Sequence[str] = SH
     step = F.greatest(F.lit(1), F.ceil(w / F.lit(max_width)).cast("int"))
     f = frames.select(*keys, "frame_index", no.alias("no"), *also, F.ceil(h / step).cast("int").alias("lh"), F.ceil(w / step).cast("int").alias("lw"),
                       G.luma(C("b"), C("g"), C("r"), h, w, max_width).alias("luma"))
-    return with_previous(f, keys, "frame_index", ["no", "luma"], "prev")
+    return with_previous(f, keys, "frame_index", ["no", "luma"], "prev", 64)
 
 
 def pair_scores(pairs: DataFrame) -> DataFrame:

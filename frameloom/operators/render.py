@@ -17,13 +17,16 @@ EASED = ["depth_strength", "convergence", "max_background", "max_popout"]
 
 
 def ease_parameters(frames: DataFrame, shots: DataFrame, script: DataFrame, keys: Sequence[str] = ("video_id",)) -> DataFrame:
-    """Per frame the parameters in force: eased at the start of a fade, the shot's own elsewhere."""
+    """Per frame the parameters in force: eased at the start of a fade, the shot's own elsewhere.
+
+    Frames of a shot that has no script keep their row, with null parameters.
+    """
     names = [*EASED, "temporal_smoothing", "transition_frames", "edge_protection"]
     s = shots.select(*keys, "shot_id", "start_frame", "end_frame", "transition").join(
-        script.select(*keys, "shot_id", F.struct(*names).alias("_t")), [*keys, "shot_id"])
+        script.select(*keys, "shot_id", F.struct(*names).alias("_t")), [*keys, "shot_id"], "left")
     s = with_previous(s, keys, "shot_id", ["_t"], "_p")
     f = interval_join(frames, s, keys, "frame_index", "start_frame", "end_frame")
-    fading = (C("transition") == "fade") & C("_p").isNotNull()
+    fading = (C("transition") == "fade") & C("_p._t").isNotNull() & C("_t").isNotNull()
     tgt = {n: C(f"_t.{n}") for n in names}
     mixed = T.eased({n: C(f"_p._t.{n}") for n in EASED}, tgt, C("frame_index") - C("start_frame"), EASED)
     cols = {n: (F.when(fading, mixed[n]).otherwise(tgt[n]) if n in mixed else tgt[n]) for n in names}

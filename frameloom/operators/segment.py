@@ -318,6 +318,7 @@ def shot_at_time(heads: DataFrame, shots: DataFrame, keys: Sequence[str] = VIDEO
 
 
 def draft_coverage(plan: DataFrame, shots: DataFrame, keys: Sequence[str] = VIDEO) -> DataFrame:
-    got = plan.groupBy(*keys, "shot_id").agg(F.count(F.lit(1)).alias("sampled_frames"))
-    return shots.join(got, [*keys, "shot_id"]).select(
-        *keys, "shot_id", "sampled_frames", (F.col("end_frame") - F.col("start_frame") + 1).alias("total_frames"))
+    """Sampled and total frames of every shot, 0 sampled where the plan has none."""
+    got = plan.groupBy(*keys, "shot_id").agg(F.count(F.lit(1)).alias("_n"))
+    return shots.join(got, [*keys, "shot_id"], "left").select(
+        *keys, "shot_id", F.coalesce("_n", F.lit(0).cast("bigint")).alias("sampled_frames"), (F.col("end_frame") - F.col("start_frame") + 1).alias("total_frames"))
