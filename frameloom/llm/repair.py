@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import once_per_worker
+from .common import once_per_worker, text_digest
 
 MAGIC = b"RPG1"
 #: Letters that stay letters when normalised; Latin ones without the dotted capital i.
@@ -64,72 +64,101 @@ class Grammar:
             flat, lens, done = np.concatenate([flat, more]), np.concatenate([lens, own]), upto
         return spread(flat, starts[symbols], lens[symbols])[0].astype(np.uint32)
 
+    def _needed(self, symbols: np.ndarray) -> Grammar:
+        """The part of the grammar that the symbols use, with them as its sequence."""
+        mask = np.zeros(len(self.rules), bool)
+        level = np.unique(symbols[symbols >= self.base].astype(np.int64)) - self.base
+        while len(level):
+            mask[level] = True
+            kids = self.rules[level].ravel().astype(np.int64)
+            kids = np.unique(kids[kids >= self.base]) - self.base
+            level = kids[~mask[kids]]
+        new = np.arange(self.base + len(self.rules))
+        new[self.base:] = self.base + np.cumsum(mask) - 1
+        return Grammar(self.base, new[self.rules[mask]], self.lengths[mask], new[symbols])
+
+    def _inside(self, symbol: int, lo: int, hi: int) -> list[int]:
+        """Symbols that stand for the ids lo to hi of a symbol: its parts are opened only where a border falls inside."""
+        out, open_ = [], [(symbol, lo, hi)]
+        while open_:
+            s, a, b = open_.pop()
+            n = 1 if s < self.base else int(self.lengths[s - self.base])
+            if (a, b) == (0, n):
+                out.append(s)
+            elif a < b:
+                left, right = self.rules[s - self.base].tolist()
+                k = 1 if left < self.base else int(self.lengths[left - self.base])
+                open_ += [(right, max(0, a - k), max(0, b - k)), (left, min(a, k), min(b, k))]
+        return out
+
     def ids(self, start: int = 0, stop: int | None = None) -> np.ndarray:
-        """The ids from ``start`` to ``stop``; only the symbols that cover them are expanded."""
+        """The ids from ``start`` to ``stop``; of the rules only those that stand for some of them are written out."""
         ends = np.cumsum(self.cover())
         stop = int(ends[-1]) if stop is None and len(ends) else stop or 0
         if stop <= start:
             return np.empty(0, np.uint32)
-        a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
+        a, b = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left"))
         before = int(ends[a - 1]) if a else 0
-        return self.expand(self.sequence[a:b])[start - before:stop - before]
-
-
-def _hash(x: np.ndarray, bits: int) -> np.ndarray:
-    return ((x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def compress(ids: np.ndarray, base: int, end_id: int, rounds: int = 4, least: int = 8) -> Grammar:
-    """A grammar for the ids, all pairs of a round that occur ``least`` times or more at once.
-
-    In a round, pairs are counted; where chosen occurrences overlap, the more frequent pair wins, of
-    equals the left one.  A pair may end a document but not cross its end, so each document begins
-    at a symbol.
+        if a == b:
+            symbols = np.array(self._inside(int(self.sequence[a]), start - before, stop - before), np.int64)
+        else:
+            first = self._inside(int(self.sequence[a]), start - before, int(ends[a]) - before)
+            last = self._inside(int(self.sequence[b]), 0, stop - int(ends[b - 1]))
+            symbols = np.concatenate([first, self.sequence[a + 1:b], last]).astype(np.int64)
+        part = self._needed(symbols)
+        return part.expand(part.sequence)
+
+
+def compress(ids: np.ndarray, base: int, end_id: int, least: int = 4) -> Grammar:
+    """A grammar for the ids: rounds go on until no pair occurs ``least`` times.
+
+    In a round all frequent pairs are replaced at once; where chosen occurrences overlap, the more
+    frequent pair wins, of equals the left one.  A pair may end a document but not cross its end,
+    so each document begins at a symbol.  A pair that has once been rare stays so, as replacing
+    others only takes occurrences away; so after the first round only places beside a
+    new symbol and those of frequent pairs that lost are counted.  The default is where a
+    rule, which is three numbers, begins to save.
     """
     seq, base_now = ids.astype(np.int64), base
     rules: list[np.ndarray] = []
     lengths = np.ones(base, np.int64)
     closes = np.zeros(base, bool)
     closes[end_id] = True
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        key = (seq[:-1] << 32) | seq[1:]
-        key[closes[seq[:-1]]] = -1
-        sorted_ = np.sort(key)
-        first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-        n = np.diff(first, append=len(sorted_))
-        often = (n >= least) & (sorted_[first] >= 0)
-        pairs, n = sorted_[first][often], n[often]
-        if not len(pairs):
+    live = np.ones(len(seq), bool)
+    while len(seq) > 1:
+        at = np.flatnonzero(live[:-1] & ~closes[seq[:-1]])
+        key = (seq[at] << 32) | seq[at + 1]
+        pairs, which, n = np.unique(key, return_inverse=True, return_counts=True)
+        often = n[which] >= least
+        live[:] = False
+        hits, which = at[often], which[often]
+        if not len(hits):
             break
-        # Which pair a place holds: a table by hash; of pairs that meet there the last one is kept for now.
-        bits = max(12, int(len(pairs)).bit_length() + 3)
-        table = np.zeros(1 << bits, np.int32)
-        table[_hash(pairs, bits)] = np.arange(len(pairs))
-        which = table[_hash(key, bits)]
-        hits = np.flatnonzero(pairs[which] == key)
-        which = which[hits]
         # Of overlapping occurrences the more frequent wins; in a run of equal ones every other, from the left.
         rank, touch = n[which], np.diff(hits) == 1
         before, after = np.concatenate([[0], np.where(touch, rank[:-1], 0)]), np.concatenate([np.where(touch, rank[1:], 0), [0]])
-        at = np.arange(len(rank))
-        head = np.maximum.accumulate(np.where(rank != before, at, 0))
-        win = ((at - head) % 2 == 0) & (rank[head] > before[head]) & (rank >= after)
+        place = np.arange(len(rank))
+        head = np.maximum.accumulate(np.where(rank != before, place, 0))
+        win = ((place - head) % 2 == 0) & (rank[head] > before[head]) & (rank >= after)
+        live[hits[~win]] = True
         hits, which = hits[win], which[win]
-        if not len(hits):
-            break
         used = np.zeros(len(pairs), bool)
         used[which] = True
         made = np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], axis=1)
         rules.append(made)
         seq[hits] = base_now + (np.cumsum(used) - 1)[which]
+        live[hits] = True
+        live[np.maximum(hits - 1, 0)] = True
         base_now += len(made)
         lengths = np.concatenate([lengths, lengths[made[:, 0]] + lengths[made[:, 1]]])
         closes = np.concatenate([closes, closes[made[:, 1]]])
         stay = np.ones(len(seq), bool)
         stay[hits + 1] = False
-        seq = seq[stay]
+        # The place before a new symbol may itself have been taken into the pair before it.
+        gone = hits[hits > 1]
+        gone = gone[~stay[gone - 1]]
+        live[gone - 2] = True
+        seq, live = seq[stay], live[stay]
     table = np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
     return Grammar(base, table.astype(np.uint32), lengths[base:].astype(np.uint32), seq.astype(np.uint32))
 
@@ -208,7 +237,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, s
     Each row of the written table is a shard: its place (part, nth), the documents in it, how many
     ids each has, and the grammar of its ids.  A shard ends with the document that brings it to
     ``shard_tokens`` ids, so a task holds one shard and one batch.  Documents are ranged by
-    doc_id, null first, once, before they are encoded; null text counts as empty.
+    doc_id, null first, and the text's digest, once, before they are encoded, so rows that share a
+    doc_id or have none are in the same order at every run; rows equal in both are alike and may be
+    split.  Null text counts as empty; an empty table gives no shards.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = once_per_worker(("words", vocabulary), lambda: WordTokenizer(vocabulary))
@@ -242,7 +273,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, s
         if held:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_digest(F.col("text")).alias("digest"), F.monotonically_increasing_id().alias("turn"))
+    rows = rows.repartitionByRange("doc_id", "digest", "turn").sortWithinPartitions("doc_id", "digest").select("doc_id", "text")
     shards = rows.mapInArrow(run, "part int, nth int, doc_ids array<bigint>, counts array<bigint>, n_tokens long, grammar binary")
     shards.write.parquet(path)
 

@@ -302,3 +302,25 @@ def test_links_of_a_node_are_a_forest():
 
     pairs = [(a, b) for a in range(90) for b in range(a) if 100 * len({*sets[a]} & {*sets[b]}) >= 75 * len({*sets[a]} | {*sets[b]})]
     assert len(found) < len({*grp}) <= len(pairs) and parts(found) == parts(pairs)
+
+
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    """260 copies of 1,000 different ids end as few symbols, and a short range needs few of the rules."""
+    x = np.tile(np.arange(1000, dtype=np.uint32) + 5, 260)
+    g = repair.compress(x, 2000, 2)
+    assert len(g.sequence) <= 260 and (g.ids() == x).all() and g.ids(123_456, 123_460).tolist() == x[123_456:123_460].tolist()
+    part = g._needed(np.array(g._inside(int(g.sequence[0]), 10, 14)))
+    assert len(part.rules) <= 3 < len(g.rules)
+    pairs = Counter(zip(g.sequence[:-1].tolist(), g.sequence[1:].tolist(), strict=True))
+    assert max(pairs.values()) < 4
+
+
+def test_token_files_order_of_shared_ids(spark, tmp_path):
+    """Different texts of one doc_id, and of none, start at the same place however the rows are dealt."""
+    rows = [(i, f"text {k} of {i}", "en", "a", 0, *["x"] * 10) for i in (5, None) for k in range(20)]
+    got = []
+    for n in (1, 5):
+        at = str(tmp_path / f"t{n}")
+        repair.write_tokens(docs(spark, rows[::n] + [r for i, r in enumerate(rows) if i % n]).repartition(n), at, WORDS)
+        got.append(sorted((r.start, r.n_tokens, bytes(r.ids)) for r in repair.read_tokens(spark, at).collect()))
+    assert got[0] == got[1] and len(got[0]) == 40
