@@ -75,16 +75,16 @@ class Project:
         none = reduce(lambda a, b: a & b, [C(n).isNull() for n in TABLES[stage]])
         return out.select("video_id", F.when(~none, F.create_map(*pairs)).alias("output_fingerprints"))
 
-    def stage(self, run: int, name: str, videos: DataFrame, sources: dict[str, DataFrame], needs: Sequence[str], settings: str,
+    def stage(self, run: int, name: str, videos: DataFrame, sources: dict[str, DataFrame], marks: dict[str, DataFrame], needs: Sequence[str], settings: str,
               make: Callable[[dict[str, DataFrame], DataFrame], dict[str, DataFrame]], force: Sequence[str] = ()) -> DataFrame:
-        """Runs a stage for the videos that need it; gives these and why.
+        """Runs a stage for the videos that need it; gives these and why.  ``marks`` are the sources' fingerprints.
 
         Its fingerprint is that of its settings, of its source tables and of what the stages it
         needs have given, so a stage that gives the same again starts nothing after it.
         """
         wanted, parts = videos, []
-        for k, df in sources.items():
-            wanted = wanted.join(self.fingerprints(df, f"_{k}"), "video_id", "left")
+        for k in sources:
+            wanted = wanted.join(marks[k].withColumnRenamed("mark", f"_{k}"), "video_id", "left")
             parts.append(f"_{k}")
         now = self.current()
         for k in needs:
@@ -117,6 +117,7 @@ class Project:
         """Brings all stages up to ``upto`` up to date with the frames and speech spans: video_id, stage, reason of what ran."""
         run = (self.ledger().agg(F.max("run")).first()[0] or 0) + 1
         videos = materialize(frames.select("video_id").distinct())
+        marks = {k: materialize(self.fingerprints(df, "mark")) for k, df in (("frames", frames), ("spans", spans))}
         width = None if ref_width is None else F.lit(ref_width)
 
         def depth(t, _):
@@ -145,7 +146,7 @@ class Project:
         ]
         ran = self.spark.createDataFrame([], "video_id bigint, stage string, reason string")
         for name, sources, needs, settings, make in plan:
-            ran = ran.unionByName(self.stage(run, name, videos, sources, needs, settings, make, force))
+            ran = ran.unionByName(self.stage(run, name, videos, sources, marks, needs, settings, make, force))
             if name == upto:
                 break
         return ran
