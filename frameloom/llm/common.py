@@ -58,6 +58,17 @@ def scratch(spark) -> Iterator[None]:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where the frame already has such a column, so that no column of the caller's is written over."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def unit(*parts: Column) -> Column:
     """A number in (0, 1) that the parts decide, uniform over their values."""
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + 0.5) / float(1 << 53)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import GAP, saved
+from .common import GAP, free, saved
 
 #: A chunk ends at the first end of a clause, or blank after a rare last letter, from its 512th
 #: character on; a text without such places is cut every 8,192 characters.  The cut depends on
@@ -81,7 +81,8 @@ def one_row_each(docs: DataFrame, digest: Column, stay: DataFrame) -> DataFrame:
 
     Of these the first by all columns is taken, before rows are shuffled, so no key's rows meet in a task.
     """
-    stay = stay.select(F.col("doc_id").alias("_stay"), F.col("_text").alias("_stays"))
-    rows = docs.withColumn("_text", digest)
-    rows = rows.join(stay, rows["doc_id"].eqNullSafe(stay["_stay"]) & (rows["_text"] == stay["_stays"]), "left_semi")
-    return rows.groupBy("doc_id", "_text").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    text, ident, other, row = free(docs, "_text", "_stay", "_stays", "_row")
+    stay = stay.select(F.col("doc_id").alias(ident), F.col("_text").alias(other))
+    rows = docs.withColumn(text, digest)
+    rows = rows.join(stay, rows["doc_id"].eqNullSafe(stay[ident]) & (rows[text] == stay[other]), "left_semi")
+    return rows.groupBy("doc_id", text).agg(F.min(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, md5_long, saved, text_digest, unit
+from .common import WORD, free, md5_long, saved, text_digest, unit
 
 #: Blocks are permuted by multiplying with this prime modulo their number.
 PRIME = (1 << 31) - 1
@@ -200,11 +200,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     A document is known by its doc_id, text and source; rows equal in these by their turn.
     """
+    turn, doc, sha, origin, at, text, nth = free(docs, "_turn", "_doc", "_sha", "_from", "_at", "_text", "_nth")
     same = W.partitionBy("doc_id", "text_sha256", "source").orderBy("row")
-    plan = mix(docs, **options).placed.withColumn("_turn", F.row_number().over(same))
-    copies = plan.where("copies > 0").select(F.col("doc_id").alias("_doc"), F.col("text_sha256").alias("_sha"), F.col("source").alias("_from"), "_turn", F.explode("draws").alias("_at"))
-    full = docs.withColumn("_text", text_digest(F.col("text")))
-    full = full.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id", "_text", "source").orderBy(*[c for c in docs.columns if c != "text"])))
-    same = full["doc_id"].eqNullSafe(copies["_doc"]) & (full["_text"] == copies["_sha"]) & full["source"].eqNullSafe(copies["_from"])
-    out = full.join(copies, same & (full["_nth"] == copies["_turn"]))
-    return out.repartitionByRange(F.col("_at.shard"), F.col("_at.place")).sortWithinPartitions("_at.shard", "_at.place").select(*docs.columns)
+    plan = mix(docs, **options).placed.withColumn(turn, F.row_number().over(same))
+    copies = plan.where("copies > 0").select(F.col("doc_id").alias(doc), F.col("text_sha256").alias(sha), F.col("source").alias(origin), turn, F.explode("draws").alias(at))
+    full = docs.withColumn(text, text_digest(F.col("text")))
+    full = full.withColumn(nth, F.row_number().over(W.partitionBy("doc_id", text, "source").orderBy(*[c for c in docs.columns if c != "text"])))
+    same = full["doc_id"].eqNullSafe(copies[doc]) & (full[text] == copies[sha]) & full["source"].eqNullSafe(copies[origin])
+    out = full.join(copies, same & (full[nth] == copies[turn]))
+    return out.repartitionByRange(F.col(f"{at}.shard"), F.col(f"{at}.place")).sortWithinPartitions(f"{at}.shard", f"{at}.place").select(*docs.columns)

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -11,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tagger
-from .common import saved
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns.  A number with points can only start where no digit stands before it.
@@ -21,8 +21,12 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: A span of any kind holds one of these.
-SIGNS = re.compile(r"[0-9@]")
+SIGNS = re.compile(r"[0-9@]|[(\[]at[)\]]")
 WINDOW, STRIDE = 64, 32
+#: An @ or one in words; what stands at a span's ends but isn't its own; what no phone number holds.
+AT = re.compile(r"[^\W_]\s?(?:@|[(\[]at[)\]])\s?[^\W_]")
+EDGES = frozenset(" \t\r\n,.;:!?\"'")
+NO_PHONE = re.compile(r"[:,$%@]|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4}|[0-9]{16}")
 
 Span = tuple[int, int, int]
 
@@ -120,57 +124,126 @@ def reconcile(starts: list[int], tags: np.ndarray, length: int) -> list[Span]:
 def more_spans(text: str, base: list[Span], found: list[Span]) -> list[Span]:
     """Those of the tagger's spans that touch no pattern's span and pass the checks of their kind.
 
-    An email has an @ between word characters, an ip four parts of at most 255, a card 13 to 19
-    digits that pass Luhn, a phone number 9 to 15 digits; what stands between is free.
+    An email has an @ (or one in words in brackets) between word characters, an ip four parts of at
+    most 255, a card 13 to 19 digits that pass Luhn, a phone number 9 to 15 digits and no date or
+    amount in it; what stands between is free.  Blanks and marks at the ends are no part of it.
     """
-    taken = sorted((s, e) for _, s, e in base)
+    starts = np.array([s for _, s, _ in base], np.int64)
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(np.array([e for _, _, e in base], np.int64)[order]) if base else starts
     out = []
     for kind, s, e in found:
+        while s < e and text[s] in EDGES:
+            s += 1
+        while e > s and text[e - 1] in EDGES:
+            e -= 1
         body = text[s:e]
         digits, numbers = re.sub("[^0-9]", "", body), re.findall("[0-9]+", body)
-        good = (bool(re.search(r"[^\W_]@[^\W_]", body)), len(numbers) == 4 and all(len(x) < 4 and int(x) < 256 for x in numbers),
-                13 <= len(digits) <= 19 and luhn(digits), 9 <= len(digits) <= 15)[kind]
-        if good and not any(a < e and s < b for a, b in taken):
+        plain = not any(c.isalpha() for c in body)
+        good = (bool(AT.search(body)),
+                plain and len(body) <= 31 and len(numbers) == 4 and all(len(x) < 4 and int(x) < 256 for x in numbers),
+                plain and 13 <= len(digits) <= 19 and luhn(digits),
+                plain and 9 <= len(digits) <= 15 and len(numbers) < 7 and not NO_PHONE.search(body))[kind]
+        k = int(np.searchsorted(starts, e))  # spans that start before this one ends
+        if good and not (k and ends[k - 1] > s):
             out.append((kind, s, e))
     return out
 
 
-def training_windows(docs: DataFrame, sample: int, per_doc: int = 8, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and tags of labelled windows, from the patterns' spans in ``sample`` documents at most.
+def _luhn_number(rng: random.Random, n: int) -> str:
+    head = "".join(rng.choice("0123456789") for _ in range(n - 1))
+    return next(head + d for d in "0123456789" if luhn(head + d))
+
+
+def unusual(rng: random.Random, kind: int) -> str:
+    """Personal data of a kind in a form that the patterns don't match."""
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randrange(3, 9)))
+    if kind == 0:
+        local = rng.choice([word(), f"{word()}.{word()}", f"{word()}{number(2)}", f"{word()}_{word()}"])
+        host = rng.choice([f"{word()}.{word()[:3]}", f"{word()}-{word()}.com", f"{word()}.example.org"])
+        return rng.choice([f"{local}@{word()}", f"{local}@{word()}-{word()}", f"{local} @ {host}", f"{local}[at]{host}", f"{local}(at){host}", f"{local} (at) {host}", f"{local} [at] {host}"])
+    if kind == 1:
+        sep = rng.choice([" . ", ". ", " .", "-", "[.]", ", ", " "])
+        return sep.join(str(rng.randrange(256)) for _ in range(4))
+    if kind == 2:
+        digits = _luhn_number(rng, 16)
+        return rng.choice([".", "/", "_", "  ", " - ", "\u2013"]).join(digits[i:i + 4] for i in range(0, 16, 4))
+    a, b, c = number(3), number(3), number(4)
+    return rng.choice([f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"00{number(2)} {number(2)} {number(7)}", f"0{number(3)} {number(7)}", f"0{number(3)}/{number(7)}"])
+
+
+def harmless(rng: random.Random) -> str:
+    """Numbers and signs that are no personal data but look alike."""
+    n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    y, m, d = rng.randrange(1900, 2100), rng.randrange(1, 13), rng.randrange(1, 29)
+    card = n(16)
+    while luhn(card):
+        card = n(16)
+    return rng.choice([
+        f"{y}-{m:02}-{d:02}", f"{m:02}/{d:02}/{y}", f"{d:02}.{m:02}.{y}", f"{d:02}:{m:02}:{rng.randrange(60):02}", f"{y}-{m:02}-{d:02} {d:02}:{m:02}:00",
+        f"${n(1)},{n(3)}.{n(2)}", f"{n(2)},{n(3)},{n(3)}", f"v{n(1)}.{n(1)}.{n(2)}", f"{n(1)}.{n(1)}.{rng.randrange(300, 999)}.{rng.randrange(300, 999)}", f"{n(4)}-{n(4)}", f"3.{n(14)}",
+        f"ORD-{y}-{n(4)}-{n(2)}", f"{n(1)} @ {n(2)} each", f"@{'abcdefg'[:rng.randrange(3, 7)]}", f"page {n(2)} of {n(3)}", f"{n(3)}-{n(3)}", "-".join(card[i:i + 4] for i in range(0, 16, 4)),
+        ".".join(card[i:i + 4] for i in range(0, 16, 4)), f"{y}", n(1), n(2), n(5), n(8), f"{n(2)}%", f"{n(1)}, {n(1)}, {n(1)}, {n(1)} and {n(1)}", f"{y}\u2013{y + 3}", f"1{n(11)}"])
+
+
+def written_windows(parts: list[str], each: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and tags of ``parts`` of texts into which unusual spans or harmless look-alikes were written."""
+    rng = random.Random(seed)
+    x, y = np.zeros((each * len(parts), WINDOW), np.int64), np.zeros((each * len(parts), WINDOW), np.int64)
+    for i in range(len(x)):
+        text = parts[i % len(parts)][:rng.choice([WINDOW, WINDOW, rng.randrange(WINDOW)])]
+        gaps = [m.end() for m in re.finditer(r"\s", text)] or [len(text)]
+        at = rng.choice(gaps)
+        kind = rng.randrange(2 * len(KINDS))
+        body = unusual(rng, kind) if kind < len(KINDS) else harmless(rng)
+        before, after = text[:at], rng.choice([" ", " ", ". ", ", ", "\n"]) + text[at:]
+        whole = before + body + after
+        lo = max(0, min(len(before) + rng.randrange(-40, 8), len(whole) - WINDOW))
+        x[i] = window_codes(whole, lo)
+        own = [(k, s, e) for k, s, e in base_spans(whole) if e <= at or s >= at + len(body)] + ([(kind, at, at + len(body))] if kind < len(KINDS) else [])
+        tags = tags_of(own, lo, min(lo + WINDOW, len(whole)))
+        y[i, :len(tags)] = tags
+    return x, y
 
-    The documents are those of the smallest hashes; of each, ``per_doc`` windows at most, so that
-    what comes to the driver is bounded by sample * per_doc * WINDOW characters.
-    """
-    ids = saved(docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"), "left_semi")
 
+def training_windows(docs: DataFrame, sample: int, each: int = 3, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and tags of labelled windows from at most ``sample`` windows of the texts.
+
+    They are those of the smallest hashes, one for each text at most, so what comes to the driver is
+    bounded by sample * WINDOW characters, however often a doc_id or a text repeats.  Each is taken
+    with the patterns' spans in it, and ``each`` times with a span in a form that the patterns miss,
+    or something harmless that looks alike, written into it: what the patterns find is easy,
+    and what they miss is what there is to learn.
+    """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            rows: list[tuple] = []
-            for i, x in zip(t["doc_id"].to_pylist(), t["text"], strict=True):
+            parts = []
+            for x in t["text"]:
                 text = x.as_py() or ""
-                base = base_spans(text)
-                for s in windows(text)[:per_doc]:
-                    rows.append((i, s, text[s:s + WINDOW], tags_of(base, s, min(s + WINDOW, len(text))).tolist()))
-            ids_, at, parts, tags = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids_, pa.int64()), pa.array(at, pa.int64()), pa.array(parts, pa.string()), pa.array(tags, pa.list_(pa.int64()))], ["doc_id", "at", "part", "tags"])
-
-    chosen = chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = chosen.mapInArrow(cut, "doc_id long, at long, part string, tags array<bigint>").orderBy("doc_id", "at").toPandas()
-    if not len(found):
+                own = windows(text)
+                at = own[len(text) * 7919 % len(own)] if own else 0
+                parts.append(text[at:at + WINDOW])
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string())], ["part"])
+
+    found = docs.select("text").mapInArrow(cut, "part string").where("part <> ''").distinct()
+    chosen = found.orderBy(F.xxhash64("part", F.lit(seed)), "part").limit(sample)
+    parts = sorted(r.part for r in chosen.collect())
+    if not parts:
         return np.empty((0, WINDOW), np.int64), np.empty((0, WINDOW), np.int64)
-    x = np.stack([window_codes(part, 0) for part in found["part"]])
-    y = np.stack([np.pad(np.asarray(t, np.int64), (0, WINDOW - len(t))) for t in found["tags"]])
-    return x, y
+    x = np.stack([window_codes(part, 0) for part in parts])
+    y = np.stack([np.pad(tags_of(base_spans(part), 0, len(part)), (0, WINDOW - len(part))) for part in parts])
+    more_x, more_y = written_windows(parts, each)
+    return np.concatenate([x, more_x]), np.concatenate([y, more_y])
 
 
-def find(docs: DataFrame, sample: int = 8000, steps: int = 120) -> DataFrame:
+def find(docs: DataFrame, sample: int = 8000, steps: int = 250) -> DataFrame:
     """One row per document: doc_id, base (the patterns' spans) and spans (all), arrays of (kind, start, end).
 
     Null text counts as empty; repeated rows are searched each.  Starts and ends count code
-    points, ends exclusive, kinds are numbers into KINDS.  The tagger learns from the patterns'
-    spans in ``sample`` documents; it may add spans of the same kinds, in any text, where it reads
-    one that no pattern's span touches.  Windows without a digit or @ hold no span, so only the
+    points, ends exclusive, kinds are numbers into KINDS.  The tagger learns from ``sample`` windows of
+    the texts (see ``training_windows``); it may add spans of the same kinds, in any text, where it
+    reads one that no pattern's span touches.  Windows without a digit or @ hold no span, so only the
     others are decoded.  Without labelled windows nothing is added.
     """
     x, y = training_windows(docs, sample)

@@ -324,3 +324,37 @@ def test_token_files_order_of_shared_ids(spark, tmp_path):
         repair.write_tokens(docs(spark, rows[::n] + [r for i, r in enumerate(rows) if i % n]).repartition(n), at, WORDS)
         got.append(sorted((r.start, r.n_tokens, bytes(r.ids)) for r in repair.read_tokens(spark, at).collect()))
     assert got[0] == got[1] and len(got[0]) == 40
+
+
+def test_tagger_adds_what_patterns_miss():
+    """Trained on windows with unusual spans and look-alikes written in: held-out recall by kind, and look-alikes left alone."""
+    rng = random.Random(3)
+    parts = [" ".join(rng.choice(["the", "of", "and", "ation", "12", "in 2024,", "a@b.example.com", "10.0.0.1"]) for _ in range(12))[:64] for _ in range(500)]
+    x, y = private.written_windows(parts[:400], 6)
+    model, hits, asked, wrong = tagger.train(x, y, 9, 250), Counter(), Counter(), 0
+    for i in range(600):
+        kind, text = i % 6, parts[400 + i % 100]
+        body = private.unusual(rng, kind) if kind < 4 else private.harmless(rng)
+        at = rng.choice([m.end() for m in re.finditer(" ", text)])
+        whole = f"{text[:at]}{body} {text[at:]}"
+        base, starts = sorted(private.base_spans(whole)), private.windows(whole)
+        if kind < 4 and any(s < at + len(body) and e > at for _, s, e in base):
+            continue
+        tags = tagger.decode(model, np.stack([private.window_codes(whole, s) for s in starts])) if starts else np.empty((0, 64), np.int64)
+        own = private.more_spans(whole, base, private.reconcile(starts, tags, len(whole)))
+        touch = [k for k, s, e in own if s < at + len(body) and e > at]
+        asked[kind] += 1
+        hits[kind] += kind in touch
+        wrong += len(own) - len(touch) + (len(touch) if kind > 3 else 0)
+    assert all(hits[k] > 0.6 * asked[k] > 20 for k in range(4)) and wrong <= 12, (hits, asked, wrong)
+
+
+def test_more_spans_checks():
+    checks = [("(202) 555-0143", 3, True), ("2024-01-15 12", 3, False), ("4111.1111.1111.1111", 2, True), ("4111.1111.1111.1112", 2, False), ("192 . 168 . 0 . 1", 1, True),
+              ("192 . 168 . 0 . 256", 1, False), ("name@intranet", 0, True), ("name (at) host.org", 0, True), ("@handle", 0, False), ("$1,234,567.89", 3, False)]
+    for body, kind, good in checks:
+        text = f"x {body}, y"
+        assert private.more_spans(text, [], [(kind, 1, 3 + len(body))]) == ([(kind, 2, 2 + len(body))] if good else [])
+    assert private.more_spans("a 555-123-4567", [(3, 0, 4)], [(3, 2, 14)]) == []
+    many = [(1, i, i + 2) for i in range(0, 400_000, 4)]
+    assert len(private.more_spans("5 " * 200_000, many, [(3, i, i + 20) for i in range(0, 300_000, 30)])) == 0

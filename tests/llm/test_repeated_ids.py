@@ -67,3 +67,17 @@ def test_mix(spark):
     alone = [row(None, prose(rng, 20 + i), source="a") for i in range(60)]
     half = mixing.mix(docs(spark, alone), share=0.5, block_words=100).placed.collect()
     assert min(r.size for r in half if r.copies) < max(r.size for r in half if not r.copies) - 10
+
+
+def test_columns_named_like_helpers_stay(spark):
+    """Columns of the caller's that bear the names used inside come out as they went in."""
+    names = ["_text", "_nth", "_at", "_row", "_turn", "_stay", "_Doc", "_sha"]
+    rows = [(i, t, "en", "a", *[f"{c}{i}" for c in names]) for i, t in enumerate(["one two", "one  two", "three four five", None, "six seven eight nine"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in names))
+    from frameloom.llm.exact import kept_documents
+    from frameloom.llm.mixing import mixed_documents
+    from frameloom.llm.near import representatives
+    for out in (kept_documents(df), representatives(df), mixed_documents(df)):
+        got = out.collect()
+        assert out.columns == df.columns and got
+        assert all(r[c] == f"{c}{r.doc_id}" for r in got for c in names)
