@@ -281,28 +281,20 @@ def previous_shot(shots: DataFrame, cols: Sequence[str], keys: Sequence[str] = V
     return with_previous(shots, keys, "shot_id", cols, "prev")
 
 
-def overlap_seconds(shots: DataFrame, spans: DataFrame, keys: Sequence[str] = VIDEO,
-                    width: float = 3600.0) -> DataFrame:
-    """Total overlap of ``spans`` (start_s, end_s) with each shot; spans that overlap count twice.
+def speech_ratio(shots: DataFrame, spans: DataFrame, keys: Sequence[str] = VIDEO, width: float = 3600.0) -> DataFrame:
+    """Adds the share of each shot that spans cover, 1 at most; spans that overlap count twice.
 
-    Both sides are listed once per time cell they touch; a pair is counted only
-    in the first cell the two share.
+    The shots are read once: each is listed in the cells it touches, met there by the spans of the
+    cell if any, and summed up again.
     """
     cell = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
-    s = shots.select(*keys, "shot_id", "start_time", "end_time").withColumn("_cell", cell("start_time", "end_time"))
     v = spans.select(*keys, "start_s", "end_s").withColumn("_cell", cell("start_s", "end_s"))
-    both = s.join(v, [*keys, "_cell"]).where(
-        (F.col("start_s") < F.col("end_time")) & (F.col("end_s") > F.col("start_time"))
-        & (F.col("_cell") == F.floor(F.greatest("start_time", "start_s") / width)))
-    part = F.greatest(F.lit(0.0), F.least("end_time", "end_s") - F.greatest("start_time", "start_s"))
-    return both.groupBy(*keys, "shot_id").agg(F.sum(part).alias("overlap"))
-
-
-def speech_ratio(shots: DataFrame, spans: DataFrame, keys: Sequence[str] = VIDEO) -> DataFrame:
+    both = shots.withColumn("_cell", cell("start_time", "end_time")).join(v, [*keys, "_cell"], "left")
+    begins = F.greatest("start_time", "start_s")
+    part = F.when(F.col("start_s").isNotNull() & (F.col("_cell") == F.floor(begins / width)), F.greatest(F.lit(0.0), F.least("end_time", "end_s") - begins))
+    whole = both.groupBy(*shots.columns).agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("_overlap"))
     length = F.greatest(F.col("end_time") - F.col("start_time"), F.lit(1e-9))
-    ratio = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("overlap", F.lit(0.0)) / length))
-    return (shots.join(overlap_seconds(shots, spans, keys), [*keys, "shot_id"], "left")
-            .withColumn("speech_ratio", ratio).drop("overlap"))
+    return whole.withColumn("speech_ratio", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_overlap") / length))).drop("_overlap")
 
 
 def shot_at_time(heads: DataFrame, shots: DataFrame, keys: Sequence[str] = VIDEO,
