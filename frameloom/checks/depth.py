@@ -133,8 +133,7 @@ def union_bands(spark, sf):
   ON y = round_even(CASE WHEN ty = 4 THEN 7.0 ELSE CAST(ty AS DOUBLE) * (CAST(7 AS DOUBLE) / 4) END, 0)
   AND x = round_even(CASE WHEN tx = 10 THEN 7.0 ELSE CAST(tx AS DOUBLE) * (CAST(7 AS DOUBLE) / 10) END, 0)""")
 def resize_nearest(spark, sf):
-    p = depth_planes(spark, sf)
-    return long_form(p.withColumn("z", G.resize_nearest(F.col("z"), F.col("h"), F.col("w"), 5, 11)))
+    return long_form(D.resize(depth_planes(spark, sf), 5, 11, "nearest"))
 
 
 @q("resize_area", P + """, e AS (SELECT i, CAST(floor(i * (8.0 / 3)) AS BIGINT) AS a, CAST(floor((i + 1) * (8.0 / 3)) AS BIGINT) AS b FROM (SELECT unnest(range(3)) AS i)),
@@ -142,8 +141,7 @@ def resize_nearest(spark, sf):
   SELECT video_id, shot_id, frame_index, e.i * 5 + f.i AS i, round(avg(z), 6) + 0.0 AS z FROM px JOIN e ON y >= e.a AND y < e.b JOIN f ON x >= f.a AND x < f.b
   GROUP BY 1, 2, 3, 4""")
 def resize_area(spark, sf):
-    p = depth_planes(spark, sf)
-    return long_form(p.withColumn("z", G.resize_area(F.col("z"), F.col("h"), F.col("w"), 3, 5)))
+    return long_form(D.resize(depth_planes(spark, sf), 3, 5, "area"))
 
 
 @q("resize_bilinear", P + """, t AS (SELECT a.i AS ty, b.i AS tx, a.i * (7.0 / 4) AS fy, b.i * (7.0 / 12) AS fx FROM (SELECT unnest(range(5)) AS i) a, (SELECT unnest(range(13)) AS i) b),
@@ -151,8 +149,7 @@ def resize_area(spark, sf):
   SELECT video_id, shot_id, frame_index, ty * 13 + tx AS i, round((CAST(z[y0 * 8 + x0 + 1] AS DOUBLE) * (1 - (fx - x0)) + CAST(z[y0 * 8 + x1 + 1] AS DOUBLE) * (fx - x0)) * (1 - (fy - y0))
     + (CAST(z[y1 * 8 + x0 + 1] AS DOUBLE) * (1 - (fx - x0)) + CAST(z[y1 * 8 + x1 + 1] AS DOUBLE) * (fx - x0)) * (fy - y0), 6) + 0.0 AS z FROM planes, g""")
 def resize_bilinear(spark, sf):
-    p = depth_planes(spark, sf)
-    return long_form(p.withColumn("z", G.resize_bilinear(F.col("z"), F.col("h"), F.col("w"), 5, 13)))
+    return long_form(D.resize(depth_planes(spark, sf), 5, 13, "bilinear"))
 
 
 @q("luma", C + """SELECT video_id, shot_id, frame_index, (y // 2) * 4 + x // 2 AS i, round((0.114 * b + 0.587 * g + 0.299 * r) / 255.0, 6) + 0.0 AS luma

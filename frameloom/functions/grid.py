@@ -64,44 +64,6 @@ def even_step(i: Column, n: Column, m: Column) -> Column:
         i.cast("double") * ((n - 1).cast("double") / F.greatest(m - 1, F.lit(1))))
 
 
-def resize_nearest(z: Column, h: Column, w: Column, h2: int, w2: int) -> Column:
-    H, W = F.lit(h2), F.lit(w2)
-    return let(z, lambda a: per_cell(H, W, lambda i, y, x: at(
-        a, F.rint(even_step(y, h, H)) * w + F.rint(even_step(x, w, W)))))
-
-
-def resize_area(z: Column, h: Column, w: Column, h2: int, w2: int) -> Column:
-    """Mean of the source cells under each target cell; nearest when either side grows."""
-    edge = lambda k, n, m: F.floor(k.cast("double") * (n.cast("double") / m))
-    H, W = F.lit(h2), F.lit(w2)
-
-    def cell(a, y, x):
-        ys = F.sequence(edge(y, h, h2), edge(y + 1, h, h2) - 1)
-        xs = F.sequence(edge(x, w, w2), edge(x + 1, w, w2) - 1)
-        return F.aggregate(ys, F.lit(0.0), lambda s, yy: s + F.aggregate(
-            xs, F.lit(0.0), lambda t, xx: t + at(a, yy * w + xx).cast("double"))) / (F.size(ys) * F.size(xs))
-
-    shrunk = let(z, lambda a: per_cell(H, W, lambda i, y, x: cell(a, y, x)))
-    return F.when((h >= h2) & (w >= w2), shrunk).otherwise(
-        F.transform(resize_nearest(z, h, w, h2, w2), lambda v: v.cast("double")))
-
-
-def resize_bilinear(z: Column, h: Column, w: Column, h2: int, w2: int) -> Column:
-    """End-aligned bilinear resize."""
-    H, W = F.lit(h2), F.lit(w2)
-
-    def cell(a, y, x):
-        fy, fx = even_step(y, h, H), even_step(x, w, W)
-        y0, x0 = F.floor(fy), F.floor(fx)
-        y1, x1 = F.least(y0 + 1, h - 1), F.least(x0 + 1, w - 1)
-        wy, wx = fy - y0, fx - x0
-        v = lambda yy, xx: at(a, yy * w + xx).cast("double")
-        return ((v(y0, x0) * (1 - wx) + v(y0, x1) * wx) * (1 - wy)
-                + (v(y1, x0) * (1 - wx) + v(y1, x1) * wx) * wy)
-
-    return let(z, lambda a: per_cell(H, W, lambda i, y, x: cell(a, y, x)))
-
-
 def luma(b: Column, g: Column, r: Column, h: Column, w: Column, max_width: int = 160) -> Column:
     """Luma in [0,1]; every step-th row and column when wider than ``max_width``."""
     step = F.greatest(F.lit(1), F.ceil(w / F.lit(max_width)).cast("int"))
@@ -111,25 +73,6 @@ def luma(b: Column, g: Column, r: Column, h: Column, w: Column, max_width: int =
         at(bb, i) * 0.114 + at(gg, i) * 0.587 + at(rr, i) * 0.299) / 255.0)))
 
 
-def edge_aware(z: Column, h: Column, w: Column, amount: float = 0.15) -> Column:
-    """Blend each cell with its similar 4-neighbours (borders repeat the edge)."""
-    if amount <= 0:
-        return z
-
-    def cell(a, i, y, x):
-        c = at(a, i).cast("double")
-        near = F.array(
-            at(a, F.greatest(y - 1, F.lit(0)) * w + x), at(a, F.least(y + 1, h - 1) * w + x),
-            at(a, y * w + F.greatest(x - 1, F.lit(0))), at(a, y * w + F.least(x + 1, w - 1)))
-        acc = F.aggregate(near, F.struct(c.alias("v"), F.lit(1.0).alias("k")), lambda s, n: let(
-            F.exp(-F.abs(n - c) / SIGMA),
-            lambda k: F.struct((s["v"] + n * k).alias("v"), (s["k"] + k).alias("k"))),
-            lambda s: s["v"] / s["k"])
-        return c * (1 - amount) + acc * amount
-
-    return let(z, lambda a: per_cell(h, w, lambda i, y, x: cell(a, i, y, x)))
-
-
 def once(c: Column) -> Column:
     """The same value, but never copied into the expressions that use it.
 
@@ -198,28 +141,6 @@ def cue_mix(detail: Column, sat: Column, h: Column, w: Column) -> Column:
         at(d, i) * CUES["detail"] + ground_prior(y, h) * CUES["ground"] + at(s, i) * CUES["saturation"])))
 
 
-def block_match(prev: Column, cur: Column, h: Column, w: Column, radius: int = 3) -> Column:
-    """Struct (dx, dy) with the least mean absolute difference; the first in scan order wins ties."""
-    side = 2 * radius + 1
-
-    def score(p, c, k):
-        dy, dx = F.floor(k / side) - radius, F.pmod(k, F.lit(side)) - radius
-        ch, cw = h - F.abs(dy), w - F.abs(dx)
-        top, left = F.greatest(F.lit(0), dy), F.greatest(F.lit(0), dx)
-        err = F.aggregate(
-            F.sequence(F.lit(0).cast("bigint"), ch * cw - 1), F.lit(0.0),
-            lambda s, j: s + F.abs(at(p, (top + F.floor(j / cw)) * w + left + F.pmod(j, cw))
-                                   - at(c, (top + F.floor(j / cw) - dy) * w + left + F.pmod(j, cw) - dx)))
-        return F.when((ch > 0) & (cw > 0), F.struct(
-            F.round(err / (ch * cw), 9).alias("err"), k.alias("k")))
-
-    best = let2(prev, cur, lambda p, c: F.array_min(F.filter(F.transform(
-        F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: score(p, c, k)), lambda s: s.isNotNull())))
-    return let(best, lambda s: F.struct(
-        (F.pmod(s["k"], F.lit(side)) - radius).cast("int").alias("dx"),
-        (F.floor(s["k"] / side) - radius).cast("int").alias("dy")))
-
-
 def margin(w: Column, fraction: float) -> Column:
     return F.greatest(F.lit(1), F.bround(w * min(max(fraction, 0.0), 0.25), 0).cast("int"))
 

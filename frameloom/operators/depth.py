@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +53,16 @@ def normalize(planes: DataFrame, stats: DataFrame, keys: Sequence[str] = SHOT, z
     return joined.withColumn(z, F.when(F.col("_s").isNotNull(), scaled)).drop("_s")
 
 
+RESIZES = {"nearest": PX.resize_nearest, "area": PX.resize_area, "bilinear": PX.resize_bilinear}
+
+
+def resize(planes: DataFrame, h: int, w: int, how: str = "bilinear", z: str = "z") -> DataFrame:
+    """Planes of ``h`` by ``w`` cells: nearest cell, mean of the covered cells, or end-aligned bilinear."""
+    sized = RESIZES[how]
+    made = PX.pixel_step(planes, [z, "h", "w"], f"{z} array<double>", lambda f: {z: sized(np.asarray(f[z], np.float64), f["h"], f["w"], h, w)})
+    return made.withColumns({"h": F.lit(h), "w": F.lit(w)}).select(*planes.columns)
+
+
 def smooth_space(planes: DataFrame, amount: float = 0.15, z: str = "z") -> DataFrame:
     """Each cell blended with its similar neighbours; null planes stay null."""
     if amount <= 0:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import grid as G
+from ..functions import pixels as PX
 from .depth import SHOT, depth_stats
 from .ordered import exact_quantiles, with_previous
 from .segment import even_positions
@@ -71,8 +72,10 @@ def sampled_translations(frames: DataFrame, samples: int = 8, radius: int = 3, k
                    G.luma(C("b"), C("g"), C("r"), h, w, 96).alias("luma"))
     nxt = f.select(*keys, (C("frame_index") - 1).alias("frame_index"), C("luma").alias("next"))
     pairs = f.join(nxt, [*keys, "frame_index"]).join(plan.withColumnRenamed("_i", "frame_index"), [*keys, "frame_index"])
-    return pairs.select(*keys, "frame_index", G.block_match(C("luma"), C("next"), C("lh"), C("lw"), radius).alias("_t")).select(
-        *keys, "frame_index", "_t.dx", "_t.dy")
+    match = PX.block_match
+    moved = PX.pixel_step(pairs.select(*keys, "frame_index", "luma", "next", "lh", "lw"), ["luma", "next", "lh", "lw"], "dx bigint, dy bigint",
+                          lambda f: dict(zip(("dx", "dy"), match(f["luma"], f["next"], f["lh"], f["lw"], radius), strict=True)))
+    return moved.select(*keys, "frame_index", C("dx").cast("int").alias("dx"), C("dy").cast("int").alias("dy"))
 
 
 def camera_movement(translations: DataFrame, motion: DataFrame, keys: Sequence[str] = SHOT) -> DataFrame:

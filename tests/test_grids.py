@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameloom.functions import grid as G
+from frameloom.functions import pixels as PX
 from frameloom.functions import stereo as T
 from frameloom.operators import chunks as CH
 from frameloom.operators import depth as D
@@ -44,7 +45,7 @@ def test_depth_statistics(spark):
 
 
 def test_bilinear_keeps_corners(spark):
-    z = planes(spark, [np.asarray([[0, 1], [1, 0]])]).select(G.resize_bilinear(C("z"), C("h"), C("w"), 5, 7).alias("z")).collect()[0].z
+    z = D.resize(planes(spark, [np.asarray([[0, 1], [1, 0]])]), 5, 7).collect()[0].z
     a = np.asarray(z).reshape(5, 7)
     assert (a[0, 0], a[0, -1], a[-1, 0], a[-1, -1]) == (0, 1, 1, 0)
 
@@ -58,12 +59,12 @@ def test_blur(spark, radius):
     assert np.allclose(got, want)
 
 
-def test_block_match_finds_shift(spark):
+def test_block_match_finds_shift():
     a = np.random.default_rng(1).uniform(size=(12, 16))
     b = np.roll(a, (1, -2), (0, 1))
-    df = planes(spark, [a]).withColumn("c", F.array(*[F.lit(float(v)) for v in b.ravel()]))
-    r = df.select(G.block_match(C("z"), C("c"), C("h"), C("w")).alias("m")).collect()[0].m
-    assert (r.dx, r.dy) == (2, -1)
+    assert PX.block_match(a.ravel(), b.ravel(), 12, 16) == (2, -1)
+    flat = np.zeros(12)
+    assert PX.block_match(flat, flat, 3, 4) == (-3, -2)  # the first of equal ones that fit
 
 
 def test_collision_nearest_wins(spark):
