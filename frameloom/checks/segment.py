@@ -75,10 +75,10 @@ n AS (SELECT video_id, count(*) AS frame_count FROM changed GROUP BY 1)
 """
 
 
-@q("plane_diff", P + "SELECT video_id, frame_index, round(score, 4) + 0.0 AS score FROM changed")
+@q("plane_diff", P + "SELECT video_id, frame_index, round(score, 9) + 0.0 AS score FROM changed")
 def plane_diff(spark, sf):
     """Mean absolute gray change of every frame's cells from the frame before."""
-    return seg.frame_diff(gray_series(spark, sf), value="gray").select("video_id", "frame_index", (F.round("score", 4) + F.lit(0.0)).alias("score"))
+    return seg.frame_diff(gray_series(spark, sf), value="gray").select("video_id", "frame_index", (F.round("score", 9) + F.lit(0.0)).alias("score"))
 
 
 @q("plane_shots", P + """SELECT video_id, row_number() OVER w AS shot_id, frame_index AS start_frame, coalesce(lead(frame_index) OVER w, frame_count) - 1 AS end_frame,

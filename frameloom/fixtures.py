@@ -75,7 +75,8 @@ cx AS (SELECT video_id, shot_id, frame_index, CAST(i // 8 AS BIGINT) AS y, CAST(
   FROM planes, (SELECT unnest(range(64)) AS i))"""
 
 
-PLANE_THRESHOLD, PLANE_GAP, PLANE_WIDTH = 9.0, 5, 4
+#: The changes have nine digits, so none is just the threshold.
+PLANE_THRESHOLD, PLANE_GAP, PLANE_WIDTH = 9.0000000005, 5, 4
 
 
 def gray_series(spark: SparkSession, sf: str) -> DataFrame:
