@@ -19,10 +19,18 @@ TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+                "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
                 "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+                 "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+                 "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+                 "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
@@ -60,9 +68,15 @@ def bigrams(words: Column) -> Column:
 
 
 def parts(text: Column) -> Column:
-    """What a template is held against: the sentences, lines and paragraphs of a text, and the whole."""
-    sentences = F.split(F.regexp_replace(text, r"([.!?])[\x20\x09-\x0D]+", "$1\n"), "\n")
-    return F.array_distinct(F.concat(sentences, F.split(text, "\n"), F.split(text, "\n\n+"), F.array(text)))
+    """What a template is held against: the sentences, lines and paragraphs of a text, and the whole.
+
+    Sentences end at line feeds, and once more only at paragraphs, so one that is wrapped over lines is whole too.
+    """
+    ends = r"([.!?])[\x20\x09-\x0D]+"
+    sentences = F.split(F.regexp_replace(text, ends, "$1\n"), "\n")
+    joined = F.translate(F.regexp_replace(text, "\n\n+", "\x01"), "\n", " ")
+    wrapped = F.split(F.regexp_replace(joined, ends, "$1\x01"), "\x01")
+    return F.array_distinct(F.concat(sentences, wrapped, F.split(text, "\n"), F.split(text, "\n\n+"), F.array(text)))
 
 
 def template_bigrams(text: str) -> list[str]:
@@ -135,8 +149,10 @@ def scan_sql(templates=tuple(TEMPLATES), least: float = 0.75) -> str:
     return rf"""
         WITH t(licence, b) AS (VALUES {rows}),
         d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-        p AS (SELECT doc_id, unnest(list_distinct(list_concat(list_concat(
-                  string_split(regexp_replace(text, '([.!?])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)), string_split(text, chr(10))),
+        p AS (SELECT doc_id, unnest(list_distinct(list_concat(list_concat(list_concat(
+                  string_split(regexp_replace(text, '([.!?])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)),
+                  string_split(regexp_replace(translate(regexp_replace(text, '\n\n+', chr(1), 'g'), chr(10), ' '), '([.!?])[\x20\x09-\x0D]+', '\1' || chr(1), 'g'), chr(1))),
+                  string_split(text, chr(10))),
                   list_append(string_split_regex(text, '\n\n+'), text)))) AS part FROM d),
         w AS (SELECT doc_id, string_split(trim(regexp_replace(translate(part, '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')), ' ') AS w FROM p),
         q AS (SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS q FROM w),

@@ -128,3 +128,19 @@ def test_licences(spark):
     got = {(r.doc_id, r.licence): r.dice for r in licences.scan(docs(spark, rows)).collect()}
     assert got == {(1, "GPL-3.0"): 1.0, (2, "CC-BY-NC-4.0"): 1.0}
     assert licences.scan(docs(spark, [])).count() == 0
+
+
+def test_licences_and_their_neighbours(spark):
+    """Each template is found as its own licence, also when wrapped over lines inside a paragraph, and as no neighbour's."""
+    rows, want = [], {}
+    for i, (name, text) in enumerate(licences.TEMPLATES):
+        words = text.split()
+        wrapped = "Some words before it. " + "\n".join(" ".join(words[j:j + 5]) for j in range(0, len(words), 5)) + " And some\nafter it."
+        for k, t in enumerate((text, wrapped)):
+            rows.append((2 * i + k, t, "en", "a", 0, *["x"] * 10))
+            want[2 * i + k] = name
+    got = {}
+    for r in licences.scan(docs(spark, rows)).collect():
+        got.setdefault(r.doc_id, {})[r.licence] = r.dice
+    assert {i: max(x, key=x.get) for i, x in got.items()} == want
+    assert all(abs(max(x.values()) - 1) < 1e-9 for i, x in got.items() if i % 2 == 0)
