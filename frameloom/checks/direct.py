@@ -25,7 +25,7 @@ def r9(c):
     return F.round(c, 9) + F.lit(0.0)
 
 
-SQL_PRESETS = "presets(preset, depth_strength, convergence, max_background, max_popout, temporal_smoothing, transition_frames, edge_protection) AS (VALUES " + ", ".join(
+SQL_PRESETS = "presets(preset, depth_strength, convergence_depth_percentile, max_background_disparity_norm, max_popout_disparity_norm, temporal_smoothing, transition_frames, edge_protection) AS (VALUES " + ", ".join(
     f"('{k}', " + ", ".join(f"CAST({x} AS DOUBLE)" for x in v[:5]) + f", {v[5]}, {str(v[6]).lower()})" for k, v in R.PRESETS.items()) + ")"
 
 SEL_P = """CASE WHEN speech_ratio >= 0.48 AND motion_score <= 0.62 THEN 'dialogue_subtle'
@@ -41,32 +41,32 @@ SQL_SEL = f", {SQL_PRESETS}, sel AS (SELECT *, {SEL_P} AS preset, {SEL_C} AS con
 
 def sql_guard(src, out):
     """The comfort limits over a request table, with the carried convergence by recursion."""
-    return f""", {out}_c(video_id, shot_id, y, had) AS (SELECT video_id, shot_id, convergence, false FROM {src} WHERE shot_id = 1
-  UNION ALL SELECT r.video_id, r.shot_id, CASE WHEN r.transition <> 'fade' THEN r.convergence
-    ELSE least(least(1.0, c.y + CAST(0.18 AS DOUBLE)), greatest(greatest(0.0, c.y - CAST(0.18 AS DOUBLE)), r.convergence)) END, r.transition = 'fade'
+    return f""", {out}_c(video_id, shot_id, y, had) AS (SELECT video_id, shot_id, convergence_depth_percentile, false FROM {src} WHERE shot_id = 1
+  UNION ALL SELECT r.video_id, r.shot_id, CASE WHEN r.transition <> 'fade' THEN r.convergence_depth_percentile
+    ELSE least(least(1.0, c.y + CAST(0.18 AS DOUBLE)), greatest(greatest(0.0, c.y - CAST(0.18 AS DOUBLE)), r.convergence_depth_percentile)) END, r.transition = 'fade'
   FROM {out}_c c JOIN {src} r ON r.video_id = c.video_id AND r.shot_id = c.shot_id + 1),
-{out}_1 AS (SELECT r.*, c.y, least(depth_strength, 1.0) AS s1, least(max_popout, 0.004) AS p1, least(max_background, 0.010) AS b1 FROM {src} r JOIN {out}_c c USING (video_id, shot_id)),
+{out}_1 AS (SELECT r.*, c.y, least(depth_strength, 1.0) AS s1, least(max_popout_disparity_norm, 0.004) AS p1, least(max_background_disparity_norm, 0.010) AS b1 FROM {src} r JOIN {out}_c c USING (video_id, shot_id)),
 {out}_2 AS (SELECT *, CASE WHEN motion_score >= 0.68 THEN s1 * CAST(0.72 AS DOUBLE) ELSE s1 END AS s2, CASE WHEN motion_score >= 0.68 THEN p1 * CAST(0.72 AS DOUBLE) ELSE p1 END AS p2 FROM {out}_1),
 {out}_3 AS (SELECT *, CASE WHEN depth_reliability < 0.55 THEN s2 * CAST(0.60 AS DOUBLE) ELSE s2 END AS s3, CASE WHEN confidence < 0.55 THEN 0.0 ELSE p2 END AS p3 FROM {out}_2),
 {out}_4 AS (SELECT *, CASE WHEN edge_near AND edge_protection THEN 0.0 ELSE p3 END AS p4 FROM {out}_3),
-{out} AS (SELECT video_id, shot_id, preset, confidence, least(1.0, greatest(0.0, s3)) AS depth_strength, y AS convergence, least(0.010, greatest(0.0, b1)) AS max_background,
-  least(0.004, greatest(0.0, p4)) AS max_popout, temporal_smoothing, transition_frames, edge_protection, transition, motion_score, depth_reliability, edge_near, status, price,
-  depth_strength AS q_strength, convergence AS q_convergence, max_background AS q_background, max_popout AS q_popout,
-  concat_ws(',', CASE WHEN depth_strength <> s1 THEN 'depth_strength_clamped' END, CASE WHEN max_popout <> p1 THEN 'popout_clamped' END,
-   CASE WHEN max_background <> b1 THEN 'background_clamped' END, CASE WHEN s1 <> s2 THEN 'reduced_due_to_high_motion' END,
+{out} AS (SELECT video_id, shot_id, preset, confidence, least(1.0, greatest(0.0, s3)) AS depth_strength, y AS convergence_depth_percentile, least(0.010, greatest(0.0, b1)) AS max_background_disparity_norm,
+  least(0.004, greatest(0.0, p4)) AS max_popout_disparity_norm, temporal_smoothing, transition_frames, edge_protection, transition, motion_score, depth_reliability, edge_near, status, price,
+  depth_strength AS q_strength, convergence_depth_percentile AS q_convergence_depth_percentile, max_background_disparity_norm AS q_background, max_popout_disparity_norm AS q_popout,
+  concat_ws(',', CASE WHEN depth_strength <> s1 THEN 'depth_strength_clamped' END, CASE WHEN max_popout_disparity_norm <> p1 THEN 'popout_clamped' END,
+   CASE WHEN max_background_disparity_norm <> b1 THEN 'background_clamped' END, CASE WHEN s1 <> s2 THEN 'reduced_due_to_high_motion' END,
    CASE WHEN p1 <> p2 THEN 'popout_reduced_due_to_high_motion' END, CASE WHEN s2 <> s3 THEN 'reduced_due_to_unreliable_depth' END,
    CASE WHEN p2 <> p3 THEN 'popout_disabled_due_to_low_confidence' END, CASE WHEN p3 <> p4 THEN 'popout_disabled_due_to_edge_violation' END,
-   CASE WHEN convergence <> y THEN 'convergence_change_clamped' END) AS actions FROM {out}_4)"""
+   CASE WHEN convergence_depth_percentile <> y THEN 'convergence_change_clamped' END) AS actions FROM {out}_4)"""
 
 
 SQL_SCRIPT = SQL_SEL + sql_guard("req", "script")
-SHOW = """SELECT video_id, shot_id, preset, round(confidence, 9) + 0.0 AS confidence, round(depth_strength, 9) + 0.0 AS depth_strength, round(convergence, 9) + 0.0 AS convergence,
-  round(max_background, 9) + 0.0 AS max_background, round(max_popout, 9) + 0.0 AS max_popout, actions FROM """
+SHOW = """SELECT video_id, shot_id, preset, round(confidence, 9) + 0.0 AS confidence, round(depth_strength, 9) + 0.0 AS depth_strength, round(convergence_depth_percentile, 9) + 0.0 AS convergence_depth_percentile,
+  round(max_background_disparity_norm, 9) + 0.0 AS max_background_disparity_norm, round(max_popout_disparity_norm, 9) + 0.0 AS max_popout_disparity_norm, actions FROM """
 
 
 def show(df):
     return df.select("video_id", "shot_id", "preset", *[r9(c).alias(c) for c in (
-        "confidence", "depth_strength", "convergence", "max_background", "max_popout")],
+        "confidence", "depth_strength", "convergence_depth_percentile", "max_background_disparity_norm", "max_popout_disparity_norm")],
         F.array_join(F.transform("guard_actions", lambda a: a["code"]), ",").alias("actions"))
 
 
@@ -88,7 +88,7 @@ def select_preset(spark, sf):
     return shot_features(spark, sf).select("video_id", "shot_id", p.alias("preset"), r9(c).alias("confidence"))
 
 
-@q("preset_lookup", W + SQL_SEL + """SELECT video_id, shot_id, preset, depth_strength, convergence, max_background, max_popout, temporal_smoothing,
+@q("preset_lookup", W + SQL_SEL + """SELECT video_id, shot_id, preset, depth_strength, convergence_depth_percentile, max_background_disparity_norm, max_popout_disparity_norm, temporal_smoothing,
    transition_frames, edge_protection FROM req""")
 def preset_lookup(spark, sf):
     p, _ = R.select_preset()
@@ -100,20 +100,20 @@ def preset_lookup(spark, sf):
 def convergence_clamp(spark, sf):
     p, c = R.select_preset()
     f = X.with_preset(shot_features(spark, sf).withColumn("preset", p).drop("status", "price"))
-    out = X.carried_clamp(f, "convergence", R.COMFORT["max_convergence_change"], hard())
+    out = X.carried_clamp(f, "convergence_depth_percentile", R.COMFORT["max_convergence_change"], hard())
     return out.select("video_id", "shot_id", r9("applied").alias("applied"), "had_previous")
 
 
-REQ_OVER = """, over AS (SELECT feats.* EXCLUDE (edge_near), 'action_controlled' AS preset, depth_spread AS confidence, CAST(1.8 AS DOUBLE) * motion_score AS depth_strength, foreground_ratio AS convergence,
-  CAST(0.03 AS DOUBLE) * speech_ratio AS max_background, CAST(0.02 AS DOUBLE) * motion_score AS max_popout, CAST(0.9 AS DOUBLE) AS temporal_smoothing, 8 AS transition_frames, true AS edge_protection, edge_near FROM feats)"""
+REQ_OVER = """, over AS (SELECT feats.* EXCLUDE (edge_near), 'action_controlled' AS preset, depth_spread AS confidence, CAST(1.8 AS DOUBLE) * motion_score AS depth_strength, foreground_ratio AS convergence_depth_percentile,
+  CAST(0.03 AS DOUBLE) * speech_ratio AS max_background_disparity_norm, CAST(0.02 AS DOUBLE) * motion_score AS max_popout_disparity_norm, CAST(0.9 AS DOUBLE) AS temporal_smoothing, 8 AS transition_frames, true AS edge_protection, edge_near FROM feats)"""
 
 
 @q("comfort_guard", W + REQ_OVER + sql_guard("over", "gd") + SHOW + "gd")
 def comfort_guard(spark, sf):
     f = shot_features(spark, sf).withColumns({
         "preset": F.lit("action_controlled"), "confidence": F.col("depth_spread"),
-        "depth_strength": F.col("motion_score") * 1.8, "convergence": F.col("foreground_ratio"),
-        "max_background": F.col("speech_ratio") * 0.03, "max_popout": F.col("motion_score") * 0.02,
+        "depth_strength": F.col("motion_score") * 1.8, "convergence_depth_percentile": F.col("foreground_ratio"),
+        "max_background_disparity_norm": F.col("speech_ratio") * 0.03, "max_popout_disparity_norm": F.col("motion_score") * 0.02,
         "temporal_smoothing": F.lit(0.9), "transition_frames": F.lit(8), "edge_protection": F.lit(True)})
     return show(X.comfort_guard(f, hard()))
 
@@ -125,8 +125,8 @@ def create_script(spark, sf):
 
 SQL_MANUAL = """, pick(d, mp) AS (VALUES ('1', 'dialogue_subtle'), ('2', 'action_controlled'), ('3', 'vista_deep'), ('4', 'closeup_flat'), ('5', 'neutral')),
 man AS (SELECT s.video_id, s.shot_id, CASE WHEN s.status = 'F' THEN mp ELSE s.preset END AS preset, s.confidence,
-   CASE WHEN s.status = 'F' THEN p.depth_strength * 2 ELSE q_strength END AS depth_strength, CASE WHEN s.status = 'F' THEN p.convergence ELSE q_convergence END AS convergence,
-   CASE WHEN s.status = 'F' THEN p.max_background * 2 ELSE q_background END AS max_background, CASE WHEN s.status = 'F' THEN p.max_popout * 2 ELSE q_popout END AS max_popout,
+   CASE WHEN s.status = 'F' THEN p.depth_strength * 2 ELSE q_strength END AS depth_strength, CASE WHEN s.status = 'F' THEN p.convergence_depth_percentile ELSE q_convergence_depth_percentile END AS convergence_depth_percentile,
+   CASE WHEN s.status = 'F' THEN p.max_background_disparity_norm * 2 ELSE q_background END AS max_background_disparity_norm, CASE WHEN s.status = 'F' THEN p.max_popout_disparity_norm * 2 ELSE q_popout END AS max_popout_disparity_norm,
    s.temporal_smoothing, s.transition_frames, s.edge_protection, s.transition, s.motion_score, s.depth_reliability, s.edge_near, s.status, s.price
    FROM script s JOIN feats f USING (video_id, shot_id) JOIN pick ON pick.d = f.priority[1] JOIN presets p ON p.preset = mp)"""
 
@@ -140,7 +140,7 @@ def with_manual_edits(script):
     s = script.withColumn("_mp", F.try_element_at(mp, F.substring("priority", 1, 1)))
     s = s.withColumn("_pv", F.try_element_at(params, F.col("_mp")))
     cols = {"preset": F.when(m, F.col("_mp")).otherwise(F.col("preset")), "manual_override": m}
-    for i, (p, k) in enumerate((("depth_strength", 2.0), ("convergence", 1.0), ("max_background", 2.0), ("max_popout", 2.0))):
+    for i, (p, k) in enumerate((("depth_strength", 2.0), ("convergence_depth_percentile", 1.0), ("max_background_disparity_norm", 2.0), ("max_popout_disparity_norm", 2.0))):
         cols[p] = F.when(m, F.col("_pv")[i] * k).otherwise(F.col(p))
     cols["guard_actions"] = F.when(m, F.slice("guard_actions", 1, 0)).otherwise(F.col("guard_actions"))
     return s.withColumns(cols).drop("_mp", "_pv")
@@ -180,13 +180,13 @@ def carry_overrides(spark, sf):
 
 
 def row_digest():
-    return L.digest("shot_id", "preset", *[L.number_text(c) for c in ("confidence", "depth_strength", "convergence", "max_background", "max_popout")],
+    return L.digest("shot_id", "preset", *[L.number_text(c) for c in ("confidence", "depth_strength", "convergence_depth_percentile", "max_background_disparity_norm", "max_popout_disparity_norm")],
                     F.array_join(F.transform("guard_actions", lambda a: a["code"]), ","))
 
 
 N = "CAST(CAST({0} AS DECIMAL(18,9)) AS VARCHAR)"
 SQL_REV = """, dig AS (SELECT video_id, shot_id, sha256(concat_ws(chr(0), shot_id, preset, """ + ", ".join(N.format(c) for c in (
-    "confidence", "depth_strength", "convergence", "max_background", "max_popout")) + """, actions)) AS d FROM script),
+    "confidence", "depth_strength", "convergence_depth_percentile", "max_background_disparity_norm", "max_popout_disparity_norm")) + """, actions)) AS d FROM script),
  d1 AS (SELECT video_id, shot_id // 1024 AS b, sha256(string_agg(d, '' ORDER BY shot_id)) AS d FROM dig GROUP BY 1, 2),
  d2 AS (SELECT video_id, b // 1024 AS b, sha256(string_agg(d, '' ORDER BY b)) AS d FROM d1 GROUP BY 1, 2),
  rev AS (SELECT video_id, sha256(string_agg(d, '' ORDER BY b)) AS revision FROM d2 GROUP BY 1)"""

@@ -154,15 +154,15 @@ def stream_shots(spark, sf):
     return spark.read.parquet(J.run_to_table(J.stream_shots(frames, THRESHOLD, MIN_GAP), base))
 
 
-@q("stream_qc", """SELECT user_id AS video_id, event_type AS shot_id, count(*) AS frame_count, max(value) AS max_popout, max(value / 2) AS max_background, CAST(sum(event_id % 5) AS BIGINT) AS edge_pixels,
-   CAST(sum(event_id % 7) AS BIGINT) AS hole_pixels, max(event_id % 7) AS largest_hole, round(avg(value), 6) + 0.0 AS depth_temporal_change FROM events GROUP BY 1, 2""")
+@q("stream_qc", """SELECT user_id AS video_id, event_type AS shot_id, count(*) AS frame_count, max(value) AS max_popout_disparity_norm, max(value / 2) AS max_background_disparity_norm, CAST(sum(event_id % 5) AS BIGINT) AS edge_violation_pixels,
+   CAST(sum(event_id % 7) AS BIGINT) AS hole_pixels, max(event_id % 7) AS largest_hole_pixels, round(avg(value), 6) + 0.0 AS depth_temporal_change FROM events GROUP BY 1, 2""")
 def stream_qc(spark, sf):
     """Per-shot quality as running state over frame rows."""
     from ..operators.quality import shot_qc
     schema = table(spark, sf, "events").schema
     e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    rows = e.select(C("user_id").alias("video_id"), C("event_type").alias("shot_id"), C("value").alias("max_popout"), (C("value") / 2).alias("max_background"),
-                    (C("event_id") % 5).alias("edge_pixels"), (C("event_id") % 7).alias("hole_pixels"), (C("event_id") % 7).alias("largest_hole"), C("value").alias("depth_temporal_change"))
+    rows = e.select(C("user_id").alias("video_id"), C("event_type").alias("shot_id"), C("value").alias("max_popout_disparity_norm"), (C("value") / 2).alias("max_background_disparity_norm"),
+                    (C("event_id") % 5).alias("edge_violation_pixels"), (C("event_id") % 7).alias("hole_pixels"), (C("event_id") % 7).alias("largest_hole_pixels"), C("value").alias("depth_temporal_change"))
     path = J.run_to_table(shot_qc(rows), folder(spark), "complete")
     out = spark.read.parquet(path)
     top = out.agg(F.max("batch").alias("batch"))

@@ -73,7 +73,7 @@ def depth_backend(spark, sf):
 
 @q("director_hook", "WITH RECURSIVE " + SQL_FEATURES + f""", {SQL_PRESETS}, sel AS (SELECT *, CASE WHEN p = 'action_controlled' THEN 'neutral' ELSE p END AS preset FROM (SELECT *, {SEL_P} AS p, {SEL_C} AS confidence FROM feats)),
   req AS (SELECT sel.*, presets.* EXCLUDE (preset) FROM sel JOIN presets USING (preset))""" + sql_guard("req", "script")
-   + "SELECT video_id, shot_id, preset, round(confidence, 9) + 0.0 AS confidence, round(max_popout, 9) + 0.0 AS max_popout FROM script")
+   + "SELECT video_id, shot_id, preset, round(confidence, 9) + 0.0 AS confidence, round(max_popout_disparity_norm, 9) + 0.0 AS max_popout_disparity_norm FROM script")
 def director_hook(spark, sf):
     """A caller's own choice of preset; the limits still apply."""
     from ..fixtures import shot_features
@@ -83,7 +83,7 @@ def director_hook(spark, sf):
         return F.when(p == "action_controlled", "neutral").otherwise(p), c
 
     s = X.create_script(shot_features(spark, sf), hard(), choose=calm)
-    return s.select("video_id", "shot_id", "preset", r9("confidence").alias("confidence"), r9("max_popout").alias("max_popout"))
+    return s.select("video_id", "shot_id", "preset", r9("confidence").alias("confidence"), r9("max_popout_disparity_norm").alias("max_popout_disparity_norm"))
 
 
 @q("raw_frames", """WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
@@ -106,7 +106,7 @@ def write_read_artifacts(spark, sf):
 
 
 FEATURES = ["video_id", "shot_id", "motion_score", "camera_movement", "depth_spread", "foreground_ratio", "brightness", "speech_ratio", "depth_reliability", "cut_frequency_context"]
-SHOW = ["video_id", "shot_id", "preset", "confidence", "depth_strength", "convergence", "max_background", "max_popout", "manual_override"]
+SHOW = ["video_id", "shot_id", "preset", "confidence", "depth_strength", "convergence_depth_percentile", "max_background_disparity_norm", "max_popout_disparity_norm", "manual_override"]
 
 
 def _rounded(df, cols):
@@ -155,7 +155,7 @@ def _parts(spark, sf):
    CASE WHEN hi - lo <= greatest(abs(hi), 1.0) * 1e-7 THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS depth_reliability, en AS edge_near, CASE WHEN (shot_id - 1) // 2 + 1 = 3 THEN 'fade' ELSE 'cut' END AS transition, '' AS status, 0 AS price
    FROM dd JOIN mo USING (video_id, shot_id) JOIN st USING (video_id, shot_id)),
   {SQL_PRESETS}, sel AS (SELECT *, {SEL_P} AS preset, {SEL_C} AS confidence FROM feats), req AS (SELECT sel.*, presets.* EXCLUDE (preset) FROM sel JOIN presets USING (preset))""" + sql_guard("req", "script")
-   + "SELECT video_id, shot_id, preset, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("confidence", "depth_strength", "convergence", "max_background", "max_popout")) + ", false AS manual_override FROM script")
+   + "SELECT video_id, shot_id, preset, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("confidence", "depth_strength", "convergence_depth_percentile", "max_background_disparity_norm", "max_popout_disparity_norm")) + ", false AS manual_override FROM script")
 def direct(spark, sf):
     frames, shots, spans, planes, stats = _parts(spark, sf)
     return _rounded(P.direct(P.extract_features(frames, planes, stats, shots, spans), D.edge_near_shots(planes), shots), SHOW)
@@ -188,7 +188,7 @@ def _run(spark, sf):
 @q("final_with_qc")
 def final_with_qc(spark, sf):
     s = _run(spark, sf)["shots"]
-    return _rounded(s, ["video_id", "shot_id", "frame_count", "max_popout", "max_background", "edge_pixels", "hole_pixels", "largest_hole", "depth_temporal_change"])
+    return _rounded(s, ["video_id", "shot_id", "frame_count", "max_popout_disparity_norm", "max_background_disparity_norm", "edge_violation_pixels", "hole_pixels", "largest_hole_pixels", "depth_temporal_change"])
 
 
 @q("run")

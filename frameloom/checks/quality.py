@@ -49,26 +49,26 @@ def largest_component_bound(spark, sf):
 
 SQL_QC = SQL_VIEWS + HOLES + sql_components("hl", "lc") + f""", hc AS (SELECT {KEYS}, count(*) AS n FROM hl GROUP BY ALL),
  tc AS (SELECT {KEYS}, avg(c) AS c FROM (SELECT {KEYS}, abs(zz - lag(zz) OVER (PARTITION BY video_id, shot_id, i ORDER BY frame_index)) AS c FROM dp) GROUP BY ALL),
- fq AS (SELECT {KEYS}, greatest(0.0, max(d)) AS max_popout, greatest(0.0, -min(d)) AS max_background, count(*) FILTER ((x < 1 OR x >= 7) AND d > 0.002) AS edge_pixels,
-   any_value(coalesce(n, 0)) AS hole_pixels, any_value(coalesce(largest, 0)) AS largest_hole, any_value(c) AS change FROM dp LEFT JOIN hc USING ({KEYS}) LEFT JOIN lc USING ({KEYS}) LEFT JOIN tc USING ({KEYS}) GROUP BY ALL),
- sq AS (SELECT video_id, shot_id, count(*) AS frame_count, max(max_popout) AS max_popout, max(max_background) AS max_background, CAST(sum(edge_pixels) AS BIGINT) AS edge_pixels,
-   CAST(sum(hole_pixels) AS BIGINT) AS hole_pixels, max(largest_hole) AS largest_hole, coalesce(avg(change), 0.0) AS change FROM fq GROUP BY 1, 2)"""
+ fq AS (SELECT {KEYS}, greatest(0.0, max(d)) AS max_popout_disparity_norm, greatest(0.0, -min(d)) AS max_background_disparity_norm, count(*) FILTER ((x < 1 OR x >= 7) AND d > 0.002) AS edge_violation_pixels,
+   any_value(coalesce(n, 0)) AS hole_pixels, any_value(coalesce(largest, 0)) AS largest_hole_pixels, any_value(c) AS change FROM dp LEFT JOIN hc USING ({KEYS}) LEFT JOIN lc USING ({KEYS}) LEFT JOIN tc USING ({KEYS}) GROUP BY ALL),
+ sq AS (SELECT video_id, shot_id, count(*) AS frame_count, max(max_popout_disparity_norm) AS max_popout_disparity_norm, max(max_background_disparity_norm) AS max_background_disparity_norm, CAST(sum(edge_violation_pixels) AS BIGINT) AS edge_violation_pixels,
+   CAST(sum(hole_pixels) AS BIGINT) AS hole_pixels, max(largest_hole_pixels) AS largest_hole_pixels, coalesce(avg(change), 0.0) AS change FROM fq GROUP BY 1, 2)"""
 
 
-@q("frame_qc", C + SQL_QC + f"""SELECT {KEYS}, round(max_popout, 6) + 0.0 AS max_popout, round(max_background, 6) + 0.0 AS max_background, edge_pixels, hole_pixels,
-  largest_hole, round(coalesce(change, 0.0), 6) + 0.0 AS depth_temporal_change FROM fq""")
+@q("frame_qc", C + SQL_QC + f"""SELECT {KEYS}, round(max_popout_disparity_norm, 6) + 0.0 AS max_popout_disparity_norm, round(max_background_disparity_norm, 6) + 0.0 AS max_background_disparity_norm, edge_violation_pixels, hole_pixels,
+  largest_hole_pixels, round(coalesce(change, 0.0), 6) + 0.0 AS depth_temporal_change FROM fq""")
 def frame_qc(spark, sf):
     f = K.frame_qc(rendered(spark, sf))
-    return f.withColumns({"max_popout": r6("max_popout"), "max_background": r6("max_background"),
+    return f.withColumns({"max_popout_disparity_norm": r6("max_popout_disparity_norm"), "max_background_disparity_norm": r6("max_background_disparity_norm"),
                           "depth_temporal_change": r6(F.coalesce("depth_temporal_change", F.lit(0.0)))})
 
 
-@q("shot_qc", C + SQL_QC + """SELECT video_id, shot_id, frame_count, round(max_popout, 6) + 0.0 AS max_popout, round(max_background, 6) + 0.0 AS max_background, edge_pixels, hole_pixels,
-  largest_hole, round(change, 6) + 0.0 AS depth_temporal_change, CASE WHEN shot_id % 3 = 0 THEN 'popout_clamped' ELSE '' END AS comfort_overrides, shot_id % 4 = 0 AS fallback_used FROM sq""")
+@q("shot_qc", C + SQL_QC + """SELECT video_id, shot_id, frame_count, round(max_popout_disparity_norm, 6) + 0.0 AS max_popout_disparity_norm, round(max_background_disparity_norm, 6) + 0.0 AS max_background_disparity_norm, edge_violation_pixels, hole_pixels,
+  largest_hole_pixels, round(change, 6) + 0.0 AS depth_temporal_change, CASE WHEN shot_id % 3 = 0 THEN 'popout_clamped' ELSE '' END AS comfort_overrides, shot_id % 4 = 0 AS fallback_used FROM sq""")
 def shot_qc(spark, sf):
     s = _shot_rows(spark, sf)
-    return s.select("video_id", "shot_id", "frame_count", r6("max_popout").alias("max_popout"), r6("max_background").alias("max_background"),
-                    "edge_pixels", "hole_pixels", "largest_hole", r6("depth_temporal_change").alias("depth_temporal_change"),
+    return s.select("video_id", "shot_id", "frame_count", r6("max_popout_disparity_norm").alias("max_popout_disparity_norm"), r6("max_background_disparity_norm").alias("max_background_disparity_norm"),
+                    "edge_violation_pixels", "hole_pixels", "largest_hole_pixels", r6("depth_temporal_change").alias("depth_temporal_change"),
                     F.array_join("comfort_overrides", ",").alias("comfort_overrides"), "fallback_used")
 
 
@@ -96,24 +96,24 @@ def _media(spark, sf):
 
 
 SQL_REPORT = SQL_QC + """, md AS (SELECT video_id, count(*) AS rendered, count(*) + video_id * 3 AS expected FROM planes GROUP BY video_id),
- tt AS (SELECT video_id, max(max_popout) AS max_popout, max(max_background) AS max_background, CAST(sum(edge_pixels) AS BIGINT) AS edge_violations, CAST(sum(hole_pixels) AS BIGINT) AS hole_pixels, max(largest_hole) AS largest_hole,
+ tt AS (SELECT video_id, max(max_popout_disparity_norm) AS max_popout_disparity_norm, max(max_background_disparity_norm) AS max_background_disparity_norm, CAST(sum(edge_violation_pixels) AS BIGINT) AS edge_violations, CAST(sum(hole_pixels) AS BIGINT) AS hole_pixels, max(largest_hole_pixels) AS largest_hole_pixels,
   sum(change * frame_count) / sum(frame_count) AS change, count(*) FILTER (shot_id % 3 = 0) AS ov, count(*) FILTER (shot_id % 4 = 0) AS fb, count(*) FILTER (shot_id % 5 = 0) AS fa FROM sq GROUP BY 1),
  rp AS (SELECT tt.*, rendered, expected, [x for x in [CASE WHEN expected > rendered THEN (expected - rendered) || ' expected frames were not rendered' END, CASE WHEN video_id > 0 THEN video_id || ' duplicated frames were detected' END,
    CASE WHEN video_id * 0.06 > 0.05 THEN 'Audio/video duration differs by more than 50 ms' END, CASE WHEN edge_violations > 0 THEN 'Potential stereo window-edge violations were detected' END,
-   CASE WHEN largest_hole > 256 THEN 'Large disocclusion holes remain in one or more shots' END, CASE WHEN video_id = 1 THEN 'Render used synthetic demo depth and is not a production deliverable' END] if x IS NOT NULL] AS warnings FROM tt JOIN md USING (video_id))"""
+   CASE WHEN largest_hole_pixels > 256 THEN 'Large disocclusion holes remain in one or more shots' END, CASE WHEN video_id = 1 THEN 'Render used synthetic demo depth and is not a production deliverable' END] if x IS NOT NULL] AS warnings FROM tt JOIN md USING (video_id))"""
 
 
 @q("qc_report", C + SQL_REPORT + """SELECT video_id, rendered AS frame_count, expected AS expected_frames, expected - rendered AS dropped_frames, video_id AS duplicated_frames, round(CAST(video_id * 0.06 AS DOUBLE), 6) + 0.0 AS audio_video_difference,
-  round(max_popout, 6) + 0.0 AS max_popout, round(max_background, 6) + 0.0 AS max_background, edge_violations, hole_pixels, largest_hole, round(change, 6) + 0.0 AS depth_temporal_change,
+  round(max_popout_disparity_norm, 6) + 0.0 AS max_popout_disparity_norm, round(max_background_disparity_norm, 6) + 0.0 AS max_background_disparity_norm, edge_violations, hole_pixels, largest_hole_pixels, round(change, 6) + 0.0 AS depth_temporal_change,
   ov AS shots_with_overrides, fb AS shots_using_fallback, fa AS depth_failures, array_to_string(warnings, '|') AS warnings FROM rp""")
 def qc_report(spark, sf):
     r = K.qc_report(_shot_rows(spark, sf), _media(spark, sf))
-    return r.withColumns({c: r6(c) for c in ("audio_video_difference", "max_popout", "max_background", "depth_temporal_change")}).withColumn(
+    return r.withColumns({c: r6(c) for c in ("audio_video_difference", "max_popout_disparity_norm", "max_background_disparity_norm", "depth_temporal_change")}).withColumn(
         "warnings", F.array_join("warnings", "|"))
 
 
-@q("qc_html", C + SQL_REPORT + """, ln AS (SELECT video_id, shot_id, '<tr><td>' || shot_id || '</td><td>' || frame_count || '</td><td>' || printf('%.4f', round_even(max_popout, 4)) || '</td><td>' || printf('%.4f', round_even(max_background, 4))
-   || '</td><td>' || edge_pixels || '</td><td>' || hole_pixels || '</td></tr>' AS line FROM sq)
+@q("qc_html", C + SQL_REPORT + """, ln AS (SELECT video_id, shot_id, '<tr><td>' || shot_id || '</td><td>' || frame_count || '</td><td>' || printf('%.4f', round_even(max_popout_disparity_norm, 4)) || '</td><td>' || printf('%.4f', round_even(max_background_disparity_norm, 4))
+   || '</td><td>' || edge_violation_pixels || '</td><td>' || hole_pixels || '</td></tr>' AS line FROM sq)
   SELECT video_id, 0 AS part, '<h1>Quality-control report</h1><p>Rendered ' || rendered || ' of ' || expected || ' expected frames.</p><ul class="warning">' ||
     coalesce(array_to_string([('<li>' || replace(replace(w, '&', '&amp;'), '<', '&lt;') || '</li>') for w in warnings], ''), '') ||
     '</ul><table><tr><th>Shot</th><th>Frames</th><th>Max pop-out</th><th>Max background</th><th>Edge pixels</th><th>Hole pixels</th></tr>' AS html FROM rp

@@ -73,8 +73,8 @@ def staged(spark, sf):
     s = F.col("shot_id")
     f = colour_frames(spark, sf)
     return f.withColumn("z", F.transform("z", lambda v: G.clamp(v.cast("double") * 1.5 + 0.5, 0, 1))).withColumns({
-        "depth_strength": s * 0.1 + 0.5, "convergence": s * 0.05 + 0.3, "max_background": F.lit(0.05),
-        "max_popout": F.lit(0.03), "edge_protection": s % 2 == 0})
+        "depth_strength": s * 0.1 + 0.5, "convergence_depth_percentile": s * 0.05 + 0.3, "max_background_disparity_norm": F.lit(0.05),
+        "max_popout_disparity_norm": F.lit(0.03), "edge_protection": s % 2 == 0})
 
 
 SQL_STAGE = """, u AS (SELECT *, least(1.0, greatest(0.0, z * 1.5 + 0.5)) AS zz, shot_id * CAST(0.1 AS DOUBLE) + 0.5 AS st, shot_id * CAST(0.05 AS DOUBLE) + 0.3 AS lv FROM cx),
@@ -199,11 +199,11 @@ NAMES = list(R.PRESETS)
 
 
 @q("ease_parameters", "WITH RECURSIVE " + SEG.SQL_SHOTS + ", " + SQL_PRESETS + f""", nm(k, preset) AS (VALUES {", ".join(f"({i}, '{n}')" for i, n in enumerate(NAMES))}),
-  sp AS (SELECT s.video_id, s.shot_id, s.start_frame, s.end_frame, s.transition, p.*, lag(p.depth_strength) OVER w AS ps, lag(p.convergence) OVER w AS pc, lag(p.max_background) OVER w AS pb, lag(p.max_popout) OVER w AS pp
+  sp AS (SELECT s.video_id, s.shot_id, s.start_frame, s.end_frame, s.transition, p.*, lag(p.depth_strength) OVER w AS ps, lag(p.convergence_depth_percentile) OVER w AS pc, lag(p.max_background_disparity_norm) OVER w AS pb, lag(p.max_popout_disparity_norm) OVER w AS pp
     FROM shots s JOIN nm ON nm.k = s.shot_id % 5 JOIN presets p ON p.preset = nm.preset WINDOW w AS (PARTITION BY s.video_id ORDER BY s.shot_id)),
   fr AS (SELECT f.video_id, f.frame_index, sp.*, least(1.0, greatest(0.0, (1 - pow(temporal_smoothing, greatest(1, f.frame_index - start_frame + 1))) / greatest(1 - pow(temporal_smoothing, transition_frames), 1e-9))) AS bl,
      f.frame_index - start_frame < transition_frames AND transition = 'fade' AND ps IS NOT NULL AS fading FROM frames f JOIN sp ON sp.video_id = f.video_id AND f.frame_index BETWEEN start_frame AND end_frame)
-  SELECT video_id, frame_index, shot_id, {", ".join(f"round(CASE WHEN fading THEN {p} + ({n} - {p}) * bl ELSE {n} END, 6) + 0.0 AS {n}" for n, p in (("depth_strength", "ps"), ("convergence", "pc"), ("max_background", "pb"), ("max_popout", "pp")))} FROM fr""")
+  SELECT video_id, frame_index, shot_id, {", ".join(f"round(CASE WHEN fading THEN {p} + ({n} - {p}) * bl ELSE {n} END, 6) + 0.0 AS {n}" for n, p in (("depth_strength", "ps"), ("convergence_depth_percentile", "pc"), ("max_background_disparity_norm", "pb"), ("max_popout_disparity_norm", "pp")))} FROM fr""")
 def ease_parameters(spark, sf):
     f = frame_series(spark, sf)
     shots = SEG.shots_of(spark, sf, f)

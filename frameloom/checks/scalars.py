@@ -117,13 +117,13 @@ def timecode(spark, sf):
     return table(spark, sf, "events").select("event_id", X.timecode(s).alias("clock"), F.substring_index(full, ":", -1).alias("frames"))
 
 
-@q("clamp_ui_parameters", """SELECT o_orderkey, least(1.0, greatest(0.0, o_totalprice / 250000)) AS depth_strength, least(0.9, greatest(0.1, o_totalprice / 500000)) AS convergence, least(0.02, greatest(0.0, o_totalprice / 2e7)) AS max_background,
-   least(0.008, greatest(0.0, (o_totalprice - 1000) / 4e7)) AS max_popout, least(24.0, greatest(0.0, CAST(o_custkey % 40 AS DOUBLE))) AS transition_frames FROM orders""")
+@q("clamp_ui_parameters", """SELECT o_orderkey, least(1.0, greatest(0.0, o_totalprice / 250000)) AS depth_strength, least(0.9, greatest(0.1, o_totalprice / 500000)) AS convergence_depth_percentile, least(0.02, greatest(0.0, o_totalprice / 2e7)) AS max_background_disparity_norm,
+   least(0.008, greatest(0.0, (o_totalprice - 1000) / 4e7)) AS max_popout_disparity_norm, least(24.0, greatest(0.0, CAST(o_custkey % 40 AS DOUBLE))) AS transition_frames FROM orders""")
 def clamp_ui_parameters(spark, sf):
     p = C("o_totalprice")
     return table(spark, sf, "orders").select(
-        "o_orderkey", X.clamp_ui("depth_strength", p / 250000).alias("depth_strength"), X.clamp_ui("convergence", p / 500000).alias("convergence"),
-        X.clamp_ui("max_background", p / 2e7).alias("max_background"), X.clamp_ui("max_popout", (p - 1000) / 4e7).alias("max_popout"),
+        "o_orderkey", X.clamp_ui("depth_strength", p / 250000).alias("depth_strength"), X.clamp_ui("convergence_depth_percentile", p / 500000).alias("convergence_depth_percentile"),
+        X.clamp_ui("max_background_disparity_norm", p / 2e7).alias("max_background_disparity_norm"), X.clamp_ui("max_popout_disparity_norm", (p - 1000) / 4e7).alias("max_popout_disparity_norm"),
         X.clamp_ui("transition_frames", C("o_custkey") % 40).alias("transition_frames"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Treatment presets, parameter limits, rule thresholds.
-PARAMS = ("depth_strength", "convergence", "max_background", "max_popout", "temporal_smoothing",
+PARAMS = ("depth_strength", "convergence_depth_percentile", "max_background_disparity_norm", "max_popout_disparity_norm", "temporal_smoothing",
           "transition_frames", "edge_protection")
 PRESETS = {
     "dialogue_subtle": (0.55, 0.58, 0.007, 0.002, 0.90, 10, True),
@@ -15,9 +15,9 @@ PRESETS = {
     "neutral": (0.45, 0.55, 0.006, 0.0, 0.92, 8, True),
 }
 COMFORT = {
-    "max_popout": 0.004, "max_background": 0.010, "max_strength": 1.0, "max_convergence_change": 0.18,
-    "high_motion": 0.68, "high_motion_reduction": 0.72, "low_reliability": 0.55, "unreliable_reduction": 0.60,
-    "low_confidence": 0.55,
+    "max_popout_disparity_norm": 0.004, "max_background_disparity_norm": 0.010, "max_depth_strength": 1.0, "max_convergence_change": 0.18,
+    "high_motion_threshold": 0.68, "high_motion_reduction": 0.72, "low_reliability_threshold": 0.55, "unreliable_depth_reduction": 0.60,
+    "low_confidence_threshold": 0.55,
 }
 MIN_CONFIDENCE = 0.55
 ACTIONS = {
@@ -44,7 +44,7 @@ def preset_table(spark: SparkSession) -> DataFrame:
     """The five presets (a fixed-size table, safe to broadcast)."""
     return spark.createDataFrame(
         [(k, *v) for k, v in PRESETS.items()],
-        "preset string, depth_strength double, convergence double, max_background double, max_popout double, "
+        "preset string, depth_strength double, convergence_depth_percentile double, max_background_disparity_norm double, max_popout_disparity_norm double, "
         "temporal_smoothing double, transition_frames int, edge_protection boolean")
 
 

@@ -11,8 +11,8 @@ BEARER = r"(?i)(bearer )[^\s\"',;]+"
 KEY = r"(?i)sk-[A-Za-z0-9\-_.]*"
 REDACTED = "[redacted]"
 TRUNCATED = " …[truncated]"
-UI_LIMITS = {"depth_strength": (0.0, 1.0), "convergence": (0.1, 0.9), "max_background": (0.0, 0.02),
-             "max_popout": (0.0, 0.008), "temporal_smoothing": (0.0, 1.0), "transition_frames": (0.0, 24.0)}
+UI_LIMITS = {"depth_strength": (0.0, 1.0), "convergence_depth_percentile": (0.1, 0.9), "max_background_disparity_norm": (0.0, 0.02),
+             "max_popout_disparity_norm": (0.0, 0.008), "temporal_smoothing": (0.0, 1.0), "transition_frames": (0.0, 24.0)}
 
 
 def _finite_or(c: Column, default: float) -> Column:

@@ -87,31 +87,31 @@ def comfort_guard(rows: DataFrame, hard: Column, comfort: dict = R.COMFORT,
     """
     c = comfort
     r = rows.withColumn("requested", F.struct(*R.PARAMS))
-    r = carried_clamp(r, "convergence", c["max_convergence_change"], hard, keys, order, "_conv", "_had", block)
-    strength0, pop0, bg0 = F.col("depth_strength"), F.col("max_popout"), F.col("max_background")
-    moving = F.col("motion_score") >= c["high_motion"]
-    shaky = F.col("depth_reliability") < c["low_reliability"]
-    unsure = F.col("confidence") < c["low_confidence"]
+    r = carried_clamp(r, "convergence_depth_percentile", c["max_convergence_change"], hard, keys, order, "_conv", "_had", block)
+    strength0, pop0, bg0 = F.col("depth_strength"), F.col("max_popout_disparity_norm"), F.col("max_background_disparity_norm")
+    moving = F.col("motion_score") >= c["high_motion_threshold"]
+    shaky = F.col("depth_reliability") < c["low_reliability_threshold"]
+    unsure = F.col("confidence") < c["low_confidence_threshold"]
     edge = F.coalesce(F.col("edge_near"), F.lit(False)) & F.col("edge_protection")
-    r = r.withColumns({"_s1": F.least(strength0, F.lit(c["max_strength"])), "_p1": F.least(pop0, F.lit(c["max_popout"])),
-                       "_b1": F.least(bg0, F.lit(c["max_background"]))})
+    r = r.withColumns({"_s1": F.least(strength0, F.lit(c["max_depth_strength"])), "_p1": F.least(pop0, F.lit(c["max_popout_disparity_norm"])),
+                       "_b1": F.least(bg0, F.lit(c["max_background_disparity_norm"]))})
     r = r.withColumns({"_s2": F.when(moving, F.col("_s1") * c["high_motion_reduction"]).otherwise(F.col("_s1")),
                        "_p2": F.when(moving, F.col("_p1") * c["high_motion_reduction"]).otherwise(F.col("_p1"))})
-    r = r.withColumns({"_s3": F.when(shaky, F.col("_s2") * c["unreliable_reduction"]).otherwise(F.col("_s2")),
+    r = r.withColumns({"_s3": F.when(shaky, F.col("_s2") * c["unreliable_depth_reduction"]).otherwise(F.col("_s2")),
                        "_p3": F.when(unsure, 0.0).otherwise(F.col("_p2"))})
     r = r.withColumn("_p4", F.when(edge, 0.0).otherwise(F.col("_p3")))
-    changes = [("depth_strength_clamped", "depth_strength", "_s1"), ("popout_clamped", "max_popout", "_p1"),
-               ("background_clamped", "max_background", "_b1"), ("reduced_due_to_high_motion", "_s1", "_s2"),
+    changes = [("depth_strength_clamped", "depth_strength", "_s1"), ("popout_clamped", "max_popout_disparity_norm", "_p1"),
+               ("background_clamped", "max_background_disparity_norm", "_b1"), ("reduced_due_to_high_motion", "_s1", "_s2"),
                ("popout_reduced_due_to_high_motion", "_p1", "_p2"), ("reduced_due_to_unreliable_depth", "_s2", "_s3"),
                ("popout_disabled_due_to_low_confidence", "_p2", "_p3"), ("popout_disabled_due_to_edge_violation", "_p3", "_p4"),
-               ("convergence_change_clamped", "convergence", "_conv")]
+               ("convergence_change_clamped", "convergence_depth_percentile", "_conv")]
     acts = F.array_compact(F.array(*[F.when(F.col(a) != F.col(b), F.struct(
         F.lit(code).alias("code"), F.lit(R.ACTIONS[code]).alias("message"), F.col(a).alias("requested"), F.col(b).alias("applied")))
         for code, a, b in changes]))
     cap = lambda v, hi: F.least(F.lit(hi), F.greatest(F.lit(0.0), F.col(v)))
     return (r.withColumn("guard_actions", acts)
-            .withColumns({"depth_strength": cap("_s3", c["max_strength"]), "max_popout": cap("_p4", c["max_popout"]),
-                          "max_background": cap("_b1", c["max_background"]), "convergence": F.col("_conv")})
+            .withColumns({"depth_strength": cap("_s3", c["max_depth_strength"]), "max_popout_disparity_norm": cap("_p4", c["max_popout_disparity_norm"]),
+                          "max_background_disparity_norm": cap("_b1", c["max_background_disparity_norm"]), "convergence_depth_percentile": F.col("_conv")})
             .drop("_s1", "_s2", "_s3", "_p1", "_p2", "_p3", "_p4", "_b1", "_conv", "_had"))
 
 

@@ -82,22 +82,22 @@ def largest_component(frames: DataFrame, mask: str, out: str = "largest", max_ce
 
 def frame_qc(frames: DataFrame, keys: Sequence[str] = SHOT) -> DataFrame:
     """One row per rendered frame; ``depth_temporal_change`` is null for a shot's first frame."""
-    f = largest_component(temporal_change(frames, keys, "z"), "holes", "largest_hole")
+    f = largest_component(temporal_change(frames, keys, "z"), "holes", "largest_hole_pixels")
     zero = F.lit(0.0)
     count = lambda m: F.size(F.filter(m, lambda v: v)).cast("bigint")
     return f.select(
-        *keys, "frame_index", F.greatest(zero, F.array_max("disparity")).alias("max_popout"),
-        F.greatest(zero, -F.array_min("disparity")).alias("max_background"), count("edge_mask").alias("edge_pixels"),
-        count("holes").alias("hole_pixels"), "largest_hole",
+        *keys, "frame_index", F.greatest(zero, F.array_max("disparity")).alias("max_popout_disparity_norm"),
+        F.greatest(zero, -F.array_min("disparity")).alias("max_background_disparity_norm"), count("edge_mask").alias("edge_violation_pixels"),
+        count("holes").alias("hole_pixels"), "largest_hole_pixels",
         C("change").alias("depth_temporal_change"))
 
 
 def shot_qc(frames: DataFrame, keys: Sequence[str] = SHOT) -> DataFrame:
     """Maxima and sums per shot; the mean change counts only frames that have a predecessor."""
     return frames.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("frame_count"), F.max("max_popout").alias("max_popout"),
-        F.max("max_background").alias("max_background"), F.sum("edge_pixels").alias("edge_pixels"),
-        F.sum("hole_pixels").alias("hole_pixels"), F.max("largest_hole").alias("largest_hole"),
+        F.count(F.lit(1)).alias("frame_count"), F.max("max_popout_disparity_norm").alias("max_popout_disparity_norm"),
+        F.max("max_background_disparity_norm").alias("max_background_disparity_norm"), F.sum("edge_violation_pixels").alias("edge_violation_pixels"),
+        F.sum("hole_pixels").alias("hole_pixels"), F.max("largest_hole_pixels").alias("largest_hole_pixels"),
         F.coalesce(F.avg("depth_temporal_change"), F.lit(0.0)).alias("depth_temporal_change"))
 
 
@@ -135,9 +135,9 @@ def qc_report(shots: DataFrame, media: DataFrame, key: str = "video_id") -> Data
     video_seconds, synthetic (booleans and numbers per video).
     """
     t = shots.groupBy(key).agg(
-        F.max("max_popout").alias("max_popout"), F.max("max_background").alias("max_background"),
-        F.sum("edge_pixels").alias("edge_violations"), F.sum("hole_pixels").alias("hole_pixels"),
-        F.max("largest_hole").alias("largest_hole"), F.sum("frame_count").alias("_n"),
+        F.max("max_popout_disparity_norm").alias("max_popout_disparity_norm"), F.max("max_background_disparity_norm").alias("max_background_disparity_norm"),
+        F.sum("edge_violation_pixels").alias("edge_violations"), F.sum("hole_pixels").alias("hole_pixels"),
+        F.max("largest_hole_pixels").alias("largest_hole_pixels"), F.sum("frame_count").alias("_n"),
         F.sum(C("depth_temporal_change") * C("frame_count")).alias("_c"),
         F.sum(F.when(F.size("comfort_overrides") > 0, 1).otherwise(0)).cast("bigint").alias("shots_with_overrides"),
         F.sum(F.when(C("fallback_used"), 1).otherwise(0)).cast("bigint").alias("shots_using_fallback"),
@@ -151,13 +151,13 @@ def qc_report(shots: DataFrame, media: DataFrame, key: str = "video_id") -> Data
         F.when(C("duplicated_frames") > 0, F.concat(C("duplicated_frames").cast("string"), F.lit(" duplicated frames were detected"))),
         F.when(drift > DRIFT_SECONDS, F.lit("Audio/video duration differs by more than 50 ms")),
         F.when(nil("edge_violations") > 0, F.lit("Potential stereo window-edge violations were detected")),
-        F.when(nil("largest_hole") > LARGE_HOLE, F.lit("Large disocclusion holes remain in one or more shots")),
+        F.when(nil("largest_hole_pixels") > LARGE_HOLE, F.lit("Large disocclusion holes remain in one or more shots")),
         F.when(C("synthetic"), F.lit("Render used synthetic demo depth and is not a production deliverable"))))
     return r.select(
         key, C("rendered_frames").alias("frame_count"), "expected_frames", dropped.alias("dropped_frames"),
         F.greatest(F.lit(0), C("duplicated_frames")).alias("duplicated_frames"), drift.alias("audio_video_difference"),
-        nil("max_popout", 0.0).alias("max_popout"), nil("max_background", 0.0).alias("max_background"),
-        nil("edge_violations").alias("edge_violations"), nil("hole_pixels").alias("hole_pixels"), nil("largest_hole").alias("largest_hole"),
+        nil("max_popout_disparity_norm", 0.0).alias("max_popout_disparity_norm"), nil("max_background_disparity_norm", 0.0).alias("max_background_disparity_norm"),
+        nil("edge_violations").alias("edge_violations"), nil("hole_pixels").alias("hole_pixels"), nil("largest_hole_pixels").alias("largest_hole_pixels"),
         (nil("_c", 0.0) / F.greatest(F.lit(1), nil("_n"))).alias("depth_temporal_change"),
         nil("shots_with_overrides").alias("shots_with_overrides"), nil("shots_using_fallback").alias("shots_using_fallback"),
         nil("depth_failures").alias("depth_failures"), warn.alias("warnings"))
@@ -174,8 +174,8 @@ def html_rows(shots: DataFrame, keys: Sequence[str] = ("video_id",)) -> DataFram
     cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
     four = lambda c: F.format_string("%.4f", F.bround(c, 4))
     return shots.select(*keys, "shot_id", F.concat(
-        F.lit("<tr>"), cell(C("shot_id").cast("string")), cell(C("frame_count").cast("string")), cell(four("max_popout")),
-        cell(four("max_background")), cell(C("edge_pixels").cast("string")), cell(C("hole_pixels").cast("string")), F.lit("</tr>")).alias("line"))
+        F.lit("<tr>"), cell(C("shot_id").cast("string")), cell(C("frame_count").cast("string")), cell(four("max_popout_disparity_norm")),
+        cell(four("max_background_disparity_norm")), cell(C("edge_violation_pixels").cast("string")), cell(C("hole_pixels").cast("string")), F.lit("</tr>")).alias("line"))
 
 
 def qc_html(shots: DataFrame, report: DataFrame, chunk: int = 1024, key: str = "video_id") -> DataFrame:

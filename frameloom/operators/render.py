@@ -13,7 +13,7 @@ from ..functions import stereo as T
 from .ordered import interval_join, with_previous
 
 C = F.col
-EASED = ["depth_strength", "convergence", "max_background", "max_popout"]
+EASED = ["depth_strength", "convergence_depth_percentile", "max_background_disparity_norm", "max_popout_disparity_norm"]
 
 
 def ease_parameters(frames: DataFrame, shots: DataFrame, script: DataFrame, keys: Sequence[str] = ("video_id",)) -> DataFrame:
@@ -34,13 +34,13 @@ def ease_parameters(frames: DataFrame, shots: DataFrame, script: DataFrame, keys
 
 
 PLANE, CELLS = "array<double>", "array<bigint>"
-PARAMS = ["convergence", "depth_strength", "max_popout", "max_background", "edge_protection"]
+PARAMS = ["convergence_depth_percentile", "depth_strength", "max_popout_disparity_norm", "max_background_disparity_norm", "edge_protection"]
 
 
 def _disparity(f: dict, fraction: float) -> dict:
     z = np.clip(np.nan_to_num(np.asarray(f["z"], np.float64), nan=1.0), 0, 1)
-    conv = P.percentile(z, f["convergence"])
-    d = P.disparity(z, conv, f["w"], f["depth_strength"], f["max_popout"], f["max_background"], f["edge_protection"], fraction)
+    conv = P.percentile(z, f["convergence_depth_percentile"])
+    d = P.disparity(z, conv, f["w"], f["depth_strength"], f["max_popout_disparity_norm"], f["max_background_disparity_norm"], f["edge_protection"], fraction)
     return {"z": z, "conv": conv, "disparity": d, "shift": d * f["_ref"]}
 
 

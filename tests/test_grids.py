@@ -140,16 +140,16 @@ def test_basic_mix(spark):
 
 def test_frames_without_depth_stay(spark):
     f = planes(spark, [np.zeros((2, 3)), np.ones((2, 3))]).withColumns({
-        "z": F.when(F.col("z")[0] > 0, F.col("z")), "depth_strength": F.lit(0.9), "convergence": F.lit(0.7), "max_background": F.lit(0.01),
-        "max_popout": F.lit(0.01), "edge_protection": F.lit(True)})
+        "z": F.when(F.col("z")[0] > 0, F.col("z")), "depth_strength": F.lit(0.9), "convergence_depth_percentile": F.lit(0.7), "max_background_disparity_norm": F.lit(0.01),
+        "max_popout_disparity_norm": F.lit(0.01), "edge_protection": F.lit(True)})
     got = V.with_disparity(f).collect()
     assert len(got) == 2 and sorted(r.disparity is None for r in got) == [False, True]
 
 
 def test_disparity_limits_and_edges(spark):
     ramp = np.tile(np.linspace(0, 1, 100), (10, 1))
-    df = planes(spark, [ramp]).withColumns({"depth_strength": F.lit(0.9), "convergence": F.lit(0.7), "max_background": F.lit(0.01),
-                                            "max_popout": F.lit(0.001), "edge_protection": F.lit(True)})
+    df = planes(spark, [ramp]).withColumns({"depth_strength": F.lit(0.9), "convergence_depth_percentile": F.lit(0.7), "max_background_disparity_norm": F.lit(0.01),
+                                            "max_popout_disparity_norm": F.lit(0.001), "edge_protection": F.lit(True)})
     d = np.asarray(V.with_disparity(df).collect()[0].disparity).reshape(10, 100)
     assert d.min() >= -0.01 and d.max() <= 0.001 and d[:, -1].max() == 0
 

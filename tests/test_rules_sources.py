@@ -36,14 +36,14 @@ def test_each_preset_is_reachable(spark):
 def asked(spark, conv=(0.5,), transition="cut", **other):
     f = feats(spark, *[dict(motion_score=.95, depth_reliability=.2)] * len(conv), transition=transition).withColumn("edge_near", F.lit(True))
     c = F.create_map(*[F.lit(x) for i, v in enumerate(conv) for x in (i + 1, v)])
-    return f.withColumns({"preset": F.lit("action_controlled"), "confidence": F.lit(.2), "depth_strength": F.lit(1.8), "convergence": F.try_element_at(c, F.col("shot_id").cast("int")),
-                          "max_background": F.lit(.03), "max_popout": F.lit(.02), "temporal_smoothing": F.lit(.9), "transition_frames": F.lit(8), "edge_protection": F.lit(True)})
+    return f.withColumns({"preset": F.lit("action_controlled"), "confidence": F.lit(.2), "depth_strength": F.lit(1.8), "convergence_depth_percentile": F.try_element_at(c, F.col("shot_id").cast("int")),
+                          "max_background_disparity_norm": F.lit(.03), "max_popout_disparity_norm": F.lit(.02), "temporal_smoothing": F.lit(.9), "transition_frames": F.lit(8), "edge_protection": F.lit(True)})
 
 
 def test_limits_hold_and_are_logged(spark):
     r = X.comfort_guard(asked(spark), hard()).collect()[0]
     codes = [a.code for a in r.guard_actions]
-    assert r.max_popout == 0 and r.depth_strength <= 1 and r.max_background == .01
+    assert r.max_popout_disparity_norm == 0 and r.depth_strength <= 1 and r.max_background_disparity_norm == .01
     assert {"reduced_due_to_high_motion", "reduced_due_to_unreliable_depth", "popout_disabled_due_to_low_confidence"} <= set(codes)
     assert "popout_disabled_due_to_edge_violation" not in codes  # already zero: nothing changed, nothing logged
 
@@ -51,12 +51,12 @@ def test_limits_hold_and_are_logged(spark):
 @pytest.mark.parametrize("kind,want", [("cut", .9), ("fade", .28)])
 def test_convergence_chain(spark, kind, want):
     r = X.comfort_guard(asked(spark, (.1, .9), kind), hard()).orderBy("shot_id").collect()
-    assert r[0].convergence == .1 and r[1].convergence == pytest.approx(want)
+    assert r[0].convergence_depth_percentile == .1 and r[1].convergence_depth_percentile == pytest.approx(want)
 
 
 def test_guarding_again_changes_nothing(spark):
     one = X.comfort_guard(asked(spark, (.1, .9, .2), "fade"), hard()).withColumn("manual_override", F.lit(False))
-    cols = ["shot_id", "depth_strength", "convergence", "max_background", "max_popout", "guard_actions"]
+    cols = ["shot_id", "depth_strength", "convergence_depth_percentile", "max_background_disparity_norm", "max_popout_disparity_norm", "guard_actions"]
     two = X.guard_for_render(one, hard())
     assert sorted(map(str, one.select(cols).collect())) == sorted(map(str, two.select(cols).collect()))
 
