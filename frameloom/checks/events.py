@@ -41,9 +41,22 @@ def job_events(spark, sf):
     return as_jobs(table(spark, sf, "events"))
 
 
+FILES = 5  # a stream's table: so many files, a micro-batch each
+
+
+def in_files(df, time, columns="*"):
+    """A table as a stream of FILES files in order of time, one a micro-batch."""
+    path = folder(df.sparkSession) + "/source"
+    second = C(time).cast("timestamp").cast("double")
+    span = df.agg(F.min(second).alias("lo"), F.max(second).alias("hi")).first()
+    part = F.lit(0) if span.lo == span.hi else F.least(F.lit(FILES - 1), F.floor((second - span.lo) / (span.hi - span.lo) * FILES))
+    for i in range(FILES):
+        df.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def job_stream(spark, sf):
-    schema = table(spark, sf, "events").schema
-    return as_jobs(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
+    return in_files(job_events(spark, sf), "event_time")
 
 
 def folder(spark):
@@ -67,9 +80,8 @@ def job_state(spark, sf):
 
 @q("stream_job_state", SQL_STATE)
 def stream_job_state(spark, sf):
-    path = J.run_to_table(J.job_state(job_stream(spark, sf), _known(spark, sf)), folder(spark), "update")
-    latest = spark.read.parquet(path).groupBy("id").agg(F.max_by(F.struct("last_seq", "stage", "status", "progress"), "batch").alias("r"))
-    return latest.select("id", "r.*").withColumn("progress", r6("progress"))
+    path = J.run_to_table(J.stream_job_state(job_stream(spark, sf), _known(spark, sf)), folder(spark), "update")
+    return J.merge_job_state(spark.read.parquet(path)).withColumn("progress", r6("progress"))
 
 
 @q("monotonic_progress", SQL_EV + """, p AS (SELECT *, least(1.0, completed / total) AS r FROM ev WHERE type = 'progress'),
@@ -93,10 +105,10 @@ def single_terminal(spark, sf):
     return J.single_terminal(job_events(spark, sf))
 
 
-@q("stream_single_terminal", SQL_EV + "SELECT DISTINCT id FROM ev WHERE type IN ('result', 'error')")
+@q("stream_single_terminal", SQL_TERM)
 def stream_single_terminal(spark, sf):
-    path = J.run_to_table(J.stream_single_terminal(job_stream(spark, sf), "3650 days"), folder(spark))
-    return spark.read.parquet(path).select("id")
+    path = J.run_to_table(J.stream_single_terminal(job_stream(spark, sf)), folder(spark), "update")
+    return J.merge_single_terminal(spark.read.parquet(path))
 
 
 SQL_ACTIVE = SQL_EV + """, a AS (SELECT *, coalesce(max(CASE WHEN type = 'start' THEN seq END) OVER w > coalesce(max(CASE WHEN type IN ('result', 'error') THEN seq END) OVER w, -1), false) AS active FROM ev
@@ -113,11 +125,13 @@ def cancelled_jobs(spark, sf):
     return J.cancelled_jobs(job_events(spark, sf)).select("id", "seq", "cancel_requested")
 
 
-@q("stream_requests", SQL_ACTIVE + """SELECT id, seq, CASE WHEN type = 'start' AND active THEN 'overlap' WHEN type = 'cancel' THEN CASE WHEN active THEN 'cancel_requested' ELSE 'not_active' END
-   WHEN type IN ('result', 'error') AND NOT active THEN 'repeated' ELSE 'accepted' END AS outcome FROM a""")
+@q("stream_requests", SQL_ACTIVE + """, g AS (SELECT *, count(*) FILTER (type = 'start' AND NOT active) OVER w AS life FROM a WINDOW w AS (PARTITION BY id ORDER BY seq))
+  SELECT id, seq, type, CASE WHEN type = 'start' AND active THEN 'overlap' WHEN type = 'cancel' THEN CASE WHEN active THEN 'cancel_requested' ELSE 'not_active' END
+   WHEN type IN ('result', 'error') AND NOT active THEN 'repeated' ELSE 'accepted' END AS outcome,
+   round(coalesce(max(CASE WHEN type = 'progress' THEN least(1.0, greatest(0.0, completed / total)) END) OVER (PARTITION BY id, life ORDER BY seq), 0.0), 6) + 0.0 AS progress FROM g""")
 def stream_requests(spark, sf):
-    path = J.run_to_table(J.stream_requests(job_stream(spark, sf)), folder(spark))
-    return spark.read.parquet(path).select("id", "seq", "outcome")
+    path = J.run_to_table(J.stream_requests(job_stream(spark, sf), keep="3650 days"), folder(spark))
+    return spark.read.parquet(path).withColumn("progress", r6("progress"))
 
 
 OPS = {"view": "start", "purchase": "complete", "error": "fail", "click": "cancel", "signup": "start"}
@@ -148,22 +162,22 @@ def drop_stale_results(spark, sf):
 @q("stream_shots", SEG.W + "SELECT video_id, frame_index FROM cuts WHERE frame_index > 0")
 def stream_shots(spark, sf):
     """Numbered frames are written as a table first; the stream reads that table."""
-    base = folder(spark)
-    frame_series(spark, sf).select("video_id", "frame_index", "value").write.parquet(f"{base}/frames")
-    frames = spark.readStream.schema("video_id bigint, frame_index bigint, value double").parquet(f"{base}/frames")
-    return spark.read.parquet(J.run_to_table(J.stream_shots(frames, THRESHOLD, MIN_GAP), base))
+    frames = in_files(frame_series(spark, sf).select("video_id", "frame_index", "value", C("ts").cast("timestamp").alias("event_time")), "event_time")
+    return spark.read.parquet(J.run_to_table(J.stream_shots(frames, THRESHOLD, MIN_GAP, keep="3650 days"), folder(spark)))
+
+
+BIN = "least(39, greatest(0, CAST(floor((value - 75) / 3.75) + 20 AS INTEGER)))"
 
 
-@q("stream_qc", """SELECT user_id AS video_id, event_type AS shot_id, count(*) AS frame_count, max(value) AS max_popout_disparity_norm, max(value / 2) AS max_background_disparity_norm, CAST(sum(event_id % 5) AS BIGINT) AS edge_violation_pixels,
-   CAST(sum(event_id % 7) AS BIGINT) AS hole_pixels, max(event_id % 7) AS largest_hole_pixels, round(avg(value), 6) + 0.0 AS depth_temporal_change FROM events GROUP BY 1, 2""")
+@q("stream_qc", f"""SELECT user_id AS video_id, event_type AS shot_id, count(*) AS frame_count, max(value) AS max_popout_disparity_norm, max(value / 2) AS max_background_disparity_norm, CAST(sum(event_id % 5) AS BIGINT) AS edge_violation_pixels,
+   CAST(sum(event_id % 7) AS BIGINT) AS hole_pixels, max(event_id % 7) AS largest_hole_pixels, round(avg(CASE WHEN event_id % 3 > 0 THEN value END), 6) + 0.0 AS depth_temporal_change,
+   list_transform(range(40), k -> len(list_filter(list({BIN}), b -> b = k)))::VARCHAR AS bins FROM events GROUP BY 1, 2""")
 def stream_qc(spark, sf):
-    """Per-shot quality as running state over frame rows."""
-    from ..operators.quality import shot_qc
-    schema = table(spark, sf, "events").schema
-    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    rows = e.select(C("user_id").alias("video_id"), C("event_type").alias("shot_id"), C("value").alias("max_popout_disparity_norm"), (C("value") / 2).alias("max_background_disparity_norm"),
-                    (C("event_id") % 5).alias("edge_violation_pixels"), (C("event_id") % 7).alias("hole_pixels"), (C("event_id") % 7).alias("largest_hole_pixels"), C("value").alias("depth_temporal_change"))
-    path = J.run_to_table(shot_qc(rows), folder(spark), "complete")
-    out = spark.read.parquet(path)
-    top = out.agg(F.max("batch").alias("batch"))
-    return out.join(F.broadcast(top), "batch").drop("batch").withColumn("depth_temporal_change", r6("depth_temporal_change"))
+    """Shot quality and disparity bins as running state over frame rows, five micro-batches."""
+    e = in_files(table(spark, sf, "events"), "ts")
+    rows = e.select(C("user_id").alias("video_id"), C("event_type").alias("shot_id"), C("ts").cast("timestamp").alias("event_time"), C("value").alias("max_popout_disparity_norm"), (C("value") / 2).alias("max_background_disparity_norm"),
+                    (C("event_id") % 5).alias("edge_violation_pixels"), (C("event_id") % 7).alias("hole_pixels"), (C("event_id") % 7).alias("largest_hole_pixels"),
+                    F.when(C("event_id") % 3 > 0, C("value")).alias("depth_temporal_change"),
+                    F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: (k == F.expr(BIN)).cast("bigint")).alias("bins"))
+    out = J.merge_qc(spark.read.parquet(J.run_to_table(J.stream_qc(rows), folder(spark), "update")))
+    return out.withColumns({"depth_temporal_change": r6("depth_temporal_change"), "bins": C("bins").cast("string")})

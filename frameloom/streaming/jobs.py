@@ -8,14 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.ordered import finite_scan, running_max
+from ..operators.quality import BINS, SHOT
 
 C = F.col
 TERMINAL = ("result", "error")
+MAXIMA = ("max_popout_disparity_norm", "max_background_disparity_norm", "largest_hole_pixels")
+SUMS = ("edge_violation_pixels", "hole_pixels")
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def ratio(completed: Column, total: Column) -> Column:
@@ -62,11 +68,6 @@ def single_terminal(events: DataFrame) -> DataFrame:
         F.min("seq").alias("seq"), F.min_by("type", "seq").alias("type"), (F.count(F.lit(1)) - 1).alias("repeats"))
 
 
-def stream_single_terminal(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    return (events.where(C("type").isin(*TERMINAL)).withWatermark("event_time", delay)
-            .dropDuplicatesWithinWatermark(["id"]))
-
-
 def _active_before(events: DataFrame) -> DataFrame:
     mark = lambda *kinds: F.when(C("type").isin(*kinds), C("seq"))
     e = running_max(events, ["id"], "seq", mark("start"), "_on", inclusive=False)
@@ -109,14 +110,157 @@ def drop_stale_results(results: DataFrame, current: DataFrame, key: str = "id")
     return results.join(now, key).where(C("generation") == C("_now")).drop("_now")
 
 
+# Running state of a stream ------------------------------------------------------------------
+# Aggregations keep one partial row per key and time window in update mode: the watermark drops the
+# state of old windows, and what was published of them merges to the whole again.
+
+def _windows(rows: DataFrame, keys: Sequence[str], delay: str, window: str, *aggs: Column) -> DataFrame:
+    timed = rows.withWatermark("event_time", delay)
+    return timed.groupBy(*keys, F.window("event_time", window).alias("_w")).agg(*aggs).withColumn("_w", C("_w.start"))
+
+
+def latest(published: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The last published row of every (key, window) of a stream written by :func:`run_to_table` in update mode."""
+    rest = [c for c in published.columns if c not in (*keys, "_w", "batch")]
+    return published.groupBy(*keys, "_w").agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_w", "_r.*")
+
+
+def stream_job_state(events: DataFrame, jobs: DataFrame | None = None, delay: str = "1 hour", window: str = "1 day") -> DataFrame:
+    """Partials of :func:`job_state` by window; :func:`merge_job_state` makes the states of what was published."""
+    e = events.where(C("type").isin("progress", *TERMINAL))
+    if jobs is not None:
+        e = e.join(jobs.select("id"), "id", "left_semi")
+    e = e.select("id", "event_time", F.struct("seq", "type", "stage").alias("_e"), F.when(C("type") != "error", F.struct(
+        "seq", F.when(C("type") == "result", 1.0).otherwise(ratio(C("completed"), C("total"))).alias("progress"))).alias("_p"))
+    return _windows(e, ["id"], delay, window, F.max("_e").alias("e"), F.max("_p").alias("p"))
+
+
+def merge_job_state(published: DataFrame) -> DataFrame:
+    last = latest(published, ["id"]).groupBy("id").agg(F.max("e").alias("e"), F.max("p").alias("p"))
+    kind = lambda p, r, f: F.when(C("e.type") == "progress", p).when(C("e.type") == "result", r).otherwise(f)
+    return last.select("id", C("e.seq").alias("last_seq"), kind(C("e.stage"), "Complete", "Failed").alias("stage"),
+                       kind(F.lit("processing"), "complete", "failed").alias("status"), C("p.progress").alias("progress"))
+
+
+def stream_single_terminal(events: DataFrame, delay: str = "1 hour", window: str = "1 day") -> DataFrame:
+    """Partials of :func:`single_terminal` by window, for :func:`merge_single_terminal`."""
+    e = events.where(C("type").isin(*TERMINAL)).select("id", "event_time", F.struct("seq", "type").alias("_e"))
+    return _windows(e, ["id"], delay, window, F.min("_e").alias("e"), F.count(F.lit(1)).alias("n"))
+
+
+def merge_single_terminal(published: DataFrame) -> DataFrame:
+    return latest(published, ["id"]).groupBy("id").agg(F.min("e").alias("e"), F.sum("n").alias("n")).select(
+        "id", "e.seq", "e.type", (C("n") - 1).alias("repeats"))
+
+
+def stream_qc(rows: DataFrame, keys: Sequence[str] = SHOT, delay: str = "1 hour", window: str = "1 day") -> DataFrame:
+    """Partials of shot quality by window, for :func:`merge_qc`: maxima, sums, the mean's parts and 40 disparity bins.
+
+    ``rows``: those of ``frame_qc`` with ``event_time`` and, when the histogram is wanted, ``bins``, a frame's counts.
+    """
+    out = [F.count(F.lit(1)).alias("frame_count"), *[F.max(c).alias(c) for c in MAXIMA], *[F.sum(c).alias(c) for c in SUMS],
+           F.sum("depth_temporal_change").alias("change_sum"), F.count("depth_temporal_change").alias("change_count")]
+    if "bins" in rows.columns:
+        out += [F.sum(F.get("bins", F.lit(i))).alias(f"bin_{i}") for i in range(BINS)]
+    return _windows(rows, keys, delay, window, *out)
+
+
+def merge_qc(published: DataFrame, keys: Sequence[str] = SHOT) -> DataFrame:
+    """Shot quality, as of :func:`shot_qc` and with ``bins`` where they were counted, of what a stream published."""
+    last = latest(published, keys)
+    bins = [c for c in last.columns if c.startswith("bin_")]
+    out = [F.sum("frame_count").alias("frame_count"), *[F.max(c).alias(c) for c in MAXIMA], *[F.sum(c).alias(c) for c in SUMS],
+           F.coalesce(F.try_divide(F.sum("change_sum"), F.sum("change_count")), F.lit(0.0)).alias("depth_temporal_change")]
+    if bins:
+        out.append(F.array(*[F.sum(f"bin_{i}") for i in range(len(bins))]).alias("bins"))
+    return last.groupBy(*keys).agg(*out)
+
+
+# Keyed state with timers --------------------------------------------------------------------
+
+class _Ordered(StatefulProcessor):
+    """A key's rows in order of ``order``, state that ends, and no batch of a key held whole.
+
+    Rows of one Arrow batch are sorted and handled.  When a key has more in a micro-batch, all go to a
+    map state by cells of the order column first, and cells are handled one by one.  A timer clears the
+    state when the watermark passes the key's last event by ``keep`` milliseconds.
+    """
+    order, state, cell = "seq", "", 4096
+
+    def __init__(self, schema: str, keep: int):
+        self.schema, self.keep = schema, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.own = handle.getValueState("own", self.state)
+        self.due = handle.getValueState("due", "at bigint")
+        self.cells = handle.getMapState("cells", "cell bigint", f"rows array<struct<{self.schema}>>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first, spilled, names, latest_at = None, False, [], -1
+        for part in rows:
+            latest_at = max(latest_at, int(part.event_time.max().timestamp() * 1000))
+            part = part.drop(columns="event_time")
+            names = list(part.columns)
+            if first is None and not spilled:
+                first = part
+                continue
+            if not spilled:
+                self._spill(first)
+                first, spilled = None, True
+            self._spill(part)
+        if latest_at < 0:
+            return
+        if spilled:
+            for c in sorted(k[0] for k in self.cells.keys()):
+                held = pd.DataFrame(self.cells.getValue((c,))[0], columns=names)
+                self.cells.removeKey((c,))
+                yield from self._run(held)
+        else:
+            yield from self._run(first)
+        self._keep_until(latest_at + self.keep)
+
+    def _spill(self, part: pd.DataFrame) -> None:
+        for c, some in part.groupby(part[self.order] // self.cell):
+            c = (int(c),)
+            held = list(self.cells.getValue(c)[0]) if self.cells.containsKey(c) else []
+            self.cells.updateValue(c, (held + [tuple(r) for r in some.astype(object).itertuples(index=False)],))
+
+    def _run(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        own = self.own.get() if self.own.exists() else self.fresh()
+        own, out = self.along(own, rows.sort_values(self.order))
+        self.own.update(own)
+        if len(out):
+            yield out
+
+    def _keep_until(self, at: int) -> None:
+        before = self.due.get()[0] if self.due.exists() else -1
+        if at > before:
+            if before >= 0:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(at)
+            self.due.update((at,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.own.clear()
+        self.due.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 REQUESTS = "id bigint, seq bigint, type string, outcome string, progress double"
 
 
-def stream_requests(events: DataFrame) -> DataFrame:
-    """Keyed state per id: refuses overlapping starts and repeated endings, answers cancels, keeps progress rising."""
-    def track(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        active, top, last = state.get if state.exists else (False, 0.0, -1)
-        rows = pd.concat(list(frames)).sort_values("seq")
+class _Requests(_Ordered):
+    state = "active boolean, top double, last bigint"
+
+    def fresh(self):
+        return False, 0.0, -1
+
+    def along(self, own, rows):
+        active, top, last = own
         out = []
         for r in rows.itertuples(index=False):
             if r.seq <= last:
@@ -130,38 +274,68 @@ def stream_requests(events: DataFrame) -> DataFrame:
                 top = max(top, min(1.0, max(0.0, r.completed / r.total)) if r.total > 0 else 0.0)
             elif r.type == "cancel":
                 what = "cancel_requested" if active else "not_active"
-            elif r.type in ("result", "error"):
+            elif r.type in TERMINAL:
                 what = "accepted" if active else "repeated"
                 active = False
             out.append((r.id, r.seq, r.type, what, top))
-        state.update((active, float(top), last))
-        yield pd.DataFrame(out, columns=["id", "seq", "type", "outcome", "progress"])
+        return (bool(active), float(top), last), pd.DataFrame(out, columns=["id", "seq", "type", "outcome", "progress"])
 
-    return events.select("id", "seq", "type", "completed", "total").groupBy("id").applyInPandasWithState(
-        track, REQUESTS, "active boolean, top double, last bigint", "append", "NoTimeout")
 
+def _stateful(rows: DataFrame, key: str, made: type[_Ordered], schema: str, delay: str, keep: str) -> DataFrame:
+    plain = rows.drop("event_time")
+    processor = made(", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in plain.schema.fields), int(pd.Timedelta(keep).total_seconds() * 1000))
+    return rows.withWatermark("event_time", delay).groupBy(key).transformWithStateInPandas(
+        processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
-def stream_shots(frames: DataFrame, threshold: float, min_gap: int) -> DataFrame:
-    """Boundaries on an unbounded frame series: state is the last frame, its value and the last boundary.
 
-    Frames of a video must arrive in order across batches; one at or before the last
-    seen frame is late and ignored.
+def stream_requests(events: DataFrame, delay: str = "1 hour", keep: str = "7 days") -> DataFrame:
+    """Keyed state per id: refuses overlapping starts and repeated endings, answers cancels, keeps progress rising.
+
+    Events later than ``delay`` are dropped by the watermark; ``keep`` after an id's last event its state
+    is dropped, so an id that comes again starts anew.
     """
-    def cut(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, value, bound = state.get if state.exists else (-1, None, 0)
-        found = []
-        for r in pd.concat(list(parts)).sort_values("frame_index").itertuples(index=False):
+    rows = events.select("id", "seq", "type", "completed", "total", "event_time")
+    return _stateful(rows, "id", _Requests, REQUESTS, delay, keep)
+
+
+class _Shots(_Ordered):
+    order = "frame_index"
+
+    def __init__(self, schema, keep, threshold, min_gap):
+        super().__init__(schema, keep)
+        self.threshold, self.min_gap = threshold, min_gap
+        self.cell = 64
+        self.state = "last bigint, value array<double>, bound bigint"
+
+    def fresh(self):
+        return -1, [], 0
+
+    def along(self, own, rows):
+        last, value, bound = own
+        value = np.asarray(value, dtype=np.float64)
+        found, video = [], None
+        for r in rows.itertuples(index=False):
             if r.frame_index <= last:
                 continue
-            if value is not None and r.frame_index - bound >= min_gap and abs(r.value - value) >= threshold:
+            now = np.atleast_1d(np.asarray(r.value, dtype=np.float64))
+            if len(value) == len(now) and r.frame_index - bound >= self.min_gap and np.abs(now - value).mean() >= self.threshold:
                 bound = int(r.frame_index)
                 found.append((r.video_id, bound))
-            last, value = int(r.frame_index), float(r.value)
-        state.update((last, value, bound))
-        yield pd.DataFrame(found, columns=["video_id", "frame_index"])
+            last, value = int(r.frame_index), now
+        return (last, value.tolist(), bound), pd.DataFrame(found, columns=["video_id", "frame_index"])
 
-    return frames.select("video_id", "frame_index", "value").groupBy("video_id").applyInPandasWithState(
-        cut, "video_id bigint, frame_index bigint", "last bigint, value double, bound bigint", "append", "NoTimeout")
+
+def stream_shots(frames: DataFrame, threshold: float, min_gap: int, value: str = "value", delay: str = "1 hour",
+                 keep: str = "7 days") -> DataFrame:
+    """Boundaries on an unbounded frame series: state is the last frame, its value and the last boundary.
+
+    ``value`` is a number, or a gray plane (``segment.gray_planes``), of which the mean change of cells counts.
+    Frames of a video must arrive in order across batches; one at or before the last seen frame is late
+    and ignored.  Delays as in :func:`stream_requests`.
+    """
+    rows = frames.select("video_id", "frame_index", C(value).alias("value"), "event_time")
+    made = lambda schema, kept: _Shots(schema, kept, threshold, min_gap)
+    return _stateful(rows, "video_id", made, "video_id bigint, frame_index bigint", delay, keep)
 
 
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> str:
@@ -170,6 +344,17 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> str:
     Update and complete results are written one batch per subfolder, so a retried batch overwrites itself.
     """
     path = f"{folder}/out"
+    # Timers and map state need this store; the setting is the query's own once it has started.
+    spark, name = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKS)
+    try:
+        return _run_to(stream, folder, path, mode)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _run_to(stream: DataFrame, folder: str, path: str, mode: str) -> str:
     w = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
         w.format("parquet").option("path", path).outputMode(mode).start().awaitTermination()
