@@ -171,7 +171,7 @@ BIN = "least(39, greatest(0, CAST(floor((value - 75) / 3.75) + 20 AS INTEGER)))"
 
 @q("stream_qc", f"""SELECT user_id AS video_id, event_type AS shot_id, count(*) AS frame_count, max(value) AS max_popout_disparity_norm, max(value / 2) AS max_background_disparity_norm, CAST(sum(event_id % 5) AS BIGINT) AS edge_violation_pixels,
    CAST(sum(event_id % 7) AS BIGINT) AS hole_pixels, max(event_id % 7) AS largest_hole_pixels, round(avg(CASE WHEN event_id % 3 > 0 THEN value END), 6) + 0.0 AS depth_temporal_change,
-   list_transform(range(40), k -> len(list_filter(list({BIN}), b -> b = k)))::VARCHAR AS bins FROM events GROUP BY 1, 2""")
+   '[' || concat_ws(', ', {', '.join(f'count(*) FILTER ({BIN} = {k})' for k in range(40))}) || ']' AS bins FROM events GROUP BY 1, 2""")
 def stream_qc(spark, sf):
     """Shot quality and disparity bins as running state over frame rows, five micro-batches."""
     e = in_files(table(spark, sf, "events"), "ts")

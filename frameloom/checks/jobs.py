@@ -54,6 +54,14 @@ def align_chunks(spark, sf):
     return long_form(CH.align_chunks(c, CHUNK, OVER))
 
 
+@q("align_chunks_wide")
+def align_chunks_wide(spark, sf):
+    """Overlaps of three quarters of a chunk; tests hold it against a plain loop."""
+    c = CH.chunk_frames_of(depth_planes(spark, sf), CHUNK, 12)
+    c = c.withColumn("z", F.transform("z", lambda v: v.cast("double") * (C("chunk") % 3 * 0.3 + 1) + C("chunk") * 0.1))
+    return long_form(CH.align_chunks(c, CHUNK, 12))
+
+
 def _dark_is_near(bgr: np.ndarray) -> np.ndarray:
     if bgr[0, 0, 0].sum() > 470:
         raise ValueError("too bright to judge")

@@ -5,6 +5,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,10 +73,13 @@ def align_chunks(chunks: DataFrame, chunk_frames: int, overlap: int, keys: Seque
     Each chunk takes scale = ratio of interquartile ranges over the overlap (held to 0.1..10, 1 when
     its own range vanishes) and the offset that matches medians.  With at most half a chunk
     of overlap every overlap has one earlier chunk, so scales chain as y -> clip(c * y, lo, hi), which
-    composes, and offsets are running sums.
+    composes, and offsets are running sums.  With more, an overlap is the mean of several aligned
+    chunks, whose quantiles depend on all their fits: see :func:`_streamed_fits`.
     """
-    if not 0 <= overlap <= chunk_frames // 2:
-        raise ValueError("overlap must be at most half a chunk")
+    if not 0 <= overlap < chunk_frames:
+        raise ValueError("overlap must be less than a chunk")
+    if overlap > chunk_frames // 2:
+        return _aligned(chunks, _streamed_fits(chunks, keys), keys)
     stride = chunk_frames - overlap
     local = C("frame_index") - C("chunk") * stride
     head = chunks.where((local < overlap) & (C("chunk") > 0)).select(*keys, "chunk", "frame_index", C("z").alias("cur"))
@@ -110,11 +114,79 @@ def align_chunks(chunks: DataFrame, chunk_frames: int, overlap: int, keys: Seque
     fit = with_previous(k.drop("_g").join(scale, [*keys, "chunk"]), keys, "chunk", ["a"], "_p")
     move = F.when(C("mp").isNull(), 0.0).otherwise(C("_p.a") * C("mp") - C("a") * C("mc"))
     fit = running_sum(fit, keys, "chunk", move, "offset").select(*keys, "chunk", "a", "offset")
-    one = chunks.join(fit, [*keys, "chunk"]).select(*keys, "frame_index", "h", "w", F.transform(
+    return _aligned(chunks, fit, keys)
+
+
+def _aligned(chunks: DataFrame, fit: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every frame's mean over its chunks (at most chunk / stride of them), each brought to its fit, in order of chunks."""
+    one = join_small(chunks, fit, [*keys, "chunk"], C("frame_index")).select(*keys, "chunk", "frame_index", "h", "w", F.transform(
         "z", lambda v: v.cast("double") * C("a") + C("offset")).alias("z"))
-    # A frame has at most two chunks.
-    return one.groupBy(*keys, "frame_index").agg(F.first("h").alias("h"), F.first("w").alias("w"), F.collect_list("z").alias("_l")).withColumn(
-        "z", F.when(F.size("_l") == 1, C("_l")[0]).otherwise(F.zip_with(C("_l")[0], C("_l")[1], lambda p, r: (p + r) / 2))).drop("_l")
+    put = one.groupBy(*keys, "frame_index").agg(F.first("h").alias("h"), F.first("w").alias("w"), F.array_sort(F.collect_list(F.struct("chunk", "z"))).alias("_l"))
+    total = F.aggregate(F.slice("_l", 2, F.size("_l")), C("_l")[0]["z"], lambda p, r: F.zip_with(p, r["z"], lambda x, y: x + y))
+    return put.withColumn("z", F.transform(total, lambda v: v / F.size("_l"))).drop("_l")
+
+
+def _streamed_fits(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, chunk, a, offset for overlaps of any length.
+
+    A chunk's fit needs the fits of all it overlaps, so the chunks of a shot are fitted one after another;
+    shots run side by side.  A task reads its shots sorted by chunk and frame as a stream of Arrow batches
+    and holds one chunk and the summed planes of frames that may still be overlapped, however long a shot is.
+    """
+    keys = list(keys)
+    rows = (chunks.select(*keys, "chunk", "frame_index", C("z").cast("array<double>").alias("z"))
+            .repartition(*keys).sortWithinPartitions(*keys, "chunk", "frame_index"))
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def fits(batches):
+        shot, chunk, frames, planes, summed = None, None, [], [], {}
+        done = []
+
+        def close():
+            # The frames that earlier chunks have too, as they were aligned, against the same frames here.
+            both = [i for i, f in enumerate(frames) if f in summed]
+            scale, offset = 1.0, 0.0
+            if both:
+                before = np.concatenate([summed[frames[i]][0] / summed[frames[i]][1] for i in both])
+                here = np.concatenate([planes[i] for i in both])
+                ok = np.isfinite(before) & np.isfinite(here)
+                if ok.any():
+                    b, h = np.percentile(before[ok], [25, 50, 75]), np.percentile(here[ok], [25, 50, 75])
+                    scale = float(np.clip((b[2] - b[0]) / (h[2] - h[0]), 0.1, 10.0)) if h[2] - h[0] > 1e-6 else 1.0
+                    offset = float(b[1] - scale * h[1])
+            for f in [f for f in summed if f < frames[0]]:
+                del summed[f]  # later chunks start no earlier
+            for f, z in zip(frames, planes):
+                total, n = summed.get(f, (0.0, 0))
+                summed[f] = (total + (z * scale + offset), n + 1)
+            done.append((*shot, chunk, scale, offset))
+
+        for t in batches:
+            k = list(zip(*[t[c].to_pylist() for c in keys]))
+            at, index, z = t["chunk"].to_pylist(), t["frame_index"].to_pylist(), t["z"]
+            for i in range(t.num_rows):
+                if (k[i], at[i]) != (shot, chunk):
+                    if frames:
+                        close()
+                    if k[i] != shot:
+                        summed = {}
+                    shot, chunk, frames, planes = k[i], at[i], [], []
+                frames.append(index[i])
+                planes.append(z[i].values.to_numpy(zero_copy_only=False).astype(np.float64))
+            if done:
+                yield _fit_batch(done, keys, t.schema)
+                done.clear()
+        if frames:
+            close()
+            yield _fit_batch(done, keys, t.schema)
+
+    made = ", ".join(f"`{c}` {kind[c]}" for c in [*keys, "chunk"])
+    return rows.mapInArrow(fits, f"{made}, a double, offset double")
+
+
+def _fit_batch(done: list, keys: list[str], schema: pa.Schema) -> pa.RecordBatch:
+    kinds = [*(schema.field(c).type for c in [*keys, "chunk"]), pa.float64(), pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*done), kinds)], [*keys, "chunk", "a", "offset"])
 
 
 def chunk_frames_of(planes: DataFrame, chunk_frames: int, overlap: int) -> DataFrame:

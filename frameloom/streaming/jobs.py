@@ -213,7 +213,7 @@ class _Ordered(StatefulProcessor):
             return
         if spilled:
             for c in sorted(k[0] for k in self.cells.keys()):
-                held = pd.DataFrame(self.cells.getValue((c,))[0], columns=names)
+                held = pd.DataFrame([tuple(r) for r in self.cells.getValue((c,))[0]], columns=names)
                 self.cells.removeKey((c,))
                 yield from self._run(held)
         else:
@@ -223,8 +223,9 @@ class _Ordered(StatefulProcessor):
     def _spill(self, part: pd.DataFrame) -> None:
         for c, some in part.groupby(part[self.order] // self.cell):
             c = (int(c),)
-            held = list(self.cells.getValue(c)[0]) if self.cells.containsKey(c) else []
-            self.cells.updateValue(c, (held + [tuple(r) for r in some.astype(object).itertuples(index=False)],))
+            held = self.cells.getValue(c)[0] if self.cells.containsKey(c) else []
+            more = some.astype(object).itertuples(index=False)
+            self.cells.updateValue(c, ([tuple(r) for r in held] + [tuple(x.tolist() if isinstance(x, np.ndarray) else x for x in r) for r in more],))
 
     def _run(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         own = self.own.get() if self.own.exists() else self.fresh()

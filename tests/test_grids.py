@@ -194,7 +194,41 @@ def test_chunks_join_up(spark):
     z = [np.median(r.z) for r in CH.align_chunks(c, 4, 2, block=2).orderBy("frame_index").collect()]
     assert np.allclose(np.diff(z), 1.0, atol=0.15)
     with pytest.raises(ValueError):
-        CH.align_chunks(c, 4, 3)
+        CH.align_chunks(c, 4, 4)
+
+
+@pytest.mark.parametrize("chunk,over", [(6, 4), (5, 4), (7, 5)])
+def test_chunks_overlapping_over_half(spark, chunk, over):
+    """Against a plain loop that keeps sums and counts of all frames; one cell is not finite, one shot is flat."""
+    rng = np.random.default_rng(3)
+    shots = {1: rng.normal(size=(17, 16)).cumsum(0), 2: np.ones((9, 16)), 3: rng.normal(size=(3, 16))}
+    rows, want = [], {}
+    for shot, z in shots.items():
+        total, n = np.zeros_like(z), np.zeros(len(z))
+        for k in range(len(z)):
+            start = k * (chunk - over)
+            end = min(len(z), start + chunk)
+            part = z[start:end] * (1 + k % 3) - k + rng.normal(size=(end - start, 16)) * .05 * (shot != 2)
+            part[0, 3] = np.nan if k == 2 else part[0, 3]
+            rows += [(1, shot, k, start + i, 4, 4, p.tolist()) for i, p in enumerate(part)]
+            both = np.flatnonzero(n[start:end] > 0)
+            a, b = 1.0, 0.0
+            if len(both):
+                old, new = (total[start + both] / n[start + both, None]).ravel(), part[both].ravel()
+                ok = np.isfinite(old) & np.isfinite(new)
+                (o1, om, o3), (n1, nm, n3) = np.percentile(old[ok], [25, 50, 75]), np.percentile(new[ok], [25, 50, 75])
+                a = np.clip((o3 - o1) / (n3 - n1), .1, 10) if n3 - n1 > 1e-6 else 1.0
+                b = om - a * nm
+            total[start:end] += part * a + b
+            n[start:end] += 1
+            if end == len(z):
+                break
+        want.update({(shot, i): v for i, v in enumerate(total / n[:, None])})
+    c = spark.createDataFrame(rows, "video_id long, shot_id long, chunk long, frame_index long, h int, w int, z array<double>")
+    got = {(r.shot_id, r.frame_index): np.array(r.z) for r in CH.align_chunks(c, chunk, over).collect()}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert np.allclose(got[k], want[k], atol=1e-9, equal_nan=True)
 
 
 def test_raw_frames(spark, tmp_path):
