@@ -8,10 +8,34 @@ from ..functions.text import sensitive_keys
 
 # Size limits and the parameters each method takes (allowed, required).
 MAX_REQUEST_BYTES, MAX_EVENT_BYTES = 256 * 1024, 900_000
+MAX_NAME = 160
+BOOLEANS = ("swap_eyes", "llm_enabled", "resume", "allow_fallback")
+PROFILES = ("representative_frames",)
 MESSAGES = {"invalid_worker_output": "Worker output could not be serialized safely",
             "result_too_large": "Worker result exceeds the desktop IPC size limit"}
 
 
+def request_value_error(method: Column, params: Column) -> Column:
+    """What is wrong with a request's parameter values (null when nothing is).
+
+    ``inspect`` takes one of input_path and project_dir, the first alone; a project's name has 1 to MAX_NAME
+    characters, not all blank and none of control; BOOLEANS are true or false; the profile is one of PROFILES.
+    """
+    v = F.try_parse_json(F.coalesce(params, F.lit("{}")))
+    at = lambda name: F.try_variant_get(v, f"$.{name}", "variant")
+    kind = lambda name: F.schema_of_variant(at(name))  # noqa: E731  null where it is not given, VOID where it is null
+    keys = F.coalesce(F.json_object_keys(params), F.array().cast("array<string>"))
+    has = lambda name: F.array_contains(keys, name)
+    text = lambda name: F.when(kind(name) == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
+    good_name = ((F.char_length(text("name")).between(1, MAX_NAME)) & ~text("name").rlike(r"(?U)^\s*$") & ~text("name").rlike(r"[\x00-\x1f\x7f-\x9f]"))
+    wrong = lambda ok: ~F.coalesce(ok, F.lit(False))
+    err = F.when((method == "inspect") & ((has("input_path") == has("project_dir")) | (has("input_path") & (F.size(keys) != 1))), "inspect_input")
+    err = err.when((method == "create_project") & has("name") & wrong(good_name), "bad_name")
+    for name in BOOLEANS:
+        err = err.when(has(name) & wrong(kind(name) == "BOOLEAN"), f"not_boolean:{name}")
+    return err.when(has("profile") & wrong(text("profile").isin(*PROFILES)), "unknown_profile")
+
+
 def read_protocol(lines: DataFrame, contracts: dict[str, tuple[set[str], set[str]]], line: str = "value",
                   max_bytes: int = MAX_REQUEST_BYTES) -> DataFrame:
     """Requests with ``error`` set where a line must be refused (works on batches and streams)."""
@@ -28,7 +52,8 @@ def read_protocol(lines: DataFrame, contracts: dict[str, tuple[set[str], set[str
            .when(sensitive_keys(F.coalesce("params", F.lit("{}"))), "secret_in_params")
            .when(F.coalesce(F.size(F.array_except("_keys", lit({"id", "method", "params"}))) > 0, F.lit(False)) | F.col("id").isNull() | F.col("method").isNull(), "bad_request")
            .when(allowed.isNull(), "unknown_method").when(F.size(F.array_except(given, allowed)) > 0, "unknown_params")
-           .when(F.size(F.array_except(required, given)) > 0, "missing_params"))
+           .when(F.size(F.array_except(required, given)) > 0, "missing_params")
+           .otherwise(request_value_error(F.col("method"), F.col("params"))))
     return r.withColumn("error", err).drop("_keys")
 
 

@@ -11,6 +11,7 @@ from frameloom.operators import ledger as L
 from frameloom.operators import workspace as W
 from frameloom.sources import artifacts as A
 from frameloom.sources import probe as PR
+from frameloom.operators import constraints as K
 from frameloom.sources import protocol as PT
 from frameloom.streaming import jobs as J
 
@@ -100,6 +101,49 @@ def test_request_lines(spark):
     assert got == lines
 
 
+def test_request_values(spark):
+    free = {"input_path", "project_dir", "name", "swap_eyes", "resume", "profile", "x"}
+    contracts = {m: (free, set()) for m in ("inspect", "create_project", "render")}
+    cases = [("inspect", {"input_path": "a"}, None), ("inspect", {"project_dir": "a", "x": 1}, None), ("inspect", {}, "inspect_input"),
+             ("inspect", {"input_path": "a", "project_dir": "b"}, "inspect_input"), ("inspect", {"input_path": "a", "x": 1}, "inspect_input"),
+             ("create_project", {"name": "My film"}, None), ("create_project", {}, None), ("create_project", {"name": "  \u00a0 "}, "bad_name"),
+             ("create_project", {"name": "a\u0085b"}, "bad_name"), ("create_project", {"name": 5}, "bad_name"), ("create_project", {"name": None}, "bad_name"),
+             ("create_project", {"name": "x" * 160}, None), ("create_project", {"name": "x" * 161}, "bad_name"), ("create_project", {"name": "a\tb"}, "bad_name"),
+             ("render", {"swap_eyes": True, "resume": False}, None), ("render", {"swap_eyes": "true"}, "not_boolean:swap_eyes"),
+             ("render", {"resume": None}, "not_boolean:resume"), ("render", {"resume": 1}, "not_boolean:resume"),
+             ("render", {"profile": "representative_frames"}, None), ("render", {"profile": "all"}, "unknown_profile"), ("render", {"profile": 3}, "unknown_profile")]
+    rows = [(i, json.dumps({"id": str(i), "method": m, "params": p})) for i, (m, p, _) in enumerate(cases)]
+    got = {r.i: r.error for r in PT.read_protocol(spark.createDataFrame(rows, "i long, value string"), contracts).collect()}
+    assert got == {i: e for i, (_, _, e) in enumerate(cases)}
+
+
+def test_table_rules(spark):
+    inf = float("inf")
+    media = spark.createDataFrame([(1, 1920, 1080, 24.0, 2.0, 48, -90), (2, 16384, 16384, 24.0, 2.0, 48, 45), (3, 0, 10, 0.0, inf, -1, 0), (4, None, 10, float("nan"), 1.0, 1, 720)],
+                                  "video_id long, width int, height int, frame_rate double, duration_seconds double, frame_count long, rotation_degrees int")
+    got = {r.video_id: r.violations for r in K.table_violations(media, "media").collect()}
+    assert got == {1: [], 2: ["rotation_degrees_unknown", "pixels_limit", "frame_bytes_limit"],
+                   3: ["width_range", "frame_rate_above_0", "duration_seconds_range", "frame_count_range"],
+                   4: ["width_range", "frame_rate_above_0", "frame_rate_range", "pixels_limit", "frame_bytes_limit"]}
+    p = dict(depth_strength=.5, convergence_depth_percentile=.5, max_background_disparity_norm=.01, max_popout_disparity_norm=.0, temporal_smoothing=.9, transition_frames=4, edge_protection=True)
+    script = spark.createDataFrame([(1, 1, "neutral", .5, p), (1, 0, "bold", 1.5, {**p, "depth_strength": 2.5}), (1, 2, "neutral", .5, None)],
+                                   "video_id long, shot_id long, preset string, confidence double, parameters struct<depth_strength double, convergence_depth_percentile double, "
+                                   "max_background_disparity_norm double, max_popout_disparity_norm double, temporal_smoothing double, transition_frames int, edge_protection boolean>")
+    got = {r.shot_id: r.violations for r in K.table_violations(script, "script").collect()}
+    assert got[1] == [] and got[0] == ["shot_id_range", "preset_unknown", "confidence_range", "depth_strength_range"] and len(got[2]) == 7
+    told = K.rule_counts(script, "script").collect()[0]
+    assert (told.row_count, told.bad_rows, told.broken["depth_strength_range"]) == (3, 2, 2)
+
+
+def test_manifests(spark):
+    runs = {1: ([(1, 0, 4), (2, 5, 9)], 10, []), 2: ([(1, 0, 4), (1, 5, 9)], 10, ["repeated_ids"]), 3: ([(1, 0, 4), (2, 6, 9)], 10, ["not_contiguous"]),
+            4: ([(1, 0, 6), (2, 5, 9)], 10, ["not_contiguous"]), 5: ([(1, 0, 4)], 10, ["not_contiguous"]), 6: ([], 10, []), 7: ([(1, 0, 0)], 0, ["shots_of_nothing"]),
+            8: ([(1, 5, 2)], 3, ["reversed_range", "not_contiguous"]), 9: ([(1, 0, 1)], None, ["no_media"]), 10: ([(1, 1, 9)], 10, ["not_contiguous"])}
+    shots = spark.createDataFrame([(v, *s) for v, (ss, _, _) in runs.items() for s in ss], "video_id long, shot_id long, start_frame long, end_frame long")
+    media = spark.createDataFrame([(v, n) for v, (_, n, _) in runs.items() if n is not None], "video_id long, frame_count long")
+    assert {r.video_id: r.problems for r in K.manifest_problems(shots, media).collect()} == {v: w for v, (_, _, w) in runs.items()}
+
+
 def test_redaction_and_bounds(spark):
     t = "Authorization: BEARER abc.def, x sk-12_3.z; bearer \"q mine"
     r = spark.createDataFrame([(t, "mine", "é" * 10)], "t string, s string, u string").select(

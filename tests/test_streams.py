@@ -59,7 +59,13 @@ def test_shots_of_gray_planes(spark, tmp_path):
     rows = [(v, i, [float(x) for x in rng.integers(0, 200, 4)], DAY0 + dt.timedelta(minutes=i)) for v in (1, 2) for i in range(40)]
     schema = "video_id long, frame_index long, gray array<double>, event_time timestamp"
     s = as_stream(spark, tmp_path, schema, *[[r for r in rows if r[1] // 10 == k] for k in range(4)])
-    got = {tuple(r) for r in spark.read.parquet(J.run_to_table(J.stream_shots(s, 60.0, 3, value="gray"), str(tmp_path / "run"))).collect()}
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "3")  # so that planes pass through the map state
+    try:
+        path = J.run_to_table(J.stream_shots(s, 60.0, 3, value="gray"), str(tmp_path / "run"))
+    finally:
+        spark.conf.unset(name)
+    got = {tuple(r) for r in spark.read.parquet(path).collect()}
     f = spark.createDataFrame(rows, schema)
     counts = f.groupBy("video_id").count().withColumnRenamed("count", "frame_count")
     shots = SEG.detect_shots(f.drop("event_time"), counts, 60.0, 3, value="gray").where("start_frame > 0").collect()
