@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import SQL_FEATURES, SQL_PLANES, depth_planes, shot_features, table
 from ..functions import rules as R
+from ..operators import constraints as K
 from ..operators import ledger as L
 from ..operators import workspace as W
 from ..sources import artifacts as A
@@ -36,6 +37,35 @@ def violations(spark, sf):
     return bad.select("event_id", F.array_join("violations", ",").alias("broken"))
 
 
+RULED = {"duration_seconds": "price / 1000 - 1", "brightness": "price / 400000", "cut_frequency_context": "lines / 6.0",
+         "camera_movement": "CASE WHEN status = 'P' THEN 'shaky' WHEN status = 'F' THEN NULL ELSE 'zoom' END", "motion_score": "motion_score * 1.5 - 0.2"}
+UNITS = ["motion_score", "speech_ratio", "depth_spread", "foreground_ratio", "brightness", "cut_frequency_context", "depth_reliability"]
+BROKEN = {"shot_id_range": "shot_id < 1", "duration_seconds_range": "duration_seconds < 0", **{f"{u}_range": f"{u} < 0 OR {u} > 1" for u in UNITS},
+          "camera_movement_unknown": "coalesce(camera_movement NOT IN ('static', 'lateral', 'vertical', 'zoom', 'unstable'), true)"}
+
+
+@q("table_rules", FE + f""", s AS (SELECT video_id, shot_id, {', '.join(f'{e} AS {n}' for n, e in RULED.items())}, speech_ratio, depth_spread, foreground_ratio, depth_reliability FROM feats),
+  t AS (SELECT video_id, count(*) AS row_count, count(*) FILTER ({' OR '.join(f'({c})' for c in BROKEN.values())}) AS bad_rows,
+   {', '.join(f'count(*) FILTER ({c}) AS {n}' for n, c in BROKEN.items())} FROM s GROUP BY 1)
+  SELECT video_id, row_count, bad_rows, concat_ws(',', {', '.join(f"CASE WHEN {n} > 0 THEN '{n}=' || {n} END" for n in BROKEN)}) AS broken FROM t""")
+def table_rules(spark, sf):
+    """The rules of the features table, counted per video."""
+    f = shot_features(spark, sf).select("video_id", "shot_id", *[F.expr(e).alias(n) for n, e in RULED.items()], "speech_ratio", "depth_spread", "foreground_ratio", "depth_reliability")
+    told = F.transform(F.map_entries("broken"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return K.rule_counts(f, "shot_features").withColumn("broken", F.array_join(told, ","))
+
+
+@q("manifest_problems", FE + """, s AS (SELECT video_id, shot_id, 10 * (shot_id - 1) + CASE WHEN status = 'P' THEN 1 ELSE 0 END AS a, 10 * shot_id - CASE WHEN price > 400000 THEN 2 ELSE 1 END AS b FROM feats),
+  w AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY video_id ORDER BY a) + 1, 0) AS due, 10 * count(*) OVER (PARTITION BY video_id) - CASE WHEN video_id % 50 = 0 THEN 1 ELSE 0 END AS n FROM s)
+  SELECT video_id, CASE WHEN bool_or(a <> due) OR max(b) + 1 <> max(n) THEN 'not_contiguous' ELSE '' END AS problems FROM w GROUP BY 1""")
+def manifest_problems(spark, sf):
+    f = shot_features(spark, sf)
+    shots = f.select("video_id", "shot_id", ((C("shot_id") - 1) * 10 + F.when(C("status") == "P", 1).otherwise(0)).alias("start_frame"),
+                     (C("shot_id") * 10 - F.when(C("price") > 400000, 2).otherwise(1)).alias("end_frame"))
+    media = f.groupBy("video_id").agg((F.count(F.lit(1)) * 10).alias("n")).select("video_id", (C("n") - F.when(C("video_id") % 50 == 0, 1).otherwise(0)).alias("frame_count"))
+    return K.manifest_problems(shots, media).withColumn("problems", F.array_join("problems", ","))
+
+
 @q("coverage_check", FE + """, have AS (SELECT video_id, CASE WHEN price > 480000 THEN shot_id + 1000 ELSE shot_id END AS shot_id, CASE WHEN status = 'F' THEN 2 ELSE 1 END AS t FROM feats WHERE status <> 'P'),
   j AS (SELECT coalesce(h.video_id, f.video_id) AS video_id, h.t, f.shot_id AS want FROM have h FULL OUTER JOIN feats f ON f.video_id = h.video_id AND f.shot_id = h.shot_id)
   SELECT video_id, CAST(count(*) FILTER (t IS NULL) AS BIGINT) AS missing, CAST(count(*) FILTER (want IS NULL) AS BIGINT) AS foreign_items, CAST(count(*) FILTER (t > 1) AS BIGINT) AS duplicates,

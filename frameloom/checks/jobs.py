@@ -6,7 +6,7 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..fixtures import SQL_FEATURES, SQL_PLANES, colour_frames, depth_planes, reel, table
+from ..fixtures import SQL_COLOUR, SQL_FEATURES, SQL_PLANES, colour_frames, depth_planes, reel, table
 from ..functions import rules as R
 from ..operators import chunks as CH
 from ..operators import depth as D
@@ -16,6 +16,7 @@ from ..plans import jobs as P
 from ..plans import project as PJ
 from ..sources import artifacts as A
 from ..sources import frames as SF
+from ..sources.artifacts import shared_folder
 from .depth import S as DEPTH_SQL
 from .depth import long_form
 from .depth import SQL_EMA, SQL_NORM
@@ -94,14 +95,17 @@ def director_hook(spark, sf):
     return s.select("video_id", "shot_id", "preset", r9("confidence").alias("confidence"), r9("max_popout_disparity_norm").alias("max_popout_disparity_norm"))
 
 
-@q("raw_frames", """WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
-  SELECT label AS path, CAST(k AS BIGINT) AS frame_index, CASE WHEN k < n * 2 THEN 48 END AS bytes, CASE WHEN k = n * 2 THEN 'partial_record' END AS error FROM (SELECT label, n, unnest(range(n * 2 + CASE WHEN label % 3 = 0 THEN 1 ELSE 0 END)) AS k FROM n)""")
+@q("raw_frames", f"""WITH {SQL_COLOUR}, f AS (SELECT shot_id, frame_index, string_agg(printf('%02x%02x%02x', CAST(b AS INTEGER), CAST(g AS INTEGER), CAST(r AS INTEGER)), '' ORDER BY i) AS h FROM cx GROUP BY 1, 2)
+  SELECT shot_id || '.bgr' AS dump, frame_index, sha256(unhex(h)) AS bgr_sha256, NULL::VARCHAR AS error FROM f
+  UNION ALL SELECT shot_id || '.bgr', count(*), NULL, 'partial_record' FROM f WHERE shot_id % 3 = 0 GROUP BY 1""")
 def raw_frames(spark, sf):
-    """One dump per label: 4x4 BGR records, every third dump with a torn tail."""
-    e = table(spark, sf, "embeddings").groupBy(C("label").alias("path")).agg(F.count(F.lit(1)).alias("n"))
-    dump = F.encode(F.repeat(F.lit("ABCDEFGH" * 6), (C("n") * 2).cast("int")), "UTF-8")
-    files = e.select("path", F.when(C("path") % 3 == 0, F.concat(dump, F.encode(F.lit("XY"), "UTF-8"))).otherwise(dump).alias("content"))
-    return SF.split_raw_frames(files, 4, 4).select("path", "frame_index", F.octet_length("bgr").alias("bytes"), "error")
+    """Frames written as dumps, one a shot, every third with a torn tail, and read back in spans of 50 records."""
+    each = F.array_join(F.transform(F.arrays_zip("b", "g", "r"), lambda c: F.concat(*[F.lpad(F.hex(c[x].cast("bigint")), 2, "0") for x in "bgr"])), "")
+    f = colour_frames(spark, sf).select(C("shot_id").alias("name"), "frame_index", F.unhex(each).alias("bgr"))
+    torn = f.where("name % 3 = 0").groupBy("name").agg(F.count(F.lit(1)).alias("frame_index")).withColumn("bgr", F.unhex(F.lit("5859")))
+    path = f"{shared_folder(spark)}/dumps-{uuid.uuid4().hex}"
+    SF.write_raw_frames(f.unionByName(torn), path)
+    return SF.read_raw_frames(spark, path, 8, 8, 50 * 192).select(F.element_at(F.split("path", "/"), -1).alias("dump"), "frame_index", F.sha2("bgr", 256).alias("bgr_sha256"), "error")
 
 
 @q("write_read_artifacts", """SELECT o_orderkey AS shot_id, o_orderpriority AS preset, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS confidence FROM orders""")

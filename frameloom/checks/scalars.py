@@ -189,6 +189,21 @@ def read_protocol(spark, sf):
     return PT.read_protocol(request_lines(spark, sf), CONTRACTS).select("event_id", "error")
 
 
+@q("request_values", """SELECT event_id, CASE event_type WHEN 'view' THEN CASE WHEN event_id % 3 <> 0 THEN 'inspect_input' END WHEN 'click' THEN CASE WHEN value > 20 THEN 'bad_name' END
+   WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'not_boolean:resume' END WHEN 'error' THEN CASE WHEN value > 20 THEN 'unknown_profile' END END AS error FROM events""")
+def request_values(spark, sf):
+    """Requests whose parameters have wrong values."""
+    word = F.when(C("value") > 20, F.lit("long " * 40)).otherwise(F.lit("clip"))
+    params = (F.when(C("event_type") == "view", F.when(C("event_id") % 3 == 0, F.lit('{"input_path":"a"}')).when(C("event_id") % 3 == 1, F.lit('{"input_path":"a","project_dir":"b"}')).otherwise(F.lit("{}")))
+              .when(C("event_type") == "click", F.to_json(F.struct(word.alias("name"))))
+              .when(C("event_type") == "purchase", F.when(C("event_id") % 2 == 0, F.lit('{"resume":"true"}')).otherwise(F.lit('{"resume":true}')))
+              .when(C("event_type") == "error", F.when(C("value") > 20, F.lit('{"profile":"all"}')).otherwise(F.lit('{"profile":"representative_frames"}'))).otherwise(F.lit("{}")))
+    method = F.when(C("event_type") == "view", "inspect").when(C("event_type") == "click", "create_project").otherwise("run")
+    free = ({"input_path", "project_dir", "name", "resume", "profile"}, set())
+    line = F.concat(F.lit('{"id":"1","method":"'), method, F.lit('","params":'), params, F.lit("}"))
+    return PT.read_protocol(table(spark, sf, "events").select("event_id", line.alias("value")), {m: free for m in ("inspect", "create_project", "run")}).select("event_id", "error")
+
+
 @q("write_protocol", """SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'invalid_worker_output' WHEN strlen(to_json({'type': 'result', 'id': CAST(doc_id AS VARCHAR), 'result': text})) > 5000 THEN 'result_too_large' ELSE 'ok' END AS outcome FROM documents""")
 def write_protocol(spark, sf):
     d = table(spark, sf, "documents").withColumn("score", F.when(C("doc_id") % 50 == 0, float("nan")).otherwise(1.0)).withColumn("id", C("doc_id"))

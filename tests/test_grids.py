@@ -232,12 +232,21 @@ def test_chunks_overlapping_over_half(spark, chunk, over):
 
 
 def test_raw_frames(spark, tmp_path):
-    from frameloom.sources.frames import read_raw_frames
+    from frameloom.sources.frames import read_raw_frames, write_raw_frames
     (tmp_path / "a.raw").write_bytes(bytes(range(24)) + b"xy")
     (tmp_path / "empty.raw").write_bytes(b"")
     rows = read_raw_frames(spark, str(tmp_path), 2, 2).orderBy("frame_index").collect()
     assert [r.error for r in rows] == [None, None, "partial_record"]
     assert bytes(rows[1].bgr) == bytes(range(12, 24)) and rows[2].bgr is None
+    # In spans of one record each the rows are the same, and so are bytes written and read back.
+    split = read_raw_frames(spark, str(tmp_path), 2, 2, 1)
+    assert split.rdd.getNumPartitions() == 3 and split.orderBy("frame_index").collect() == rows
+    made = spark.createDataFrame([(n, i, bytes([i] * 12)) for n in "pq" for i in (2, 0, 1)], "name string, frame_index long, bgr binary")
+    write_raw_frames(made, str(tmp_path / "made"))
+    assert (tmp_path / "made/q.bgr").read_bytes() == b"".join(bytes([i] * 12) for i in range(3))
+    assert read_raw_frames(spark, str(tmp_path / "made"), 2, 2).count() == 6
+    (tmp_path / "none").mkdir()
+    assert read_raw_frames(spark, str(tmp_path / "none"), 2, 2).count() == 0
 
 
 def test_histogram_edges(spark):
