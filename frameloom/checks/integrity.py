@@ -11,6 +11,7 @@ from ..operators import constraints as K
 from ..operators import ledger as L
 from ..operators import workspace as W
 from ..sources import artifacts as A
+from ..sources import depth_store as DS
 from .depth import unit_planes
 
 Q, S = {}, {}
@@ -256,6 +257,47 @@ def import_cached_depth(spark, sf):
     return A.import_cached(_plane_hash(p), _plane_hash(ext))
 
 
+def _stored(spark, sf):
+    """A published store in which shot 8 was changed and shot 4 lost afterwards."""
+    p, path = depth_planes(spark, sf), f"{A.shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    DS.publish(p, path, 1)
+    bad = p.where("shot_id <> 4").withColumn("z", F.when(C("shot_id") == 8, F.transform("z", lambda v, i: F.when(i == 5, v + 1).otherwise(v).cast("float"))).otherwise(C("z")))
+    A.cluster_planes(bad).write.mode("overwrite").parquet(f"{path}/planes/version=1")
+    return p, path
+
+
+@q("depth_store", PL + f"""SELECT video_id, shot_id, frame_index, CASE shot_id WHEN 8 THEN 'changed' END AS error FROM planes WHERE shot_id <> 4
+  UNION ALL SELECT DISTINCT video_id, shot_id, frame_index // {DS.RANGE} * {DS.RANGE}, 'missing' FROM planes WHERE shot_id = 4""")
+def depth_store(spark, sf):
+    return DS.load(spark, _stored(spark, sf)[1]).select("video_id", "shot_id", "frame_index", "error")
+
+
+@q("load_cached_depth", PL + """, w AS (SELECT video_id, shot_id, count(*) AS n, CASE shot_id WHEN 4 THEN 'changed' WHEN 8 THEN 'changed' WHEN 6 THEN 'frame_count' WHEN 2 THEN 'grid' ELSE 'ok' END AS outcome FROM planes GROUP BY 1, 2)
+  SELECT w.video_id, w.shot_id, outcome, CASE WHEN outcome = 'ok' THEN n END AS planes, round(CASE WHEN outcome = 'ok' THEN total END, 4) + 0.0 AS total FROM w
+   JOIN (SELECT video_id, shot_id, sum(CAST(z AS DOUBLE)) AS total FROM px GROUP BY 1, 2) USING (video_id, shot_id)""")
+def load_cached_depth(spark, sf):
+    """Planes from a store with verdicts: shot 6 should have one frame more, shot 2 a smaller grid."""
+    p, path = _stored(spark, sf)
+    want = p.groupBy("video_id", "shot_id").agg(F.count(F.lit(1)).alias("n")).select(
+        "video_id", "shot_id", (C("n") + F.when(C("shot_id") == 6, 1).otherwise(0)).alias("frame_count"), F.when(C("shot_id") == 2, 4).otherwise(8).alias("h"), F.lit(8).alias("w"))
+    planes, outcome = DS.load_cached(spark, path, want)
+    whole = F.aggregate("z", F.lit(0.0), lambda s, v: s + v)
+    sums = planes.groupBy("video_id", "shot_id").agg(F.count(F.lit(1)).alias("planes"), (F.round(F.sum(whole), 4) + F.lit(0.0)).alias("total"))
+    return outcome.join(sums, ["video_id", "shot_id"], "left")
+
+
+@q("read_artifacts", """SELECT s_suppkey, CASE s_suppkey % 5 WHEN 1 THEN 'unknown_field' WHEN 2 THEN 'bad_field' WHEN 3 THEN 'not_an_object' END AS error, CASE WHEN s_suppkey % 5 = 0 THEN s_name WHEN s_suppkey % 5 = 4 THEN NULL END AS note FROM supplier""")
+def read_artifacts(spark, sf):
+    """One document per supplier and file: right ones with and without the optional note, and three kinds of wrong ones."""
+    k = C("s_suppkey")
+    doc = (F.when(k % 5 == 1, F.to_json(F.struct(k.alias("id"), C("s_name").alias("other")))).when(k % 5 == 2, F.to_json(F.struct(F.lit("x").alias("id"), C("s_name").alias("note"))))
+           .when(k % 5 == 3, F.lit("[1]")).when(k % 5 == 4, F.to_json(F.struct(k.alias("id")))).otherwise(F.to_json(F.struct(k.alias("id"), C("s_name").alias("note")))))
+    path = f"{A.shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    table(spark, sf, "supplier").select(k, doc.alias("value")).write.partitionBy("s_suppkey").text(path)
+    got = A.read_artifacts(spark, f"{path}/*", "id long, note string", optional=["note"])
+    return got.select(F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("bigint").alias("s_suppkey"), "error", F.when(C("error").isNull(), C("doc.note")).alias("note"))
+
+
 def _flags(spark, sf):
     k = C("c_custkey")
     rev = F.when(k % 8 == 0, "bad").otherwise(F.sha2(k.cast("string"), 256))

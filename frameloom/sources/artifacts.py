@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,11 +33,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_artifacts(spark: SparkSession, path: str, schema: StructType | str, max_bytes: int = MAX_DOCUMENT_BYTES) -> DataFrame:
+def read_artifacts(spark: SparkSession, path: str, schema: StructType | str, max_bytes: int = MAX_DOCUMENT_BYTES,
+                   optional: Sequence[str] = ()) -> DataFrame:
     """One JSON document per file against a strict schema.
 
     ``error`` is set for files over ``max_bytes`` and for documents that do not parse,
-    lack a field or carry an unknown one.
+    lack a field that is not ``optional``, have a value of the wrong type, or carry an unknown field.
     """
     schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     names = [f.name for f in schema.fields]
@@ -46,7 +48,9 @@ def read_artifacts(spark: SparkSession, path: str, schema: StructType | str, max
     extra = F.array_except("_keys", F.array(*[F.lit(n) for n in names]))
     null = F.lit(False)
     for n in names:
-        null = null | F.col(f"doc.{n}").isNull()
+        # An optional field may be absent or null, but what is there must fit its type.
+        absent = F.get_json_object("value", f"$.{n}").isNull() if n in optional else F.lit(False)
+        null = null | (F.col(f"doc.{n}").isNull() & ~absent)
     err = (F.when(F.col("size") > max_bytes, "too_large").when(F.col("_keys").isNull(), "not_an_object")
            .when(F.size(extra) > 0, "unknown_field").when(null, "bad_field"))
     return f.withColumn("error", err).drop("_keys", "value")
@@ -59,12 +63,18 @@ def write_artifacts(df: DataFrame, path: str, version: int) -> str:
     return target
 
 
+def cluster_planes(planes: DataFrame) -> DataFrame:
+    """Planes in order of video, shot and frame over ranges of these, so files do not grow in number with the shots."""
+    order = ["video_id", "shot_id", "frame_index"]
+    return planes.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def write_depth(planes: DataFrame, path: str) -> None:
-    """Depth planes by video and shot; ``z`` normalised, ``raw`` optional."""
+    """Depth planes in order of video, shot and frame; ``z`` normalised, ``raw`` optional."""
     out = planes if "raw" in planes.columns else planes.withColumn("raw", F.lit(None).cast("array<float>"))
     as_float = lambda c: F.transform(c, lambda v: v.cast("float")).alias(c)
-    (out.select("video_id", "shot_id", "frame_index", "h", "w", as_float("z"), as_float("raw"))
-        .write.mode("overwrite").partitionBy("video_id", "shot_id").parquet(path))
+    (cluster_planes(out.select("video_id", "shot_id", "frame_index", "h", "w", as_float("z"), as_float("raw")))
+     .write.mode("overwrite").parquet(path))
 
 
 def read_depth(spark: SparkSession, path: str, prefer_raw: bool = False) -> DataFrame:
