@@ -199,8 +199,9 @@ class _Ordered(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first, spilled, names, latest_at = None, False, [], -1
         for part in rows:
-            latest_at = max(latest_at, int(part.event_time.max().timestamp() * 1000))
-            part = part.drop(columns="event_time")
+            if "event_time" in part:
+                latest_at = max(latest_at, int(part.event_time.max().timestamp() * 1000))
+                part = part.drop(columns="event_time")
             names = list(part.columns)
             if first is None and not spilled:
                 first = part
@@ -209,16 +210,15 @@ class _Ordered(StatefulProcessor):
                 self._spill(first)
                 first, spilled = None, True
             self._spill(part)
-        if latest_at < 0:
-            return
         if spilled:
             for c in sorted(k[0] for k in self.cells.keys()):
                 held = pd.DataFrame([tuple(r) for r in self.cells.getValue((c,))[0]], columns=names)
                 self.cells.removeKey((c,))
                 yield from self._run(held)
-        else:
+        elif first is not None:
             yield from self._run(first)
-        self._keep_until(latest_at + self.keep)
+        if latest_at >= 0:
+            self._keep_until(latest_at + self.keep)
 
     def _spill(self, part: pd.DataFrame) -> None:
         for c, some in part.groupby(part[self.order] // self.cell):
@@ -282,20 +282,25 @@ class _Requests(_Ordered):
         return (bool(active), float(top), last), pd.DataFrame(out, columns=["id", "seq", "type", "outcome", "progress"])
 
 
+def _time(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c == "event_time"]
+
+
 def _stateful(rows: DataFrame, key: str, made: type[_Ordered], schema: str, delay: str, keep: str) -> DataFrame:
     plain = rows.drop("event_time")
     processor = made(", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in plain.schema.fields), int(pd.Timedelta(keep).total_seconds() * 1000))
-    return rows.withWatermark("event_time", delay).groupBy(key).transformWithStateInPandas(
-        processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    timed = "event_time" in rows.columns
+    keyed = (rows.withWatermark("event_time", delay) if timed else rows).groupBy(key)
+    return keyed.transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="EventTime" if timed else "None")
 
 
 def stream_requests(events: DataFrame, delay: str = "1 hour", keep: str = "7 days") -> DataFrame:
     """Keyed state per id: refuses overlapping starts and repeated endings, answers cancels, keeps progress rising.
 
     Events later than ``delay`` are dropped by the watermark; ``keep`` after an id's last event its state
-    is dropped, so an id that comes again starts anew.
+    is dropped, so an id that comes again starts anew.  Events without ``event_time`` keep it for good.
     """
-    rows = events.select("id", "seq", "type", "completed", "total", "event_time")
+    rows = events.select("id", "seq", "type", "completed", "total", *_time(events))
     return _stateful(rows, "id", _Requests, REQUESTS, delay, keep)
 
 
@@ -332,9 +337,9 @@ def stream_shots(frames: DataFrame, threshold: float, min_gap: int, value: str =
 
     ``value`` is a number, or a gray plane (``segment.gray_planes``), of which the mean change of cells counts.
     Frames of a video must arrive in order across batches; one at or before the last seen frame is late
-    and ignored.  Delays as in :func:`stream_requests`.
+    and ignored.  Delays as in :func:`stream_requests`; frames without ``event_time`` keep their state for good.
     """
-    rows = frames.select("video_id", "frame_index", C(value).alias("value"), "event_time")
+    rows = frames.select("video_id", "frame_index", C(value).alias("value"), *_time(frames))
     made = lambda schema, kept: _Shots(schema, kept, threshold, min_gap)
     return _stateful(rows, "video_id", made, "video_id bigint, frame_index bigint", delay, keep)
 
