@@ -166,11 +166,15 @@ def stream_qc(rows: DataFrame, keys: Sequence[str] = SHOT, delay: str = "1 hour"
 
 
 def merge_qc(published: DataFrame, keys: Sequence[str] = SHOT) -> DataFrame:
-    """Shot quality, as of :func:`shot_qc` and with ``bins`` where they were counted, of what a stream published."""
+    """Shot quality, as of :func:`shot_qc` and with ``bins`` where they were counted, of what a stream published.
+
+    ``change_count`` says how many frames the mean change is of: none so far is no mean, though the mean then reads 0.
+    """
     last = latest(published, keys)
     bins = [c for c in last.columns if c.startswith("bin_")]
     out = [F.sum("frame_count").alias("frame_count"), *[F.max(c).alias(c) for c in MAXIMA], *[F.sum(c).alias(c) for c in SUMS],
-           F.coalesce(F.try_divide(F.sum("change_sum"), F.sum("change_count")), F.lit(0.0)).alias("depth_temporal_change")]
+           F.coalesce(F.try_divide(F.sum("change_sum"), F.sum("change_count")), F.lit(0.0)).alias("depth_temporal_change"),
+           F.sum("change_count").alias("change_count")]
     if bins:
         out.append(F.array(*[F.sum(f"bin_{i}") for i in range(len(bins))]).alias("bins"))
     return last.groupBy(*keys).agg(*out)

@@ -88,3 +88,12 @@ def test_empty_stream(spark, tmp_path):
     s = as_stream(spark, tmp_path, EVENTS, [])
     path = J.run_to_table(J.stream_requests(s), str(tmp_path / "run"))
     assert spark.read.schema(J.REQUESTS).parquet(path).count() == 0
+
+
+def test_quality_of_shots_without_a_change(spark, tmp_path):
+    """Of the first shot no frame has a predecessor, so its mean change is null, not 0."""
+    from frameloom.checks import events as E
+    rows = [(i, DAY0 + dt.timedelta(hours=i), u, "view", float(10 * i)) for i, u in ((0, 1), (3, 1), (4, 2), (6, 1), (9, 3), (10, 3))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.video_id: (r.frame_count, r.depth_temporal_change) for r in E.stream_qc(spark, str(tmp_path)).collect()}
+    assert got == {1: (3, None), 2: (1, 40.0), 3: (2, 100.0)}
