@@ -293,9 +293,9 @@ def read_artifacts(spark, sf):
     doc = (F.when(k % 5 == 1, F.to_json(F.struct(k.alias("id"), C("s_name").alias("other")))).when(k % 5 == 2, F.to_json(F.struct(F.lit("x").alias("id"), C("s_name").alias("note"))))
            .when(k % 5 == 3, F.lit("[1]")).when(k % 5 == 4, F.to_json(F.struct(k.alias("id")))).otherwise(F.to_json(F.struct(k.alias("id"), C("s_name").alias("note")))))
     path = f"{A.shared_folder(spark)}/documents-{uuid.uuid4().hex}"
-    table(spark, sf, "supplier").select(k, doc.alias("value")).write.partitionBy("s_suppkey").text(path)
-    got = A.read_artifacts(spark, f"{path}/*", "id long, note string", optional=["note"])
-    return got.select(F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("bigint").alias("s_suppkey"), "error", F.when(C("error").isNull(), C("doc.note")).alias("note"))
+    A.write_documents(table(spark, sf, "supplier").select(F.concat(k.cast("string"), F.lit(".json")).alias("name"), doc.alias("value")), path)
+    got = A.read_artifacts(spark, path, "id long, note string", optional=["note"])
+    return got.select(F.regexp_extract("path", r"(\d+)\.json$", 1).cast("bigint").alias("s_suppkey"), "error", F.when(C("error").isNull(), C("doc.note")).alias("note"))
 
 
 def _flags(spark, sf):

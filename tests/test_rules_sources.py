@@ -159,6 +159,15 @@ def test_documents(spark, tmp_path):
     assert got == {"ok.json": None, "extra.json": "unknown_field", "type.json": "bad_field", "list.json": "not_an_object", "big.json": "too_large"}
 
 
+def test_documents_share_folders(spark, tmp_path):
+    """A thousand documents come back whole from at most 256 folders, and no folder is one document's own root path."""
+    docs = spark.range(1000).select(F.format_string("%d.json", "id").alias("name"), F.to_json(F.struct(F.col("id").alias("a"))).alias("value"))
+    A.write_documents(docs, str(tmp_path / "docs"))
+    got = A.read_artifacts(spark, str(tmp_path / "docs"), "a long")
+    assert sorted((r.path.rsplit("/", 1)[1], r.doc.a, r.error) for r in got.collect()) == sorted((f"{i}.json", i, None) for i in range(1000))
+    assert len(list((tmp_path / "docs").iterdir())) <= 256
+
+
 def test_versions_are_never_overwritten(spark, tmp_path):
     A.write_artifacts(spark.range(3), str(tmp_path), 1)
     with pytest.raises(Exception):
