@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.pixels import narrowed
 from ..operators import quality as K
 from ..operators import render as V
 from ..operators.ordered import r6
@@ -38,13 +39,13 @@ def _holes(spark, sf):
 
 @q("largest_component", C + SQL_VIEWS + HOLES + sql_components("hl", "lc") + f"SELECT {KEYS}, coalesce(largest, 0) AS largest FROM planes LEFT JOIN lc USING ({KEYS})")
 def largest_component(spark, sf):
-    return K.largest_component(_holes(spark, sf), "holes").select("video_id", "shot_id", "frame_index", "largest")
+    return narrowed(K.largest_component(_holes(spark, sf), "holes"), ["video_id", "shot_id", "frame_index", "largest"])
 
 
 @q("largest_component_bound", C + SQL_VIEWS + HOLES + sql_components("hl", "lc", 2) + f""", hc AS (SELECT {KEYS}, count(*) AS n FROM hl GROUP BY ALL)
    SELECT {KEYS}, coalesce(least(n, largest * 4), 0) AS largest FROM planes LEFT JOIN lc USING ({KEYS}) LEFT JOIN hc USING ({KEYS})""")
 def largest_component_bound(spark, sf):
-    return K.largest_component(_holes(spark, sf), "holes", max_cells=16).select("video_id", "shot_id", "frame_index", "largest")
+    return narrowed(K.largest_component(_holes(spark, sf), "holes", max_cells=16), ["video_id", "shot_id", "frame_index", "largest"])
 
 
 SQL_QC = SQL_VIEWS + HOLES + sql_components("hl", "lc") + f""", hc AS (SELECT {KEYS}, count(*) AS n FROM hl GROUP BY ALL),

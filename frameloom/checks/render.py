@@ -7,6 +7,7 @@ from ..fixtures import SQL_COLOUR, colour_frames, frame_series
 from ..functions import grid as G
 from ..functions import rules as R
 from ..functions import stereo as T
+from ..functions.pixels import narrowed
 from ..operators import direct as X
 from ..operators import features as FE
 from ..operators import render as V
@@ -18,6 +19,7 @@ from .direct import SQL_PRESETS
 Q, S = {}, {}
 C = "WITH RECURSIVE " + SQL_COLOUR
 REF = 128.0
+KEYS = ["video_id", "shot_id", "frame_index"]
 
 
 def q(name, sql=None):
@@ -120,14 +122,14 @@ def edge_violation_mask(spark, sf):
 @q("splat", C + SQL_STAGE + SQL_SPLAT + """SELECT video_id, shot_id, frame_index, y * 8 + x AS i, max(coalesce(src, -1)) FILTER (side = 1) AS left_src,
    max(coalesce(src, -1)) FILTER (side = -1) AS right_src FROM gr GROUP BY 1, 2, 3, 4""")
 def splat(spark, sf):
-    f = V.splat(V.with_disparity(staged(spark, sf), F.lit(REF)))
+    f = narrowed(V.splat(V.with_disparity(staged(spark, sf), F.lit(REF))), [*KEYS, "left_src", "right_src"])
     return f.select("video_id", "shot_id", "frame_index", F.posexplode_outer(F.arrays_zip("left_src", "right_src")).alias("i", "_s")).select(
         "video_id", "shot_id", "frame_index", F.col("i").cast("bigint").alias("i"), "_s.left_src", "_s.right_src")
 
 
 @q("fill_gaps", C + SQL_STAGE + SQL_SPLAT + sql_fill(2) + "SELECT video_id, shot_id, frame_index, y * 8 + x AS i, b, g, r, hole FROM fl WHERE side = 1")
 def fill_gaps(spark, sf):
-    f = V.fill_gaps(V.splat(V.with_disparity(staged(spark, sf), F.lit(REF))), 2)
+    f = narrowed(V.fill_gaps(V.splat(V.with_disparity(staged(spark, sf), F.lit(REF))), 2), [*KEYS, "left_b", "left_g", "left_r", "left_hole"])
     z = F.arrays_zip("left_b", "left_g", "left_r", "left_hole")
     return f.select("video_id", "shot_id", "frame_index", F.posexplode_outer(z).alias("i", "_s")).select(
         "video_id", "shot_id", "frame_index", F.col("i").cast("bigint").alias("i"), F.col("_s.left_b").alias("b"),
@@ -143,7 +145,7 @@ def rendered(spark, sf, mode="calibrated"):
 
 @q("hole_union", C + SQL_VIEWS + "SELECT video_id, shot_id, frame_index, y * 8 + x AS i FROM fl GROUP BY 1, 2, 3, 4 HAVING bool_or(bare OR hole)")
 def hole_union(spark, sf):
-    f = V.hole_union(V.fill_gaps(V.splat(V.with_disparity(staged(spark, sf), F.lit(REF)))))
+    f = narrowed(V.hole_union(V.fill_gaps(V.splat(V.with_disparity(staged(spark, sf), F.lit(REF))))), [*KEYS, "holes"])
     return f.select("video_id", "shot_id", "frame_index", F.posexplode_outer("holes").alias("i", "_m")).where("_m").select(
         "video_id", "shot_id", "frame_index", F.col("i").cast("bigint").alias("i"))
 
@@ -159,7 +161,7 @@ SQL_PAIR = """, pr AS (SELECT video_id, shot_id, frame_index, y, x, max(b) FILTE
 
 @q("anaglyph_basic", C + SQL_VIEWS + SQL_PAIR + "SELECT video_id, shot_id, frame_index, y * 8 + x AS i, rb AS b, rg AS g, lr AS r FROM pr")
 def anaglyph_basic(spark, sf):
-    return _mix_rows(rendered(spark, sf, "basic"))
+    return _mix_rows(narrowed(rendered(spark, sf, "basic"), [*KEYS, "mix"]))
 
 
 def _sql_mix():
@@ -178,7 +180,7 @@ def _sql_mix():
 
 @q("anaglyph_calibrated", C + SQL_VIEWS + SQL_PAIR + _sql_mix() + "SELECT * FROM mx")
 def anaglyph_calibrated(spark, sf):
-    return _mix_rows(rendered(spark, sf)).withColumns({c: F.col(c) + F.lit(0.0) for c in "bgr"})
+    return _mix_rows(narrowed(rendered(spark, sf), [*KEYS, "mix"])).withColumns({c: F.col(c) + F.lit(0.0) for c in "bgr"})
 
 
 @q("select_output", C + SQL_VIEWS + "SELECT video_id, shot_id, frame_index, y, CASE WHEN side = 1 THEN x ELSE x + 8 END AS x, b, g, r FROM fl")

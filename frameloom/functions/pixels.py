@@ -5,11 +5,10 @@ cell and tap measured tens of times slower on real frame sizes.
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -89,6 +88,15 @@ def changes(planes: list[np.ndarray | None]) -> list[float | None]:
     return out
 
 
+def box_mean(a: np.ndarray, radius: int) -> np.ndarray:
+    """Mean of the (2r+1)^2 cells around each cell, borders repeated, by running sums."""
+    def running(x: np.ndarray) -> np.ndarray:
+        total = np.cumsum(np.pad(x, ((radius + 1, radius), (0, 0)), mode="edge"), axis=0)
+        return total[2 * radius + 1:] - total[:-2 * radius - 1]
+
+    return running(running(a).T).T / (2 * radius + 1) ** 2
+
+
 def edge_aware(z: np.ndarray, h: int, w: int, amount: float, sigma: float) -> np.ndarray:
     """Each cell blended with its similar 4-neighbours; borders repeat the edge."""
     c = z.reshape(h, w).astype(np.float64)
@@ -196,59 +204,88 @@ NUMBER = {T.DoubleType: pa.float64(), T.LongType: pa.int64(), T.BooleanType: pa.
 def _column(values: list, kind: T.DataType) -> pa.Array:
     if not isinstance(kind, T.ArrayType):
         return pa.array(values, NUMBER[type(kind)])
+    there = [v for v in values if v is not None]
+    if not there:
+        return pa.nulls(len(values), _empty(kind))
     struct = isinstance(kind.elementType, T.StructType)
-    offsets = np.cumsum([0, *(len(v[0] if struct else v) for v in values)]).astype(np.int32)
+    offsets = np.cumsum([0, *(len(v[0] if struct else v) for v in there)]).astype(np.int32)
     if struct:
         names = kind.elementType.names
-        fields = [pa.array(np.concatenate([v[i] for v in values]), pa.float64()) for i in range(len(names))]
-        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, names))
-    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values), NUMBER[type(kind.elementType)]))
+        fields = [pa.array(np.concatenate([v[i] for v in there]), pa.float64()) for i in range(len(names))]
+        made = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, names))
+    else:
+        made = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(there), NUMBER[type(kind.elementType)]))
+    if len(there) == len(values):
+        return made
+    null = np.array([v is None for v in values])
+    return made.take(pa.array(np.cumsum(~null) - 1, mask=null))
+
+
+def _reader(col: pa.Array) -> Callable[[int], object]:
+    """A column's value by row: arrays as numpy, None for null."""
+    if not pa.types.is_list(col.type):
+        return col.to_pylist().__getitem__
+    values, at = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
+    ok = col.is_valid().to_numpy(zero_copy_only=False)
+    return lambda i: values[at[i]:at[i + 1]] if ok[i] else None
+
 
+Step = tuple[list[str], T.StructType, Callable[[Frame], dict[str, object]]]
 
-def pixel_step(frames: DataFrame, uses: list[str], makes: str, work: Callable[[Frame], dict[str, object]]) -> DataFrame:
+
+def pixel_step(frames: DataFrame, uses: list[str], makes: str, work: Callable[[Frame], dict[str, object]], drop: Sequence[str] = ()) -> DataFrame:
     """Adds or replaces the columns ``makes`` (DDL) by ``work`` on each frame's columns ``uses``, arrays as numpy.
 
-    A frame of which a used column is null gets nulls.  Batches leave at about BATCH_BYTES.
+    A frame of which a used column is null gets nulls.  Batches leave at about BATCH_BYTES.  A step right on
+    another one's result runs in the same worker, so a task has one worker however many steps are stacked.
     """
+    source, steps = getattr(frames, "_pixel_steps", None) or (frames, [])
     new = T.StructType.fromDDL(makes)
-    kept = [f for f in frames.schema.fields if f.name not in new.names]
-    schema = T.StructType([*kept, *new.fields])
+    names = [c for c in frames.columns if c not in (*new.names, *drop)] + [n for n in new.names if n not in drop]
+    return _stepped(source, [*steps, (uses, new, work)], names)
+
+
+def narrowed(frames: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """These columns only; right on a pixel step, no others pass through its worker."""
+    source, steps = getattr(frames, "_pixel_steps", None) or (frames, [])
+    return _stepped(source, steps, list(columns)) if steps else frames.select(*columns)
+
+
+def _stepped(source: DataFrame, steps: list[Step], names: list[str]) -> DataFrame:
+    made = {f.name: f for _, new, _ in steps for f in new.fields}
+    given, used = set(), set()
+    for uses, new, _ in steps:
+        used |= set(uses) - given
+        given |= set(new.names)
+    read = [c for c in source.columns if c in used or (c in names and c not in made)]
+    schema = T.StructType([made[n] if n in made else source.schema[n] for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            cols = {}
-            for c in uses:
-                col = t.column(c)
-                if pa.types.is_list(col.type):
-                    values, at = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
-                    cols[c] = (lambda i, values=values, at=at: values[at[i]:at[i + 1]])
-                else:
-                    cols[c] = (lambda i, values=col.to_pylist(): values[i])
-            valid = np.ones(t.num_rows, bool)
-            for c in uses:
-                valid &= ~t.column(c).is_null().to_numpy(zero_copy_only=False)
-            lo, done, size = 0, [], 0
+            readers = {c: _reader(t.column(c)) for c in used}
+            done: dict[str, list] = {n: [] for n in names if n in made}
+            lo = size = 0
 
             def leave(hi):
                 own = t.slice(lo, hi - lo)
-                ok = pa.array(valid[lo:hi])
-                made = [_column([d[f.name] for d in done], f.dataType) if done else None for f in new.fields]
-                back = pa.array(np.where(valid[lo:hi], np.cumsum(valid[lo:hi]) - 1, 0))
-                where = pc.if_else(ok, back, pa.scalar(None, back.type))
-                made = [pa.nulls(hi - lo, _empty(f.dataType)) if m is None else m.take(where) for m, f in zip(made, new.fields, strict=True)]
-                return pa.RecordBatch.from_arrays([own.column(f.name) for f in kept] + made, schema.names)
+                return pa.RecordBatch.from_arrays([_column(done[n], made[n].dataType) if n in made else own.column(n) for n in names], names)
 
             for i in range(t.num_rows):
-                if valid[i]:
-                    done.append(work({c: cols[c](i) for c in uses}))
-                    size += sum(getattr(v, "nbytes", 0) for v in done[-1].values()) * 4
+                f = {c: value(i) for c, value in readers.items()}
+                for uses, new, work in steps:
+                    f |= dict.fromkeys(new.names) if any(f[c] is None for c in uses) else work(f)
+                for n, held in done.items():
+                    held.append(f[n])
+                    size += getattr(f[n], "nbytes", 64) * 4
                 if size >= BATCH_BYTES:
                     yield leave(i + 1)
-                    lo, done, size = i + 1, [], 0
+                    lo, size, done = i + 1, 0, {n: [] for n in done}
             if lo < t.num_rows:
                 yield leave(t.num_rows)
 
-    return frames.mapInArrow(run, schema)
+    out = source.select(*read).mapInArrow(run, schema)
+    out._pixel_steps = source, steps
+    return out
 
 
 def _empty(kind: T.DataType) -> pa.DataType:

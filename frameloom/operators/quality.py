@@ -4,12 +4,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
-from ..functions import grid as G
+from ..functions import pixels as P
 from .depth import SHOT, temporal_change
 
 C = F.col
@@ -52,21 +50,16 @@ def _largest(mask: np.ndarray) -> int:
     return max((size[i] for i in range(len(parent)) if parent[i] == i), default=0)
 
 
-@F.pandas_udf(LongType())
-def _component_udf(mask: pd.Series, h: pd.Series, w: pd.Series, limit: pd.Series) -> pd.Series:
-    out = []
-    for m, rows, cols, most in zip(mask, h, w, limit):
-        grid = np.asarray(m, dtype=bool).reshape(rows, cols)
-        if not most or rows * cols <= most:
-            out.append(_largest(grid))
-            continue
-        b = 2
-        while -(-rows // b) * -(-cols // b) > most:
-            b += 1
-        padded = np.pad(grid, ((0, -rows % b), (0, -cols % b)))
-        blocks = padded.reshape(padded.shape[0] // b, b, padded.shape[1] // b, b).any(axis=(1, 3))
-        out.append(min(int(grid.sum()), _largest(blocks) * b * b))
-    return pd.Series(out, dtype="int64")
+def _component(mask: np.ndarray, rows: int, cols: int, most: int) -> int:
+    grid = mask.astype(bool).reshape(rows, cols)
+    if not most or rows * cols <= most:
+        return _largest(grid)
+    b = 2
+    while -(-rows // b) * -(-cols // b) > most:
+        b += 1
+    padded = np.pad(grid, ((0, -rows % b), (0, -cols % b)))
+    blocks = padded.reshape(padded.shape[0] // b, b, padded.shape[1] // b, b).any(axis=(1, 3))
+    return min(int(grid.sum()), _largest(blocks) * b * b)
 
 
 def largest_component(frames: DataFrame, mask: str, out: str = "largest", max_cells: int = 0) -> DataFrame:
@@ -76,20 +69,20 @@ def largest_component(frames: DataFrame, mask: str, out: str = "largest", max_ce
     block count is scaled back and held to the number of set cells.  Each frame is
     one row, so this is a narrow step over Arrow batches.
     """
-    f = frames.withColumn(mask, G.once(C(mask)))
-    return f.withColumn(out, _component_udf(C(mask), C("h"), C("w"), F.lit(max_cells)))
+    return P.pixel_step(frames, [mask, "h", "w"], f"`{out}` bigint", lambda f: {out: _component(f[mask], f["h"], f["w"], max_cells)})
 
 
 def frame_qc(frames: DataFrame, keys: Sequence[str] = SHOT) -> DataFrame:
     """One row per rendered frame; ``depth_temporal_change`` is null for a shot's first frame."""
-    f = largest_component(temporal_change(frames, keys, "z"), "holes", "largest_hole_pixels")
+    used = [*keys, "frame_index", "h", "w", "z", "disparity", "edge_mask", "holes", "largest_hole_pixels"]
+    f = P.narrowed(largest_component(frames, "holes", "largest_hole_pixels"), used)
     zero = F.lit(0.0)
     count = lambda m: F.size(F.filter(m, lambda v: v)).cast("bigint")
-    return f.select(
-        *keys, "frame_index", F.greatest(zero, F.array_max("disparity")).alias("max_popout_disparity_norm"),
+    told = f.select(
+        *keys, "frame_index", "h", "w", "z", F.greatest(zero, F.array_max("disparity")).alias("max_popout_disparity_norm"),
         F.greatest(zero, -F.array_min("disparity")).alias("max_background_disparity_norm"), count("edge_mask").alias("edge_violation_pixels"),
-        count("holes").alias("hole_pixels"), "largest_hole_pixels",
-        C("change").alias("depth_temporal_change"))
+        count("holes").alias("hole_pixels"), "largest_hole_pixels")
+    return temporal_change(told, keys, "z").drop("h", "w", "z").withColumnRenamed("change", "depth_temporal_change")
 
 
 def shot_qc(frames: DataFrame, keys: Sequence[str] = SHOT) -> DataFrame:

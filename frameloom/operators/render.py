@@ -62,10 +62,15 @@ def _mix(f: dict, mode: str, swap: bool = False) -> dict:
     return {"mix": P.mix(left, right, mode)}
 
 
+def _holes(f: dict) -> dict:
+    return {"holes": (f["left_src"] < 0) | (f["right_src"] < 0) | f["left_hole"] | f["right_hole"]}
+
+
 MAKES = {
     "disparity": f"z {PLANE}, conv double, disparity {PLANE}, shift {PLANE}",
     "splat": f"left_src {CELLS}, right_src {CELLS}",
     "fill": ", ".join([f"{s}_{c} {PLANE}" for s in ("left", "right") for c in "bgr"] + [f"{s}_hole array<boolean>" for s in ("left", "right")]),
+    "holes": "holes array<boolean>",
     "mix": "mix array<struct<b:double,g:double,r:double>>",
 }
 
@@ -76,7 +81,7 @@ def _with_ref(frames: DataFrame, ref_width: Column | None) -> DataFrame:
 
 def with_disparity(frames: DataFrame, ref_width: Column | None = None, fraction: float = 0.05) -> DataFrame:
     """Adds conv (screen-plane depth), disparity (share of width) and shift (cells, full)."""
-    return P.pixel_step(_with_ref(frames, ref_width), ["z", "w", "_ref", *PARAMS], MAKES["disparity"], lambda f: _disparity(f, fraction)).drop("_ref")
+    return P.pixel_step(_with_ref(frames, ref_width), ["z", "w", "_ref", *PARAMS], MAKES["disparity"], lambda f: _disparity(f, fraction), drop=["_ref"])
 
 
 def splat(frames: DataFrame) -> DataFrame:
@@ -96,10 +101,7 @@ def edge_violation_mask(frames: DataFrame, fraction: float = 0.05, limit: float
 
 def hole_union(frames: DataFrame) -> DataFrame:
     """Cells not covered by the left or the right view, or left unfilled in either."""
-    bare = lambda s: F.transform(s, lambda k: k < 0)
-    either = F.zip_with(bare("left_src"), bare("right_src"), lambda a, b: a | b)
-    open_ = F.zip_with("left_hole", "right_hole", lambda a, b: a | b)
-    return frames.withColumn("holes", F.zip_with(either, open_, lambda a, b: a | b))
+    return P.pixel_step(frames, ["left_src", "right_src", "left_hole", "right_hole"], MAKES["holes"], _holes)
 
 
 def mix_views(frames: DataFrame, mode: str = "calibrated", swap: bool = False) -> DataFrame:
@@ -121,12 +123,11 @@ def render_frames(frames: DataFrame, ref_width: Column | None = None, mode: str
         out |= _mix(out, mode)
         x, m = np.arange(len(out["z"])) % f["w"], P.margin(f["w"], fraction)
         out["edge_mask"] = ((x < m) | (x >= f["w"] - m)) & (out["disparity"] > edge_limit)
-        out["holes"] = (out["left_src"] < 0) | (out["right_src"] < 0) | out["left_hole"] | out["right_hole"]
-        return out
+        return out | _holes(out)
 
-    makes = ", ".join([*MAKES.values(), "edge_mask array<boolean>", "holes array<boolean>"])
+    makes = ", ".join([*[m for k, m in MAKES.items() if k != "holes"], "edge_mask array<boolean>", MAKES["holes"]])
     uses = ["z", "h", "w", "_ref", "b", "g", "r", *PARAMS, *plane]
-    return P.pixel_step(_with_ref(frames, ref_width), uses, makes, work).drop("_ref", *plane)
+    return P.pixel_step(_with_ref(frames, ref_width), uses, makes, work, drop=["_ref", *plane])
 
 
 def select_output(frames: DataFrame, output: str) -> DataFrame:

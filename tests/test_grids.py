@@ -254,3 +254,19 @@ def test_histogram_edges(spark):
     df = spark.createDataFrame([(1, v)], "video_id long, disparity array<double>")
     got = [r.n for r in K.disparity_histogram(df).orderBy("bin").collect()]
     assert got == list(np.histogram(v, np.linspace(-0.05, 0.05, 41))[0])
+
+
+def test_stacked_pixel_steps_share_a_worker(spark):
+    """Disparity, views, filling, holes and their largest region: one Python step, which gives only what is asked for."""
+    rng = np.random.default_rng(5)
+    rows = [(1, 1, i, 4, 6, *([float(x) for x in rng.integers(0, 255, 24)] for _ in "bgr"), None if i == 2 else [float(x) for x in rng.uniform(size=24)]) for i in range(5)]
+    f = spark.createDataFrame(rows, "video_id long, shot_id long, frame_index long, h int, w int, b array<double>, g array<double>, r array<double>, z array<double>").withColumns({
+        "depth_strength": F.lit(0.9), "convergence_depth_percentile": F.lit(0.4), "max_background_disparity_norm": F.lit(0.05),
+        "max_popout_disparity_norm": F.lit(0.03), "edge_protection": F.lit(False)})
+    stacked = K.largest_component(V.hole_union(V.fill_gaps(V.splat(V.with_disparity(f, F.lit(64.0))), 1)), "holes")
+    one = PX.narrowed(stacked, ["frame_index", "holes", "largest"])
+    assert one._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    apart = V.splat(V.with_disparity(f, F.lit(64.0)).select("*"))
+    apart = K.largest_component(V.hole_union(V.fill_gaps(apart.select("*"), 1).select("*")).select("*"), "holes").select("frame_index", "holes", "largest")
+    got = sorted(map(tuple, one.collect()))
+    assert got == sorted(map(tuple, apart.collect())) and got[2] == (2, None, None) and any(r[2] for r in got if r[2] is not None)
