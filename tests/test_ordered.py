@@ -172,3 +172,12 @@ def test_area_resize_of_planes():
         ys, xs = [i * h // h2 for i in range(h2 + 1)], [i * w // w2 for i in range(w2 + 1)]
         want = [z.reshape(h, w)[ys[i]:ys[i + 1], xs[j]:xs[j + 1]].mean() for i in range(h2) for j in range(w2)]
         assert np.allclose(PX.resize_area(z, h, w, h2, w2), want)
+
+
+def test_stacked_clamps_read_their_source_once(spark, tmp_path):
+    """Two clamps on one another: the rows they came from are not in the plan again, the blocks written on the way are."""
+    src = str(tmp_path / "rows")
+    spark.createDataFrame([(1, i, (i * 37 % 100) / 100, i % 7 == 0) for i in range(40)], "video_id long, shot_id long, x double, hard boolean").write.parquet(src)
+    once = X.carried_clamp(spark.read.parquet(src), "x", 0.18, F.col("hard"))
+    twice = X.carried_clamp(once, "applied", 0.1, F.lit(False), out="again", had="_h")
+    assert src not in " ".join(twice.inputFiles()) and twice.count() == 40
