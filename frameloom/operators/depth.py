@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grid as G
 from ..functions import pixels as PX
+from ..functions.grid import COARSE_RADIUS, COARSE_SCALE, CUES, FINE_RADIUS, FINE_SCALE, GROUND_POWER, HORIZON, OUTPUT_RADIUS
 from .ordered import block_of, carry_in, exact_quantiles, join_small, with_previous
 
 SHOT = ["video_id", "shot_id"]
@@ -69,7 +70,7 @@ def smooth_space(planes: DataFrame, amount: float = 0.15, z: str = "z") -> DataF
         return planes
     smoothed, sigma = PX.edge_aware, G.SIGMA
     work = lambda f: {z: smoothed(f[z], f["h"], f["w"], amount, sigma)}
-    return PX.pixel_step(planes, [z, "h", "w"], f"{z} array<double>", work).select(*planes.columns)
+    return PX.narrowed(PX.pixel_step(planes, [z, "h", "w"], f"{z} array<double>", work), planes.columns)
 
 
 def smooth_time(planes: DataFrame, keep: float = 0.82, keys: Sequence[str] = SHOT, order: str = "frame_index",
@@ -160,19 +161,31 @@ def edge_near_shots(planes: DataFrame, keys: Sequence[str] = SHOT, limit: float
     return b.select(*keys, (F.col("n") / F.col("d")).alias("near_share"), (F.col("n") / F.col("d") >= limit).alias("edge_near"))
 
 
+def _cue_plane(f: dict) -> dict:
+    h, w = f["h"], f["w"]
+    b, g, r = (np.asarray(f[c], np.float64).reshape(h, w) for c in "bgr")
+    luma = (b * 0.114 + g * 0.587 + r * 0.299) / 255.0
+    high, low = np.maximum(np.maximum(b, g), r), np.minimum(np.minimum(b, g), r)
+    strong = (high - low) / 255.0 / np.maximum(high / 255.0, 1e-4)
+
+    def contrast(radius: int) -> np.ndarray:
+        mean = PX.box_mean(luma, radius)
+        return np.sqrt(np.maximum(0.0, PX.box_mean(luma * luma, radius) - mean * mean))
+
+    detail = (np.log1p(contrast(FINE_RADIUS) * FINE_SCALE) * 0.68 + np.log1p(contrast(COARSE_RADIUS) * COARSE_SCALE) * 0.32) / np.log1p(FINE_SCALE)
+    y01 = PX.even_positions(h, h) / max(h - 1, 1)
+    ground = np.power(np.clip((y01 - HORIZON) / (1 - HORIZON), 0, 1), GROUND_POWER)[:, None]
+    mixed = (PX.box_mean(detail, COARSE_RADIUS) * CUES["detail"] + ground * CUES["ground"]
+             + PX.box_mean(strong, COARSE_RADIUS) * CUES["saturation"])
+    return {"z": PX.box_mean(mixed, OUTPUT_RADIUS).ravel()}
+
+
 def image_cue_depth(frames: DataFrame) -> DataFrame:
     """Relative depth of each frame from detail, ground plane and saturation; higher is nearer.
 
-    Written as a chain of small projections (still one narrow stage): one big
-    expression would exceed the analyser's depth.
+    One step in numpy: a blur after a blur by column functions was a Python worker each.
     """
-    h, w, c = F.col("h"), F.col("w"), F.col
-    f = frames.withColumns({"_l": G.luma(c("b"), c("g"), c("r"), h, w, 1 << 30), "_s": G.saturation(c("b"), c("g"), c("r"))})
-    f = local_contrast(local_contrast(f, "_l", G.FINE_RADIUS, "_f"), "_l", G.COARSE_RADIUS, "_c")
-    f = f.withColumn("_d", G.cue_detail(c("_f"), c("_c")))
-    f = G.box_blur(f, G.COARSE_RADIUS, _db="_d", _sb="_s")
-    f = f.withColumn("_n", G.cue_mix(c("_db"), c("_sb"), h, w))
-    return G.box_blur(f, G.OUTPUT_RADIUS, z="_n").drop("_l", "_s", "_f", "_c", "_d", "_db", "_sb", "_n")
+    return PX.pixel_step(frames, ["b", "g", "r", "h", "w"], "z array<double>", _cue_plane)
 
 
 def local_contrast(frames: DataFrame, z: str, radius: int, out: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import grid as G
+from ..functions import pixels as PX
 from ..functions import rules as R
 from ..operators import chunks as CH
 from ..operators import depth as D
@@ -116,7 +117,7 @@ def estimate_depth(frames: DataFrame, shots: DataFrame, save: Save = materialize
         how = [F.lit(None).cast("string").alias("error_code"), F.lit(False).alias("fallback_used"), F.lit("monocular-cues").alias("backend")]
     else:
         raw, told = CH.run_backend(save(local), backend)
-    raw = save(raw.select("video_id", "shot_id", "frame_index", "h", "w", "z"))
+    raw = save(PX.narrowed(raw, ["video_id", "shot_id", "frame_index", "h", "w", "z"]))
     planes, stats = D.estimate_depth(raw)
     stats = stats.select("*", *how) if backend is None else CH.capped_reliability(stats, told)
     return save(planes), save(stats)
@@ -186,7 +187,7 @@ def media_of(frames: DataFrame, rendered: DataFrame, stats: DataFrame, media: Da
 
 def find_shots(frames: DataFrame, threshold: float = 27.0, min_gap: int = 12, rate: float = 24.0, width: int = 320, save: Save = materialize) -> DataFrame:
     """Shots of every video from its pictures: gray planes of ``width`` cells at most, cut where they change."""
-    gray = save(SEG.gray_planes(frames, width).select("video_id", "frame_index", "gray"))
+    gray = save(PX.narrowed(SEG.gray_planes(frames, width), ["video_id", "frame_index", "gray"]))
     return SEG.detect_shots(gray, SEG.frame_counts(gray), threshold, min_gap, rate, value="gray")
 
 
