@@ -232,23 +232,27 @@ class _Ordered(StatefulProcessor):
             self.cells.updateValue(c, ([tuple(r) for r in held] + [tuple(x.tolist() if isinstance(x, np.ndarray) else x for x in r) for r in more],))
 
     def _run(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        own = self.own.get() if self.own.exists() else self.fresh()
-        own, out = self.along(own, rows.sort_values(self.order))
+        # Each call to the store is a round trip, so it is asked once and answers None for a new key.
+        own, out = self.along(self.own.get() or self.fresh(), rows if rows[self.order].is_monotonic_increasing else rows.sort_values(self.order))
         self.own.update(own)
         if len(out):
             yield out
 
     def _keep_until(self, at: int) -> None:
-        before = self.due.get()[0] if self.due.exists() else -1
-        if at > before:
-            if before >= 0:
-                self.handle.deleteTimer(before)
+        """A key has one timer, left where it is as more rows come: when it rings, the key may have been put off."""
+        before = self.due.get()
+        if before is None:
             self.handle.registerTimer(at)
+        if before is None or at > before[0]:
             self.due.update((at,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.own.clear()
-        self.due.clear()
+        due = self.due.get()[0]
+        if due > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due)
+        else:
+            self.own.clear()
+            self.due.clear()
         return iter(())
 
     def close(self) -> None:

@@ -97,3 +97,28 @@ def test_quality_of_shots_without_a_change(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
     got = {r.video_id: (r.frame_count, r.depth_temporal_change) for r in E.stream_qc(spark, str(tmp_path)).collect()}
     assert got == {1: (3, None), 2: (1, 40.0), 3: (2, 100.0)}
+
+
+def test_a_timer_that_was_put_off(spark, tmp_path):
+    """A key's timer stays where it was set: events after it was set keep the state, and it still ends ``keep`` after the last."""
+    s = as_stream(spark, tmp_path, EVENTS, [event(1, 1, "start", 0)], [event(1, 2, "progress", 8, 5.0)], [event(2, 3, "start", 14)],
+                  [event(2, 4, "progress", 15)], [event(1, 5, "cancel", 16)], [event(2, 6, "progress", 40)], [event(2, 7, "progress", 41)], [event(1, 8, "cancel", 42)])
+    got = outcomes(spark, J.run_to_table(J.stream_requests(s, "1 hour", keep="10 hours"), str(tmp_path / "run")))
+    assert got[1, 5] == "cancel_requested" and got[1, 8] == "not_active"
+
+
+def test_stream_source_is_made_once(spark, tmp_path):
+    """The files of the micro-batches come from what was written once, in order of time, a file each."""
+    from frameloom.checks import events as E
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        runs.add(1)
+        yield from batches
+    rows = spark.createDataFrame([(i, DAY0 + dt.timedelta(hours=i)) for i in range(50)], "n long, at timestamp").coalesce(1).mapInArrow(seen, "n long, at timestamp")
+    got = E.in_files(rows, "at")
+    path = tmp_path / "out"
+    got.writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(
+        lambda df, n: df.write.parquet(f"{path}/batch={n}")).start().awaitTermination()
+    told = {(r.batch, r.n) for r in spark.read.parquet(str(path)).collect()}
+    assert told == {(min(4, i * 5 // 49), i) for i in range(50)} and runs.value == 1
