@@ -17,10 +17,9 @@ from .common import saved
 DEPTH = 5  # words of a phrase at most
 BITS = 27  # a filter has 2**BITS bits, 16 MiB, whatever the corpus
 HOT = 1 << 16  # prefixes that are cut further at each depth, at most
+PART = 1 << 16  # places or rows that are worked on at a time, whatever a slice or a group holds
 #: What a byte is: 0 part of a word, 1 blank, 2 end of a piece.
-KIND = np.zeros(256, np.uint8)
-KIND[[0x20, 0x09]] = 1
-KIND[list(b".,;:!?\x0a\x0b\x0c\x0d")] = 2
+KIND = bytes(1 if c in b" \t" else 2 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 0 for c in range(256))
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,30 +47,58 @@ class Words:
         ends = np.frombuffer(low.buffers()[1], np.int64)[low.offset:low.offset + len(low) + 1]
         buf = np.frombuffer(low.buffers()[2], np.uint8)[ends[0]:ends[-1]] if ends[-1] > ends[0] else np.empty(0, np.uint8)
         ends = ends - ends[0]
-        kind = KIND[buf]
+        kind = np.frombuffer(buf.tobytes().translate(KIND), np.uint8)
         inside = kind == 0
         start = inside.copy()
         start[1:] &= ~inside[:-1]
         heads = ends[:-1][ends[:-1] < len(buf)]
         start[heads] = inside[heads]
-        starts = np.flatnonzero(start)
-        lens = np.bincount((np.cumsum(start) - 1)[inside], minlength=len(starts)) if len(starts) else starts
-        offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
+        stop = inside.copy()
+        stop[:-1] &= ~inside[1:] | start[1:]
+        starts, lens = np.flatnonzero(start), np.flatnonzero(stop)
+        del start, stop
+        lens += 1
+        lens -= starts
+        offsets = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(lens, out=offsets[1:])
         words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(buf[inside])])
+        marks = np.flatnonzero(kind == 2)
+        del low, buf, kind, inside, lens, offsets
         coded = words.dictionary_encode()
+        del words
         names = coded.dictionary
-        codes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in names.to_pylist()), np.uint64, len(names))
-        doc = np.searchsorted(ends, starts, "right") - 1
-        piece = np.cumsum(kind == 2)[starts] if len(starts) else starts
+        codes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for lo in range(0, len(names), PART) for w in names[lo:lo + PART].to_pylist()), np.uint64, len(names))
+        doc = (np.searchsorted(ends, starts, "right") - 1).astype(np.int32)
+        piece = np.searchsorted(marks, starts).astype(np.int32)
         same = np.zeros(len(starts), bool)
         same[1:] = (doc[1:] == doc[:-1]) & (piece[1:] == piece[:-1])
         told = pc.fill_null(langs, "und").dictionary_encode()
-        return cls(told.dictionary.to_pylist(), told.indices.to_numpy()[doc].astype(np.int64), names.cast(pa.large_string()), codes, coded.indices.to_numpy().astype(np.int64), same)
+        return cls(told.dictionary.to_pylist(), told.indices.to_numpy()[doc], names.cast(pa.large_string()), codes, coded.indices.to_numpy(), same)
 
     def heads(self) -> np.ndarray:
-        """The hash of each word's language, from which prefix hashes start."""
+        """The hash of each language, from which prefix hashes start."""
         import xxhash
-        return np.array([xxhash.xxh64_intdigest(x) for x in self.langs] or [0], np.uint64)[self.lang]
+        return np.array([xxhash.xxh64_intdigest(x) for x in self.langs] or [0], np.uint64)
+
+    def often(self, bits: np.ndarray) -> np.ndarray:
+        """Whether each word and the next one are of one piece, and each has a bit of its code in ``bits``."""
+        held = _held(bits, self.codes)[self.at]
+        return held[:-1] & held[1:] & self.same[1:]
+
+    def chained(self, bits: np.ndarray) -> np.ndarray:
+        """Whether each word and the next one are of one piece, and their prefix hash has a bit in ``bits``."""
+        heads, out = self.heads(), self.same[1:].copy()
+        for lo in range(0, len(out), PART):
+            hi = min(lo + PART, len(out))
+            out[lo:hi] &= _held(bits, _mixed(_mixed(heads[self.lang[lo:hi]], self.codes[self.at[lo:hi]]), self.codes[self.at[lo + 1:hi + 1]]))
+        return out
+
+    def parts(self, places: np.ndarray) -> Iterator[np.ndarray]:
+        """The places in parts of PART at most; those with the same two words are neighbours, so few equal ones part."""
+        for i in (1, 0):
+            places = places[np.argsort(self.at[places + i].astype(np.uint16), kind="stable")]
+        for lo in range(0, len(places), PART):
+            yield places[lo:lo + PART]
 
 
 def _keys(codes: np.ndarray, lens: np.ndarray) -> pa.Array:
@@ -112,11 +139,13 @@ def counted_words(docs: DataFrame, seed: int) -> DataFrame:
         for t in _slices(batches):
             w = Words.of(t["text"], t["lang"], seed)
             d = max(1, len(w.names))
-            both, n = np.unique(w.lang * d + w.at, return_counts=True)
-            one = w.codes[both % d] if len(both) else w.codes[:0]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(w.langs, pa.string()).take(pa.array(both // d)), w.names.take(pa.array(both % d)).cast(pa.string()), pa.array(one.view(np.int64)), pa.array(n.astype(np.int64))],
-                ["lang", "word", "h", "n"])
+            every, times = np.unique(w.lang.astype(np.int64) * d + w.at, return_counts=True)
+            for lo in range(0, len(every), PART):
+                both, n = every[lo:lo + PART], times[lo:lo + PART]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(w.langs, pa.string()).take(pa.array(both // d)), w.names.take(pa.array(both % d)).cast(pa.string()), pa.array(w.codes[both % d].view(np.int64)), pa.array(n.astype(np.int64))],
+                    ["lang", "word", "h", "n"])
+            del w
 
     rows = docs.mapInArrow(run, "lang string, word string, h long, n long")
     rows = rows.groupBy("lang", "word").agg(F.min("h").alias("h"), F.sum("n").alias("n"))
@@ -129,12 +158,13 @@ def counted_pairs(docs: DataFrame, seed: int, frequent, least: int) -> DataFrame
         bits = frequent.value
         for t in _slices(batches):
             w = Words.of(t["text"], t["lang"], seed)
-            d, often = max(1, len(w.names)), _held(bits, w.codes)[w.at]
-            at = np.flatnonzero(often[:-1] & often[1:] & w.same[1:])
-            pairs, first, n = np.unique((w.lang[at] * d + w.at[at]) * d + w.at[at + 1], return_index=True, return_counts=True)
-            at = at[first]
-            codes = np.stack([w.codes[w.at[at]], w.codes[w.at[at + 1]]], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(w.langs, pa.string()).take(pa.array(w.lang[at])), _keys(codes, np.full(len(at), 2)), pa.array(n.astype(np.int64))], ["lang", "key", "n"])
+            d = max(1, len(w.names))
+            for at in w.parts(np.flatnonzero(w.often(bits))):
+                first, n = np.unique((w.lang[at].astype(np.int64) * d + w.at[at]) * d + w.at[at + 1], return_index=True, return_counts=True)[1:]
+                at = at[first]
+                codes = np.stack([w.codes[w.at[at]], w.codes[w.at[at + 1]]], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(w.langs, pa.string()).take(pa.array(w.lang[at])), _keys(codes, np.full(len(at), 2)), pa.array(n.astype(np.int64))], ["lang", "key", "n"])
+            del w
 
     def named(batches):
         import xxhash
@@ -151,7 +181,7 @@ def counted_pairs(docs: DataFrame, seed: int, frequent, least: int) -> DataFrame
 def suffixes(docs: DataFrame, seed: int, pairs, hot: dict[int, np.ndarray], groups: int, only: int | None = None) -> DataFrame:
     """grp, whole, lang, key, h, n: what follows each place, to DEPTH words or the first pair that is not frequent.
 
-    Equal ones of a slice are one row.  A suffix belongs to its shortest prefix that isn't hot, whose
+    Equal ones of a part of a slice are one row.  A suffix belongs to its shortest prefix that isn't hot, whose
     hash names the group; ``whole`` is that prefix's number of words.  With ``only``, suffixes are
     cut to that many words, those under a hot prefix one word shorter alone are given, and h is
     their hash.
@@ -160,42 +190,42 @@ def suffixes(docs: DataFrame, seed: int, pairs, hot: dict[int, np.ndarray], grou
         bits = pairs.value
         for t in _slices(batches):
             w = Words.of(t["text"], t["lang"], seed)
-            d, n = max(1, len(w.names)), len(w.at)
-            code, heads = w.codes[w.at], w.heads()
-            two = np.zeros(n, np.uint64)
-            two[:-1] = _mixed(_mixed(heads[:-1], code[:-1]), code[1:])
+            d, n, heads = max(1, len(w.names)), len(w.at), w.heads()
             chain = np.zeros(n + DEPTH, bool)
-            chain[:max(0, n - 1)] = w.same[1:] & _held(bits, two[:-1])
-            lens, run_on = np.ones(n, np.int64), np.ones(n, bool)
+            chain[:max(0, n - 1)] = w.chained(bits)
+            lens, run_on = np.ones(n, np.int8), np.ones(n, bool)
             for i in range((only or DEPTH) - 1):
                 run_on &= chain[i:n + i]
                 lens += run_on
-            at = np.flatnonzero(lens >= (only or 3))
-            places = np.where(np.arange(DEPTH) < lens[at][:, None], np.minimum(at[:, None] + np.arange(DEPTH), max(0, n - 1)), -1)
-            node = w.lang[at]
-            for i in range(DEPTH):  # the tree's nodes, level by level
-                node = pd.factorize(node * (d + 1) + np.where(places[:, i] >= 0, w.at[places[:, i]] + 1, 0))[0].astype(np.int64)
-            first, count = np.unique(node, return_index=True)[1], np.bincount(node)
-            at, places = at[first], places[first]
-            codes = np.where(places >= 0, code[places], np.uint64(0)) if len(at) else np.empty((0, DEPTH), np.uint64)
-            h = _mixed(_mixed(heads[at], codes[:, 0]), codes[:, 1])
-            whole, lens = np.full(len(at), 2, np.int32), lens[at]
-            more = np.ones(len(at), bool)
-            for i in range(2, only or DEPTH):
-                more &= np.isin(h, hot.get(i, np.empty(0, np.uint64)))
-                whole += more
-                more &= lens > i
-                h = np.where(more, _mixed(h, codes[:, i]), h)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array((h % np.uint64(groups)).astype(np.int32)), pa.array(whole), pa.array(w.langs, pa.string()).take(pa.array(w.lang[at])), _keys(codes, lens), pa.array(h.view(np.int64)), pa.array(count.astype(np.int64))],
-                ["grp", "whole", "lang", "key", "h", "n"])
-            yield out.filter(pa.array(whole == only)) if only else out
+            for at in w.parts(np.flatnonzero(lens >= (only or 3))):
+                places = np.where(np.arange(DEPTH) < lens[at][:, None], np.minimum(at[:, None] + np.arange(DEPTH), n - 1), -1)
+                node = w.lang[at].astype(np.int64)
+                for i in range(DEPTH):  # the tree's nodes, level by level
+                    node = pd.factorize(node * (d + 1) + np.where(places[:, i] >= 0, w.at[places[:, i]] + 1, 0))[0].astype(np.int64)
+                first, count = np.unique(node, return_index=True)[1], np.bincount(node)
+                at, places = at[first], places[first]
+                codes = np.where(places >= 0, w.codes[w.at[places]], np.uint64(0))
+                h = _mixed(_mixed(heads[w.lang[at]], codes[:, 0]), codes[:, 1])
+                whole, size = np.full(len(at), 2, np.int32), lens[at].astype(np.int64)
+                more = np.ones(len(at), bool)
+                for i in range(2, only or DEPTH):
+                    more &= np.isin(h, hot.get(i, np.empty(0, np.uint64)))
+                    whole += more
+                    more &= size > i
+                    h = np.where(more, _mixed(h, codes[:, i]), h)
+                out = pa.RecordBatch.from_arrays(
+                    [pa.array((h % np.uint64(groups)).astype(np.int32)), pa.array(whole), pa.array(w.langs, pa.string()).take(pa.array(w.lang[at])), _keys(codes, size), pa.array(h.view(np.int64)), pa.array(count.astype(np.int64))],
+                    ["grp", "whole", "lang", "key", "h", "n"])
+                yield out.filter(pa.array(whole == only)) if only else out
+            del w
 
     return docs.mapInArrow(run, "grp int, whole int, lang string, key binary, h long, n long")
 
 
 def subtrees(rows: DataFrame, groups: int, least: int) -> DataFrame:
-    """lang, key, n: phrases of three words or more, from the suffix subtree of each group on its own.
+    """lang, key, n: phrases of three words or more, from the suffix subtrees of each group on their own.
+
+    A group's prefixes come one after another, and about PART rows of whole prefixes become trees at a time.
 
     A node that lies wholly in its group is given where it occurs ``least`` times or more; one above
     a split prefix is given as it is, to be added to its other parts.
@@ -203,10 +233,8 @@ def subtrees(rows: DataFrame, groups: int, least: int) -> DataFrame:
     def build(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(parts).combine_chunks()
         keys = t["key"].chunk(0)
-        lens = pc.binary_length(keys).to_numpy().astype(np.int64) // 8
-        codes = np.zeros((len(lens), DEPTH), np.uint64)
-        at = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset:keys.offset + len(keys) + 1]
-        codes[np.arange(DEPTH) < lens[:, None]] = np.frombuffer(keys.buffers()[2], np.uint8)[at[0]:at[-1]].view(">u8")
+        at = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset:keys.offset + len(keys) + 1] // 8
+        codes, at, lens = np.frombuffer(keys.buffers()[2], ">u8", at[-1]), at[:-1], np.diff(at)
         whole, n = t["whole"].to_numpy(), t["n"].to_numpy()
         langs = t["lang"].chunk(0).dictionary_encode()
         node, rows_ = langs.indices.to_numpy().astype(np.int64), np.arange(len(lens))
@@ -215,7 +243,7 @@ def subtrees(rows: DataFrame, groups: int, least: int) -> DataFrame:
             rows_, node = rows_[live], node[live]
             if not len(rows_):
                 return
-            word = pd.factorize(codes[rows_, i])[0].astype(np.int64)
+            word = pd.factorize(codes[at[rows_] + i].astype(np.uint64))[0].astype(np.int64)
             node = pd.factorize(node * (int(word.max()) + 1) + word)[0].astype(np.int64)
             if i < 2:
                 continue
@@ -224,24 +252,25 @@ def subtrees(rows: DataFrame, groups: int, least: int) -> DataFrame:
             first = rows_[np.unique(node, return_index=True)[1]]
             give = (total >= least) | (whole[first] > i + 1)
             first, total = first[give], total[give]
-            yield pa.RecordBatch.from_arrays([langs.dictionary.take(langs.indices.take(pa.array(first))), _keys(codes[first], np.full(len(first), i + 1)), pa.array(total)], ["lang", "key", "n"])
+            yield pa.RecordBatch.from_arrays([langs.dictionary.take(langs.indices.take(pa.array(first))), pc.binary_slice(keys.take(pa.array(first)), 0, 8 * (i + 1)), pa.array(total)], ["lang", "key", "n"])
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
+        held, size, last = [], 0, None
         for t in batches:
-            grp = t["grp"].to_numpy()
-            turns = [0, *(np.flatnonzero(grp[1:] != grp[:-1]) + 1).tolist(), len(grp)]
-            for a, b in zip(turns[:-1], turns[1:], strict=True):
-                if b == a:
-                    continue
-                if held and held[0]["grp"][0].as_py() != grp[a]:
-                    yield from build(held)
-                    held = []
-                held.append(t.slice(a, b - a))
+            one = t["prefix"].to_numpy()
+            if not len(one):
+                continue
+            new = np.flatnonzero(one != last) if size >= PART else one[:0]
+            if len(new):
+                yield from build([*held, t.slice(0, new[0])])
+                held, size, t = [], 0, t.slice(new[0])
+            held.append(t)
+            size, last = size + t.num_rows, one[-1]
         if held:
             yield from build(held)
 
-    dealt = rows.select("grp", "whole", "lang", "key", "n").repartition(groups, "grp").sortWithinPartitions("grp")
+    dealt = rows.select("grp", "whole", "lang", "key", "n").repartition(groups, "grp")
+    dealt = dealt.withColumn("prefix", F.expr("xxhash64(lang, substring(key, 1, 8 * whole))")).sortWithinPartitions("prefix")
     out = dealt.mapInArrow(run, "lang string, key binary, n long")
     return out.groupBy("lang", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 

@@ -1,8 +1,13 @@
 """Phrase mining against plain counting."""
 import random
 import re
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from frameloom.llm import phrases
@@ -66,7 +71,6 @@ def test_codes_shared_by_words(spark, monkeypatch):
 
 
 def pa_words(texts, seed):
-    import pyarrow as pa
     return phrases.Words.of(pa.array(texts), pa.array([None] * len(texts), pa.string()), seed)
 
 
@@ -74,3 +78,67 @@ def test_empty(spark):
     assert phrases.collocations(docs(spark, [])).collect() == []
     only = [(1, None, None, None, 0, *["x"] * 10), (2, " .;\n", "en", None, 0, *["x"] * 10)]
     assert phrases.collocations(docs(spark, only), least=1).collect() == []
+
+
+class Step:
+    """Stands for a frame: keeps the first function that is mapped over it, and goes on as an empty one."""
+    def __init__(self, spark):
+        self.spark, self.run = spark, None
+
+    def mapInArrow(self, run, schema):
+        self.run = self.run or run
+        return self.spark.createDataFrame([], schema)
+
+    def select(self, *_):
+        return self
+
+    repartition = withColumn = sortWithinPartitions = select
+
+
+def mapped(run, batches):
+    """What ``run`` gives, and the most MB that numpy held meanwhile."""
+    tracemalloc.start()
+    try:
+        return list(run(iter(batches))), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def prose(spaces):
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"{x:x}" for x in rng.zipf(1.3, 2000) % spaces) for _ in range(600)]
+    return pa.RecordBatch.from_pydict({"text": texts, "lang": ["en"] * len(texts)})
+
+
+@pytest.mark.parametrize("spaces", [1 << 20, 2])
+def test_memory_of_a_slice(spark, spaces):
+    """A slice of 1.2 million words, many or two, is worked on in parts and leaves in small batches."""
+    t, every = prose(spaces), SimpleNamespace(value=np.full(1 << (phrases.BITS - 3), 255, np.uint8))
+    words, pairs, longer = Step(spark), Step(spark), Step(spark)
+    phrases.counted_words(words, 0)
+    phrases.counted_pairs(pairs, 0, every, 100)
+    phrases.suffixes(longer, 0, every, {}, 8)
+    for step, n in ((words, 2000), (pairs, 1999), (longer, 1998)):
+        out, most = mapped(step.run, [t])
+        assert sum(pa.compute.sum(b["n"]).as_py() for b in out) == 600 * n
+        assert max(b.num_rows for b in out) <= phrases.PART
+        assert most < 120, most
+
+
+def test_memory_of_a_group(spark):
+    """A group of many prefixes becomes trees in parts, and the counts are those of the whole."""
+    rng, n = np.random.default_rng(2), 600_000
+    codes = rng.integers(0, [900, 900, 3, 3, 3], (n, phrases.DEPTH)).astype(np.uint64)
+    prefix = (codes[:, 0] * np.uint64(900) + codes[:, 1]).astype(np.int64)
+    order = np.argsort(prefix, kind="stable")
+    codes, prefix = codes[order], prefix[order]
+    keys = phrases._keys(codes, np.full(n, phrases.DEPTH))
+    rows = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, 2, np.int32)), pa.array(["en"] * n), keys, pa.array(np.ones(n, np.int64)), pa.array(prefix)],
+                                      ["grp", "whole", "lang", "key", "n", "prefix"])
+    step = Step(spark)
+    phrases.subtrees(step, 1, 2)
+    out, most = mapped(step.run, [rows.slice(i, 10_000) for i in range(0, n, 10_000)])
+    got = {k.as_py(): c.as_py() for b in out for k, c in zip(b["key"], b["n"], strict=True)}
+    full = Counter(r[:8 * k] for r in keys.to_pylist() for k in (3, 4, 5))
+    assert got == {k: c for k, c in full.items() if c >= 2}
+    assert sum(b.num_rows for b in out) == len(got) and most < 60, most
